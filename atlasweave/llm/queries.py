@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -27,9 +28,50 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, remainder, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
+    found = identify(docs.select("doc_id", "text"), train(docs, held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    found = shards(table(spark, sf_dir, "documents"), n_shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op6_packing)}
+    return {f.__name__: f for f in (op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_top_k": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), scored AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+            ), ranked AS (
+                SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+            )
+            SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    }
