@@ -28,6 +28,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -57,11 +63,64 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op2_decontamination, op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op9_simhash)}
+
+
+def _windows_sql(side: str, rows: str) -> str:
+    """Common table expressions for the template windows of one side of op2; rows is a query for key and text."""
+    from .decontamination import UNITS
+
+    slot = "CASE WHEN code IN ('#', '~', '@') THEN low END"
+    lead = ", ".join(f"lead({slot}, {k}) OVER o" for k in range(1, 5))
+    literal = " + ".join(f"CAST(lead(code, {k}) OVER o NOT IN ('#', '~', '@') AS INT)" for k in range(5))
+    return rf"""
+        {side}_plain AS (
+            SELECT key, trim(rtrim(regexp_replace(regexp_replace('.' || coalesce(text, ''), '[.!?][^\p{{L}}\p{{N}}]*', ' ' || chr(1), 'g'),
+                '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), ' ' || chr(1))) AS plain FROM ({rows})
+        ), {side}_words AS (
+            SELECT key, unnest(string_split(plain, ' ')) AS word, generate_subscripts(string_split(plain, ' '), 1) AS i FROM {side}_plain
+        ), {side}_low AS (
+            SELECT key, i, word, replace(lower(word), chr(1), '') AS low FROM {side}_words
+        ), {side}_near AS (
+            SELECT *, lag(low) OVER (PARTITION BY key ORDER BY i) AS prev FROM {side}_low
+        ), {side}_code AS (
+            SELECT key, i, low, CASE
+                WHEN low >= '0' AND low < ':' THEN '#'
+                WHEN prev >= '0' AND prev < ':' AND low IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '~'
+                WHEN word = low OR starts_with(word, chr(1)) OR substring(word, 2) <> substring(low, 2) THEN low
+                ELSE '@' END AS code FROM {side}_near
+        ), {side}_window AS (
+            SELECT key, i, code || {" || ".join(f"' ' || lead(code, {k}) OVER o" for k in range(1, 5))} AS w, [{slot}, {lead}] AS slots, {literal} AS literal
+            FROM {side}_code WINDOW o AS (PARTITION BY key ORDER BY i)
+        ), {side}_hits AS (
+            SELECT key, w, slots, min(i) AS i FROM {side}_window WHERE w IS NOT NULL AND literal >= 2 GROUP BY ALL
+        )"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": f"""
+            WITH docs AS (SELECT row_number() OVER () AS key, doc_id, text FROM documents),
+            items AS (SELECT row_number() OVER () AS key, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+            {_windows_sql("d", "SELECT key, text FROM docs")}, {_windows_sql("b", "SELECT key, text FROM items")},
+            joined AS (
+                SELECT d.key AS doc, b.key AS item, d.w, d.slots AS v, b.slots AS u, d.i - b.i AS shift, len(list_filter(b.slots, lambda x: x IS NOT NULL)) > 0 AS slotted
+                FROM d_hits d JOIN b_hits b USING (w)
+            ), pairs AS (
+                SELECT doc, item, shift, unnest(u) AS u, unnest(v) AS v FROM joined
+            ), broken AS (
+                SELECT DISTINCT doc, item, shift FROM (SELECT doc, item, shift, u FROM pairs WHERE u IS NOT NULL GROUP BY ALL HAVING min(v) <> max(v))
+            ), covered AS (
+                SELECT doc, item, count(DISTINCT w) AS covered FROM joined LEFT JOIN broken b USING (doc, item, shift)
+                WHERE NOT slotted OR b.doc IS NULL GROUP BY ALL
+            ), found AS (
+                SELECT doc, item_id FROM covered JOIN (SELECT key AS item, count(DISTINCT w) AS n FROM b_hits GROUP BY ALL) USING (item)
+                JOIN items i ON i.key = item WHERE covered >= 0.8 * n
+            ), listed AS (
+                SELECT doc, count(*) AS n_items, string_agg(coalesce(CAST(item_id AS VARCHAR), 'null'), ',' ORDER BY item_id) AS item_ids FROM found GROUP BY ALL
+            )
+            SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids
+            FROM docs LEFT JOIN listed ON doc = key""",
         "op3_top_k": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
