@@ -56,14 +56,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect, train
+
+    return detect(table(spark, sf_dir, "documents"), train())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op9_simhash)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan, train
+
+    return scan(table(spark, sf_dir, "documents"), train())
 
 
 def _windows_sql(side: str, rows: str) -> str:
@@ -97,6 +105,10 @@ def _windows_sql(side: str, rows: str) -> str:
         )"""
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op2_decontamination, op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op8_pii, op9_simhash, op10_secrets)}
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": f"""
