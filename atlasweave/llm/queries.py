@@ -28,6 +28,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
@@ -106,7 +113,7 @@ def _windows_sql(side: str, rows: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op8_pii, op9_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op8_pii, op9_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
