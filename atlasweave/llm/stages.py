@@ -1,22 +1,70 @@
-"""The stages of corpus_pipeline.py."""
+"""The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir), with docs as its predecessor left them.
+
+All but the last return the columns of docs.  An empty docs gives no rows at every stage.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
-from .common import shared_folder, table
+from . import decontamination, langid, packing, secrets, simhash
+from .common import cut_lineage, shared_folder, table
 from .queries import vocabulary
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model recognises; it learns from the rows with a language that aren't held out.
+
+    Null texts and texts without a letter have no language and go.
+    """
+    held_out = F.coalesce(langid.remainder(F.col("doc_id")) == 2, F.lit(False))
+    found = langid.identify(docs, langid.train(docs, held_out))
+    return found.where("NOT rejected").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Of rows with one doc_id one stays (the least in order of all columns); rows without a doc_id can't be named and all stay.
+    """
+    found = cut_lineage(simhash.near_duplicates(docs, radius=4, shingle=4).where("doc_id IS NOT NULL"))
+    drop = found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n")).where("copy OR n > 1")
+    marked = docs.join(drop, "doc_id", "left")
+    unique = marked.where("copy IS NULL").select(*docs.columns)
+    repeated = marked.where("NOT copy").select(*docs.columns)  # rows that share their doc_id, but not with a smaller one
+    least = repeated.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
+    return unique.unionByName(least.select("doc_id", "row.*").select(*docs.columns))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc").distinct()
+    return docs.withColumn("doc", decontamination.row_key(F.col("doc_id").cast("long"), F.col("text"))).join(found, "doc", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts replaced; n_chars follows the text."""
+    clean = secrets.redact(docs, secrets.train())
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.contains("text", F.lit(secrets.REDACTED)), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences: one row for each piece, with its token ids' place."""
+    """What is left, packed into sequences: one row for each piece, with its token ids' place."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_dedup", near_duplicates),
+    ("decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
