@@ -1,16 +1,19 @@
 """SimHash near-duplicate detection with vantage-point trees.
 
 Every whole text gets a 64-bit SimHash of its word shingles.  Documents are first aggregated to distinct
-fingerprints, so a group of copies is one row however large it is.  A vantage-point tree over Hamming
-distance, built from a bounded sample, cuts the fingerprints into shards: at each node a fingerprint goes to
-the near or far side of a vantage point's median ring.  A fingerprint within the link radius of the ring could
-have a partner on the other side, so by the triangle inequality it also visits that side as a query; nothing
-else needs to.  Inside a shard each task builds a second tree whose leaves are compared exactly.  A task emits
-the spanning links of what it finds instead of all pairs, and the links of all shards are joined into
-components by distributed min-label contraction.
+fingerprints, so a group of copies is one row however large it is.
 
-Hot parts of the tree: a shard is cut into SPLIT blocks of home fingerprints if it holds many, so a dense
-region is spread over tasks; identical fingerprints are one row.
+In 64 bits a ring around a vantage point excludes little: nearly all distances lie within the radius of the
+median.  So there is one tree for each quarter of the bits: of two fingerprints within 4 bits one quarter at
+least differs in 1 bit at most, and a ball of radius 1 meets few shards.  A tree, built from a bounded sample,
+cuts its quarter's values by their Hamming distance to vantage points; a fingerprint is at home in one
+shard, and by the triangle inequality it also visits those whose ring its ball overlaps, as a query.  Inside a
+shard a second tree over the distinct values of the quarter finds the close ones, and the fingerprints behind them are
+compared in full, so the result is exact.  A task emits spanning links instead of all pairs; a dense
+group of values is linked through stars (points within the radius of one centre need no comparison with each
+other).  The links of all shards are joined into components by distributed min-label contraction.
+
+Hot shards: one with many home fingerprints is cut into blocks, so a dense region is spread over tasks.
 
 Defined results: a null text counts as empty; an empty text has fingerprint zero, which links like any other;
 a text shorter than a shingle is one shingle; null doc_ids form rows of their own and never name a component
@@ -32,8 +35,10 @@ from .common import cut_lineage
 
 #: Fingerprints in the sample from which the sharding tree is built: the bound of what reaches the driver.
 SAMPLE = 1 << 13
-#: Home fingerprints that a shard should hold, the tree's greatest depth, and home fingerprints of one task.
-SHARD, MAX_DEPTH, BLOCK = 1 << 14, 12, 1 << 13
+#: Parts of a fingerprint that have a tree each; depths of the trees: the least one holds up to 2^DEPTH_ROWS fingerprints, each doubling adds one.
+PARTS, MIN_DEPTH, MAX_DEPTH, DEPTH_ROWS = 4, 6, 12, 24
+#: Home fingerprints of a shard that go to one task; candidate pairs compared at a time.
+BLOCK, CHUNK = 1 << 16, 1 << 21
 
 
 def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -110,45 +115,116 @@ def route(fp: np.ndarray, nodes: list[tuple[int, int]], depth: int, radius: int)
     return who, node - (2**depth - 1), home
 
 
-def close_pairs(own: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within the radius, between the rows of two sorted-by-nothing arrays, exactly.
+def close_values(own: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within the radius between two arrays of distinct values, exactly.
 
-    A local vantage-point tree halves both sides until a node is small, with the other side keeping what the
-    triangle inequality cannot exclude.
+    A local vantage-point tree halves both sides until a node is small; the other side keeps what the triangle
+    inequality cannot exclude.
     """
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     stack = [(np.arange(len(own)), np.arange(len(other)), 0)]
     while stack:
         a, b, level = stack.pop()
-        if not len(a) or not len(b):
-            continue
-        if len(a) > 512 and level < 8:
-            d = hamming(own[a], own[a[len(a) // 2]]).astype(np.int64)
+        if len(a) and len(b):
+            vantage = own[a[len(a) // 2]]
+            d = hamming(own[a], vantage).astype(np.int64)
             ring = int(np.median(d))
             inside = d <= ring
-            if inside.any() and not inside.all():
-                e = hamming(other[b], own[a[len(a) // 2]]).astype(np.int64)
+            if len(a) > 64 and level < 12 and not inside.all():
+                e = hamming(other[b], vantage).astype(np.int64)
                 stack += [(a[inside], b[e - radius <= ring], level + 1), (a[~inside], b[e + radius > ring], level + 1)]
                 continue
-        for at in range(0, len(a), 256):
-            near = hamming(own[a[at : at + 256], None], other[None, b]) <= radius
-            x, y = np.nonzero(near)
-            left.append(a[at + x])
+            x, y = np.nonzero(hamming(own[a, None], other[None, b]) <= radius)
+            left.append(a[x])
             right.append(b[y])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def star_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that connect whatever pairs within the radius connect, without comparing all pairs.
+
+    Every centre is compared with all points, and what is within its radius belongs to its star.  Two stars that
+    no link joins yet are compared member by member if their centres are within three radii of each other.
+    """
+    star, centres, parent = np.full(len(points), -1), [], []
+    left, right = [], []
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for c in range(len(points)):
+        if star[c] >= 0:
+            continue
+        near = np.flatnonzero(hamming(points, points[c]) <= radius)
+        k = len(centres)
+        centres.append(c)
+        parent.append(k)
+        for j in np.unique(star[near]).tolist():
+            if j >= 0:
+                parent[find(j)] = find(k)
+        star[near[star[near] < 0]] = k
+        left.append(np.full(len(near), c))
+        right.append(near)
+    members = np.split(np.argsort(star, kind="stable"), np.cumsum(np.bincount(star))[:-1])
+    for j, c in enumerate(centres):
+        reach = np.flatnonzero(hamming(points[centres[j + 1 :]], points[c]) <= 3 * radius) + j + 1
+        for k in reach.tolist():
+            if find(j) != find(k):
+                step = max(1, CHUNK // len(members[k]))
+                for at in range(0, len(members[j]), step):
+                    x, y = np.nonzero(hamming(points[members[j][at : at + step], None], points[None, members[k]]) <= radius)
+                    if len(x):
+                        left.append(members[j][at + x[:1]])
+                        right.append(members[k][y[:1]])
+                        parent[find(j)] = find(k)
+                        break
+    return np.concatenate(left), np.concatenate(right)
+
+
+def close_links(own: np.ndarray, every: np.ndarray, part: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in `every` (which begins with `own`) of links that connect all pairs of an own row and any row within the radius.
+
+    Only pairs that are close in the given part are looked at.
+    """
+    a_order, b_order = np.argsort(quarter(own, part), kind="stable"), np.argsort(quarter(every, part), kind="stable")
+    a_values, a_start, a_count = np.unique(quarter(own, part)[a_order], return_index=True, return_counts=True)
+    b_values, b_start, b_count = np.unique(quarter(every, part)[b_order], return_index=True, return_counts=True)
+    i, j = close_values(a_values, b_values, radius // PARTS)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    work = a_count[i] * b_count[j]
+    for k in np.flatnonzero(work > CHUNK).tolist():
+        both = np.unique(np.concatenate([a_order[a_start[i[k]] :][: a_count[i[k]]], b_order[b_start[j[k]] :][: b_count[j[k]]]]))
+        x, y = star_links(every[both], radius)
+        left.append(both[x])
+        right.append(both[y])
+    i, j, work = i[work <= CHUNK], j[work <= CHUNK], work[work <= CHUNK]
+    cuts = np.searchsorted(np.cumsum(work), np.arange(CHUNK, work.sum() + CHUNK, CHUNK))
+    for at, to in zip([0, *(cuts[:-1] + 1)], cuts + 1, strict=True) if len(work) else ():
+        n = work[at:to]
+        pair = np.repeat(np.arange(at, min(to, len(work))), n)
+        within = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        width = b_count[j[pair]]
+        x, y = a_order[a_start[i[pair]] + within // width], b_order[b_start[j[pair]] + within % width]
+        near = hamming(own[x], every[y]) <= radius
+        left.append(x[near])
+        right.append(y[near])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def spanning_links(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each fingerprint to the least one of its component, from positions of linked pairs."""
-    label = np.argsort(np.argsort(fp))  # ranks: hooking to the least rank
     order = np.argsort(fp)
+    label = np.empty(len(fp), np.int64)
+    label[order] = np.arange(len(fp))  # ranks: hooking to the least rank
     while True:
-        low = np.minimum(label[x], label[y])
         new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
+        low = np.minimum(label[x], label[y])
         np.minimum.at(new, x, low)
         np.minimum.at(new, y, low)
+        new = np.minimum(new, new[order[new]])
         if (new == label).all():
             break
         label = new
@@ -157,42 +233,65 @@ def spanning_links(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.nda
     return fp[moved], root[moved]
 
 
+def quarter(fp: np.ndarray, part: int) -> np.ndarray:
+    """Bits of one part of the fingerprints."""
+    width = 64 // PARTS
+    return (fp >> np.uint64(part * width)) & np.uint64((1 << width) - 1)
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Spanning links (a > b, as signed longs) of all pairs of distinct fingerprints within the radius."""
-    spark, n = distinct.sparkSession, distinct.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))))
+    """Spanning links (a, b) of all pairs of distinct fingerprints within the radius."""
+    n = distinct.count()
+    depth = min(MAX_DEPTH, MIN_DEPTH + max(0, (max(n, 1) - 1).bit_length() - DEPTH_ROWS))
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    nodes = build_tree(sample, depth)
-    tasks = max(1, -(-2 * n // (2**depth * BLOCK)))  # blocks of home fingerprints in a shard of twice the usual size
+    trees = [build_tree(quarter(sample, part), depth) for part in range(PARTS)]
+
+    def routed(fp: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Index, shard and home mark of every visit, and the home shard of every fingerprint."""
+        who, shard, home = route(quarter(fp, part), trees[part], depth, radius // PARTS)
+        own = np.zeros(len(fp), np.int64)
+        own[who[home]] = shard[home]
+        return who, shard, home, own
+
+    def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(PARTS << depth, np.int64)
+        for frame in frames:
+            fp = frame["fp"].to_numpy().view(np.uint64)
+            for part in range(PARTS):
+                held += np.bincount((part << depth) + routed(fp, part)[3], minlength=len(held))
+        yield pd.DataFrame({"cell": np.flatnonzero(held), "n": held[held > 0]})
+
+    sizes = distinct.select("fp").mapInPandas(at_home, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # PARTS * 2^depth rows at most
+    blocks = np.ones(PARTS << depth, np.int64)
+    for r in sizes:
+        blocks[r.cell] = -(-r.n // BLOCK)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Home rows go to one block of their shard, and every row that meets a shard goes as a query to all its blocks."""
+        """A fingerprint goes to its home block, and as a query to later blocks of its shard and to later shards that its ball meets."""
         for frame in frames:
             fp = frame["fp"].to_numpy().view(np.uint64)
-            who, shard, home = route(fp, nodes, depth, radius)
-            block = (fp[who] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % tasks
-            rows = [pd.DataFrame({"shard": shard[home], "block": block[home], "fp": fp[who[home]].view(np.int64), "home": True})]
-            # a pair is found at the home of either side: queries go to the greater shard or block only
-            own = np.zeros(len(fp), np.int64)
-            own[who[home]] = shard[home]
-            at = np.zeros(len(fp), np.int64)
-            at[who[home]] = block[home]
-            for k in range(tasks):
-                visit = (shard > own[who]) | (home & (k > at[who]))
-                rows.append(pd.DataFrame({"shard": shard[visit], "block": np.full(visit.sum(), k), "fp": fp[who[visit]].view(np.int64), "home": False}))
-            yield pd.concat(rows)
+            mixed = (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+            for part in range(PARTS):
+                who, shard, home, own = routed(fp, part)
+                keep = shard >= own[who]
+                who, shard, home = who[keep], shard[keep], home[keep]
+                times = blocks[(part << depth) + shard]
+                who, shard, home = np.repeat(who, times), np.repeat(shard, times), np.repeat(home, times)
+                block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                mine = mixed[who] % blocks[(part << depth) + shard]
+                keep = ~home | (block >= mine)
+                rows = {"part": np.full(keep.sum(), part), "shard": shard[keep], "block": block[keep], "fp": fp[who[keep]].view(np.int64), "home": (home & (block == mine))[keep]}
+                yield pd.DataFrame(rows)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         fp, home = frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy()
-        own, guest = fp[home], fp[~home]
-        every = np.concatenate([own, guest])
-        x, y = close_pairs(own, every, radius)
-        keep = x != y
-        a, b = spanning_links(every, x[keep], y[keep])
+        own, every = fp[home], np.concatenate([fp[home], fp[~home]])
+        x, y = close_links(own, every, int(frame["part"].iloc[0]), radius)
+        a, b = spanning_links(every, x, y)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = distinct.select("fp").mapInPandas(send, "shard long, block long, fp long, home boolean")
-    return cut_lineage(sent.groupBy("shard", "block").applyInPandas(compare, "a long, b long").distinct())
+    sent = distinct.select("fp").mapInPandas(send, "part long, shard long, block long, fp long, home boolean")
+    return cut_lineage(sent.groupBy("part", "shard", "block").applyInPandas(compare, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
