@@ -36,8 +36,8 @@ CLASSES, PLACES, BUCKETS, WIDTH = 64, 64, 512, 16
 VOCABULARY = CLASSES * PLACES
 #: Positions of the neighbours; id 0 pads the ends of documents.
 NEIGHBOURS, PAD = (-2, -1, 1, 2), 0
-#: Tokens of a block, distinct words that a partition counts before it hands them on, characters split at once, words of a worker's cache.
-BLOCK, COUNTED, CHUNK, CACHE = 1 << 14, 1 << 18, 1 << 20, 1 << 20
+#: Tokens that are worked on at once in scoring and in a training step, distinct words that a partition counts before it hands them on, characters split at once, words of a worker's cache.
+BLOCK, STEP, COUNTED, CHUNK, CACHE = 1 << 14, 1 << 13, 1 << 18, 1 << 20, 1 << 20
 #: Step size of the adaptive gradient.
 RATE = 0.08
 
@@ -117,46 +117,54 @@ class Network:
         return cls(rows)
 
     def run(self, stream: np.ndarray, slope: np.ndarray | None = None) -> np.ndarray:
-        """Log-probability of each token of a stream (0 at pads); adds the gradient of their negative sum to slope."""
+        """Log-probability of each token of a stream (0 at pads); adds the gradient of their negative sum to slope.
+
+        Tokens are worked on in order of their class, so a class's tokens are one slice.
+        """
         n, reach = len(stream), max(NEIGHBOURS)
         rows, d = self.rows, WIDTH
         at = np.flatnonzero(stream != PAD)
+        group = (stream[at] // PLACES).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        at, group = at[order], group[order].astype(np.int64)
+        place = stream[at] % PLACES
         x = np.zeros((n + 2 * reach, d), np.float32)
-        x[reach : n + reach] = rows[stream, :d]
+        x[reach : n + reach] = rows[:VOCABULARY, :d].take(stream, 0)
         scales = rows[self.SCALES : self.INNER, :d]
-        z = rows[self.INNER, :d] + sum(x[reach + o : reach + o + n] * s for o, s in zip(NEIGHBOURS, scales, strict=True))
+        z = x[reach + NEIGHBOURS[0] :][:n] * scales[0]
+        for o, s in zip(NEIGHBOURS[1:], scales[1:], strict=True):
+            z += x[reach + o :][:n] * s
         h = np.ones((len(at), d + 1), np.float32)  # the last column meets the biases
-        h[:, :d] = np.tanh(z[at])
-        target = stream[at]
-        group, place = target // PLACES, target % PLACES
-        out = np.zeros(n, np.float32)
-
-        def level(h: np.ndarray, w: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Log-probability of the goals, and for training the slope of the logits."""
-            p = h @ w.T
-            p -= p.max(1, keepdims=True)
-            mine = p[np.arange(len(goal)), goal]
+        np.tanh(z.take(at, 0) + rows[self.INNER, :d], out=h[:, :d])
+        dh = np.zeros((len(at), d), np.float32)
+
+        def level(part: slice, first: int, size: int, goal: np.ndarray) -> np.ndarray:
+            """Log-probability of the goals under rows first..first+size, with their slopes if asked for."""
+            own, w = h[part], rows[first : first + size]
+            p = own @ w.T
+            p -= p.max()
+            each = np.arange(len(goal))
+            mine = p[each, goal]
             np.exp(p, out=p)
             total = p.sum(1)
+            if not total.min() > 1e-30:  # far apart logits need their own maxima
+                p = own @ w.T
+                p -= p.max(1, keepdims=True)
+                mine = p[each, goal]
+                np.exp(p, out=p)
+                total = p.sum(1)
             if slope is not None:
-                p /= total[:, None]
-                p[np.arange(len(goal)), goal] -= 1
-            return mine - np.log(total), p
+                p[each, goal] -= total  # total times the slope of the logits
+                slope[first : first + size] += p.T @ (own / total[:, None])
+                dh[part] += (p @ w[:, :d]) / total[:, None]
+            return mine - np.log(total)
 
-        log_p, p = level(h, rows[self.CLASS : self.PLACE], group)
-        if slope is not None:
-            slope[self.CLASS : self.PLACE] += p.T @ h
-            dh = p @ rows[self.CLASS : self.PLACE, :d]
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        log_p = level(slice(None), self.CLASS, CLASSES, group) if len(at) else np.zeros(0, np.float32)
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[c] : cuts[c + 1]]
-            first = self.PLACE + c * PLACES
-            mine, p = level(h[own], rows[first : first + PLACES], place[own])
-            log_p[own] += mine
-            if slope is not None:
-                slope[first : first + PLACES] += p.T @ h[own]
-                dh[own] += p @ rows[first : first + PLACES, :d]
+            own = slice(cuts[c], cuts[c + 1])
+            log_p[own] += level(own, self.PLACE + c * PLACES, PLACES, place[own])
+        out = np.zeros(n, np.float32)
         out[at] = log_p
         if slope is not None:
             dz = np.zeros((n + 2 * reach, d), np.float32)
@@ -164,12 +172,10 @@ class Network:
             slope[self.INNER, :d] += dz.sum(0)
             dx = np.zeros((n, d), np.float32)
             for k, o in enumerate(NEIGHBOURS):
-                slope[self.SCALES + k, :d] += (dz[reach : reach + n] * x[reach + o : reach + o + n]).sum(0)
-                dx += dz[reach - o : reach - o + n] * scales[k]
-            sort = np.argsort(stream.astype(np.int16), kind="stable")
-            ids, starts = np.unique(stream[sort], return_index=True)
-            sums = np.add.reduceat(dx[sort], starts)
-            slope[ids[ids != PAD], :d] += sums[ids != PAD]
+                slope[self.SCALES + k, :d] += np.einsum("ij,ij->j", dz[reach : reach + n], x[reach + o :][:n])
+                dx += dz[reach - o :][:n] * scales[k]
+            for k in range(d):
+                slope[1:VOCABULARY, k] += np.bincount(stream, dx[:, k], VOCABULARY)[1:]
         return out
 
 
@@ -189,11 +195,11 @@ def blocks(docs: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]
         yield np.concatenate(held), lengths
 
 
-def windows(stream: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Parts of a stream of at most BLOCK tokens: first, last, and the part with its neighbours on both sides."""
+def windows(stream: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Parts of a stream of at most `size` tokens: first, last, and the part with its neighbours on both sides."""
     reach = max(NEIGHBOURS)
-    for at in range(0, len(stream), BLOCK):
-        yield at, min(at + BLOCK, len(stream)), stream[max(0, at - reach) : at + BLOCK + reach]
+    for at in range(0, len(stream), size):
+        yield at, min(at + size, len(stream)), stream[max(0, at - reach) : at + size + reach]
 
 
 def train_copy(network: Network, docs: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +207,7 @@ def train_copy(network: Network, docs: Iterator[np.ndarray]) -> tuple[np.ndarray
     copy, seen = Network(network.rows.copy()), np.zeros(Network.SIZE)
     squares = np.full(copy.rows.shape, 1e-4, np.float32)
     for stream, _ in blocks(docs):
-        for _, _, part in windows(stream):
+        for _, _, part in windows(stream, STEP):
             slope = np.zeros(copy.rows.shape, np.float32)
             copy.run(part, slope)
             slope /= max(1, len(part)) ** 0.5
@@ -224,7 +230,7 @@ class Model:
         """Number of words and summed log-probability of each document."""
         gap = max(NEIGHBOURS)
         for stream, lengths in blocks(docs):
-            log_p = np.concatenate([self.network.run(part)[at - max(0, at - gap) :][: end - at] for at, end, part in windows(stream)])
+            log_p = np.concatenate([self.network.run(part)[at - max(0, at - gap) :][: end - at] for at, end, part in windows(stream, BLOCK)])
             ends = np.cumsum(np.array(lengths) + gap)
             sums = np.add.reduceat(log_p.astype(np.float64), np.concatenate([[0], ends[:-1]]))
             yield from zip(lengths, sums.tolist(), strict=True)
@@ -234,7 +240,13 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     """The averaged network of all partitions."""
     texts = docs.select(F.col(text_col).alias("text"))
     counts = cut_lineage(texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS - 1).collect()
+    # a histogram of the counts bounds what can be among the top, so no partition sends its own top rows to the driver
+    size, least = VOCABULARY - BUCKETS - 1, 0
+    for r in counts.groupBy(F.floor(F.log2("n") * 16).alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():
+        size, least = size - r.words, r.n
+        if size <= 0:
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS - 1).collect()
     spread = counts.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).collect()
     shares, known = np.ones(VOCABULARY), [r.word for r in top]
     for r in spread:
