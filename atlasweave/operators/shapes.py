@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..sources.lift import Graph
 
 FINDING = ["severity", "type", "focus", "path", "message"]
@@ -135,8 +136,11 @@ def check(graph: Graph, shapes: list[Shape]) -> DataFrame:
 
 
 def grouped(findings: DataFrame, examples: int = 5) -> DataFrame:
-    """Findings by severity, type, path and message: n, and the first few subjects in order."""
-    key = ["severity", "type", "path", "message"]
+    """Findings by severity, type, path and message: n, and the first few subjects in order.
+
+    The findings are written once, as both halves read them; a group's subjects are limited before they are gathered.
+    """
+    key, findings = ["severity", "type", "path", "message"], cut(findings)
     n = findings.groupBy(*key).agg(F.count("*").alias("n"))
     first = findings.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("focus"))).where(F.col("k") <= examples)
     return n.join(first.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("focus")), ",").alias("subjects")), key)
