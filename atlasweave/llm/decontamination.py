@@ -4,7 +4,8 @@ Numbers, names and units in documents and benchmark items become typed placehold
 other parameters keeps its template.  Windows of five canonical words are joined by hash, and the values
 that stand in the placeholders must map consistently: within one alignment of an item with a document each
 value of the item stands for one value of the document.  A document is contaminated by an item if at least
-0.8 of the item's distinct windows occur in it in consistent alignments.
+0.8 of the item's distinct windows occur in it in consistent alignments.  As texts in one case show no names, an item's
+window also counts if it occurs with the names as plain words.
 
 Words are runs of letters and digits.  A word that begins with a digit is a number; a word right after a number
 that is in UNITS is a unit; a capitalised word that doesn't open a sentence is a name; all else is its lower case.
@@ -42,8 +43,8 @@ def _starts_with_digit(word: Column) -> Column:
     return (word >= "0") & (word < ":")
 
 
-def canonical(rows: DataFrame, text: Column) -> DataFrame:
-    """rows with low (lower-case words) and codes (hashes of canonical words, or a placeholder's number)."""
+def canonical(rows: DataFrame, text: Column, names: bool = True) -> DataFrame:
+    """rows with low (lower-case words) and codes (hashes of canonical words, or a placeholder's number); names=False takes names for words."""
     marked = F.regexp_replace(F.concat(F.lit("."), F.coalesce(text, F.lit(""))), r"[.!?][^\p{L}\p{N}]*", " " + MARK)
     plain = F.trim(F.rtrim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{MARK}]+", " "), F.lit(" " + MARK)))
     rows = rows.withColumn("__plain", plain)
@@ -55,7 +56,7 @@ def canonical(rows: DataFrame, text: Column) -> DataFrame:
         return (
             F.when(_starts_with_digit(low), F.lit(NUMBER).cast("long"))
             .when(unit, F.lit(UNIT).cast("long"))
-            .when((word == low) | F.startswith(word, F.lit(MARK)) | (F.substring(word, 2, 1 << 30) != F.substring(low, 2, 1 << 30)), F.xxhash64(low))
+            .when(F.lit(not names) | (word == low) | F.startswith(word, F.lit(MARK)) | (F.substring(word, 2, 1 << 30) != F.substring(low, 2, 1 << 30)), F.xxhash64(low))
             .otherwise(F.lit(NAME).cast("long"))
         )
 
@@ -78,14 +79,23 @@ def slots(i: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, item_id, w, at, slots, n: the windows of each item that hold two literal words at least."""
+    """item, item_id, id, w, at, slots, n: the windows of each item that hold two literal words at least.
+
+    A window, named by its id, may be met in either of two forms: with placeholders for names, or with the names as words, as
+    texts without capitals (or all in capitals) have them.  n is the number of the item's windows.
+    """
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     items = items.select("item_id", F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item"), "text")
-    found = with_windows(canonical(items, F.col("text")).drop("text")).select("item_id", "item", "codes", "low", F.posexplode_outer("windows").alias("at", "w"))
-    found = found.select("item_id", "item", "at", "w", F.size(F.filter(F.slice("codes", F.col("at") + 1, WINDOW), lambda c: ~c.between(UNIT, NUMBER))).alias("literal"), slots(F.col("at")).alias("slots"))
-    found = found.where("literal >= 2").groupBy("item_id", "item", "w", "slots").agg(F.min("at").alias("at"))
-    sizes = found.groupBy("item").agg(F.countDistinct("w").alias("n"))
-    return cut_lineage(found.join(sizes, "item"))
+
+    def form(names: bool) -> DataFrame:
+        found = with_windows(canonical(items, F.col("text"), names).drop("text")).select("item_id", "item", "codes", "low", F.posexplode_outer("windows").alias("at", "w"))
+        literal = F.size(F.filter(F.slice("codes", F.col("at") + 1, WINDOW), lambda c: ~c.between(UNIT, NUMBER)))
+        return found.select("item_id", "item", "at", "w", literal.alias("literal"), slots(F.col("at")).alias("slots"))
+
+    typed = form(True)
+    either = typed.unionByName(form(False)).where("literal >= 2").join(typed.select("item", "at", F.col("w").alias("id")), ["item", "at"])
+    found = either.groupBy("item_id", "item", "id", "w", "slots").agg(F.min("at").alias("at"))
+    return cut_lineage(found.join(found.groupBy("item").agg(F.countDistinct("id").alias("n")), "item"))
 
 
 def bitmap(windows: DataFrame) -> DataFrame:
@@ -112,18 +122,19 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     # the rarest windows of each item: missing all of them means missing more than a contaminated document may
     spread = items.groupBy("w").agg(F.countDistinct("item").alias("spread"))
-    distinct = items.select("item", "w", "n").distinct().join(spread, "w")
-    rare = distinct.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "w"))).alias("ws"))
-    rare = rare.select("item", F.explode(F.slice("ws", F.lit(1), F.expr(f"n - cast(ceil({COVERAGE} * n) as int) + 1").cast("int"))).alias("x")).select("item", "x.w")
+    each = items.join(spread, "w").groupBy("item", "n", "id").agg(F.max("spread").alias("spread"))
+    rare = each.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "id"))).alias("ids"))
+    rare = rare.select("item", F.explode(F.slice("ids", F.lit(1), F.expr(f"n - cast(ceil({COVERAGE} * n) as int) + 1").cast("int"))).alias("x")).select("item", "x.id")
+    rare = rare.join(items, ["item", "id"]).select("item", "w").distinct()
     candidates = hits.join(rare, "w").select("doc", "item").distinct()
 
-    other = items.select("item", "item_id", "w", "n", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"))
+    other = items.select("item", "item_id", "id", "w", "n", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"))
     joined = cut_lineage(hits.join(candidates, "doc").join(other, ["item", "w"]).withColumn("shift", F.col("at") - F.col("item_at")))
     values = joined.select("doc", "item", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("v")).where("v.a IS NOT NULL")
     broken = values.groupBy("doc", "item", "shift", "v.a").agg((F.min("v.b") != F.max("v.b")).alias("bad")).where("bad").select("doc", "item", "shift").distinct()
     slotted = F.exists("item_slots", lambda s: s.isNotNull())
     kept = joined.withColumn("slotted", slotted).join(broken.withColumn("broken", F.lit(True)), ["doc", "item", "shift"], "left").where("NOT slotted OR broken IS NULL")
-    return kept.groupBy("doc", "item", "item_id", "n").agg(F.countDistinct("w").alias("covered")).where(f"covered >= {COVERAGE} * n")
+    return kept.groupBy("doc", "item", "item_id", "n").agg(F.countDistinct("id").alias("covered")).where(f"covered >= {COVERAGE} * n")
 
 
 def row_key(id_col: Column, text_col: Column) -> Column:

@@ -81,8 +81,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), train())
 
 
-def _windows_sql(side: str, rows: str) -> str:
-    """Common table expressions for the template windows of one side of op2; rows is a query for key and text."""
+def _windows_sql(side: str, rows: str, names: bool = True) -> str:
+    """Common table expressions for the windows of one side of op2; rows is a query for key and text; names=False takes names for words."""
     from .decontamination import UNITS
 
     slot = "CASE WHEN code IN ('#', '~', '@') THEN low END"
@@ -102,7 +102,7 @@ def _windows_sql(side: str, rows: str) -> str:
             SELECT key, i, low, CASE
                 WHEN low >= '0' AND low < ':' THEN '#'
                 WHEN prev >= '0' AND prev < ':' AND low IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '~'
-                WHEN word = low OR starts_with(word, chr(1)) OR substring(word, 2) <> substring(low, 2) THEN low
+                WHEN {not names} OR word = low OR starts_with(word, chr(1)) OR substring(word, 2) <> substring(low, 2) THEN low
                 ELSE '@' END AS code FROM {side}_near
         ), {side}_window AS (
             SELECT key, i, code || {" || ".join(f"' ' || lead(code, {k}) OVER o" for k in range(1, 5))} AS w, [{slot}, {lead}] AS slots, {literal} AS literal
@@ -121,19 +121,23 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": f"""
             WITH docs AS (SELECT row_number() OVER () AS key, doc_id, text FROM documents),
             items AS (SELECT row_number() OVER () AS key, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
-            {_windows_sql("d", "SELECT key, text FROM docs")}, {_windows_sql("b", "SELECT key, text FROM items")},
+            {_windows_sql("d", "SELECT key, text FROM docs")}, {_windows_sql("t", "SELECT key, text FROM items")}, {_windows_sql("f", "SELECT key, text FROM items", False)},
+            b_hits AS (
+                SELECT e.key, t.w AS id, e.w, e.slots, min(i) AS i
+                FROM (SELECT * FROM t_window WHERE literal >= 2 UNION ALL SELECT * FROM f_window WHERE literal >= 2) e JOIN t_window t USING (key, i) WHERE t.w IS NOT NULL GROUP BY ALL
+            ),
             joined AS (
-                SELECT d.key AS doc, b.key AS item, d.w, d.slots AS v, b.slots AS u, d.i - b.i AS shift, len(list_filter(b.slots, lambda x: x IS NOT NULL)) > 0 AS slotted
+                SELECT d.key AS doc, b.key AS item, b.id, d.slots AS v, b.slots AS u, d.i - b.i AS shift, len(list_filter(b.slots, lambda x: x IS NOT NULL)) > 0 AS slotted
                 FROM d_hits d JOIN b_hits b USING (w)
             ), pairs AS (
                 SELECT doc, item, shift, unnest(u) AS u, unnest(v) AS v FROM joined
             ), broken AS (
                 SELECT DISTINCT doc, item, shift FROM (SELECT doc, item, shift, u FROM pairs WHERE u IS NOT NULL GROUP BY ALL HAVING min(v) <> max(v))
             ), covered AS (
-                SELECT doc, item, count(DISTINCT w) AS covered FROM joined LEFT JOIN broken b USING (doc, item, shift)
+                SELECT doc, item, count(DISTINCT id) AS covered FROM joined LEFT JOIN broken b USING (doc, item, shift)
                 WHERE NOT slotted OR b.doc IS NULL GROUP BY ALL
             ), found AS (
-                SELECT doc, item_id FROM covered JOIN (SELECT key AS item, count(DISTINCT w) AS n FROM b_hits GROUP BY ALL) USING (item)
+                SELECT doc, item_id FROM covered JOIN (SELECT key AS item, count(DISTINCT id) AS n FROM b_hits GROUP BY ALL) USING (item)
                 JOIN items i ON i.key = item WHERE covered >= 0.8 * n
             ), listed AS (
                 SELECT doc, count(*) AS n_items, string_agg(coalesce(CAST(item_id AS VARCHAR), 'null'), ',' ORDER BY item_id) AS item_ids FROM found GROUP BY ALL
