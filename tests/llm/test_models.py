@@ -1,0 +1,167 @@
+"""Scoring, language, personal data and secrets: held-out accuracy, gradients and edge cases."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from atlasweave.llm import langid, pii, pseudo_likelihood, secrets
+
+DOCS = "doc_id long, text string"
+ODD = [(1, None), (2, ""), (3, "  \n"), (None, "the the ñ 日本 \U0001f600"), (4, "x" * 300_000), (4, "x" * 300_000), (5, "a b c d e f g")]
+
+
+def sentences(n, seed=0):
+    rng = random.Random(seed)
+    pairs = [("red", "apple"), ("green", "leaf"), ("blue", "sky"), ("old", "house")]
+    return [" . ".join(f"the {a} {b} is here" for a, b in (rng.choice(pairs) for _ in range(rng.randrange(3, 9)))) for _ in range(n)]
+
+
+def test_scores_prefer_text_in_order(spark):
+    texts = sentences(1500)
+    rng = random.Random(1)
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]
+    model = pseudo_likelihood.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS).repartition(2))
+    found = pseudo_likelihood.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts + shuffled)], DOCS), model).toPandas().set_index("doc_id").sort_index()
+    assert (found["n_words"].to_numpy() == [len(t.split()) for t in texts + shuffled]).all()
+    assert found["mean_log_prob"][:1500].mean() > found["mean_log_prob"][1500:].mean() + 0.05
+
+
+def test_training_beats_word_shares(monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "STEP", 256)
+    ids = pseudo_likelihood.Ids(sorted({w for t in sentences(50) for w in t.split()}))
+    docs = [ids.of(t) for t in sentences(400)]
+    shares = np.bincount(np.concatenate(docs), minlength=pseudo_likelihood.VOCABULARY) + 1e-6
+    first = pseudo_likelihood.Network.first(shares / shares.sum())
+    trained = pseudo_likelihood.Network(pseudo_likelihood.train_copy(first, iter(docs * 3))[0])
+    mean = lambda net, texts: np.mean([s / n for n, s in pseudo_likelihood.Model([], net).score(iter([ids.of(t) for t in texts]))])
+    assert mean(trained, sentences(100, 5)) > mean(first, sentences(100, 5)) + 0.8
+
+
+def test_gradient_is_the_slope():
+    rng = np.random.default_rng(0)
+    net = pseudo_likelihood.Network.first(np.full(pseudo_likelihood.VOCABULARY, 1 / pseudo_likelihood.VOCABULARY))
+    stream = np.array([0, 0, 5, 6, 7, 5, 100, 0, 0, 9, 0, 0], np.int32)
+    slope = np.zeros(net.rows.shape, np.float32)
+    base = net.run(stream, slope).sum()
+    for row in (5, 100, net.SCALES, net.SCALES + 3, net.INNER, net.CLASS, net.CLASS + 1, net.PLACE + 6, net.PLACE + 101):
+        k = int(rng.integers(pseudo_likelihood.WIDTH))
+        moved = pseudo_likelihood.Network(net.rows.copy())
+        moved.rows[row, k] += 0.02
+        assert -(moved.run(stream).sum() - base) / 0.02 == pytest.approx(slope[row, k], abs=0.01)
+
+
+def test_distributions_are_exact():
+    net = pseudo_likelihood.Network.first(np.random.default_rng(1).dirichlet(np.ones(pseudo_likelihood.VOCABULARY)))
+    total = sum(np.exp(net.run(np.array([0, 0, 3, word, 8, 0, 0], np.int32))[3]) for word in range(1, pseudo_likelihood.VOCABULARY))
+    assert 0.99 < total <= 1.001  # the pad has the rest
+
+
+def test_blocks_and_chunks_change_nothing(monkeypatch):
+    known = ["the", "a", "b"]
+    model = pseudo_likelihood.Model(known, pseudo_likelihood.Network.first(np.full(pseudo_likelihood.VOCABULARY, 1 / pseudo_likelihood.VOCABULARY)))
+    ids = pseudo_likelihood.Ids(known)
+    docs = [ids.of(t) for t in ("the a b c d e f " * 9, "", "a", "b the " * 40)]
+    want = list(model.score(iter(docs)))
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 7)
+    monkeypatch.setattr(pseudo_likelihood, "CHUNK", 5)
+    got = list(model.score(iter([pseudo_likelihood.Ids(known).of(t) for t in ("the a b c d e f " * 9, "", "a", "b the " * 40)])))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-4)
+
+
+def test_scoring_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, "clash") for r in ODD], DOCS + ", log_prob string")
+    found = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs)).collect()
+    assert len(found) == len(ODD)
+    assert {r.doc_id: (r.n_words, r.log_prob, r.mean_log_prob) for r in found if r.doc_id in (1, 2, 3)} == dict.fromkeys((1, 2, 3), (0, 0.0, None))
+    assert pseudo_likelihood.score(docs.limit(0), pseudo_likelihood.train(docs.limit(0))).count() == 0
+
+
+def test_language_accuracy_on_held_out_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = langid.remainder(F.col("doc_id")) == 2
+    found = langid.identify(docs, langid.train(docs, held_out)).where(held_out & F.col("lang").isNotNull())
+    right, n, kept = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*"), F.count_if(~F.col("rejected"))).first()
+    assert n > 20 and right / n > 0.95 and kept / n > 0.95
+
+
+def test_language_odd_rows(spark):
+    rows = [(i, t, "en" if i % 2 else "de", "own") for i, t in enumerate(["the thing and that", "der die das und nicht"] * 20)]
+    rows += [(100, None, "en", "own"), (101, "", None, "own"), (102, "12 34 !", "de", "own"), (None, "the thing", None, "own"), (103, "der " * 400_000, None, "own"), (103, "der " * 400_000, None, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = langid.train(docs, F.lit(False))
+    found = langid.identify(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
+    by_id = {r.doc_id: (r.lang_pred, r.rejected) for r in found.collect()}
+    assert by_id[100] == by_id[101] == by_id[102] == ("und", True)
+    assert found.count() == len(rows) and all(0 <= r.score <= 1 for r in found.collect())
+    nothing = langid.train(docs.limit(0), F.lit(False))
+    assert langid.identify(docs.limit(0), nothing).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
+        for m in re.finditer(p, text):
+            n = pii.digits_of(m[0])
+            fine = (True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 12 <= len(n) <= 19 and pii.luhn(n), 9 <= len(n) <= 15)[k]
+            out += [(m.start(), k, m.end())] * fine
+    return sorted(out)
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(2)
+    for alphabet in ("0123456789.@+-a (]", "01. -+", "a@.b%", "4111 -"):
+        for _ in range(4000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(45)))
+            assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_field_finds_what_patterns_miss():
+    weights = pii.train()
+    right = total = wrong = 0
+    for text, gold in pii.generated_lines(400, 99):
+        base, every = pii.find(text, weights)
+        got = {(a, b, k) for a, k, b in every}
+        assert set(base) <= set(every)
+        right, total, wrong = right + len(gold & got), total + len(gold), wrong + len(got - gold - {(a, b, k) for a, k, b in base})
+    assert right / total > 0.95 and wrong < 0.03 * total
+
+
+def test_personal_data_odd_rows(spark):
+    rows = [*ODD, (6, "mail me: joe@x.org, +1 (415) 555-0100"), (7, "1" * 200_000), (8, "ñ 10.0.0.1 4111 1111 1111 1111")]
+    found = {r.doc_id: r for r in pii.detect(spark.createDataFrame([(*r, "clash") for r in rows], DOCS + ", spans string"), pii.train()).collect()}
+    assert found[6].spans == "email:9:18,phone:20:37" and (found[6].n_email, found[6].n_phone) == (1, 1)
+    assert found[8].spans == "ip:2:10,card:11:30"
+    assert found[1].spans == found[2].spans == "" and found[1].base_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert pii.detect(spark.createDataFrame([], DOCS), np.zeros(pii.WEIGHTS)).count() == 0
+
+
+def test_forest_on_held_out_findings():
+    rows, labels = secrets.generated_findings(1500, seed=1)
+    forest = secrets.fit_forest(rows[:1000], labels[:1000])
+    guess = forest.score(rows[1000:]) >= 0.5
+    assert (guess == labels[1000:]).mean() > 0.95
+
+
+def test_secrets_odd_rows_and_redaction(spark):
+    key = "9f8c1b2a7d6e5f4a3b2c1d0e9f8a7b6c5d4e3f2a"
+    rows = [*ODD, (6, f'ñ token = "{key}" and'), (7, f"commit: {key}"), (8, "id 0f8fad5b-d9cb-469f-a165-70867728950e"), (9, "see https://host.example.com/static/LongPathName12/other3")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], DOCS + ", spans string")
+    forest = secrets.train()
+    found = {r.doc_id: r for r in secrets.scan(docs, forest).collect()}
+    assert found[6].spans == "11:51" and [found[k].n_secrets for k in (7, 8, 9)] == [0, 0, 0]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert clean[6] == f'ñ token = "{secrets.REDACTED}" and' and clean[7] == rows[-3][1] and clean[1] is None
+    assert secrets.redact(docs, forest).columns == docs.columns
+    assert secrets.scan(docs.limit(0), forest).count() == 0
+
+
+def test_forest_from_the_users_findings(spark):
+    rows = [(f"a {i:016x}b", 2, 19, 1) for i in range(60)] + [(f"z {i:016d}c", 2, 19, 0) for i in range(60)] + [(None, 0, 1, 1)]
+    findings = spark.createDataFrame(rows, "text string, start int, end int, label int")
+    assert secrets.train(findings).trees and not secrets.train(findings.limit(0)).trees
