@@ -257,18 +257,18 @@ def generated_lines(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, in
 
     def phone() -> str:
         a, b, c, s = num(3), num(3), num(4), pick("-", ".", " ", "/")
-        return pick(f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}{s}{b}{s}{c}", f"00{num(2)} {num(2)} {num(7)}", f"0{num(2)}{s}{num(7)}", f"0{num(3)}/{num(6)}", f"1-{a}-{b}-{c}", f"+{num(2)}/{num(3)}/{num(6)}")
+        return pick(f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}{s}{b}{s}{c}", f"00{num(2)} {num(2)} {num(7)}", f"0{num(2)}{s}{num(7)}", f"0{num(3)}/{num(6)}", f"1-{a}-{b}-{c}", f"+{num(2)}/{num(3)}/{num(6)}", f"+1 ({a}) {b}-{c}", f"+{num(2)} {num(3)} {num(6)}")
 
     def spread_card() -> str:
-        d, s = card(), pick(".", "/", "  ", " . ")
+        d, s = card(), pick(".", "/", "  ", " . ", " ", "-", "")
         return s.join(d[i : i + 4] for i in range(0, len(d), 4))
 
     def address() -> str:
-        s = pick(" . ", "[.]", " .", "(.)")
+        s = pick(" . ", "[.]", " .", "(.)", ".")
         return s.join(str(int(x)) for x in rng.integers(1, 255, 4))
 
     def email() -> str:
-        at, dot = pick((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "."), ("(at)", "(dot)"), (" @ ", "."), ("{at}", "{dot}"), (" AT ", " DOT "))
+        at, dot = pick((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "."), ("(at)", "(dot)"), (" @ ", "."), ("{at}", "{dot}"), (" AT ", " DOT "), ("@", "."))
         return f"{pick(word(), word() + '.' + word(), word() + num(2))}{at}{word()}{dot}{pick('', word() + dot)}{pick(*TOP_LEVEL)}"
 
     cue = {0: ("mail", "email:", "contact", "write", "reach"), 1: ("ip", "host", "server"), 2: ("card", "visa", "credit card"), 3: ("phone", "tel:", "call", "fax:", "mobile")}
