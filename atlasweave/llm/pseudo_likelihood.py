@@ -81,9 +81,10 @@ class Ids(dict):
         self.known = len(self)
 
     def __missing__(self, word: str) -> int:
+        found = bucket(word)
         if len(self) - self.known < CACHE:
-            self[word] = bucket(word)
-        return bucket(word) if word not in self else self[word]
+            self[word] = found
+        return found
 
     def of(self, text: str | None) -> np.ndarray:
         pieces = [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in map(str.split, chunks(text))]
