@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 WINDOW, COVERAGE = 5, 0.8
+#: A benchmark of at most so many window rows (about 100 bytes each) is broadcast, so no window that many documents share is
+#: shuffled to one task; a larger one is joined by shuffles, where adaptive execution splits skewed partitions.
+BROADCAST_ROWS = 1 << 18
 #: Units of measure in lower case.
 UNITS = (
     "mm cm m km in ft yd mi mile miles g kg mg lb lbs oz ton tons l ml cl gal s sec second seconds min minute minutes h hr hour hours "
@@ -108,6 +111,7 @@ def bitmap(windows: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc (a row's key), item_id, item and covered windows of every contaminated pair; docs has doc and text."""
+    side = F.broadcast if items.count() <= BROADCAST_ROWS else (lambda rows: rows)
     bits = bitmap(items).scalar()
     rows = with_windows(canonical(docs, F.col("text")).drop("text"))
     rows = rows.withColumn("bits", bits)
@@ -117,7 +121,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("hits", hit).drop("bits", "windows")
     found = rows.select("doc", F.explode_outer(F.transform("hits", lambda x: F.struct(x.w.alias("w"), x.at.alias("at"), slots(x.at).alias("slots")))).alias("x")).select("doc", "x.*")
-    hits = found.join(items.select("w").distinct(), "w", "left_semi").groupBy("doc", "w", "slots").agg(F.min("at").alias("at"))
+    hits = found.join(side(items.select("w").distinct()), "w", "left_semi").groupBy("doc", "w", "slots").agg(F.min("at").alias("at"))
     hits = cut_lineage(hits)
 
     # the rarest windows of each item: missing all of them means missing more than a contaminated document may
@@ -126,10 +130,10 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     rare = each.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "id"))).alias("ids"))
     rare = rare.select("item", F.explode(F.slice("ids", F.lit(1), F.expr(f"n - cast(ceil({COVERAGE} * n) as int) + 1").cast("int"))).alias("x")).select("item", "x.id")
     rare = rare.join(items, ["item", "id"]).select("item", "w").distinct()
-    candidates = hits.join(rare, "w").select("doc", "item").distinct()
+    candidates = hits.join(side(rare), "w").select("doc", "item").distinct()
 
     other = items.select("item", "item_id", "id", "w", "n", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"))
-    joined = cut_lineage(hits.join(candidates, "doc").join(other, ["item", "w"]).withColumn("shift", F.col("at") - F.col("item_at")))
+    joined = cut_lineage(hits.join(candidates, "doc").join(side(other), ["item", "w"]).withColumn("shift", F.col("at") - F.col("item_at")))
     values = joined.select("doc", "item", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("v")).where("v.a IS NOT NULL")
     broken = values.groupBy("doc", "item", "shift", "v.a").agg((F.min("v.b") != F.max("v.b")).alias("bad")).where("bad").select("doc", "item", "shift").distinct()
     slotted = F.exists("item_slots", lambda s: s.isNotNull())
