@@ -23,7 +23,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -140,7 +140,7 @@ def close_values(own: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
-def star_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def star_links(points: np.ndarray, radius: int, distance: Callable = hamming) -> tuple[np.ndarray, np.ndarray]:
     """Positions of links that connect whatever pairs within the radius connect, without comparing all pairs.
 
     Every centre is compared with all points, and what is within its radius belongs to its star.  Two stars that
@@ -158,7 +158,7 @@ def star_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     for c in range(len(points)):
         if star[c] >= 0:
             continue
-        near = np.flatnonzero(hamming(points, points[c]) <= radius)
+        near = np.flatnonzero(distance(points, points[c]) <= radius)
         k = len(centres)
         centres.append(c)
         parent.append(k)
@@ -170,12 +170,12 @@ def star_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
         right.append(near)
     members = np.split(np.argsort(star, kind="stable"), np.cumsum(np.bincount(star))[:-1])
     for j, c in enumerate(centres):
-        reach = np.flatnonzero(hamming(points[centres[j + 1 :]], points[c]) <= 3 * radius) + j + 1
+        reach = np.flatnonzero(distance(points[centres[j + 1 :]], points[c]) <= 3 * radius) + j + 1
         for k in reach.tolist():
             if find(j) != find(k):
                 step = max(1, CHUNK // len(members[k]))
                 for at in range(0, len(members[j]), step):
-                    x, y = np.nonzero(hamming(points[members[j][at : at + step], None], points[None, members[k]]) <= radius)
+                    x, y = np.nonzero(distance(points[members[j][at : at + step], None], points[None, members[k]]) <= radius)
                     if len(x):
                         left.append(members[j][at + x[:1]])
                         right.append(members[k][y[:1]])

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, packing, secrets, simhash
+from . import decontamination, langid, near_copies, packing, secrets
 from .common import cut_lineage, shared_folder, table
 from .queries import vocabulary
 
@@ -26,17 +26,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id.
 
-    Of rows with one doc_id one stays (the least in order of all columns); rows without a doc_id can't be named and all stay.
+    Of rows with one doc_id one stays (that with the least row key, of equal rows the least in order of all columns); rows without
+    a doc_id all stay.
     """
-    found = cut_lineage(simhash.near_duplicates(docs, radius=4, shingle=4).where("doc_id IS NOT NULL"))
-    drop = found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("n")).where("copy OR n > 1")
-    marked = docs.join(drop, "doc_id", "left")
-    unique = marked.where("copy IS NULL").select(*docs.columns)
-    repeated = marked.where("NOT copy").select(*docs.columns)  # rows that share their doc_id, but not with a smaller one
-    least = repeated.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    return unique.unionByName(least.select("doc_id", "row.*").select(*docs.columns))
+    keyed = docs.withColumn("__key", decontamination.row_key(F.col("doc_id").cast("long"), F.col("text")))
+    found = cut_lineage(near_copies.groups(keyed, "__key"))
+    rows = found.groupBy("key", "doc_id", "group").agg(F.count("*").alias("n"))
+    least = rows.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "key", "n")).alias("row")).select("row.*")
+    kept = least.groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("row")).select("row.*")
+    kept = kept.unionByName(rows.where("doc_id IS NULL").select("key", F.lit(1).alias("n")))
+    marked = keyed.join(cut_lineage(kept).withColumnRenamed("key", "__key").withColumnRenamed("n", "__n"), "__key")
+    unique = marked.where("__n = 1").select(*docs.columns)
+    equal = marked.where("__n > 1").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return unique.unionByName(equal.select("row.*").select(*docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
