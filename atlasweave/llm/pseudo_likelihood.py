@@ -6,7 +6,10 @@ its position, takes the hyperbolic tangent, and predicts the word through a two-
 its place in the class.  Both levels are exact distributions over the vocabulary.
 
 Vocabulary: the corpus's most frequent lower-case words, by exact counts over all documents; other words share
-hashed buckets.  Training: every partition of the corpus trains its own copy of the network on all its
+hashed buckets, and a third level predicts the word within its bucket: by its share of the bucket's count in all
+documents, with one count more for all unseen words, which are spelled in UTF-8 bytes of equal chance.  So every token is
+predicted whole, and the words that are known grow with the corpus: the next SECOND most frequent ones are looked up in the
+map, all others are joined by Spark.  Training: every partition of the corpus trains its own copy of the network on all its
 documents, in numpy, by adaptive gradient steps from common first weights, and Spark averages the copies row
 by row, weighted by how often a partition saw the row.  So all documents are learned from, what is gathered grows with
 their number, and only the averaged network (fixed size) reaches the driver.
@@ -19,10 +22,11 @@ are learned from and scored each; words tied in count rank by their letters; oth
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,14 @@ from .common import cut_lineage
 #: Classes and places in a class (their product is the vocabulary), buckets for rare words, and the network's width.
 CLASSES, PLACES, BUCKETS, WIDTH = 64, 64, 512, 16
 VOCABULARY = CLASSES * PLACES
+#: Rare words that are looked up in the map (a broadcast); the others are joined.
+SECOND = 1 << 17
 #: Positions of the neighbours; id 0 pads the ends of documents.
 NEIGHBOURS, PAD = (-2, -1, 1, 2), 0
 #: Tokens that are worked on at once in scoring and in a training step, distinct words that a partition counts before it hands them on, characters split at once, words of a worker's cache.
 BLOCK, STEP, COUNTED, CHUNK, CACHE = 1 << 14, 1 << 13, 1 << 18, 1 << 20, 1 << 20
+#: What a document hands on for the join.
+REST = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("base", pa.float64()), ("spelled", pa.float64())]))
 #: Step size of the adaptive gradient.
 RATE = 0.08
 
@@ -222,10 +230,41 @@ def train_copy(network: Network, docs: Iterator[np.ndarray]) -> tuple[np.ndarray
     return copy.rows, seen
 
 
+class Spelling(dict):
+    """The third level: log-share of rare words within their bucket, as far as they are known in the map."""
+
+    def __init__(self, second: dict[str, int], totals: np.ndarray) -> None:
+        logs = np.log(totals + 1.0)
+        super().__init__((w, math.log(n) - logs[bucket(w) - VOCABULARY + BUCKETS]) for w, n in second.items())
+        self.logs = logs
+
+    def of(self, text: str | None, ids: np.ndarray) -> tuple[float, Counter[str]]:
+        """Summed log-shares of a text's rare words, and those words that have to be joined, with their numbers."""
+        total, rest, at = 0.0, Counter(), 0
+        for piece in chunks(text):
+            words = piece.split()
+            rare = [words[i] for i in np.flatnonzero(ids[at : at + len(words)] >= VOCABULARY - BUCKETS).tolist()]
+            found = list(map(self.get, rare))
+            if None in found:
+                rest.update(w for w, x in zip(rare, found, strict=True) if x is None)
+                found = [x for x in found if x is not None]
+            total += math.fsum(found)
+            at += len(words)
+        return total, rest
+
+    def unseen(self, word: str) -> tuple[float, float]:
+        """Minus the log of the bucket's count, to which a known word adds the log of its own; and what an unseen word adds: its bytes and their end."""
+        return -self.logs[bucket(word) - VOCABULARY + BUCKETS], -(len(word.encode("utf-8", "surrogatepass")) + 1) * math.log(257)
+
+
 @dataclass
 class Model:
     known: list[str]
     network: Network
+    #: Counts of the next most frequent words, counts of all rare words of each bucket, and the counts of all words as a table (word, n).
+    second: dict[str, int] = field(default_factory=dict)
+    totals: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
+    counts: DataFrame | None = None
 
     def score(self, docs: Iterator[np.ndarray]) -> Iterator[tuple[int, float]]:
         """Number of words and summed log-probability of each document."""
@@ -242,12 +281,15 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     texts = docs.select(F.col(text_col).alias("text"))
     counts = cut_lineage(texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     # a histogram of the counts bounds what can be among the top, so no partition sends its own top rows to the driver
-    size, least = VOCABULARY - BUCKETS - 1, 0
+    size, least = VOCABULARY - BUCKETS - 1 + SECOND, 0
     for r in counts.groupBy(F.floor(F.log2("n") * 16).alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():
+        if size - r.words < 0 and size <= SECOND:  # all words of a full level would be too many for the driver
+            break
         size, least = size - r.words, r.n
         if size <= 0:
             break
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS - 1).collect()
+    ranked = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS - 1 + SECOND).collect()
+    top, second = ranked[: VOCABULARY - BUCKETS - 1], ranked[VOCABULARY - BUCKETS - 1 :]
     spread = counts.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).collect()
     shares, known = np.ones(VOCABULARY), [r.word for r in top]
     for r in spread:
@@ -255,6 +297,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     for i, r in enumerate(top):
         shares[i + 1] += r.n
         shares[bucket(r.word)] -= r.n
+    totals = shares[VOCABULARY - BUCKETS :] - 1
     first = Network.first(np.maximum(shares, 1) / np.maximum(shares, 1).sum())
     shared = docs.sparkSession.sparkContext.broadcast((known, first))
 
@@ -270,20 +313,36 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     rows = first.rows.copy()  # what no partition saw keeps its first weights
     for r in averaged:
         rows[r.row] = r[1:]
-    return Model(known, Network(rows))
+    return Model(known, Network(rows), {r.word: r.n for r in second}, totals, counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_prob (sum) and mean_log_prob of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.network, model.second, model.totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        ids = Ids(model.known)
+        known, network, second, totals = shared.value
+        ids, spelling, model = Ids(known), Spelling(second, totals), Model(known, network)
         for batch in batches:
-            found = list(model.score(ids.of(t) for t in batch.column(1).to_pylist()))
-            n, sums = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found])
-            mean = pa.array(sums / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums, pa.float64()), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+            spelled: list[tuple[float, Counter[str]]] = []
+
+            def of(text: str | None, spelled: list = spelled) -> np.ndarray:
+                found = ids.of(text)
+                spelled.append(spelling.of(text, found))
+                return found
+
+            found = list(model.score(of(t) for t in batch.column(1).to_pylist()))
+            n, sums = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found]) + np.array([x[0] for x in spelled])
+            rest = pa.array([[{"word": w, "times": k, "base": (u := spelling.unseen(w))[0], "spelled": u[1]} for w, k in x[1].items()] for x in spelled], REST)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums, pa.float64()), rest], ["doc_id", "n_words", "known", "rest"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(run, "doc_id long, n_words long, known double, rest array<struct<word string, times long, base double, spelled double>>")
+    if model.counts is None:
+        raise ValueError("the model has no counts of words")
+    rows = cut_lineage(rows).withColumn("row", F.monotonically_increasing_id())
+    # one row for each rare word and document; a word's rows need no texts
+    words = rows.select("row", F.explode("rest").alias("x")).select("row", "x.*").join(model.counts, "word", "left")
+    added = words.groupBy("row").agg(F.sum(F.col("times") * (F.col("base") + F.coalesce(F.log("n"), F.col("spelled")))).alias("added"))
+    log_prob = F.col("known") + F.coalesce("added", F.lit(0.0))
+    return rows.drop("rest").join(added, "row", "left").select("doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))

@@ -80,6 +80,28 @@ def test_scoring_odd_rows(spark):
     assert pseudo_likelihood.score(docs.limit(0), pseudo_likelihood.train(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("second", [1 << 17, 3])
+def test_rare_words_are_predicted_whole(spark, monkeypatch, second):
+    monkeypatch.setattr(pseudo_likelihood, "SECOND", second)
+    words = [f"w{i}" for i in range(6000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 6000, 40)] + [" ".join(words[:5900])] * 3
+    model = pseudo_likelihood.train(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(2))
+    assert len(model.second) <= second
+    rare = [w for w in words if w not in set(model.known)]
+    group = [w for w in rare if pseudo_likelihood.bucket(w) == pseudo_likelihood.bucket(rare[0])]
+    own = next(f"{k}qzx" for k in range(10**6) if pseudo_likelihood.bucket(f"{k}qzx") == pseudo_likelihood.bucket(rare[0]))
+    asked = [*group, own]
+    found = {r.doc_id: r for r in pseudo_likelihood.score(spark.createDataFrame([*enumerate(asked), (10**6, f"{own} {own} {group[0]}")], DOCS), model).collect()}
+    ids = pseudo_likelihood.Ids(model.known)
+    level = [next(model.score(iter([ids.of(w)])))[1] for w in asked]
+    third = [found[k].log_prob - level[k] for k in range(len(asked))]
+    counts = [sum(t.split().count(w) for t in texts) for w in group]
+    assert third[:-1] == pytest.approx([np.log(n / (sum(counts) + 1)) for n in counts], abs=1e-4)
+    assert third[-1] == pytest.approx(-np.log(sum(counts) + 1) - (len(own) + 1) * np.log(257), abs=1e-4)
+    three = next(model.score(iter([ids.of(f"{own} {own} {group[0]}")])))[1]
+    assert found[10**6].n_words == 3 and found[10**6].log_prob - three == pytest.approx(2 * third[-1] + third[0], abs=1e-4)
+
+
 def test_language_accuracy_on_held_out_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = langid.remainder(F.col("doc_id")) == 2
