@@ -80,6 +80,11 @@ def linear(column: Column, low: int | None, high: int | None) -> Column:
 
 def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, size, text_crc32, hilbert, shard and slot of every row: runs of the curve with counts at most one apart."""
+    return placements(docs, F.monotonically_increasing_id(), n_shards, id_col, text_col, lang_col, source_col).drop("place")
+
+
+def placements(docs: DataFrame, place: Column, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The columns of shards and the row's place, a long that is its own for every row of docs."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -87,7 +92,7 @@ def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
         F.crc32(text).alias("text_crc32"),
         by_value(F.col(lang_col)).alias("d0"),
         by_value(F.col(source_col)).alias("d1"),
-        F.monotonically_increasing_id().alias("place"),
+        place.alias("place"),
     )
     rows = cut_lineage(rows)  # one pass over the texts
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -117,13 +122,16 @@ def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
         placed.withColumn("rank", rank)
         .withColumn("shard", shard.cast("int"))
         .withColumn("slot", F.expr(f"rank - (cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}"))
-        .select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot")
+        .select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot", "place")
     )
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, **columns: str) -> None:
-    """Write the rows of docs that have an id, one folder a shard, in the curve's order within it."""
-    id_col = columns.get("id_col", "doc_id")
-    placed = shards(docs, n_shards, **columns).groupBy("doc_id").agg(F.min(F.struct("shard", "slot")).alias("at"))
-    joined = docs.join(placed.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id")).select(docs["*"], F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot"))
+    """Write every row of docs once, one folder a shard, in the curve's order within it.
+
+    Rows are numbered and kept in the shared folder first, so that a row's number is the same in both passes.
+    """
+    rows = cut_lineage(docs.withColumn("__place", F.monotonically_increasing_id()))
+    placed = placements(rows, F.col("__place"), n_shards, **columns).select("place", "shard", "slot")
+    joined = rows.join(placed, F.col("__place") == F.col("place")).select(*[rows[c] for c in docs.columns], placed["shard"], placed["slot"])
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -169,6 +169,16 @@ def test_shard_files_prune(spark, tmp_path):
     assert back.groupBy("source").agg(F.countDistinct("shard").alias("n")).agg(F.max("n")).first()[0] < 5
 
 
+def test_shard_files_hold_every_row(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i // 2}", "en", f"s{i % 3}") for i in range(200)] + [(None, None, None, None)] * 3
+    docs = spark.createDataFrame(rows, DOCS + ", lang string, source string").repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "out"), 5)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(str, rows)) == sorted(str((r.doc_id, r.text, r.lang, r.source)) for r in back)
+    at = [(r.shard, r.slot) for r in back]
+    assert len(set(at)) == len(rows) and sorted(sum(x == s for x, _ in at) for s in range(5)) == [40, 40, 41, 41, 41]
+
+
 # -- near duplicates --------------------------------------------------------------------------------------------------
 
 
