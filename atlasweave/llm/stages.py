@@ -28,15 +28,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id.
 
-    Of rows with one doc_id one stays (that with the least row key, of equal rows the least in order of all columns); rows without
-    a doc_id all stay.
+    Rows without a doc_id come after all others.  Of what then still shares a doc_id one row stays (that with the least row key, of
+    equal rows the least in order of all columns).
     """
     keyed = docs.withColumn("__key", decontamination.row_key(F.col("doc_id").cast("long"), F.col("text")))
     found = cut_lineage(near_copies.groups(keyed, "__key"))
     rows = found.groupBy("key", "doc_id", "group").agg(F.count("*").alias("n"))
-    least = rows.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "key", "n")).alias("row")).select("row.*")
-    kept = least.groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("row")).select("row.*")
-    kept = kept.unionByName(rows.where("doc_id IS NULL").select("key", F.lit(1).alias("n")))
+    least = rows.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "key", "n")).alias("row")).select("row.*")
+    kept = least.where("NOT unnamed").groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("row")).select("row.*")
+    kept = kept.unionByName(least.where("unnamed").select("key", "n"))
     marked = keyed.join(cut_lineage(kept).withColumnRenamed("key", "__key").withColumnRenamed("n", "__n"), "__key")
     unique = marked.where("__n = 1").select(*docs.columns)
     equal = marked.where("__n > 1").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))

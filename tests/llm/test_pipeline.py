@@ -101,3 +101,10 @@ def test_similar_sets_are_linked_as_by_brute_force(monkeypatch):
         return label
 
     assert classes(links) == classes(near)
+
+
+def test_copies_without_an_id_keep_one_and_unique_texts_stay(spark):
+    a, b, c = ("first text of its own kind and words", "second text that stands here for itself", "third text with quite other words in it")
+    docs = spark.createDataFrame([(None, a, "en", "s", 1), (None, a, "de", "s", 1), (None, a.upper(), "en", "s", 1), (None, b, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (2, c, "en", "s", 1)], SCHEMA)
+    kept = stages.near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("1", b), ("2", c), ("None", a)]
