@@ -1,7 +1,8 @@
 """Secret scanning: regular expressions propose candidates, a random forest removes false positives.
 
 Candidates of a whole text are runs of 16 or more key characters with a digit or inner change of case, and
-values of 8 or more characters that are assigned to a name.  The forest judges each by its length, its
+values of 8 or more characters that are assigned to a name, whole and in their parts between ?, &, @, = and : (as in URLs).
+The forest judges each by its length, its
 character classes and transitions, how much of it dictionary words cover, whether it stands in a path, and the
 words beside it.  It is trained in numpy from labelled findings: a DataFrame of the user's (at most
 MAX_FINDINGS of them, a bounded sample of labelled rows) or, by default, findings that a seeded generator
@@ -9,7 +10,8 @@ labels by construction.  The forest is a bounded table, so its broadcast is too;
 whole texts without a shuffle.
 
 Defined results: null and empty texts have no candidates; a null doc_id is kept; repeated rows are scanned each; a very long text is scanned
-whole, and a candidate of any length is one candidate; other columns are ignored by `scan` and kept by `redact`;
+whole, and a candidate of any length is judged whole; of secrets that overlap the one with the highest score stays, then the
+first, then the longest; other columns are ignored by `scan` and kept by `redact`;
 an empty table gives an empty result.  Spans are code points, end exclusive, in order and without overlap.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +33,9 @@ MAX_FINDINGS, TREES, DEPTH = 8000, 31, 9
 #: What replaces a secret.
 REDACTED = "<SECRET>"
 
-KEY_RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-ASSIGNED = re.compile(r"[A-Za-z_][\"']?[ ]{0,2}[:=]=?[ ]{0,2}[\"'`]?([^\s\"'`<>(){}\[\],;]{8,})")
+KEY_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+ASSIGNED = re.compile(r"[A-Za-z0-9_)\]}][\"']?[ ]{0,2}[:=]=?[ ]{0,2}[\"'`]?([^\s\"'`<>(){}\[\],;]{8,})")
+PART = re.compile(r"[^?&@=:]{8,}={0,2}")
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
 
 #: Words of ordinary names and prose, for dictionary coverage.
@@ -78,21 +82,17 @@ def kind(c: str) -> int:
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of a whole text, in order, without overlap: a value that is assigned comes before a run inside it."""
+    """Spans of a whole text, in order; they may overlap: assigned values, their parts, and runs."""
     if not text:
         return []
-    found = [m.span(1) for m in ASSIGNED.finditer(text) if MIXED.search(m[1])]
-    found += [m.span() for m in KEY_RUN.finditer(text) if MIXED.search(m[0])]
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
-        if not out or start >= out[-1][1]:
-            out.append((start, end))
-    return out
+    values = [m.span(1) for m in ASSIGNED.finditer(text)]
+    found = {*values, *(m.span() for v in values for m in PART.finditer(text, *v)), *(m.span() for m in KEY_RUN.finditer(text))}
+    return sorted((s for s in found if MIXED.search(text, *s)), key=lambda s: (s[0], -s[1]))
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """FEATURES of a candidate; of one longer than 4096 characters the statistics are those of equally spaced ones."""
-    value = text[start:end] if end - start <= 4096 else text[start : end : (end - start) // 4096 + 1]
+    """FEATURES of a candidate, over all its characters."""
+    value = text[start:end]
     n = len(value)
     kinds = [kind(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
@@ -243,7 +243,13 @@ def secrets_of(text: str | None, forest: Forest, threshold: float = 0.5) -> tupl
     if not spans:
         return 0, [], 0.0
     scores = forest.score(np.array([features(text, *s) for s in spans]))
-    return len(spans), [s for s, p in zip(spans, scores, strict=True) if p >= threshold], float(scores.max())
+    kept: list[tuple[int, int]] = []
+    for _, start, less in sorted((-p, a, a - b) for (a, b), p in zip(spans, scores.tolist(), strict=True) if p >= threshold):
+        span = (start, start - less)
+        at = bisect(kept, span)
+        if (at == 0 or kept[at - 1][1] <= span[0]) and (at == len(kept) or kept[at][0] >= span[1]):
+            kept.insert(at, span)
+    return len(spans), kept, float(scores.max())
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
