@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts made only of these characters split alike under Python's ``re`` and the tokenizers' own splitter:
 #: Latin-1 without control characters, with no white space beyond tab, line feed, carriage return and space.
@@ -35,10 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; make an own one only where none is set (tests)."""
+    """Use the shared folder of spark.checkpoint.dir; where none is set, an own one in local mode only (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +52,70 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, read from the shared checkpoint folder from now on; survives lost executors."""
+    """df, written to the shared folder and read from there from now on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df (in any case) has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame, name: str) -> Column:
+    """A column of df by its name, whatever characters it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df gives rows of files one for one: a scan below projections and filters."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with two long columns that name each of its rows, and their names; every evaluation gives a row the same ones.
+
+    Rows of a scan are named by their file (a hash of its path) and their place in it, so nothing is copied; other rows
+    are written to the shared folder first.
+    """
+    names = fresh(df, "file", "row")
+    if _is_scan(df):
+        place = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(place["file_path"]).alias(names[0]), place["row_index"].alias(names[1])), names
+    kept = cut_lineage(df)
+    return kept.select("*", F.lit(0).cast("long").alias(names[0]), F.monotonically_increasing_id().alias(names[1])), names
+
+
+#: Rows that are sent to all executors at most (two longs each, or a key and a value); keys that can be hot at most.
+BROADCAST_ROWS, HOT_KEYS = 1 << 20, 1 << 12
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """rows, marked for a broadcast if they are BROADCAST_ROWS at most."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def without(df: DataFrame, gone: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of df whose names aren't in gone: texts stay where they are if gone is small, else rows are dealt by their names."""
+    return df.join(sized(gone.select(*names).distinct()), names, "left_anti")
+
+
+def join_sized(rows: DataFrame, sized: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with sized on the key; sized has one row for each key, whose column n says how many rows have it.
+
+    Keys of more than total / HOT_KEYS rows are HOT_KEYS at most, so they are broadcast and their rows stay where they
+    are; all other keys are few rows each and are joined by a shuffle.
+    """
+    least = max(1, total // HOT_KEYS)
+    hot, cold = F.broadcast(sized.where(F.col("n") > least).drop("n")), sized.where(F.col("n") <= least).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -1,156 +1,189 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, names and units in documents and benchmark items become typed placeholders, so that a question with
-other parameters keeps its template.  Windows of five canonical words are joined by hash, and the values
-that stand in the placeholders must map consistently: within one alignment of an item with a document each
-value of the item stands for one value of the document.  A document is contaminated by an item if at least
-0.8 of the item's distinct windows occur in it in consistent alignments.  As texts in one case show no names, an item's
-window also counts if it occurs with the names as plain words.
-
-Words are runs of letters and digits.  A word that begins with a digit is a number; a word right after a number
-that is in UNITS is a unit; a capitalised word that doesn't open a sentence is a name; all else is its lower case.
-
-Scale: a bitmap of the benchmark's windows (2^20 bits, whatever the benchmark's size) is a scalar subquery, so
-nearly all windows of clean documents are dropped inside the row that holds the text; only what is left is
-exploded and joined.  An item becomes a candidate only through its rarest windows, of which a contaminated
-document holds at least one, so windows that all items share don't pair all documents with all items.
+other parameters keeps its template.  Windows of five canonical tokens are joined by hash, and the values
+that stand in the placeholders are checked for consistency.  A document is contaminated by an item if at least
+COVERED of the item's distinct windows, in one of two forms, occur in it in consistent alignments.
+
+Tokens are numbers (digits with points and commas between them), names (runs of words of a capital and small letters
+with only white space between them, one token whatever their number) and other runs of letters.  A word of UNITS right
+after a number is a unit.  The two forms of a text: *named*, with placeholders for names, and *plain*, in which all
+letters are small, names are words and only numbers and units are placeholders, so that the case of an item or a document makes
+no difference.  A window with fewer than two words is no template: it keeps its values, and so does an item shorter than a
+window, which must occur whole.
+
+Consistency: within one alignment of an item with a document (the same distance of positions) most of the slots must
+take part in a mapping from item values to document values that is one to one: for each value the partner that it has most
+often (of ties the least) is its partner.  Equal values of an item that get different ones are so tolerated.
+
+Scale: a bitmap of the benchmark's windows (16 bits a window, 2^27 at most) is a scalar subquery, so
+nearly all windows of clean documents are dropped right where they are made.  An item becomes a candidate only through its rarest windows, of which a contaminated
+document holds at least one, so windows that all items share don't pair all documents with all items.  A benchmark of
+checked size is broadcast; windows of a larger one that many documents share are salted by how many they are.
 
 Defined results: null and empty texts have no windows and are clean; null doc_ids are kept; repeated rows get the same answer
-each; items that are null, shorter than a window or without a window of two literal words take no part; repeated
+each; items without a token take no part; repeated
 item_ids are told apart by their text; items tie freely (all are listed); extra columns are ignored; an empty benchmark leaves
 every document clean, and empty documents give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import BROADCAST_ROWS, HOT_KEYS, cut_lineage, numbered, own
 
-WINDOW, COVERAGE = 5, 0.8
-#: A benchmark of at most so many window rows (about 100 bytes each) is broadcast, so no window that many documents share is
-#: shuffled to one task; a larger one is joined by shuffles, where adaptive execution splits skewed partitions.
-BROADCAST_ROWS = 1 << 18
+#: Tokens of a window; percent of an item's windows that must be covered; percent of an alignment's slots that must be consistent.
+WINDOW, COVERED, CONSISTENT = 5, 80, 50
+#: Log2 of the bits of the benchmark's bitmap, at least and at most.
+LEAST_BITS, MOST_BITS = 14, 27
 #: Units of measure in lower case.
 UNITS = (
     "mm cm m km in ft yd mi mile miles g kg mg lb lbs oz ton tons l ml cl gal s sec second seconds min minute minutes h hr hour hours "
-    "day days week weeks month months year years v w kw kwh hz khz mhz ghz kb mb gb tb percent dollar dollars euro euros usd eur cent cents"
+    "day days week weeks month months year years v w kw kwh hz khz mhz ghz kb mb gb tb percent dollar dollars euro euros usd eur cent cents pound pounds ounce ounces foot feet inch "
+    "inches yard yards litre litres liter liters metre metres meter meters gram grams kilogram kilograms kilometre kilometres kilometer "
+    "kilometers centimetre centimetres degree degrees volt volts watt watts"
 ).split()
-NUMBER, NAME, UNIT = -1, -2, -3
-#: Placeholder words of the canonical text.
-MARK = "\u0001"
-
-
-def _starts_with_digit(word: Column) -> Column:
-    return (word >= "0") & (word < ":")
-
-
-def canonical(rows: DataFrame, text: Column, names: bool = True) -> DataFrame:
-    """rows with low (lower-case words) and codes (hashes of canonical words, or a placeholder's number); names=False takes names for words."""
-    marked = F.regexp_replace(F.concat(F.lit("."), F.coalesce(text, F.lit(""))), r"[.!?][^\p{L}\p{N}]*", " " + MARK)
-    plain = F.trim(F.rtrim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{MARK}]+", " "), F.lit(" " + MARK)))
-    rows = rows.withColumn("__plain", plain)
-    rows = rows.withColumn("__words", F.split("__plain", " ")).withColumn("low", F.split(F.translate(F.lower("__plain"), MARK, ""), " ")).drop("__plain")
-
-    def code(word: Column, i: Column) -> Column:
-        low = F.get("low", i)
-        unit = _starts_with_digit(F.get("low", i - 1)) & low.isin(UNITS)
-        return (
-            F.when(_starts_with_digit(low), F.lit(NUMBER).cast("long"))
-            .when(unit, F.lit(UNIT).cast("long"))
-            .when(F.lit(not names) | (word == low) | F.startswith(word, F.lit(MARK)) | (F.substring(word, 2, 1 << 30) != F.substring(low, 2, 1 << 30)), F.xxhash64(low))
-            .otherwise(F.lit(NAME).cast("long"))
-        )
-
-    return rows.withColumn("codes", F.transform("__words", code)).drop("__words")
-
-
-def with_windows(rows: DataFrame) -> DataFrame:
-    """rows with windows: the hash of every five canonical words in a row.
-
-    Explode these arrays with the outer forms only: for the others Spark infers a filter on the array's size and
-    pushes it below the projections, with the whole expression inlined in each of its own lambdas.
-    """
-    starts = F.when(F.size("codes") >= WINDOW, F.sequence(F.lit(0), F.size("codes") - WINDOW))
-    return rows.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(*[F.get("codes", i + k) for k in range(WINDOW)])))
-
-
-def slots(i: Column) -> Column:
-    """The values in the placeholders of the window at i; null at literal words."""
-    return F.transform(F.sequence(i, i + (WINDOW - 1)), lambda k: F.when(F.get("codes", k).between(UNIT, NUMBER), F.get("low", k)))
-
-
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, item_id, id, w, at, slots, n: the windows of each item that hold two literal words at least.
-
-    A window, named by its id, may be met in either of two forms: with placeholders for names, or with the names as words, as
-    texts without capitals (or all in capitals) have them.  n is the number of the item's windows.
+#: Possessive quantifiers change no match; they keep long runs linear and off the stack.
+NAME = r"\p{Lu}\p{Ll}++(?: ++\p{Lu}\p{Ll}++)*+"
+NUMBER = "[0-9]++(?:[.,][0-9]++)*+"
+#: Tokens of the forms, by number: 0 named, 1 plain.
+TOKENS = (rf"{NUMBER}|{NAME}|\p{{L}}++", rf"{NUMBER}|\p{{L}}++")
+NAMED, PLAIN, SHORT = 0, 1, 2
+#: Placeholders of numbers, names and units.
+PLACEHOLDERS = "#@~"
+
+
+def windows_of(lines: Column, size: int) -> Column:
+    """All runs of so many lines."""
+    pattern = r"(?md)^(?=(" + r"\n".join([r"[^\n]++"] * size) + r"))[^\n]++"
+    return F.regexp_extract_all(lines, F.lit(pattern), F.lit(1))
+
+
+def tokens(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with raw0 and raw1 (tokens of both forms) and canon0 and canon1 (their canonical tokens as lines)."""
+    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\r", "   ")
+    rows = rows.withColumn("raw0", F.regexp_extract_all(flat, F.lit(TOKENS[NAMED]), F.lit(0))).withColumn("raw1", F.regexp_extract_all(F.lower(flat), F.lit(TOKENS[PLAIN]), F.lit(0)))
+    named = F.lower(F.regexp_replace(F.array_join("raw0", "\n"), rf"(?md)^{NAME}$", "@"))
+    for canon, lines in (("canon0", named), ("canon1", F.array_join("raw1", "\n"))):
+        numbers = F.regexp_replace(lines, "(?md)^[0-9][0-9.,]*+$", "#")
+        rows = rows.withColumn(canon, F.regexp_replace(numbers, rf"(?md)^#\n(?:{'|'.join(UNITS)})$", "#\n~"))
+    return rows
+
+
+def windows(rows: DataFrame, text: Column, short: list[int], bits: Column | None = None, log_bits: int = LEAST_BITS) -> DataFrame:
+    """form, at, w (the window's hash) and slots (values in the placeholders, else null) of every window, beside rows' columns.
+
+    short lists the lengths of short items, whose windows are runs of so many plain tokens.  With bits only windows whose bit is set
+    are given.  Arrays are exploded with the outer form: for the others Spark pushes a filter on the array's size below the
+    projections, with the whole expression in it.
     """
-    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    items = items.select("item_id", F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item"), "text")
-
-    def form(names: bool) -> DataFrame:
-        found = with_windows(canonical(items, F.col("text"), names).drop("text")).select("item_id", "item", "codes", "low", F.posexplode_outer("windows").alias("at", "w"))
-        literal = F.size(F.filter(F.slice("codes", F.col("at") + 1, WINDOW), lambda c: ~c.between(UNIT, NUMBER)))
-        return found.select("item_id", "item", "at", "w", literal.alias("literal"), slots(F.col("at")).alias("slots"))
-
-    typed = form(True)
-    either = typed.unionByName(form(False)).where("literal >= 2").join(typed.select("item", "at", F.col("w").alias("id")), ["item", "at"])
-    found = either.groupBy("item_id", "item", "id", "w", "slots").agg(F.min("at").alias("at"))
-    return cut_lineage(found.join(found.groupBy("item").agg(F.countDistinct("id").alias("n")), "item"))
-
-
-def bitmap(windows: DataFrame) -> DataFrame:
-    """One row with an array of 2^14 longs: the bits that the windows' hashes select."""
-    spark = windows.sparkSession
-    words = windows.groupBy(F.shiftrightunsigned("w", 50).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("word"))
-    every = spark.range(1 << 14, numPartitions=1).join(words, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("x"))
+    columns = rows.columns
+    rows = tokens(rows, text)
+    found = [windows_of(F.col("canon0"), WINDOW), windows_of(F.col("canon1"), WINDOW), *(windows_of(F.array_join("raw1", "\n"), n) for n in short)]
+    names = [f"found{k}" for k in range(len(found))]
+    rows = rows.withColumns(dict(zip(names, found, strict=True)))
+    starts = [F.lit(0)]
+    for n in names:
+        starts.append(starts[-1] + F.size(n))
+    rows = rows.select(*columns, "raw0", "raw1", *(starts[k].alias(f"start{k}") for k in range(1, len(names))), F.concat(*names).alias("every"))
+    rows = rows.select(*columns, "raw0", "raw1", *(f"start{k}" for k in range(1, len(names))), F.posexplode_outer("every").alias("pos", "window")).where(F.col("window").isNotNull())
+
+    form, at = F.lit(NAMED), F.col("pos")
+    for k in range(1, len(names)):
+        here = F.col("pos") >= F.col(f"start{k}")
+        form, at = F.when(here, F.lit(min(k, SHORT))).otherwise(form), F.when(here, F.col("pos") - F.col(f"start{k}")).otherwise(at)
+    rows = rows.select(*columns, "raw0", "raw1", "window", form.alias("form"), at.alias("at"))
+    raw = F.when(F.col("form") == NAMED, F.slice("raw0", F.col("at") + 1, F.lit(WINDOW))).otherwise(F.slice("raw1", F.col("at") + 1, F.lit(WINDOW)))
+    literal = WINDOW - F.length("window") + F.length(F.translate("window", PLACEHOLDERS, ""))
+    template = (F.col("form") != SHORT) & (literal >= 2)
+    body = F.when((F.col("form") == SHORT) | template, F.col("window")).otherwise(F.lower(F.array_join(raw, "\n")))
+    rows = rows.withColumn("template", template).withColumn("w", F.xxhash64("form", "template", body))
+    if bits is not None:
+        word = F.get(bits, F.shiftrightunsigned("w", 64 - log_bits + 6).cast("int"))
+        rows = rows.where(F.getbit(word, F.col("w").bitwiseAND(63).cast("int")) == 1)
+    slots = F.zip_with(F.split("window", "\n"), raw, lambda c, v: F.when(c.isin(*PLACEHOLDERS), F.lower(v)))
+    return rows.select(*columns, "form", "at", "w", F.when(F.col("template"), slots).alias("slots"))
+
+
+def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
+    """item, item_id, form, at, w, slots, n (the item's distinct windows of the form) of all windows, and the lengths of short items."""
+    items = benchmark.select(own(benchmark, id_col).alias("item_id"), own(benchmark, text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    items = items.withColumn("size", F.size(F.regexp_extract_all(F.lower("text"), F.lit(TOKENS[PLAIN]), F.lit(0)))).where("size > 0")
+    items = cut_lineage(items.select("item_id", F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item"), "text", "size"))
+    short = sorted(r.size for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())  # WINDOW - 1 rows at most
+    found = windows(items, F.col("text"), short).where((F.col("form") != SHORT) | (F.col("at") == 0)).drop("text")
+    # of the short forms only the one of the item's own length is the item whole
+    whole = items.select("item", F.xxhash64(F.lit(SHORT), F.lit(False), F.lower(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(TOKENS[PLAIN]), F.lit(0)), "\n"))).alias("whole"))
+    found = found.join(whole, "item").where((F.col("form") != SHORT) | (F.col("w") == F.col("whole"))).drop("whole", "size")
+    found = cut_lineage(found)
+    return cut_lineage(found.join(found.groupBy("item", "form").agg(F.countDistinct("w").alias("n")), ["item", "form"])), short
+
+
+def bitmap(found: DataFrame, log_bits: int) -> DataFrame:
+    """One row with an array of 2^(log_bits - 6) longs: the bits that the windows' hashes select."""
+    words = found.groupBy(F.shiftrightunsigned("w", 64 - log_bits + 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("word"))
+    every = found.sparkSession.range(1 << (log_bits - 6), numPartitions=1).join(words, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("x"))
     return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.word).alias("bits"))
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc (a row's key), item_id, item and covered windows of every contaminated pair; docs has doc and text."""
-    side = F.broadcast if items.count() <= BROADCAST_ROWS else (lambda rows: rows)
-    bits = bitmap(items).scalar()
-    rows = with_windows(canonical(docs, F.col("text")).drop("text"))
-    rows = rows.withColumn("bits", bits)
-    hit = F.filter(
-        F.transform("windows", lambda w, i: F.when(F.getbit(F.get("bits", F.shiftrightunsigned(w, 50).cast("int")), w.bitwiseAND(63).cast("int")) == 1, F.struct(w.alias("w"), i.alias("at")))),
-        lambda x: x.isNotNull(),
-    )
-    rows = rows.withColumn("hits", hit).drop("bits", "windows")
-    found = rows.select("doc", F.explode_outer(F.transform("hits", lambda x: F.struct(x.w.alias("w"), x.at.alias("at"), slots(x.at).alias("slots")))).alias("x")).select("doc", "x.*")
-    hits = found.join(side(items.select("w").distinct()), "w", "left_semi").groupBy("doc", "w", "slots").agg(F.min("at").alias("at"))
-    hits = cut_lineage(hits)
+def on_window(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """hits joined with rows of the benchmark by w: a small benchmark is broadcast, else windows that many hits share are salted."""
+    if small:
+        return hits.join(F.broadcast(items), "w")
+    counts, least = hits.groupBy("w").agg(F.count("*").alias("n")), max(1, hits.count() // HOT_KEYS)
+    hot = F.broadcast(cut_lineage(counts.where(F.col("n") > least).select("w", F.ceil(F.col("n") / least).cast("int").alias("salts"))))  # HOT_KEYS rows at most
+    salts = F.coalesce("salts", F.lit(1))
+    left = hits.join(hot, "w", "left").withColumn("salt", F.pmod(F.xxhash64("file", "row", "at"), salts).cast("int")).drop("salts")
+    right = items.join(hot, "w", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, ["w", "salt"]).drop("salt")
+
+
+def consistent(joined: DataFrame) -> DataFrame:
+    """file, row, item, form and shift of the alignments that have slots, most of which map one to one."""
+    key = ["file", "row", "item", "form", "shift"]
+    slots = joined.select(*key, "item_at", F.posexplode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("p", "v")).where("v.a IS NOT NULL")
+    pairs = slots.select(*key, F.expr("item_at + p").alias("place"), F.col("v.a").alias("a"), F.col("v.b").alias("b")).distinct().groupBy(*key, "a", "b").agg(F.count("*").alias("c"))
+    first = lambda x, y: F.row_number().over(Window.partitionBy(*key, x).orderBy(F.desc("c"), y)) == 1
+    marked = pairs.withColumn("mapped", first("a", "b")).withColumn("back", first("b", "a"))
+    share = F.sum(F.when(F.col("mapped") & F.col("back"), F.col("c")).otherwise(0)) * 100 >= CONSISTENT * F.sum("c")
+    return marked.groupBy(*key).agg(share.alias("ok")).where("ok").drop("ok")
+
+
+def contaminated(docs: DataFrame, names: list[str], benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """file, row (a row's name), item, item_id of every pair of a document and an item in it; docs is numbered by the names."""
+    items, short = item_windows(benchmark, item_id_col, item_text_col)
+    log_bits = min(MOST_BITS, max(LEAST_BITS, (16 * items.count()).bit_length()))
+    rows = docs.select(own(docs, names[0]).alias("file"), own(docs, names[1]).alias("row"), own(docs, text_col).alias("text"))
+    rows = rows.withColumn("bits", bitmap(items, log_bits).scalar())
+    small = items.count() <= BROADCAST_ROWS
+    found = windows(rows, F.col("text"), short, F.col("bits"), log_bits).drop("text", "bits")
+    hits = cut_lineage(found)
+    hits = cut_lineage(on_window(hits, items.select("w").distinct(), small))
 
     # the rarest windows of each item: missing all of them means missing more than a contaminated document may
     spread = items.groupBy("w").agg(F.countDistinct("item").alias("spread"))
-    each = items.join(spread, "w").groupBy("item", "n", "id").agg(F.max("spread").alias("spread"))
-    rare = each.groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "id"))).alias("ids"))
-    rare = rare.select("item", F.explode(F.slice("ids", F.lit(1), F.expr(f"n - cast(ceil({COVERAGE} * n) as int) + 1").cast("int"))).alias("x")).select("item", "x.id")
-    rare = rare.join(items, ["item", "id"]).select("item", "w").distinct()
-    candidates = hits.join(side(rare), "w").select("doc", "item").distinct()
-
-    other = items.select("item", "item_id", "id", "w", "n", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"))
-    joined = cut_lineage(hits.join(candidates, "doc").join(side(other), ["item", "w"]).withColumn("shift", F.col("at") - F.col("item_at")))
-    values = joined.select("doc", "item", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("v")).where("v.a IS NOT NULL")
-    broken = values.groupBy("doc", "item", "shift", "v.a").agg((F.min("v.b") != F.max("v.b")).alias("bad")).where("bad").select("doc", "item", "shift").distinct()
-    slotted = F.exists("item_slots", lambda s: s.isNotNull())
-    kept = joined.withColumn("slotted", slotted).join(broken.withColumn("broken", F.lit(True)), ["doc", "item", "shift"], "left").where("NOT slotted OR broken IS NULL")
-    return kept.groupBy("doc", "item", "item_id", "n").agg(F.countDistinct("id").alias("covered")).where(f"covered >= {COVERAGE} * n")
-
+    each = items.select("item", "form", "n", "w").distinct().join(spread, "w").groupBy("item", "form", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "w"))).alias("ws"))
+    rare = each.select("item", "form", F.explode(F.slice("ws", F.lit(1), F.expr(f"n - (n * {COVERED} + 99) div 100 + 1").cast("int"))).alias("x")).select("item", "x.w")
+    candidates = on_window(hits.select("file", "row", "at", "w", "form"), cut_lineage(rare), small).select("file", "row", "form", "item").distinct()
 
-def row_key(id_col: Column, text_col: Column) -> Column:
-    """Equal for equal (id, text) only; null ids have a key too."""
-    return F.xxhash64(id_col.isNull(), id_col, text_col.isNull(), text_col)
+    other = items.select("item", "item_id", "form", "w", "n", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"))
+    paired = hits.join(candidates, ["file", "row", "form"])
+    joined = paired.join(F.broadcast(other) if small else other, ["item", "form", "w"])
+    joined = cut_lineage(joined.withColumn("shift", F.col("at") - F.col("item_at")))
+    slotted = F.coalesce(F.exists("item_slots", lambda s: s.isNotNull()), F.lit(False))
+    kept = joined.withColumn("slotted", slotted).join(consistent(joined).withColumn("ok", F.lit(True)), ["file", "row", "item", "form", "shift"], "left").where("NOT slotted OR ok")
+    covered = kept.groupBy("file", "row", "item", "item_id", "form", "n").agg(F.countDistinct("w").alias("covered"))
+    return covered.where(f"100 * covered >= {COVERED} * n").select("file", "row", "item", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc (row_key), doc_id, contaminated, n_items and item_ids (sorted, comma-joined) of every row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
-    found = matches(rows.select("doc", "text"), item_windows(benchmark, item_id_col, item_text_col))
-    listed = found.groupBy("doc").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",", "null").alias("item_ids"))
-    return rows.select("doc", "doc_id").join(listed, "doc", "left").select(
-        "doc", "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids")
+    """doc_id, contaminated, n_items and item_ids (sorted, comma-joined) of every row of docs."""
+    rows, names = numbered(docs)
+    found = contaminated(rows, names, benchmark, text_col, item_id_col, item_text_col)
+    listed = found.groupBy("file", "row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",", "null").alias("item_ids"))
+    ids = rows.select(own(rows, names[0]).alias("file"), own(rows, names[1]).alias("row"), own(rows, id_col).cast("long").alias("doc_id"))
+    return ids.join(listed, ["file", "row"], "left").select(
+        "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids")
     )

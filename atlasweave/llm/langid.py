@@ -3,8 +3,9 @@
 A text is lower-cased, and every character n-gram of length 1 to 3 is hashed into a bucket with an embedding.
 The embeddings of all n-grams of the whole text are averaged and a linear softmax gives the languages.  The
 model is fitted by stochastic gradient descent in numpy on the driver, on a sample of labelled rows whose size
-is bounded by SAMPLE_PER_LANG and MAX_LANGS; a row comes to the driver as bucket counts (at most BUCKETS of them), not
-as text.  A temperature fitted on a held-back part of the sample calibrates the scores, and a text is rejected
+is bounded by SAMPLE_PER_LANG and SAMPLE: with more than SAMPLE / SAMPLE_PER_LANG languages each has an equal part of
+SAMPLE, and one row at least.  A row comes to the driver as the bytes of its bucket counts (6 * BUCKETS at most), not as
+text.  A temperature fitted on a held-back part of the sample calibrates the scores, and a text is rejected
 if its calibrated score is below a threshold that keeps KEEP of the held-back rows.
 
 Because averaging is linear, prediction counts the buckets of a text and multiplies once: whole texts of any
@@ -17,18 +18,21 @@ predicted each; an empty table gives an empty result; if there is nothing to lea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import fresh, own
 
 #: Buckets of hashed n-grams, and the width of an embedding.
 BUCKETS, WIDTH = 1 << 14, 16
-#: Bounds of the training sample: rows of a language, and languages (the most frequent ones).
-SAMPLE_PER_LANG, MAX_LANGS = 500, 64
+#: Bounds of the training sample: rows of a language, and rows of all languages (but one for each at least).
+SAMPLE_PER_LANG, SAMPLE = 500, 4096
 #: Share of held-back rows that the rejection threshold must keep.
 KEEP = 0.999
 #: Characters hashed at a time.
@@ -116,14 +120,15 @@ def remainder(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of the labelled rows that aren't held out, spread over all of them by a hash of the id."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out
+    known = docs.select(own(docs, id_col).alias("id"), own(docs, text_col).alias("text"), own(docs, lang_col).cast("string").alias("lang"), held_out.alias("held_out")).where(
+        "lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL AND NOT held_out"
     )
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
     if not sizes:
         return fit([], [])
     share = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(SAMPLE_PER_LANG / r.n))])[F.col("lang")]
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE // len(sizes)))
+    rates = docs.sparkSession.createDataFrame([(r.lang, each / r.n) for r in sizes], "lang string, rate double")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,38 +137,41 @@ def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 if has_letter(text):
                     n = buckets(text)
                     nonzero = np.flatnonzero(n)
-                    rows.append((lang, at, nonzero.astype(np.int32), n[nonzero].astype(np.float32)))
+                    rows.append((lang, at, nonzero.astype("<u2").tobytes(), n[nonzero].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float32())))], ["lang", "at", "buckets", "counts"]
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.binary(), pa.binary()))], ["lang", "at", "buckets", "counts"]
             )
 
     sample = (
         known.withColumn("at", share)
-        .where(F.col("at") < rate)
+        .join(F.broadcast(rates), "lang")
+        .where(F.col("at") < F.col("rate"))
         .select("lang", "text", "at")
-        .mapInArrow(count, "lang string, at double, buckets array<int>, counts array<float>")
+        .mapInArrow(count, "lang string, at double, buckets binary, counts binary")
         .orderBy("at", "lang")
-        .limit(2 * SAMPLE_PER_LANG * len(sizes))
+        .limit(2 * each * len(sizes))
         .collect()
     )
-    return fit([(np.array(r.buckets), np.array(r.counts, np.float64)) for r in sample], [r.lang for r in sample])
+    return fit([(np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<f4").astype(np.float64)) for r in sample], [r.lang for r in sample])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows with lang_pred, score and rejected, in one map over whole texts without a shuffle.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", names: Sequence[str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs' rows with the language, its score and whether it is rejected, in one map over whole texts without a shuffle.
 
-    The model is a table of BUCKETS rows and at most MAX_LANGS columns, so its broadcast is bounded.
+    Columns of docs with the given names are replaced.  The model is a table of BUCKETS rows and a column for each
+    language, so its broadcast is bounded by the number of languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    new = [pa.field(n, t) for n, t in zip(names, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             found = [known.predict(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            extra = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], schema=pa.schema([*list(batch.schema)[:-1], ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
+            extra = [pa.array([f[k] for f in found], field.type) for k, field in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], schema=pa.schema([*(f.with_name(c) for f, c in zip(batch.schema, kept, strict=False)), *new]))
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    kept = [c for c in docs.columns if c not in names]
+    rows = docs.select(*[own(docs, c) for c in kept], own(docs, text_col).alias(fresh(docs, "text")[0]))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
+    return rows.toDF(*(f"c{k}" for k in range(len(rows.columns)))).mapInArrow(run, schema)  # a name may hold a point

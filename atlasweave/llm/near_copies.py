@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut_lineage
+from .common import cut_lineage, join_sized, own, sized
 
 #: Words of a shingle; least Jaccard similarity in thousandths.
 SHINGLE, SIMILAR = 5, 800
 #: 64-bit words of a fingerprint and their 16-bit parts; distances of candidates in all bits, in one word and in one part.
 WORDS, PARTS, RADIUS, WORD_RADIUS, PART_RADIUS = 4, 16, 60, 22, 1
-#: Texts of a candidate group that one task holds of each block; groups up to SMALL share tasks.
-BLOCK, SMALL = 2048, 64
+#: Texts of a candidate group that one task holds of each block, and their bytes; groups up to SMALL texts share tasks.
+BLOCK, BYTES, SMALL = 2048, 1 << 25, 64
 COLUMNS = [f"w{k}" for k in range(WORDS)]
 
 
@@ -75,22 +75,23 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def part_of(fp: np.ndarray, part: int) -> np.ndarray:
-    return simhash.quarter(fp[:, part // 4], part % 4)
+    return simhash.piece(fp[:, part // 4], part % 4, 4)
 
 
-def marks(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
-    """key, doc_id, body (equal for equal words) and the fingerprint's words, in one map."""
+def marks(docs: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
+    """file and row (the row's name), doc_id, body (equal for equal words) and the fingerprint's words, in one map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            words = [words_of(t) for t in batch.column(2).to_pylist()]
+            words = [words_of(t) for t in batch.column(3).to_pylist()]
             body = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in words], np.uint64).view(np.int64)
             fp = np.array([fingerprint(shingles(w)) for w in words], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS))], ["key", "doc_id", "body", *COLUMNS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(body), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS))], ["file", "row", "doc_id", "body", *COLUMNS])
 
-    return docs.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "key long, doc_id long, body long, " + ", ".join(f"{c} long" for c in COLUMNS))
+    rows = docs.select(*(own(docs, c).alias(a) for c, a in zip(names, ("file", "row"), strict=True)), own(docs, id_col).cast("long").alias("doc_id"), own(docs, text_col).alias("text"))
+    return rows.mapInArrow(run, "file long, row long, doc_id long, body long, " + ", ".join(f"{c} long" for c in COLUMNS))
 
 
 def close_rows(own: np.ndarray, every: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,41 +138,35 @@ def candidates(distinct: DataFrame) -> DataFrame:
     def words(frame: pd.DataFrame) -> np.ndarray:
         return np.ascontiguousarray(frame[COLUMNS].to_numpy(np.int64)).view(np.uint64)
 
-    def routed(fp: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def members(fp: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As in simhash.links: index, shard and home mark."""
         who, shard, home = simhash.route(part_of(fp, part), trees[part], depth, PART_RADIUS)
         own = np.zeros(len(fp), np.int64)
         own[who[home]] = shard[home]
-        return who, shard, home, own
+        keep = shard >= own[who]
+        return who[keep], shard[keep], home[keep]
 
-    def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(PARTS << depth, np.int64)
         for frame in frames:
             fp = words(frame)
             for part in range(PARTS):
-                held += np.bincount((part << depth) + routed(fp, part)[3], minlength=len(held))
+                held += np.bincount((part << depth) + members(fp, part)[1], minlength=len(held))
         yield pd.DataFrame({"cell": np.flatnonzero(held), "n": held[held > 0]})
 
-    sizes = distinct.mapInPandas(at_home, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # PARTS * 2^depth rows at most
+    counted = distinct.mapInPandas(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # PARTS * 2^depth rows at most
     blocks = np.ones(PARTS << depth, np.int64)
-    for r in sizes:
+    for r in counted:
         blocks[r.cell] = -(-r.n // simhash.BLOCK)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """As in simhash.links: home blocks, later blocks of the shard, later shards that the ball meets."""
         for frame in frames:
             fp, body = words(frame), frame["body"].to_numpy()
-            mixed = (body.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
             for part in range(PARTS):
-                who, shard, home, own = routed(fp, part)
-                keep = shard >= own[who]
-                who, shard, home = who[keep], shard[keep], home[keep]
-                times = blocks[(part << depth) + shard]
-                who, shard, home = np.repeat(who, times), np.repeat(shard, times), np.repeat(home, times)
-                block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-                mine = mixed[who] % blocks[(part << depth) + shard]
-                keep = ~home | (block >= mine)
-                out = {"part": np.full(keep.sum(), part), "shard": shard[keep], "block": block[keep], "body": body[who[keep]], "home": (home & (block == mine))[keep]}
-                yield pd.DataFrame(out | {c: fp[who[keep], k].view(np.int64) for k, c in enumerate(COLUMNS)})
+                who, shard, home = members(fp, part)
+                row, i, j = simhash.pairs_of_blocks((part << depth) + shard, body[who], blocks)
+                out = {"part": np.full(len(row), part), "shard": shard[row], "i": i, "j": j, "body": body[who[row]], "home": home[row]}
+                yield pd.DataFrame(out | {c: fp[who[row], k].view(np.int64) for k, c in enumerate(COLUMNS)})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = pd.concat([frame[frame["home"]], frame[~frame["home"]]])
@@ -181,8 +176,8 @@ def candidates(distinct: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": a, "b": b})
 
     fields = ", ".join(f"{c} long" for c in COLUMNS)
-    sent = distinct.mapInPandas(send, f"part long, shard long, block long, body long, home boolean, {fields}")
-    return cut_lineage(sent.groupBy("part", "shard", "block").applyInPandas(compare, "a long, b long").distinct())
+    sent = distinct.mapInPandas(send, f"part long, shard long, i long, j long, body long, home boolean, {fields}")
+    return cut_lineage(sent.groupBy("part", "shard", "i", "j").applyInPandas(compare, "a long, b long").distinct())
 
 
 def similar_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -213,13 +208,15 @@ def similar_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 def verified(members: DataFrame) -> DataFrame:
     """Links (a, b) of similar bodies; members has root (the candidate group), body and text."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(sizes, "root").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("body"), F.col("blocks")).cast("int"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    groups = cut_lineage(members.groupBy("root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BYTES)).cast("int")))
+    total = groups.agg(F.sum("n"), F.sum("bytes")).first()
+    tasks = 1 + (total[1] or 0) // BYTES
+    small = (F.col("blocks") == 1) & F.col("few")
+    rows = join_sized(members, groups.select("root", "blocks", (F.col("n") <= SMALL).alias("few"), "n"), "root", total[0] or 0).withColumn("mine", F.pmod(F.xxhash64("body"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("task", F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")))
-    rows = rows.select("task", (F.col("n") <= SMALL).alias("small"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "root", "body", "text")
+    rows = rows.withColumn("task", F.when(small, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")))
+    rows = rows.select("task", small.alias("small"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "root", "body", "text")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -233,14 +230,18 @@ def verified(members: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("task", "small", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
-def groups(docs: DataFrame, key: str = "key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, doc_id and group (equal for rows that chains of near copies connect) of every row; rows with one key must have one text."""
-    marked = cut_lineage(marks(docs, key, id_col, text_col))
-    distinct = cut_lineage(marked.groupBy("body", *COLUMNS).agg(F.min("key").alias("key")))
+def groups(docs: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """file, row (a row's name), doc_id and group (equal for rows that chains of near copies connect) of every row of numbered docs.
+
+    Only texts of candidates are gathered, one for each body.
+    """
+    marked = cut_lineage(marks(docs, names, id_col, text_col))
+    distinct = cut_lineage(marked.groupBy("body", *COLUMNS).agg(F.min(F.struct("file", "row")).alias("at"), F.count("*").alias("n")))
     proposed = simhash.components(candidates(distinct.select("body", *COLUMNS)))
     proposed = cut_lineage(proposed.union(proposed.select(F.col("root").alias("node"), "root")).distinct())
-    wanted = distinct.select("body", "key").join(proposed.withColumnRenamed("node", "body"), "body")
-    texts = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    members = cut_lineage(texts.join(wanted, "key").dropDuplicates(["body"]).select("root", "body", "text"))
+    wanted = distinct.select("body", "at.*").join(proposed.withColumnRenamed("node", "body"), "body")
+    texts = docs.select(*(own(docs, c).alias(a) for c, a in zip(names, ("file", "row"), strict=True)), own(docs, text_col).alias("text"))
+    members = cut_lineage(texts.join(sized(wanted), ["file", "row"]).select("root", "body", "text"))
     tree = simhash.components(verified(members)).toDF("body", "root")
-    return marked.select("key", "doc_id", "body").join(tree, "body", "left").select("key", "doc_id", F.coalesce("root", "body").alias("group"))
+    class_of = cut_lineage(distinct.select("body", "n").join(tree, "body", "left").select("body", F.coalesce("root", "body").alias("group"), "n"))
+    return join_sized(marked.select("file", "row", "doc_id", "body"), class_of, "body", marked.count()).select("file", "row", "doc_id", "group")

@@ -38,7 +38,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,34 +81,32 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), train())
 
 
-def _windows_sql(side: str, rows: str, names: bool = True) -> str:
-    """Common table expressions for the windows of one side of op2; rows is a query for key and text; names=False takes names for words."""
-    from .decontamination import UNITS
+def _windows_sql(side: str, rows: str) -> str:
+    """Common table expressions for the windows of one side of op2; rows is a query for key and text."""
+    from .decontamination import NAME, TOKENS, UNITS, WINDOW
 
-    slot = "CASE WHEN code IN ('#', '~', '@') THEN low END"
-    lead = ", ".join(f"lead({slot}, {k}) OVER o" for k in range(1, 5))
-    literal = " + ".join(f"CAST(lead(code, {k}) OVER o NOT IN ('#', '~', '@') AS INT)" for k in range(5))
+    greedy = lambda pattern: pattern.replace("++", "+").replace("*+", "*")
+    lead = lambda column: [column, *(f"lead({column}, {k}) OVER o" for k in range(1, WINDOW))]
     return rf"""
-        {side}_plain AS (
-            SELECT key, trim(rtrim(regexp_replace(regexp_replace('.' || coalesce(text, ''), '[.!?][^\p{{L}}\p{{N}}]*', ' ' || chr(1), 'g'),
-                '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), ' ' || chr(1))) AS plain FROM ({rows})
-        ), {side}_words AS (
-            SELECT key, unnest(string_split(plain, ' ')) AS word, generate_subscripts(string_split(plain, ' '), 1) AS i FROM {side}_plain
-        ), {side}_low AS (
-            SELECT key, i, word, replace(lower(word), chr(1), '') AS low FROM {side}_words
+        {side}_text AS (SELECT key, translate(coalesce(text, ''), chr(9) || chr(10) || chr(13), '   ') AS text FROM ({rows})),
+        {side}_raw AS (
+            SELECT key, 0 AS form, regexp_extract_all(text, '{greedy(TOKENS[0])}') AS raw FROM {side}_text
+            UNION ALL SELECT key, 1, regexp_extract_all(lower(text), '{greedy(TOKENS[1])}') FROM {side}_text
+        ), {side}_token AS (
+            SELECT key, form, unnest(raw) AS raw, generate_subscripts(raw, 1) AS i FROM {side}_raw
         ), {side}_near AS (
-            SELECT *, lag(low) OVER (PARTITION BY key ORDER BY i) AS prev FROM {side}_low
+            SELECT *, regexp_full_match(raw, '[0-9][0-9.,]*') AS is_number, lag(regexp_full_match(raw, '[0-9][0-9.,]*')) OVER (PARTITION BY key, form ORDER BY i) AS after_number FROM {side}_token
         ), {side}_code AS (
-            SELECT key, i, low, CASE
-                WHEN low >= '0' AND low < ':' THEN '#'
-                WHEN prev >= '0' AND prev < ':' AND low IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '~'
-                WHEN {not names} OR word = low OR starts_with(word, chr(1)) OR substring(word, 2) <> substring(low, 2) THEN low
-                ELSE '@' END AS code FROM {side}_near
-        ), {side}_window AS (
-            SELECT key, i, code || {" || ".join(f"' ' || lead(code, {k}) OVER o" for k in range(1, 5))} AS w, [{slot}, {lead}] AS slots, {literal} AS literal
-            FROM {side}_code WINDOW o AS (PARTITION BY key ORDER BY i)
+            SELECT key, form, i, lower(raw) AS value, CASE WHEN is_number THEN '#' WHEN form = 0 AND regexp_full_match(raw, '{greedy(NAME)}') THEN '@'
+                WHEN after_number AND lower(raw) IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '~' ELSE lower(raw) END AS code FROM {side}_near
+        ), {side}_lead AS (
+            SELECT key, form, i, [{", ".join(lead("code"))}] AS codes, [{", ".join(lead("value"))}] AS vals FROM {side}_code WINDOW o AS (PARTITION BY key, form ORDER BY i)
         ), {side}_hits AS (
-            SELECT key, w, slots, min(i) AS i FROM {side}_window WHERE w IS NOT NULL AND literal >= 2 GROUP BY ALL
+            SELECT key, form, i, CASE WHEN literal >= 2 THEN 'T' || form || array_to_string(codes, ' ') ELSE 'V' || form || array_to_string(vals, '|') END AS w,
+                CASE WHEN literal >= 2 THEN list_transform(list_zip(codes, vals), lambda x: CASE WHEN x[1] IN ('#', '@', '~') THEN x[2] END) END AS slots
+            FROM (SELECT *, len(list_filter(codes, lambda c: c NOT IN ('#', '@', '~'))) AS literal FROM {side}_lead WHERE codes[{WINDOW}] IS NOT NULL)
+        ), {side}_short AS (
+            {" UNION ALL ".join(f"SELECT key, 2 AS form, i, array_to_string(vals[1:{n}], '|') AS w, NULL AS slots FROM {side}_lead WHERE form = 1 AND vals[{n}] IS NOT NULL" for n in range(1, WINDOW))}
         )"""
 
 
@@ -117,28 +115,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .decontamination import CONSISTENT, COVERED, WINDOW
+
     return {
         "op2_decontamination": f"""
             WITH docs AS (SELECT row_number() OVER () AS key, doc_id, text FROM documents),
             items AS (SELECT row_number() OVER () AS key, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
-            {_windows_sql("d", "SELECT key, text FROM docs")}, {_windows_sql("t", "SELECT key, text FROM items")}, {_windows_sql("f", "SELECT key, text FROM items", False)},
-            b_hits AS (
-                SELECT e.key, t.w AS id, e.w, e.slots, min(i) AS i
-                FROM (SELECT * FROM t_window WHERE literal >= 2 UNION ALL SELECT * FROM f_window WHERE literal >= 2) e JOIN t_window t USING (key, i) WHERE t.w IS NOT NULL GROUP BY ALL
-            ),
-            joined AS (
-                SELECT d.key AS doc, b.key AS item, b.id, d.slots AS v, b.slots AS u, d.i - b.i AS shift, len(list_filter(b.slots, lambda x: x IS NOT NULL)) > 0 AS slotted
-                FROM d_hits d JOIN b_hits b USING (w)
+            {_windows_sql("d", "SELECT key, text FROM docs")}, {_windows_sql("b", "SELECT key, text FROM items")},
+            wanted AS (
+                SELECT * FROM b_hits
+                UNION ALL SELECT key, 2, 1, array_to_string(raw, '|'), NULL FROM b_raw WHERE form = 1 AND len(raw) BETWEEN 1 AND {WINDOW - 1}
+            ), sizes AS (
+                SELECT key AS item, form, count(DISTINCT w) AS n FROM wanted GROUP BY ALL
+            ), joined AS (
+                SELECT d.key AS doc, b.key AS item, form, w, d.slots AS v, b.slots AS u, d.i - b.i AS shift, b.i AS start, coalesce(len(list_filter(b.slots, lambda x: x IS NOT NULL)), 0) > 0 AS slotted
+                FROM (SELECT * FROM d_hits UNION ALL SELECT * FROM d_short) d JOIN wanted b USING (form, w)
+            ), slots AS (
+                SELECT DISTINCT doc, item, form, shift, start + p AS place, u[p] AS a, v[p] AS b FROM joined, range(1, {WINDOW + 1}) AS r(p) WHERE slotted AND u[p] IS NOT NULL
             ), pairs AS (
-                SELECT doc, item, shift, unnest(u) AS u, unnest(v) AS v FROM joined
-            ), broken AS (
-                SELECT DISTINCT doc, item, shift FROM (SELECT doc, item, shift, u FROM pairs WHERE u IS NOT NULL GROUP BY ALL HAVING min(v) <> max(v))
+                SELECT doc, item, form, shift, a, b, count(*) AS c FROM slots GROUP BY ALL
+            ), mapped AS (
+                SELECT *, row_number() OVER (PARTITION BY doc, item, form, shift, a ORDER BY c DESC, b) = 1 AND row_number() OVER (PARTITION BY doc, item, form, shift, b ORDER BY c DESC, a) = 1 AS ok FROM pairs
+            ), consistent AS (
+                SELECT doc, item, form, shift FROM mapped GROUP BY ALL HAVING 100 * coalesce(sum(c) FILTER (ok), 0) >= {CONSISTENT} * sum(c)
             ), covered AS (
-                SELECT doc, item, count(DISTINCT id) AS covered FROM joined LEFT JOIN broken b USING (doc, item, shift)
-                WHERE NOT slotted OR b.doc IS NULL GROUP BY ALL
+                SELECT doc, item, form, count(DISTINCT w) AS covered FROM joined LEFT JOIN (SELECT *, true AS ok FROM consistent) USING (doc, item, form, shift) WHERE NOT slotted OR ok GROUP BY ALL
             ), found AS (
-                SELECT doc, item_id FROM covered JOIN (SELECT key AS item, count(DISTINCT id) AS n FROM b_hits GROUP BY ALL) USING (item)
-                JOIN items i ON i.key = item WHERE covered >= 0.8 * n
+                SELECT DISTINCT doc, item, item_id FROM covered JOIN sizes USING (item, form) JOIN items i ON i.key = item WHERE 100 * covered >= {COVERED} * n
             ), listed AS (
                 SELECT doc, count(*) AS n_items, string_agg(coalesce(CAST(item_id AS VARCHAR), 'null'), ',' ORDER BY item_id) AS item_ids FROM found GROUP BY ALL
             )

@@ -268,7 +268,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
 def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with every secret in the text replaced by REDACTED; other columns are unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
         spans = secrets_of(text, shared.value, threshold)[1]
@@ -280,6 +280,6 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cleaned = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], cleaned, *batch.columns[at + 1 :]], schema=batch.schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], cleaned, *batch.columns[at + 1 :]], schema=pa.schema([f.with_name(c) for f, c in zip(batch.schema, names, strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, docs.schema)  # a name may hold a point

@@ -4,16 +4,19 @@ Every whole text gets a 64-bit SimHash of its word shingles.  Documents are firs
 fingerprints, so a group of copies is one row however large it is.
 
 In 64 bits a ring around a vantage point excludes little: nearly all distances lie within the radius of the
-median.  So there is one tree for each quarter of the bits: of two fingerprints within 4 bits one quarter at
+median.  So there is one tree for each third of the bits: of two fingerprints within 4 bits one third at
 least differs in 1 bit at most, and a ball of radius 1 meets few shards.  A tree, built from a bounded sample,
-cuts its quarter's values by their Hamming distance to vantage points; a fingerprint is at home in one
+cuts its third's values by their Hamming distance to vantage points; a fingerprint is at home in one
 shard, and by the triangle inequality it also visits those whose ring its ball overlaps, as a query.  Inside a
-shard a second tree over the distinct values of the quarter finds the close ones, and the fingerprints behind them are
-compared in full, so the result is exact.  A task emits spanning links instead of all pairs; a dense
+shard a second tree over the distinct values of the third finds the close ones, and the fingerprints behind them are
+compared in full, so the result is exact.  A ball of radius 1 holds one of 10^5 values of a third, so of 10^9 random
+fingerprints each is compared in full with about 3 * 10^4.  A task emits spanning links instead of all pairs; a dense
 group of values is linked through stars (points within the radius of one centre need no comparison with each
 other).  The links of all shards are joined into components by distributed min-label contraction.
 
-Hot shards: one with many home fingerprints is cut into blocks, so a dense region is spread over tasks.
+Hot shards: the rows of one are dealt to blocks of about BLOCK rows by hash, and every pair of blocks is a task, so a
+dense region is spread and no task's rows grow with the table.  Hubs of links, large components and large groups of
+copies never meet in one task either (common.join_sized).
 
 Defined results: a null text counts as empty; an empty text has fingerprint zero, which links like any other;
 a text shorter than a shingle is one shingle; null doc_ids form rows of their own and never name a component
@@ -31,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_sized
 
 #: Fingerprints in the sample from which the sharding tree is built: the bound of what reaches the driver.
 SAMPLE = 1 << 13
 #: Parts of a fingerprint that have a tree each; depths of the trees: the least one holds up to 2^DEPTH_ROWS fingerprints, each doubling adds one.
-PARTS, MIN_DEPTH, MAX_DEPTH, DEPTH_ROWS = 4, 6, 12, 24
-#: Home fingerprints of a shard that go to one task; candidate pairs compared at a time.
+PARTS, MIN_DEPTH, MAX_DEPTH, DEPTH_ROWS = 3, 6, 12, 24
+#: Rows of a shard in a block; candidate pairs compared at a time.
 BLOCK, CHUNK = 1 << 16, 1 << 21
 
 
@@ -189,9 +192,9 @@ def close_links(own: np.ndarray, every: np.ndarray, part: int, radius: int) -> t
 
     Only pairs that are close in the given part are looked at.
     """
-    a_order, b_order = np.argsort(quarter(own, part), kind="stable"), np.argsort(quarter(every, part), kind="stable")
-    a_values, a_start, a_count = np.unique(quarter(own, part)[a_order], return_index=True, return_counts=True)
-    b_values, b_start, b_count = np.unique(quarter(every, part)[b_order], return_index=True, return_counts=True)
+    a_order, b_order = np.argsort(piece(own, part), kind="stable"), np.argsort(piece(every, part), kind="stable")
+    a_values, a_start, a_count = np.unique(piece(own, part)[a_order], return_index=True, return_counts=True)
+    b_values, b_start, b_count = np.unique(piece(every, part)[b_order], return_index=True, return_counts=True)
     i, j = close_values(a_values, b_values, radius // PARTS)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     work = a_count[i] * b_count[j]
@@ -233,10 +236,20 @@ def spanning_links(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.nda
     return fp[moved], root[moved]
 
 
-def quarter(fp: np.ndarray, part: int) -> np.ndarray:
-    """Bits of one part of the fingerprints."""
-    width = 64 // PARTS
-    return (fp >> np.uint64(part * width)) & np.uint64((1 << width) - 1)
+def piece(fp: np.ndarray, part: int, parts: int = PARTS) -> np.ndarray:
+    """Bits of one part of the fingerprints, which are cut into parts of nearly equal width."""
+    low, high = 64 * part // parts, 64 * (part + 1) // parts
+    return (fp >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+
+
+def pairs_of_blocks(cell: np.ndarray, key: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and second block of every task that a row of a cell takes part in; rows are dealt to blocks by key."""
+    times = blocks[cell]
+    row = np.repeat(np.arange(len(cell)), times)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    mixed = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+    mine = (mixed % np.maximum(1, times))[row]
+    return row, np.minimum(mine, other), np.maximum(mine, other)
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -244,44 +257,36 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     n = distinct.count()
     depth = min(MAX_DEPTH, MIN_DEPTH + max(0, (max(n, 1) - 1).bit_length() - DEPTH_ROWS))
     sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    trees = [build_tree(quarter(sample, part), depth) for part in range(PARTS)]
+    trees = [build_tree(piece(sample, part), depth) for part in range(PARTS)]
 
-    def routed(fp: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Index, shard and home mark of every visit, and the home shard of every fingerprint."""
-        who, shard, home = route(quarter(fp, part), trees[part], depth, radius // PARTS)
+    def members(fp: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index, shard and home mark of every fingerprint that a shard holds: at home, or as a query from an earlier shard."""
+        who, shard, home = route(piece(fp, part), trees[part], depth, radius // PARTS)
         own = np.zeros(len(fp), np.int64)
         own[who[home]] = shard[home]
-        return who, shard, home, own
+        keep = shard >= own[who]
+        return who[keep], shard[keep], home[keep]
 
-    def at_home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(PARTS << depth, np.int64)
         for frame in frames:
             fp = frame["fp"].to_numpy().view(np.uint64)
             for part in range(PARTS):
-                held += np.bincount((part << depth) + routed(fp, part)[3], minlength=len(held))
+                held += np.bincount((part << depth) + members(fp, part)[1], minlength=len(held))
         yield pd.DataFrame({"cell": np.flatnonzero(held), "n": held[held > 0]})
 
-    sizes = distinct.select("fp").mapInPandas(at_home, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # PARTS * 2^depth rows at most
+    counted = distinct.select("fp").mapInPandas(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # PARTS * 2^depth rows at most
     blocks = np.ones(PARTS << depth, np.int64)
-    for r in sizes:
+    for r in counted:
         blocks[r.cell] = -(-r.n // BLOCK)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A fingerprint goes to its home block, and as a query to later blocks of its shard and to later shards that its ball meets."""
         for frame in frames:
             fp = frame["fp"].to_numpy().view(np.uint64)
-            mixed = (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
             for part in range(PARTS):
-                who, shard, home, own = routed(fp, part)
-                keep = shard >= own[who]
-                who, shard, home = who[keep], shard[keep], home[keep]
-                times = blocks[(part << depth) + shard]
-                who, shard, home = np.repeat(who, times), np.repeat(shard, times), np.repeat(home, times)
-                block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-                mine = mixed[who] % blocks[(part << depth) + shard]
-                keep = ~home | (block >= mine)
-                rows = {"part": np.full(keep.sum(), part), "shard": shard[keep], "block": block[keep], "fp": fp[who[keep]].view(np.int64), "home": (home & (block == mine))[keep]}
-                yield pd.DataFrame(rows)
+                who, shard, home = members(fp, part)
+                row, i, j = pairs_of_blocks((part << depth) + shard, fp[who], blocks)
+                yield pd.DataFrame({"part": np.full(len(row), part), "shard": shard[row], "i": i, "j": j, "fp": fp[who[row]].view(np.int64), "home": home[row]})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         fp, home = frame["fp"].to_numpy().view(np.uint64), frame["home"].to_numpy()
@@ -290,8 +295,8 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         a, b = spanning_links(every, x, y)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = distinct.select("fp").mapInPandas(send, "part long, shard long, block long, fp long, home boolean")
-    return cut_lineage(sent.groupBy("part", "shard", "block").applyInPandas(compare, "a long, b long").distinct())
+    sent = distinct.select("fp").mapInPandas(send, "part long, shard long, i long, j long, fp long, home boolean")
+    return cut_lineage(sent.groupBy("part", "shard", "i", "j").applyInPandas(compare, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,10 +312,10 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := mark(edges)) != before and now[0]:
         before = now
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cut_lineage(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        kept = large.join(least, "a")
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = cut_lineage(join_sized(both, least, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        kept = join_sized(large, least, "a", now[0])
         edges = cut_lineage(kept.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -318,9 +323,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     tree = components(links(distinct, radius))
-    rooted = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    class_of = cut_lineage(rooted.join(named, "root").select("fp", "component_id"))
-    return marked.join(class_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = cut_lineage(distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.col("n").alias("copies"), F.coalesce("root", "fp").alias("root")))
+    named = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    class_of = cut_lineage(join_sized(rooted, named, "root", rooted.count()).select("fp", "component_id", F.col("copies").alias("n")))
+    return join_sized(marked, class_of, "fp", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,9 @@
 """The stages of corpus_pipeline.py: each takes (spark, docs, sf_dir), with docs as its predecessor left them.
 
-All but the last return the columns of docs.  An empty docs gives no rows at every stage.
+All but the last return the columns of docs, whatever further columns there are: names that a stage needs for itself are
+chosen so that they clash with none.  An empty docs gives no rows at every stage.  Rows are told apart by their place in
+docs' files, so null and repeated ids and equal rows lose nothing.  A text of any length is taken whole; a null text has
+no language and goes at the first stage, and is empty for the others.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, langid, near_copies, packing, secrets
-from .common import cut_lineage, shared_folder, table
+from .common import cut_lineage, fresh, numbered, own, shared_folder, table, without
 from .queries import vocabulary
 
 
@@ -20,40 +23,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without a letter have no language and go.
     """
-    held_out = F.coalesce(langid.remainder(F.col("doc_id")) == 2, F.lit(False))
-    found = langid.identify(docs, langid.train(docs, held_out))
-    return found.where("NOT rejected").select(*docs.columns)
+    held_out = F.coalesce(langid.remainder(own(docs, "doc_id")) == 2, F.lit(False))
+    names = fresh(docs, "lang_pred", "score", "rejected")
+    found = langid.identify(docs, langid.train(docs, held_out), names=names)
+    return found.where(~own(found, names[2])).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the row with the smallest doc_id.
 
-    Rows without a doc_id come after all others.  Of what then still shares a doc_id one row stays (that with the least row key, of
-    equal rows the least in order of all columns).
+    Rows without a doc_id come after all others, and of rows with one doc_id the first in the files comes first.  Rows that share
+    a doc_id but are no copies of each other all stay.
     """
-    keyed = docs.withColumn("__key", decontamination.row_key(F.col("doc_id").cast("long"), F.col("text")))
-    found = cut_lineage(near_copies.groups(keyed, "__key"))
-    rows = found.groupBy("key", "doc_id", "group").agg(F.count("*").alias("n"))
-    least = rows.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "key", "n")).alias("row")).select("row.*")
-    kept = least.where("NOT unnamed").groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("row")).select("row.*")
-    kept = kept.unionByName(least.where("unnamed").select("key", "n"))
-    marked = keyed.join(cut_lineage(kept).withColumnRenamed("key", "__key").withColumnRenamed("n", "__n"), "__key")
-    unique = marked.where("__n = 1").select(*docs.columns)
-    equal = marked.where("__n > 1").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return unique.unionByName(equal.select("row.*").select(*docs.columns))
+    rows, names = numbered(docs)
+    found = cut_lineage(near_copies.groups(rows, names))
+    kept = found.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "file", "row")).alias("x")).select("x.file", "x.row")
+    gone = found.join(kept, ["file", "row"], "left_anti").select("file", "row").toDF(*names)
+    return without(rows, gone, names).drop(*names)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc").distinct()
-    return docs.withColumn("doc", decontamination.row_key(F.col("doc_id").cast("long"), F.col("text"))).join(found, "doc", "left_anti").select(*docs.columns)
+    rows, names = numbered(docs)
+    found = decontamination.contaminated(rows, names, table(spark, sf_dir, "benchmark"))
+    return without(rows, found.select(F.col("file").alias(names[0]), F.col("row").alias(names[1])), names).drop(*names)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts replaced; n_chars follows the text."""
     clean = secrets.redact(docs, secrets.train())
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.contains("text", F.lit(secrets.REDACTED)), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        n_chars = F.when(F.contains("text", F.lit(secrets.REDACTED)), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        clean = clean.select(*[n_chars.alias(c) if c == "n_chars" else own(clean, c) for c in clean.columns])
     return clean
 
 
@@ -71,10 +72,20 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over documents; each stage's rows are written as Parquet and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Every stage over documents; each stage's rows are written as Parquet and read again.
+
+    With a folder of its own a run that was broken off goes on after the last stage that it finished.
+    """
+    docs, folder = table(spark, sf_dir, "documents"), folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if not _finished(spark, f"{folder}/{name}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a stage's folder holds the mark that Spark leaves when all of its files are written."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)

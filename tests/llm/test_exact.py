@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from compare import assert_same, connect
@@ -256,7 +257,7 @@ def test_links_of_dense_and_spread_fingerprints():
     for chunk in (1 << 21, 50):
         simhash.CHUNK, before = chunk, simhash.CHUNK
         try:
-            parts = [simhash.close_links(fp, fp, part, 4) for part in range(4)]
+            parts = [simhash.close_links(fp, fp, part, 4) for part in range(simhash.PARTS)]
         finally:
             simhash.CHUNK = before
         assert dict(zip(*simhash.spanning_links(fp, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])), strict=True)) == want
@@ -268,28 +269,95 @@ ITEM = "In the spring Anna bought 12 kg of flour and Anna sold 5 kg of it before
 
 
 def contaminated(spark, docs, items=((1, ITEM),)):
-    found = decontamination.decontaminate(spark.createDataFrame([(*d, "clash") for d in docs], DOCS + ", w string"), spark.createDataFrame(list(items), "item_id long, text string"))
-    return found
+    names = "w string, form int, file string, row int, text0 string, item int, bits int"
+    docs = spark.createDataFrame([(*d, *["clash", 1, "x", 2, "y", 3, 4]) for d in docs], f"{DOCS}, {names}")
+    return decontamination.decontaminate(docs, spark.createDataFrame([(*i, 5) for i in items], "item_id long, text string, w int"))
+
+
+def caught(spark, docs, items):
+    return {r.doc_id: r.item_ids for r in contaminated(spark, docs, items).collect() if r.contaminated}
 
 
 def test_other_parameters_are_the_same_question(spark):
     other = ITEM.replace("Anna", "Bertha").replace("12", "940").replace("5 kg", "31 kg")
-    mixed = other.replace("Bertha sold", "Carol sold")  # one name of the item stands for two
-    docs = [(1, f"Some words here. {ITEM} And more."), (2, other), (3, mixed), (4, ITEM.upper()), (8, ITEM.lower()), (5, ITEM.split(" before")[0]), (6, "Quite other prose about 12 kg of flour and a market in spring."), (7, other.replace("31 kg", "31 miles"))]
-    found = {r.doc_id: (r.contaminated, r.item_ids) for r in contaminated(spark, docs).collect()}
-    assert {i for i, f in found.items() if f[0]} == {1, 2, 4, 8}  # a shift by one word moves no more than one alignment
-    assert found[1] == (True, "1") and found[6] == (False, "")
+    mixed = other.replace("Bertha sold", "Carol sold")  # equal values of the item needn't stay equal
+    swapped = "Anna 1 2 3 4 5 6 7 8"  # names and numbers alone are no template
+    docs = [(1, f"Some words here. {ITEM} And more."), (2, other), (3, mixed), (4, ITEM.upper()), (8, ITEM.lower()), (9, ITEM.title()), (5, ITEM.split(" before")[0]), (6, "Quite other prose about 12 kg of flour and a market in spring."), (10, swapped)]
+    assert caught(spark, docs, ((1, ITEM),)) == dict.fromkeys([1, 2, 3, 4, 8, 9], "1")
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_short_items_occur_whole(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(decontamination, "HOT_KEYS", 4)  # most windows are salted
+    items = [(1, "What is 12 + 30?"), (2, "Compute 3 + 4 * 5 - 6"), (3, "3 red apples and 3 green pears lie in 4 boxes"), (4, "Name the capital of Peru")]
+    docs = [(10, "So, what is 12 + 30 then?"), (11, "what is 13 + 30"), (12, "please COMPUTE 3 + 4*5 - 6 now"), (13, "Compute 3 + 4 * 5 - 7"), (14, "7 red apples and 9 green pears lie in 2 boxes"), (15, "3 red apples and 8 green pears lie in 4 boxes"),
+            (16, "name the capital of peru"), (17, "NAME THE CAPITAL OF PERU"), (18, "Name the capital of Chile"), (19, "name the river of peru"), *((100 + i, "7 red apples and 9 green pears lie there") for i in range(30))]
+    assert caught(spark, docs, items) == {10: "1", 12: "2", 14: "3", 15: "3", 16: "4", 17: "4", 18: "4"}
+
+
+def test_recall_of_changed_items(spark):
+    rng = random.Random(8)
+    words = [a + b for a in "bo ka li mu ne pra sto ti ve zu".split() for b in "ran del mit kos".split()]
+    names, units = ["Anna", "Bertha Klein", "Carl", "Mary Ann Lee", "Otto", "Zoe Hart"], ["kg", "km", "litres", "hours", "euros"]
+    number = lambda: rng.choice([str(rng.randrange(2, 900)), f"{rng.randrange(1, 90)}.{rng.randrange(1, 99)}", f"{rng.randrange(1, 9)},{rng.randrange(100, 999)}"])
+
+    def template():
+        parts = []
+        for _ in range(rng.randrange(2, 4)):  # sentences, of which some begin with a name
+            inner = [rng.choice(words) for _ in range(rng.randrange(7, 14))]
+            for slot in rng.sample(["{n}", "{n} {u}", "{name}"], rng.randrange(1, 3)):
+                inner.insert(rng.randrange(1, len(inner)), slot)
+            parts.append((rng.choice(["{name}", "What"]) + " " + " ".join(inner)))
+        return ". ".join(parts) + "?"
+
+    def filled(text):
+        while "{" in text:
+            text = text.replace("{name}", rng.choice(names), 1).replace("{n}", number(), 1).replace("{u}", rng.choice(units), 1)
+        return text
+
+    templates = [template() for _ in range(200)]
+    items = [(i, filled(t)) for i, t in enumerate(templates)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, f"{prose(20)}. {filled(t)} {prose(20)}") for i, t in enumerate(templates)]
+    clean = [(1000 + i, f"{filled(template())} {prose(60)}") for i in range(200)]
+    got = caught(spark, docs + clean, items)
+    assert not [i for i in got if i >= 1000]
+    assert sum(got.get(i) == str(i) for i in range(200)) >= 0.9 * 200
 
 
 def test_decontamination_odd_rows(spark):
     rows = [*ODD, (8, ITEM), (8, ITEM), (None, ITEM)]
-    got = contaminated(spark, rows, [(1, ITEM), (2, None), (3, ""), (4, "too short"), (5, "1 2 3 4 5 6 7"), (1, ITEM), (6, ITEM)]).collect()
+    got = contaminated(spark, rows, [(1, ITEM), (2, None), (3, ""), (4, "too short"), (5, "1 2 3 4 5 6 7"), (7, "?!"), (1, ITEM), (6, ITEM)]).collect()
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), r.n_items, r.item_ids) for r in got if r.contaminated) == [("8", 2, "1,6"), ("8", 2, "1,6"), ("None", 2, "1,6")]
     assert contaminated(spark, rows, []).where("contaminated").count() == 0
     assert contaminated(spark, []).count() == 0
 
 
+def test_the_rule_equals_its_sql(spark, tmp_path):
+    rng = random.Random(4)
+    words = "Anna Bob Mary Ann the of 12 3.5 kg km 7 buys apples NASA Ünal straße 1,000 hours I a".split()
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 14)))) for i in range(60)]
+    mixed = lambda t: rng.choice([str, str.lower, str.upper, str.title])(t)
+    docs = [(i, " ".join(mixed(rng.choice(items)[1]) + rng.choice([" ", ". ", "\n\t", ", "]) for _ in range(rng.randrange(1, 4)))) for i in range(120)] + [*ODD, (None, items[3][1])]
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*items, (None, "the of the of the"), (3, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = queries.op2_decontamination(spark, str(tmp_path))
+    assert got.where("contaminated").count() > 60
+    want = duck.execute(f"SELECT doc_id, contaminated, n_items, item_ids FROM ({queries.oracle_sql()['op2_decontamination']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("doc_id", "contaminated", "n_items", "item_ids").collect())
+
+
+def test_long_runs_are_linear(spark):
+    docs = [(1, "X" * 300_000), (2, "Anna Bob " * 20_000), (3, "1,2" * 50_000), (4, "a " * 100_000 + ITEM), (5, " " * 200_000)]
+    assert caught(spark, docs, [(1, ITEM), (2, "one two")]) == {4: "1"}
+
+
 def test_common_windows_do_not_pair_all(spark):
     intro = "please answer the following question with one single word only and give no reasons"
     items = [(i, f"{intro} {' '.join(f'w{i}x{k}' for k in range(30))}") for i in range(30)]

@@ -53,9 +53,9 @@ def test_stages_of_nothing(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
-def test_rows_that_share_an_id_keep_one(spark):
+def test_rows_that_share_an_id_all_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "quite another text with own words", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (3, "third text of its own kind here", "en", "s", 1)], SCHEMA)
-    assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()) == [1, 1, 3]
 
 
 def with_similarity(base, share, rng, name):
@@ -108,3 +108,49 @@ def test_copies_without_an_id_keep_one_and_unique_texts_stay(spark):
     docs = spark.createDataFrame([(None, a, "en", "s", 1), (None, a, "de", "s", 1), (None, a.upper(), "en", "s", 1), (None, b, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (2, c, "en", "s", 1)], SCHEMA)
     kept = stages.near_duplicates(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("1", b), ("2", c), ("None", a)]
+
+
+CLASHES = ["n", "copy", "row", "file", "doc", "score", "lang_pred", "rejected", "shard", "slot", "key", "group", "body", "w", "bits", "__key", "text0", "x.y"]
+
+
+def test_clashing_columns_nulls_and_repeated_rows_at_every_stage(spark, tmp_path):
+    prose = lambda k, words=ENGLISH: " ".join(random.Random(k).choice(words) for _ in range(80))
+    item = "name three rivers of the country and tell how long each of them is in miles"
+    texts = [(1, prose(1)), (1, prose(2)), (1, prose(1)), (None, prose(3)), (None, prose(3)), (2, prose(4, GERMAN)), (3, f"{prose(5)} {item}"), (4, f'{prose(6)} token = "{KEY}"'), (5, None), (6, ""), (7, prose(7) * 200)]
+    rows = [(i, t, "de" if i == 2 else "en", "s", len(t or ""), *[f"{c}{k}" for c in CLASHES]) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in CLASHES)).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = lambda df: sorted(df.select("n", "`x.y`", "rejected", "score", "doc", "shard").collect())
+    kept = lambda *ks: sorted((f"n{k}", f"x.y{k}", f"rejected{k}", f"score{k}", f"doc{k}", f"shard{k}") for k in ks)
+    docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in stages.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs, before = spark.read.parquet(str(tmp_path / name)), docs
+        assert docs.columns == before.columns
+        left[name] = own(docs)
+    assert left["language_id"] == kept(*range(8), 10)
+    assert len(left["simhash_dedup"]) == 7 and {r[0] for r in left["simhash_dedup"]} >= {"n1", "n5", "n6", "n7", "n10"}
+    assert len(left["decontamination"]) == 6 and left["secret_scan"] == left["decontamination"]
+    assert stages.packed(spark, docs, "").agg(F.countDistinct("doc_id")).first()[0] == 4
+
+
+def test_a_run_goes_on_after_the_last_finished_stage(spark, tmp_path):
+    spark.createDataFrame(planted("x y z"), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    first = stages.run(spark, str(tmp_path), str(tmp_path / "run")).count()
+    made = (tmp_path / "run" / "simhash_dedup" / "_SUCCESS").stat().st_mtime_ns
+    (tmp_path / "run" / "packing" / "_SUCCESS").unlink()
+    assert stages.run(spark, str(tmp_path), str(tmp_path / "run")).count() == first
+    assert (tmp_path / "run" / "simhash_dedup" / "_SUCCESS").stat().st_mtime_ns == made
+
+
+def test_numbered_rows_keep_their_names(spark, tmp_path):
+    from atlasweave.llm.common import numbered
+
+    spark.range(1000).repartition(3).selectExpr("id", "id AS row").write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    for df in (scan, scan.where("id % 2 = 0"), scan.repartition(5), scan.unionByName(scan), scan.selectExpr("id", "explode(array(1, 2)) AS row")):
+        rows, names = numbered(df)
+        assert rows.select(*names).distinct().count() == df.count()
+        one, two = ({r[:] for r in rows.select("id", "row", *names).collect()} for _ in range(2))
+        assert one == two
