@@ -5,12 +5,12 @@ other parameters keeps its template.  Windows of five canonical tokens are joine
 that stand in the placeholders are checked for consistency.  A document is contaminated by an item if at least
 COVERED of the item's distinct windows, in one of two forms, occur in it in consistent alignments.
 
-Tokens are numbers (digits with points and commas between them), names (runs of words of a capital and small letters
-with only white space between them, one token whatever their number) and other runs of letters.  A word of UNITS right
-after a number is a unit.  The two forms of a text: *named*, with placeholders for names, and *plain*, in which all
+Tokens are runs of letters and digits, with points and commas between digits.  A token that begins with a digit is a number; a
+word of UNITS right after a number is a unit; a name is a run of words of a capital and small letters with only white space
+between them, one token whatever their number.  The two forms of a text: *named*, with placeholders for names, and *plain*, in which all
 letters are small, names are words and only numbers and units are placeholders, so that the case of an item or a document makes
 no difference.  A window with fewer than two words is no template: it keeps its values, and so does an item shorter than a
-window, which must occur whole.
+window, which must occur whole.  (A copy in one case with other names has neither form; it is not found.)
 
 Consistency: within one alignment of an item with a document (the same distance of positions) most of the slots must
 take part in a mapping from item values to document values that is one to one: for each value the partner that it has most
@@ -29,10 +29,12 @@ every document clean, and empty documents give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_KEYS, cut_lineage, numbered, own
+from .common import BROADCAST_ROWS, HOT_KEYS, cut_lineage, numbered, own, sized
 
 #: Tokens of a window; percent of an item's windows that must be covered; percent of an alignment's slots that must be consistent.
 WINDOW, COVERED, CONSISTENT = 5, 80, 50
@@ -46,79 +48,83 @@ UNITS = (
     "kilometers centimetre centimetres degree degrees volt volts watt watts"
 ).split()
 #: Possessive quantifiers change no match; they keep long runs linear and off the stack.
-NAME = r"\p{Lu}\p{Ll}++(?: ++\p{Lu}\p{Ll}++)*+"
-NUMBER = "[0-9]++(?:[.,][0-9]++)*+"
-#: Tokens of the forms, by number: 0 named, 1 plain.
-TOKENS = (rf"{NUMBER}|{NAME}|\p{{L}}++", rf"{NUMBER}|\p{{L}}++")
+NAMES = r"(?<![\p{L}0-9])(\p{Lu}\p{Ll}++)(?![\p{L}0-9])(?:[ \t\n\r]++\p{Lu}\p{Ll}++(?![\p{L}0-9]))*+"
+#: What stands between tokens: all but letters and digits, and points and commas only if not between digits.
+GAP = r"(?:[^\p{L}0-9.,@]|[.,](?!(?<=[0-9][.,])[0-9]))++"
 NAMED, PLAIN, SHORT = 0, 1, 2
-#: Placeholders of numbers, names and units.
-PLACEHOLDERS = "#@~"
+#: Marks before the values of numbers, names and units; they come before all letters.
+MARKS = "#@%"
 
 
-def windows_of(lines: Column, size: int) -> Column:
-    """All runs of so many lines."""
-    pattern = r"(?md)^(?=(" + r"\n".join([r"[^\n]++"] * size) + r"))[^\n]++"
-    return F.regexp_extract_all(lines, F.lit(pattern), F.lit(1))
+def lines_of(text: Column, names: bool) -> Column:
+    """A text's tokens in small letters, one a line; with names the first word of a name stands for it, after its mark."""
+    text = F.replace(F.coalesce(text, F.lit("")), F.lit("@"), F.lit(" "))
+    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(text, NAMES, "@$1") if names else text, GAP, "\n")), F.lit("\n"))
 
 
-def tokens(rows: DataFrame, text: Column) -> DataFrame:
-    """rows with raw0 and raw1 (tokens of both forms) and canon0 and canon1 (their canonical tokens as lines)."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\r", "   ")
-    rows = rows.withColumn("raw0", F.regexp_extract_all(flat, F.lit(TOKENS[NAMED]), F.lit(0))).withColumn("raw1", F.regexp_extract_all(F.lower(flat), F.lit(TOKENS[PLAIN]), F.lit(0)))
-    named = F.lower(F.regexp_replace(F.array_join("raw0", "\n"), rf"(?md)^{NAME}$", "@"))
-    for canon, lines in (("canon0", named), ("canon1", F.array_join("raw1", "\n"))):
-        numbers = F.regexp_replace(lines, "(?md)^[0-9][0-9.,]*+$", "#")
-        rows = rows.withColumn(canon, F.regexp_replace(numbers, rf"(?md)^#\n(?:{'|'.join(UNITS)})$", "#\n~"))
-    return rows
+def marked(lines: Column) -> Column:
+    """Lines with marks before numbers and units."""
+    return F.regexp_replace(F.regexp_replace(lines, "(?md)^(?=[0-9])", "#"), rf"(?md)^(#[^\n]*+\n)(?=(?:{'|'.join(UNITS)})$)", "$1%")
 
 
-def windows(rows: DataFrame, text: Column, short: list[int], bits: Column | None = None, log_bits: int = LEAST_BITS) -> DataFrame:
-    """form, at, w (the window's hash) and slots (values in the placeholders, else null) of every window, beside rows' columns.
+def windows(rows: DataFrame, text: Column, form: int, short: Sequence[int] = (), bits: Column | None = None, log_bits: int = LEAST_BITS) -> DataFrame:
+    """form, at, w (the window's hash) and window (its marked lines) of every window, beside rows' columns.
 
     short lists the lengths of short items, whose windows are runs of so many plain tokens.  With bits only windows whose bit is set
-    are given.  Arrays are exploded with the outer form: for the others Spark pushes a filter on the array's size below the
-    projections, with the whole expression in it.
+    are given.  The tokens of a whole text stay in its row; arrays are exploded with the outer form, as for the others Spark pushes a
+    filter on the array's size below the projections, with the whole expression in it.
     """
     columns = rows.columns
-    rows = tokens(rows, text)
-    found = [windows_of(F.col("canon0"), WINDOW), windows_of(F.col("canon1"), WINDOW), *(windows_of(F.array_join("raw1", "\n"), n) for n in short)]
-    names = [f"found{k}" for k in range(len(found))]
-    rows = rows.withColumns(dict(zip(names, found, strict=True)))
-    starts = [F.lit(0)]
-    for n in names:
-        starts.append(starts[-1] + F.size(n))
-    rows = rows.select(*columns, "raw0", "raw1", *(starts[k].alias(f"start{k}") for k in range(1, len(names))), F.concat(*names).alias("every"))
-    rows = rows.select(*columns, "raw0", "raw1", *(f"start{k}" for k in range(1, len(names))), F.posexplode_outer("every").alias("pos", "window")).where(F.col("window").isNotNull())
-
-    form, at = F.lit(NAMED), F.col("pos")
-    for k in range(1, len(names)):
-        here = F.col("pos") >= F.col(f"start{k}")
-        form, at = F.when(here, F.lit(min(k, SHORT))).otherwise(form), F.when(here, F.col("pos") - F.col(f"start{k}")).otherwise(at)
-    rows = rows.select(*columns, "raw0", "raw1", "window", form.alias("form"), at.alias("at"))
-    raw = F.when(F.col("form") == NAMED, F.slice("raw0", F.col("at") + 1, F.lit(WINDOW))).otherwise(F.slice("raw1", F.col("at") + 1, F.lit(WINDOW)))
-    literal = WINDOW - F.length("window") + F.length(F.translate("window", PLACEHOLDERS, ""))
-    template = (F.col("form") != SHORT) & (literal >= 2)
-    body = F.when((F.col("form") == SHORT) | template, F.col("window")).otherwise(F.lower(F.array_join(raw, "\n")))
-    rows = rows.withColumn("template", template).withColumn("w", F.xxhash64("form", "template", body))
-    if bits is not None:
-        word = F.get(bits, F.shiftrightunsigned("w", 64 - log_bits + 6).cast("int"))
-        rows = rows.where(F.getbit(word, F.col("w").bitwiseAND(63).cast("int")) == 1)
-    slots = F.zip_with(F.split("window", "\n"), raw, lambda c, v: F.when(c.isin(*PLACEHOLDERS), F.lower(v)))
-    return rows.select(*columns, "form", "at", "w", F.when(F.col("template"), slots).alias("slots"))
+    rows = rows.withColumn("lines", lines_of(text, form == NAMED)).withColumn("tokens", F.split(marked(F.col("lines")), "\n"))
+    rows = rows.withColumn("codes", F.transform("tokens", lambda t: F.xxhash64(F.when(t < "a", F.substring(t, 1, 1)).otherwise(t))))
+    starts = lambda n: F.when((F.size("tokens") >= n) & (F.col("lines") != ""), F.sequence(F.lit(0), F.size("tokens") - n))
+
+    def here(w: Column) -> Column:
+        if bits is None:
+            return F.lit(True)
+        word = F.get(bits, F.shiftrightunsigned(w, 64 - log_bits + 6).cast("int"))
+        return F.getbit(word, w.bitwiseAND(63).cast("int")) == 1
+
+    def hashes(form: int, tokens: str, n: int) -> Column:
+        return F.transform(starts(n), lambda i: F.xxhash64(F.lit(form), *(F.get(tokens, i + k) for k in range(n))))
+
+    def whole(name: str, form: int, n: int) -> Column:
+        found = F.coalesce(name, F.array().cast("array<struct<w:bigint,at:int>>"))
+        return F.transform(found, lambda x: F.struct(F.lit(form).alias("form"), x.at.alias("at"), x.w.alias("w"), F.slice("tokens", x.at + 1, F.lit(n)).alias("window")))
+
+    kinds = [(form, "codes", WINDOW), *((SHORT, "plain", n) for n in short)]
+    if short:
+        rows = rows.withColumn("plain", F.split("lines", "\n"))
+    names = [f"hits{k}" for k in range(len(kinds))]
+    hashed = rows.withColumns({name: hashes(*kind) for name, kind in zip(names, kinds, strict=True)})
+    hits = {name: F.filter(F.transform(name, lambda w, i: F.when(here(w), F.struct(w.alias("w"), i.alias("at")))), lambda x: x.isNotNull()) for name in names}
+    hashed = hashed.select(*columns, "tokens", *(x.alias(name) for name, x in hits.items()))
+    every = F.concat(*(whole(name, f, n) for name, (f, _, n) in zip(names, kinds, strict=True)))
+    found = hashed.select(*columns, F.explode_outer(every).alias("x"))
+    return found.where(F.col("x").isNotNull()).select(*columns, "x.*")
+
+
+def exact(window: Column, form: Column) -> Column:
+    """The hash of a window with its values."""
+    return F.xxhash64(form, F.lit("exact"), window)
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """item, item_id, form, at, w, slots, n (the item's distinct windows of the form) of all windows, and the lengths of short items."""
+    """item, item_id, form, at, w, id, poor, window and n of all windows, and the lengths of short items.
+
+    A poor window has fewer than two words; its id is the hash with values, that of others is w.  n is the number of the item's ids.
+    """
     items = benchmark.select(own(benchmark, id_col).alias("item_id"), own(benchmark, text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    items = items.withColumn("size", F.size(F.regexp_extract_all(F.lower("text"), F.lit(TOKENS[PLAIN]), F.lit(0)))).where("size > 0")
-    items = cut_lineage(items.select("item_id", F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item"), "text", "size"))
+    plain = lines_of(F.col("text"), False)
+    items = items.where(plain != "").select("item_id", F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item"), "text", F.size(F.split(plain, "\n")).alias("size"))
+    items = cut_lineage(items)
     short = sorted(r.size for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())  # WINDOW - 1 rows at most
-    found = windows(items, F.col("text"), short).where((F.col("form") != SHORT) | (F.col("at") == 0)).drop("text")
-    # of the short forms only the one of the item's own length is the item whole
-    whole = items.select("item", F.xxhash64(F.lit(SHORT), F.lit(False), F.lower(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(TOKENS[PLAIN]), F.lit(0)), "\n"))).alias("whole"))
-    found = found.join(whole, "item").where((F.col("form") != SHORT) | (F.col("w") == F.col("whole"))).drop("whole", "size")
-    found = cut_lineage(found)
-    return cut_lineage(found.join(found.groupBy("item", "form").agg(F.countDistinct("w").alias("n")), ["item", "form"])), short
+    found = windows(items, F.col("text"), NAMED).unionByName(windows(items, F.col("text"), PLAIN, short))
+    # of the short forms only the window of the item's own length is the item whole
+    found = found.where((F.col("form") != SHORT) | (F.size("window") == F.col("size"))).drop("text", "size")
+    poor = (F.col("form") != SHORT) & (F.size(F.filter("window", lambda t: t >= "a")) < 2)
+    found = cut_lineage(found.withColumn("poor", poor).withColumn("id", F.when(poor, exact(F.col("window"), F.col("form"))).otherwise(F.col("w"))))
+    return cut_lineage(found.join(found.groupBy("item", "form").agg(F.countDistinct("id").alias("n")), ["item", "form"])), short
 
 
 def bitmap(found: DataFrame, log_bits: int) -> DataFrame:
@@ -143,7 +149,8 @@ def on_window(hits: DataFrame, items: DataFrame, small: bool) -> DataFrame:
 def consistent(joined: DataFrame) -> DataFrame:
     """file, row, item, form and shift of the alignments that have slots, most of which map one to one."""
     key = ["file", "row", "item", "form", "shift"]
-    slots = joined.select(*key, "item_at", F.posexplode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("p", "v")).where("v.a IS NOT NULL")
+    zipped = F.arrays_zip(F.col("item_window").alias("a"), F.col("window").alias("b"))
+    slots = joined.where("slotted").select(*key, "item_at", F.posexplode(zipped).alias("p", "v")).where(F.col("v.a") < "a")
     pairs = slots.select(*key, F.expr("item_at + p").alias("place"), F.col("v.a").alias("a"), F.col("v.b").alias("b")).distinct().groupBy(*key, "a", "b").agg(F.count("*").alias("c"))
     first = lambda x, y: F.row_number().over(Window.partitionBy(*key, x).orderBy(F.desc("c"), y)) == 1
     marked = pairs.withColumn("mapped", first("a", "b")).withColumn("back", first("b", "a"))
@@ -151,30 +158,51 @@ def consistent(joined: DataFrame) -> DataFrame:
     return marked.groupBy(*key).agg(share.alias("ok")).where("ok").drop("ok")
 
 
+def hits(rows: DataFrame, form: int, items: DataFrame, short: Sequence[int], small: bool) -> DataFrame:
+    """file, row, form, at, id and window of the windows of rows (file, row, text) that items hold."""
+    known = cut_lineage(items.select("w", "id", "poor").distinct())
+    log_bits = min(MOST_BITS, max(LEAST_BITS, (16 * known.count()).bit_length()))
+    rows = rows.withColumn("bits", bitmap(known, log_bits).scalar())
+    found = cut_lineage(windows(rows, F.col("text"), form, short, F.col("bits"), log_bits).drop("text", "bits"))
+    rich = on_window(found, known.where("NOT poor").select("w").distinct(), small).withColumn("id", F.col("w"))
+    valued = found.withColumn("w", exact(F.col("window"), F.col("form")))
+    poor = on_window(valued, known.where("poor").select(F.col("id").alias("w")).distinct(), small).withColumn("id", F.col("w"))
+    return rich.unionByName(poor).drop("w")
+
+
 def contaminated(docs: DataFrame, names: list[str], benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """file, row (a row's name), item, item_id of every pair of a document and an item in it; docs is numbered by the names."""
+    """file, row (a row's name), item, item_id of every pair of a document and an item in it; docs is numbered by the names.
+
+    The plain form of every document is made.  A window without a name is the same in both forms, and a document that holds an item in
+    the named form misses few of its windows; so if an item has more windows without a name than may be missed, only documents with
+    one of them, which is among their plain hits, need the named form.  Where items have fewer, all documents get it.
+    """
     items, short = item_windows(benchmark, item_id_col, item_text_col)
-    log_bits = min(MOST_BITS, max(LEAST_BITS, (16 * items.count()).bit_length()))
-    rows = docs.select(own(docs, names[0]).alias("file"), own(docs, names[1]).alias("row"), own(docs, text_col).alias("text"))
-    rows = rows.withColumn("bits", bitmap(items, log_bits).scalar())
     small = items.count() <= BROADCAST_ROWS
-    found = windows(rows, F.col("text"), short, F.col("bits"), log_bits).drop("text", "bits")
-    hits = cut_lineage(found)
-    hits = cut_lineage(on_window(hits, items.select("w").distinct(), small))
+    rows = docs.select(own(docs, names[0]).alias("file"), own(docs, names[1]).alias("row"), own(docs, text_col).alias("text"))
+    free = F.countDistinct(F.when(~F.exists("window", lambda t: F.startswith(t, F.lit("@"))), F.col("id")))
+    named = items.where(F.col("form") == NAMED)
+    dense = named.groupBy("item", "n").agg(free.alias("free")).where(f"free <= n - (n * {COVERED} + 99) div 100")
+
+    # plain hits of windows of either form: a named window without a name has the hash of its plain twin
+    twins = named.where(~F.exists("window", lambda t: F.startswith(t, F.lit("@")))).withColumn("form", F.lit(PLAIN))
+    twins = twins.withColumn("w", F.xxhash64("form", *(F.xxhash64(F.when(F.get("window", F.lit(k)) < "a", F.substring(F.get("window", F.lit(k)), 1, 1)).otherwise(F.get("window", F.lit(k)))) for k in range(WINDOW))))
+    twins = twins.withColumn("id", F.when(F.col("poor"), exact(F.col("window"), F.col("form"))).otherwise(F.col("w")))
+    plain = cut_lineage(hits(rows, PLAIN, items.where(F.col("form") != NAMED).unionByName(twins.select(*items.columns)), short, small))
+    second = rows.join(sized(plain.select("file", "row").distinct()), ["file", "row"]) if dense.isEmpty() else rows
+    found = cut_lineage(plain.unionByName(hits(second, NAMED, named, (), small)))
 
     # the rarest windows of each item: missing all of them means missing more than a contaminated document may
-    spread = items.groupBy("w").agg(F.countDistinct("item").alias("spread"))
-    each = items.select("item", "form", "n", "w").distinct().join(spread, "w").groupBy("item", "form", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "w"))).alias("ws"))
-    rare = each.select("item", "form", F.explode(F.slice("ws", F.lit(1), F.expr(f"n - (n * {COVERED} + 99) div 100 + 1").cast("int"))).alias("x")).select("item", "x.w")
-    candidates = on_window(hits.select("file", "row", "at", "w", "form"), cut_lineage(rare), small).select("file", "row", "form", "item").distinct()
-
-    other = items.select("item", "item_id", "form", "w", "n", F.col("slots").alias("item_slots"), F.col("at").alias("item_at"))
-    paired = hits.join(candidates, ["file", "row", "form"])
-    joined = paired.join(F.broadcast(other) if small else other, ["item", "form", "w"])
+    spread = items.groupBy("id").agg(F.countDistinct("item").alias("spread"))
+    each = items.select("item", "form", "n", "id").distinct().join(spread, "id").groupBy("item", "form", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "id"))).alias("ids"))
+    rare = each.select("item", "form", F.explode(F.slice("ids", F.lit(1), F.expr(f"n - (n * {COVERED} + 99) div 100 + 1").cast("int"))).alias("x")).select("item", F.col("x.id").alias("w"))
+    candidates = on_window(found.select("file", "row", "at", F.col("id").alias("w"), "form"), cut_lineage(rare), small).select("file", "row", "form", "item").distinct()
+
+    other = items.select("item", "item_id", "form", "id", "n", F.col("window").alias("item_window"), F.col("at").alias("item_at"), (F.exists("window", lambda t: t < "a") & ~F.col("poor") & (F.col("form") != SHORT)).alias("slotted"))
+    joined = found.join(candidates, ["file", "row", "form"]).join(F.broadcast(other) if small else other, ["item", "form", "id"])
     joined = cut_lineage(joined.withColumn("shift", F.col("at") - F.col("item_at")))
-    slotted = F.coalesce(F.exists("item_slots", lambda s: s.isNotNull()), F.lit(False))
-    kept = joined.withColumn("slotted", slotted).join(consistent(joined).withColumn("ok", F.lit(True)), ["file", "row", "item", "form", "shift"], "left").where("NOT slotted OR ok")
-    covered = kept.groupBy("file", "row", "item", "item_id", "form", "n").agg(F.countDistinct("w").alias("covered"))
+    kept = joined.join(consistent(joined).withColumn("ok", F.lit(True)), ["file", "row", "item", "form", "shift"], "left").where("NOT slotted OR ok")
+    covered = kept.groupBy("file", "row", "item", "item_id", "form", "n").agg(F.countDistinct("id").alias("covered"))
     return covered.where(f"100 * covered >= {COVERED} * n").select("file", "row", "item", "item_id").distinct()
 
 

@@ -83,28 +83,36 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windows_sql(side: str, rows: str) -> str:
     """Common table expressions for the windows of one side of op2; rows is a query for key and text."""
-    from .decontamination import NAME, TOKENS, UNITS, WINDOW
-
-    greedy = lambda pattern: pattern.replace("++", "+").replace("*+", "*")
-    lead = lambda column: [column, *(f"lead({column}, {k}) OVER o" for k in range(1, WINDOW))]
+    from .decontamination import UNITS, WINDOW
+
+    lead = lambda column: ", ".join([column, *(f"lead({column}, {k}) OVER o" for k in range(1, WINDOW))])
+    point, comma = "chr(57345)", "chr(57346)"  # stand for points and commas between digits
+    inner = "replace(coalesce(text, ''), '@', ' ')"
+    for sign, mark in ((".", point), (",", comma)) * 2:
+        inner = rf"regexp_replace({inner}, '([0-9])[{sign}]([0-9])', '\1' || {mark} || '\2', 'g')"
+    token = f"[\\p{{L}}0-9' || {point} || {comma} || ']+"
     return rf"""
-        {side}_text AS (SELECT key, translate(coalesce(text, ''), chr(9) || chr(10) || chr(13), '   ') AS text FROM ({rows})),
+        {side}_text AS (SELECT key, {inner} AS text FROM ({rows})),
         {side}_raw AS (
-            SELECT key, 0 AS form, regexp_extract_all(text, '{greedy(TOKENS[0])}') AS raw FROM {side}_text
-            UNION ALL SELECT key, 1, regexp_extract_all(lower(text), '{greedy(TOKENS[1])}') FROM {side}_text
+            SELECT key, 0 AS form, regexp_extract_all(text, '{token}[^\p{{L}}0-9' || {point} || {comma} || ']*') AS raw FROM {side}_text
+            UNION ALL SELECT key, 1, regexp_extract_all(lower(text), '{token}') FROM {side}_text
+        ), {side}_split AS (
+            SELECT key, form, i, regexp_extract(raw, '^{token}') AS raw, regexp_full_match(raw, '{token}[ \t\n\r]+') AS spaced, form = 0 AND regexp_full_match(regexp_extract(raw, '^{token}'), '\p{{Lu}}\p{{Ll}}+') AS is_name
+            FROM (SELECT key, form, unnest(raw) AS raw, generate_subscripts(raw, 1) AS i FROM {side}_raw)
         ), {side}_token AS (
-            SELECT key, form, unnest(raw) AS raw, generate_subscripts(raw, 1) AS i FROM {side}_raw
+            SELECT key, form, raw, is_name, row_number() OVER (PARTITION BY key, form ORDER BY i) AS i
+            FROM (SELECT *, is_name AND lag(is_name AND spaced, 1, false) OVER (PARTITION BY key, form ORDER BY i) AS goes_on FROM {side}_split) WHERE NOT goes_on
         ), {side}_near AS (
-            SELECT *, regexp_full_match(raw, '[0-9][0-9.,]*') AS is_number, lag(regexp_full_match(raw, '[0-9][0-9.,]*')) OVER (PARTITION BY key, form ORDER BY i) AS after_number FROM {side}_token
+            SELECT *, raw >= '0' AND raw < ':' AS is_number, lag(raw >= '0' AND raw < ':', 1, false) OVER (PARTITION BY key, form ORDER BY i) AS after_number FROM {side}_token
         ), {side}_code AS (
-            SELECT key, form, i, lower(raw) AS value, CASE WHEN is_number THEN '#' WHEN form = 0 AND regexp_full_match(raw, '{greedy(NAME)}') THEN '@'
-                WHEN after_number AND lower(raw) IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '~' ELSE lower(raw) END AS code FROM {side}_near
+            SELECT key, form, i, lower(raw) AS value, CASE WHEN is_number THEN '#' WHEN is_name THEN '@'
+                WHEN after_number AND lower(raw) IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '%' ELSE lower(raw) END AS code FROM {side}_near
         ), {side}_lead AS (
-            SELECT key, form, i, [{", ".join(lead("code"))}] AS codes, [{", ".join(lead("value"))}] AS vals FROM {side}_code WINDOW o AS (PARTITION BY key, form ORDER BY i)
+            SELECT key, form, i, [{lead("code")}] AS codes, [{lead("value")}] AS vals FROM {side}_code WINDOW o AS (PARTITION BY key, form ORDER BY i)
         ), {side}_hits AS (
-            SELECT key, form, i, CASE WHEN literal >= 2 THEN 'T' || form || array_to_string(codes, ' ') ELSE 'V' || form || array_to_string(vals, '|') END AS w,
-                CASE WHEN literal >= 2 THEN list_transform(list_zip(codes, vals), lambda x: CASE WHEN x[1] IN ('#', '@', '~') THEN x[2] END) END AS slots
-            FROM (SELECT *, len(list_filter(codes, lambda c: c NOT IN ('#', '@', '~'))) AS literal FROM {side}_lead WHERE codes[{WINDOW}] IS NOT NULL)
+            SELECT key, form, i, CASE WHEN literal >= 2 THEN 'T' || form || array_to_string(codes, ' ') ELSE 'V' || form || array_to_string(vals, '|') || array_to_string(codes, ' ') END AS w,
+                CASE WHEN literal >= 2 THEN list_transform(list_zip(codes, vals), lambda x: CASE WHEN x[1] IN ('#', '@', '%') THEN x[1] || x[2] END) END AS slots
+            FROM (SELECT *, len(list_filter(codes, lambda c: c NOT IN ('#', '@', '%'))) AS literal FROM {side}_lead WHERE codes[{WINDOW}] IS NOT NULL)
         ), {side}_short AS (
             {" UNION ALL ".join(f"SELECT key, 2 AS form, i, array_to_string(vals[1:{n}], '|') AS w, NULL AS slots FROM {side}_lead WHERE form = 1 AND vals[{n}] IS NOT NULL" for n in range(1, WINDOW))}
         )"""
