@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,11 +34,12 @@ def resolve(names: DataFrame, asked: str, type_rank: dict[str, int] | None = Non
 
 
 def did_you_mean(names: DataFrame, asked: str, n: int = 5, cutoff: float = 0.6) -> DataFrame:
-    """The n names(name) closest to a misspelt one by matching blocks (2 * matched / total letters), cutoff or more.
+    """The n names(name) closest to a misspelt one by matching blocks (2 * matched / total letters), cutoff or more, both as they are compared.
 
     Names whose length alone rules out the cutoff never reach Python; ties go to the greater name.
     """
-    size, want = len(asked), asked
+    want = " ".join(re.split(r"[\s_\-]+", asked.lower())).strip()
+    size, name = len(want), normalised(F.col("name"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
@@ -53,7 +55,7 @@ def did_you_mean(names: DataFrame, asked: str, n: int = 5, cutoff: float = 0.6)
             yield pd.DataFrame(out, columns=["name", "ratio"])
 
     length = F.char_length("name")
-    possible = names.select("name").where(F.col("name").isNotNull() & (2 * F.least(length, F.lit(size)) >= cutoff * (length + size))).distinct()
+    possible = names.select(name.alias("name")).where(F.col("name").isNotNull() & (2 * F.least(length, F.lit(size)) >= cutoff * (length + size))).distinct()
     return possible.mapInPandas(run, "name string, ratio double").orderBy(F.desc("ratio"), F.desc("name")).limit(n)
 
 
@@ -64,10 +66,12 @@ def _count(condition: Column) -> Column:
 def search(texts: DataFrame, query: str, limit: int = 20, width: int = 160) -> DataFrame:
     """id, score and snippet of the best rows of texts(id, name, text) that hold all words of the query.
 
-    A word matches where a word begins with it; it counts 3 in the name, else 1; the whole phrase in the text adds 5.
-    Ties go by id.
+    A word (a run of letters, digits and underscores, two at least) matches where a word begins with it; it counts 3 in the name,
+    else 1; the whole phrase in the text adds 5.  Ties go by id; a query without a word is an error.
     """
-    words = [w for w in query.lower().split() if len(w) > 1]
+    words = [w for w in re.findall(r"\w+", query.lower()) if len(w) > 1]
+    if not words:
+        raise ValueError("the query has no word of two letters or more")
     name, text = F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
     rows, score = texts, F.lit(0)
     for w in words:

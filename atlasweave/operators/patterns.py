@@ -101,10 +101,66 @@ def _edges(graph: Graph, c: Edge | NotEdge) -> DataFrame:
     return found.select(*kept).distinct() if "*" in (c.src, c.dst) or "|" in c.rel else found.select(*kept)
 
 
-def match(graph: Graph, clauses: Sequence, dedup: bool = False, subclasses: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row for each solution, one column for each variable."""
-    rows: DataFrame | None = None
-    for c in clauses:
+def variables(c) -> set[str]:
+    """The variables that a clause names; those of a condition are unknown."""
+    if isinstance(c, (Edge, NotEdge)):
+        return {c.src, c.dst} - {"*"}
+    if isinstance(c, Node):
+        return {c.var}
+    if isinstance(c, (Value, Label)):
+        return {c.var, c.as_}
+    if isinstance(c, Maybe):
+        return set().union(*map(variables, c.clauses))
+    if isinstance(c, Either):
+        return {c.tag}.union(*(variables(x) for b in c.branches.values() for x in b))
+    return set()
+
+
+def _in_order(clauses: Sequence, bound: set[str]) -> list:
+    """The clauses so that each required one shares a variable with those before it.
+
+    An absent edge and a condition come right after the required clauses of their stretch (up to an optional group), as they
+    only test what is bound.  Required clauses without a common variable would pair all their solutions: that is an error.
+    """
+    out, bound, clauses = [], set(bound), list(clauses)
+    while clauses:
+        end = next((i for i, c in enumerate(clauses) if isinstance(c, Maybe)), len(clauses))
+        stretch, tests = [c for c in clauses[:end] if not isinstance(c, (NotEdge, Where))], [c for c in clauses[:end] if isinstance(c, (NotEdge, Where))]
+        while stretch:
+            found = next((c for c in stretch if not bound or bound & variables(c)), None)
+            if found is None:
+                raise ValueError(f"no variable connects {stretch[0]!r} with the clauses before it")
+            stretch.remove(found)
+            out.append(found)
+            bound |= variables(found)
+        for c in tests:
+            if not bound or isinstance(c, NotEdge) and not bound & variables(c):
+                raise ValueError(f"nothing binds the variables of {c!r}")
+        out += tests
+        if end < len(clauses):
+            out.append(clauses[end])
+            bound |= variables(clauses[end])
+        clauses = clauses[end + 1 :]
+    return out
+
+
+def _needs_outer(clauses: Sequence) -> bool:
+    """Whether a group tests what is bound outside of it: it holds a condition, or nothing of its own comes before an absent edge."""
+    own = set().union(*(variables(c) for c in clauses if not isinstance(c, (NotEdge, Where))))
+    return any(isinstance(c, Where) or isinstance(c, NotEdge) and not own & variables(c) for c in clauses)
+
+
+def _within(rows: DataFrame, inner: DataFrame, how: str) -> DataFrame:
+    """rows joined with solutions that hold rows' own columns too, nulls included."""
+    renamed = inner.toDF(*[f"__{c}" if c in rows.columns else c for c in inner.columns])
+    same = [rows[c].eqNullSafe(renamed[f"__{c}"]) for c in rows.columns]
+    return rows.join(renamed, same, how).drop(*[f"__{c}" for c in rows.columns])
+
+
+def match(graph: Graph, clauses: Sequence, dedup: bool = False, subclasses: dict[str, list[str]] | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """One row for each solution, one column for each variable; with bound, solutions that go on from its rows."""
+    rows: DataFrame | None = bound
+    for c in _in_order(clauses, set(bound.columns) if bound is not None else set()):
         if isinstance(c, Node):
             types = sorted({t for name in c.type.split("|") for t in (name, *(subclasses or {}).get(name, ()))})
             rows = _on_shared(rows, graph.nodes_of(types).select(F.col("id").alias(c.var)), "inner")
@@ -117,13 +173,17 @@ def match(graph: Graph, clauses: Sequence, dedup: bool = False, subclasses: dict
         elif isinstance(c, Label):
             rows = _on_shared(rows, (graph.nodes_of(c.type.split("|")) if c.type else graph.nodes).select(F.col("id").alias(c.var), F.col("label").alias(c.as_)), "inner")
         elif isinstance(c, Maybe):
-            rows = _on_shared(rows, match(graph, c.clauses, dedup, subclasses), "left")
+            if rows is not None and _needs_outer(c.clauses):
+                rows = _within(rows, match(graph, c.clauses, True, subclasses, rows.distinct()), "left")
+            else:
+                rows = _on_shared(rows, match(graph, c.clauses, dedup, subclasses), "left")
         elif isinstance(c, Either):
-            parts = [match(graph, b, dedup, subclasses).withColumn(c.tag, F.lit(name)) for name, b in c.branches.items()]
+            outer = rows is not None and any(map(_needs_outer, c.branches.values()))
+            parts = [match(graph, b, dedup or outer, subclasses, rows.distinct() if outer else None).withColumn(c.tag, F.lit(name)) for name, b in c.branches.items()]
             union = parts[0]
             for p in parts[1:]:
                 union = union.unionByName(p, allowMissingColumns=True)
-            rows = _on_shared(rows, union, "inner")
+            rows = _within(rows, union, "inner") if outer else _on_shared(rows, union, "inner")
         elif isinstance(c, Where):
             rows = rows.where(c.condition)
         else:
