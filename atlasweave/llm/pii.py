@@ -8,6 +8,9 @@ dynamic programme over bounded segments chooses boundaries and types jointly, wi
 the segment before.  The field is trained in numpy by stochastic gradient ascent of the conditional
 log-likelihood, on labelled lines that a seeded generator writes.
 
+Bounds of an entity: MAX_GROUPS groups, 60 characters of a number, and 64 and 63 characters of an address's local part and labels, as the
+mail standards have them.
+
 Only stretches around digits or spelled-out signs can hold an entity, so the programme runs over these; all
 steps are linear in the length of a text.  Scanning is one map over whole texts without a shuffle; the
 weights (2^14 numbers) are broadcast.
@@ -85,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 ANY_DIGIT = re.compile("[0-9]")
 RUN = re.compile(r"[+(]{0,2}[0-9](?:[0-9 ().\-/\[\]]*[0-9])?")
 GROUP = re.compile(r"[0-9]+")
-AT, DOT = r"(?:\s?[\[({<]\s?at\s?[\])}>]\s?|\s{1,2}at\s{1,2}|\s?@\s?)", r"(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\s{1,2}dot\s{1,2}|\s?\.\s?)"
+AT, DOT = r"(?:\s?[\[({<]\s?at\s?[\])}>]\s?|\s{1,2}at\s{1,2}|\s?@\s?)", r"(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\s{1,2}dot\s{1,2}| \. |\.)"
 SPELLED_AT = re.compile(AT, re.I)
 ADDRESS_END = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
 ADDRESS_STEP = re.compile(rf"{DOT}[A-Za-z0-9-]{{1,63}}", re.I)

@@ -9,10 +9,10 @@ Vocabulary: the corpus's most frequent lower-case words, by exact counts over al
 hashed buckets, and a third level predicts the word within its bucket: by its share of the bucket's count in all
 documents, with one count more for all unseen words, which are spelled in UTF-8 bytes of equal chance.  So every token is
 predicted whole, and the words that are known grow with the corpus: the next SECOND most frequent ones are looked up in the
-map, all others are joined by Spark.  Training: every partition of the corpus trains its own copy of the network on all its
-documents, in numpy, by adaptive gradient steps from common first weights, and Spark averages the copies row
-by row, weighted by how often a partition saw the row.  So all documents are learned from, what is gathered grows with
-their number, and only the averaged network (fixed size) reaches the driver.
+map, all others are joined by Spark.  Training: the documents are dealt by hash to ROUNDS rounds.  In each, every partition of the corpus
+trains its own copy of the network on its documents of the round, in numpy, by adaptive gradient steps from common weights, and
+Spark averages the copies row by row, weighted by how often a partition saw the row; the next round goes on from there.  So every
+document is learned from once, what is gathered grows with their number, and only the averaged network (fixed size) reaches the driver.
 
 Memory: tokens are processed in blocks of BLOCK, and long texts are split at white space into chunks, whole.
 
@@ -42,12 +42,12 @@ VOCABULARY = CLASSES * PLACES
 SECOND = 1 << 17
 #: Positions of the neighbours; id 0 pads the ends of documents.
 NEIGHBOURS, PAD = (-2, -1, 1, 2), 0
-#: Tokens that are worked on at once in scoring and in a training step, distinct words that a partition counts before it hands them on, characters split at once, words of a worker's cache.
-BLOCK, STEP, COUNTED, CHUNK, CACHE = 1 << 14, 1 << 13, 1 << 18, 1 << 20, 1 << 20
+#: Tokens that are worked on at once in scoring and in a training step, distinct words that a partition counts before it hands them on, characters split at once, bytes of a worker's cache.
+BLOCK, STEP, COUNTED, CHUNK, CACHE = 1 << 14, 1 << 13, 1 << 18, 1 << 20, 1 << 26
 #: What a document hands on for the join.
 REST = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("base", pa.float64()), ("spelled", pa.float64())]))
-#: Step size of the adaptive gradient.
-RATE = 0.08
+#: Step size of the adaptive gradient; rounds, each over its own part of the documents, after which the copies are averaged.
+RATE, ROUNDS = 0.08, 3
 
 
 def chunks(text: str | None) -> Iterator[str]:
@@ -86,11 +86,12 @@ class Ids(dict):
 
     def __init__(self, known: list[str]) -> None:
         super().__init__(zip(known, range(1, len(known) + 1), strict=True))
-        self.known = len(self)
+        self.room = CACHE
 
     def __missing__(self, word: str) -> int:
         found = bucket(word)
-        if len(self) - self.known < CACHE:
+        self.room -= len(word) + 64
+        if self.room > 0:
             self[word] = found
         return found
 
@@ -230,27 +231,38 @@ def train_copy(network: Network, docs: Iterator[np.ndarray]) -> tuple[np.ndarray
     return copy.rows, seen
 
 
-class Spelling(dict):
-    """The third level: log-share of rare words within their bucket, as far as they are known in the map."""
+class Codes(dict):
+    """Codes of words, by one look-up a word: known words, the next most frequent ones, and a code for each bucket of all others.
 
-    def __init__(self, second: dict[str, int], totals: np.ndarray) -> None:
-        logs = np.log(totals + 1.0)
-        super().__init__((w, math.log(n) - logs[bucket(w) - VOCABULARY + BUCKETS]) for w, n in second.items())
-        self.logs = logs
+    ids gives a code's id for the network, shares the log-share within its bucket (the third level): 0 for known words, and nan for
+    the words that have to be joined.
+    """
 
-    def of(self, text: str | None, ids: np.ndarray) -> tuple[float, Counter[str]]:
-        """Summed log-shares of a text's rare words, and those words that have to be joined, with their numbers."""
-        total, rest, at = 0.0, Counter(), 0
+    def __init__(self, known: list[str], second: dict[str, int], totals: np.ndarray) -> None:
+        super().__init__(zip([*known, *second], range(1, len(known) + len(second) + 1), strict=True))
+        self.logs, self.first, self.room = np.log(totals + 1.0), len(self) + 1, CACHE
+        buckets = np.fromiter(map(bucket, second), np.int32, len(second))
+        shares = np.log(np.fromiter(second.values(), np.float64, len(second))) - self.logs[buckets - VOCABULARY + BUCKETS]
+        self.ids = np.concatenate([np.arange(len(known) + 1), buckets, np.arange(VOCABULARY - BUCKETS, VOCABULARY)]).astype(np.int32)
+        self.shares = np.concatenate([np.zeros(len(known) + 1), shares, np.full(BUCKETS, np.nan)])
+
+    def __missing__(self, word: str) -> int:
+        found = self.first + bucket(word) - VOCABULARY + BUCKETS
+        self.room -= len(word) + 64
+        if self.room > 0:
+            self[word] = found
+        return found
+
+    def of(self, text: str | None) -> tuple[np.ndarray, float, Counter[str]]:
+        """Ids of a text, the summed log-shares of its rare words, and those that have to be joined, with their numbers."""
+        ids, total, rest = [np.zeros(0, np.int32)], 0.0, Counter()
         for piece in chunks(text):
             words = piece.split()
-            rare = [words[i] for i in np.flatnonzero(ids[at : at + len(words)] >= VOCABULARY - BUCKETS).tolist()]
-            found = list(map(self.get, rare))
-            if None in found:
-                rest.update(w for w, x in zip(rare, found, strict=True) if x is None)
-                found = [x for x in found if x is not None]
-            total += math.fsum(found)
-            at += len(words)
-        return total, rest
+            codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            ids.append(self.ids[codes])
+            total += float(np.nansum(self.shares[codes]))
+            rest.update(words[i] for i in np.flatnonzero(codes >= self.first).tolist())
+        return np.concatenate(ids), total, rest
 
     def unseen(self, word: str) -> tuple[float, float]:
         """Minus the log of the bucket's count, to which a known word adds the log of its own; and what an unseen word adds: its bytes and their end."""
@@ -298,22 +310,26 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         shares[i + 1] += r.n
         shares[bucket(r.word)] -= r.n
     totals = shares[VOCABULARY - BUCKETS :] - 1
-    first = Network.first(np.maximum(shares, 1) / np.maximum(shares, 1).sum())
-    shared = docs.sparkSession.sparkContext.broadcast((known, first))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network = shared.value
-        ids = Ids(words)
-        rows, seen = train_copy(network, (ids.of(t) for batch in batches for t in batch.column(0).to_pylist()))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), *(pa.array(rows[at, k].astype(np.float64)) for k in range(WIDTH + 1))], ["row", "seen", *(f"w{k}" for k in range(WIDTH + 1))])
-
-    copies = texts.mapInArrow(run, "row long, seen double, " + ", ".join(f"w{k} double" for k in range(WIDTH + 1)))
-    averaged = copies.groupBy("row").agg(*[(F.sum(F.col(f"w{k}") * F.col("seen")) / F.sum("seen")).alias(f"w{k}") for k in range(WIDTH + 1)]).collect()
-    rows = first.rows.copy()  # what no partition saw keeps its first weights
-    for r in averaged:
-        rows[r.row] = r[1:]
-    return Model(known, Network(rows), {r.word: r.n for r in second}, totals, counts)
+    network = Network.first(np.maximum(shares, 1) / np.maximum(shares, 1).sum())
+    fields = [f"w{k}" for k in range(WIDTH + 1)]
+    for part in range(ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast((known, network))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words, start = shared.value
+            ids = Ids(words)
+            rows, seen = train_copy(start, (ids.of(t) for batch in batches for t in batch.column(0).to_pylist()))
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), *(pa.array(rows[at, k].astype(np.float64)) for k in range(WIDTH + 1))], ["row", "seen", *fields])
+
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == part)
+        copies = own.mapInArrow(run, "row long, seen double, " + ", ".join(f"{f} double" for f in fields))
+        averaged = copies.groupBy("row").agg(*[(F.sum(F.col(f) * F.col("seen")) / F.sum("seen")).alias(f) for f in fields]).collect()  # a network's rows at most
+        rows = network.rows.copy()  # what no partition saw keeps its weights
+        for r in averaged:
+            rows[r.row] = r[1:]
+        network = Network(rows)
+    return Model(known, network, {r.word: r.n for r in second}, totals, counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,18 +338,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, network, second, totals = shared.value
-        ids, spelling, model = Ids(known), Spelling(second, totals), Model(known, network)
+        codes, model = Codes(known, second, totals), Model(known, network)
         for batch in batches:
             spelled: list[tuple[float, Counter[str]]] = []
 
             def of(text: str | None, spelled: list = spelled) -> np.ndarray:
-                found = ids.of(text)
-                spelled.append(spelling.of(text, found))
-                return found
+                ids, *shares = codes.of(text)
+                spelled.append(shares)
+                return ids
 
             found = list(model.score(of(t) for t in batch.column(1).to_pylist()))
             n, sums = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found]) + np.array([x[0] for x in spelled])
-            rest = pa.array([[{"word": w, "times": k, "base": (u := spelling.unseen(w))[0], "spelled": u[1]} for w, k in x[1].items()] for x in spelled], REST)
+            rest = pa.array([[{"word": w, "times": k, "base": (u := codes.unseen(w))[0], "spelled": u[1]} for w, k in x[1].items()] for x in spelled], REST)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums, pa.float64()), rest], ["doc_id", "n_words", "known", "rest"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,7 +1,8 @@
 """Secret scanning: regular expressions propose candidates, a random forest removes false positives.
 
 Candidates of a whole text are runs of 16 or more key characters with a digit or inner change of case, and
-values of 8 or more characters that are assigned to a name, whole and in their parts between ?, &, @, = and : (as in URLs).
+values of 8 or more characters that are assigned to a name, whole and in their parts between ?, &, @, = and : (as in URLs); a value
+that is assigned to the name of a secret may be of small letters only.
 The forest judges each by its length, its
 character classes and transitions, how much of it dictionary words cover, whether it stands in a path, and the
 words beside it.  It is trained in numpy from labelled findings: a DataFrame of the user's (at most
@@ -51,6 +52,8 @@ DICTIONARY = (
     "your here changeme insert dummy password secret token public private der die das und nicht ein eine les des une pour que los las "
     "una para por con del como ing tion ment ation heit keit ung schaft able ness ship less ful"
 ).split()
+#: Words of generated pass phrases.
+PHRASE = "apple basket candle desert engine flower garden hammer island jacket kettle ladder marble needle orange pepper rabbit silver tunnel window yellow zebra quick brown horse river stone cloud tiger lemon".split()
 #: Neighbouring words that speak for a secret, and those that speak against.
 SECRET_WORDS = re.compile(r"token|secret|passw|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[ _]key|client[_-]?key|signing|aws_|ssh-|webhook", re.I)
 BENIGN_WORDS = re.compile(r"commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|revision|isbn|build|version|integrity|trace|request[_-]?id|example|sample|placeholder|your[_-]|image|data:|href|src=|font|cache|order|invoice|phone|card|parcel|serial", re.I)
@@ -87,7 +90,8 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
         return []
     values = [m.span(1) for m in ASSIGNED.finditer(text)]
     found = {*values, *(m.span() for v in values for m in PART.finditer(text, *v)), *(m.span() for m in KEY_RUN.finditer(text))}
-    return sorted((s for s in found if MIXED.search(text, *s)), key=lambda s: (s[0], -s[1]))
+    named = {v for v in values if SECRET_WORDS.search(text, max(0, v[0] - 28), v[0])}
+    return sorted((s for s in found if s in named or MIXED.search(text, *s)), key=lambda s: (s[0], -s[1]))
 
 
 def features(text: str, start: int, end: int) -> list[float]:
@@ -145,6 +149,7 @@ def generated_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nd
             (f"Authorization: Bearer ", v),
             (f"{pick(*secret_names)} {pick('is', 'was', '')} ".replace("  ", " "), v),
             (f"{pick(*secret_names)}{pick(' = ', '=')}{pick(chr(34), '')}", name(1) + draw("b62", int(rng.integers(4, 10))) + pick("", "!", "#7")),
+            (f"{pick(*secret_names)}{pick(' = ', '=', ': ')}{pick(chr(34), '')}", pick("", "", "-").join(pick(*PHRASE) for _ in range(int(rng.integers(3, 6))))),
             (f"{prose(2)} ", pick("AKIA" + draw("up", 16), "ghp_" + draw("b62", 36), "sk-" + draw("b62", 40), draw("b62", 40))),
         )
 
@@ -155,6 +160,7 @@ def generated_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nd
             ("id ", "-".join(draw("hex", k) for k in (8, 4, 4, 4, 12))),
             (pick("/usr/share/", "https://host.example.com/", "src/", "C:\\\\data\\\\"), "/".join(name(2) for _ in range(3)) + draw("num", 2)),
             (f"{pick('x', 'label', 'name', 'class', 'href', 'title')}{pick(' = ', '=', ': ')}{pick(chr(34), '')}", name(3) + pick("", draw("num", 2))),
+            (f"{pick(*secret_names)}{pick(' = ', '=', ': ')}{pick(chr(34), '')}", pick("required", "optional", "disabled", "undefined", "unlimited", "password_hash", "user_password", "your_password_here", "get_token", "encrypted", "settings.secret", name(2).lower())),
             (f"{pick(*secret_names)} = \"", pick("your_token_here_" + draw("num", 2), "xxxxxxxxxxxxxxxx1", "changeme12345678", "example_password_1", "0" * 32)),
             (prose(1) + " ", name(4) + draw("num", 1)),
             (prose(1) + " ", pick(draw("hex", 40), draw("hex", 64))),

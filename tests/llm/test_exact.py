@@ -76,6 +76,26 @@ def test_token_counts_equal_the_library(spark, monkeypatch, table_size):
     assert token_counts.count_tokens(spark.createDataFrame([], DOCS), path, 1).count() == 0
 
 
+def test_token_counts_of_texts_beyond_latin_1_use_the_table(monkeypatch):
+    path = queries.vocabulary("word_bpe_49k.json")
+    library, rng = token_counts.load(path), random.Random(6)
+    words = ["“Hello”", "don’t", "naïve—yes", "日本語", "Σίσυφος", "e\u0301tude", "£12€", "WORLD", "<|ENDOFTEXT|>", "<|endoftext|>x", "a\u00a0b", "\u2028", "x\x1cy", "ﬁn", "İstanbul", "the", "\U0001f600!"]
+    simple = token_counts._Lengths({"the": 1, "hello": 1, "world": 1, "don": 1}, library)
+    every = token_counts._AnyLengths(simple, ["<|startoftext|>", "<|endoftext|>"])
+    for _ in range(300):
+        text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(rng.randrange(1, 12)))
+        assert sum(every[c] for c in token_counts.WHITE.split(text) if c) == len(library.encode(text, add_special_tokens=False).ids), text
+    encoded = []
+    every.clear()
+    every.tokenize = lambda part: encoded.append(part) or simple.tokenize(part)
+    assert every["“hello”"] == 5 and len(encoded) == 2  # the quotes; the word is in the table
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 1000)
+    small = token_counts._Lengths({}, library)
+    for k in range(200):
+        assert small[f"word{k}"] == len(library.encode(f"word{k}", add_special_tokens=False).ids)
+    assert len(small) < 12 and small["y" * 300] and "y" * 300 not in small
+
+
 def test_tightest_window_and_best_fit_decreasing():
     rng = random.Random(1)
     tree, rooms = packing.CapacityTree(64), []

@@ -1,5 +1,6 @@
 """Scoring, language, personal data and secrets: held-out accuracy, gradients and edge cases."""
 
+import math
 import random
 import re
 
@@ -217,3 +218,92 @@ def test_forest_from_the_users_findings(spark):
     rows = [(f"a {i:016x}b", 2, 19, 1) for i in range(60)] + [(f"z {i:016d}c", 2, 19, 0) for i in range(60)] + [(None, 0, 1, 1)]
     findings = spark.createDataFrame(rows, "text string, start int, end int, label int")
     assert secrets.train(findings).trees and not secrets.train(findings.limit(0)).trees
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """Every probability of a small corpus, word by word from the weights and counts, without the operator's arrays."""
+    from collections import Counter as Count
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("the of and Stone river zebra quokka axolotl".split()) for _ in range(rng.randrange(0, 12))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = pseudo_likelihood.train(docs)
+    counts = Count(w for t in texts for w in t.lower().split())
+    other = spark.createDataFrame([(1, "the zebra sleeps of The Stone"), (2, "river"), (3, "quokka the the unknownword axolotl")], "doc_id long, text string")
+    P, W = pseudo_likelihood, model.network.rows.astype(float)
+    number = {w: i + 1 for i, w in enumerate(model.known)}
+    totals = Count(P.bucket(w) for w in counts if w not in number for _ in range(counts[w]))
+
+    def log_softmax(logits, at):
+        top = max(logits)
+        return logits[at] - top - math.log(sum(math.exp(x - top) for x in logits))
+
+    def score(text):
+        words = text.lower().split()
+        ids, total = [number.get(w, P.bucket(w)) for w in words], 0.0
+        for k, (i, w) in enumerate(zip(ids, words, strict=True)):
+            h = [W[P.Network.INNER][d] + sum(W[ids[k + o]][d] * W[P.Network.SCALES + n][d] for n, o in enumerate(P.NEIGHBOURS) if 0 <= k + o < len(ids)) for d in range(P.WIDTH)]
+            h = [math.tanh(x) for x in h] + [1.0]
+            logit = lambda row: sum(a * b for a, b in zip(h, W[row], strict=True))
+            total += log_softmax([logit(P.Network.CLASS + c) for c in range(P.CLASSES)], i // P.PLACES)
+            total += log_softmax([logit(P.Network.PLACE + i // P.PLACES * P.PLACES + p) for p in range(P.PLACES)], i % P.PLACES)
+            if w not in number:
+                share = math.log(counts[w]) if w in counts else -(len(w) + 1) * math.log(257)
+                total += share - math.log(totals[i] + 1)
+        return total
+
+    for r in pseudo_likelihood.score(other, model).collect():
+        text = {1: "the zebra sleeps of The Stone", 2: "river", 3: "quokka the the unknownword axolotl"}[r.doc_id]
+        assert abs(r.log_prob - score(text)) < 1e-3 * max(1, abs(r.log_prob))
+
+
+def test_language_scores_equal_a_plain_loop(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs, F.lit(False))
+
+    def bucket(gram):
+        h = ord(gram[0]) * 2654435761 % 2**32
+        for c in gram[1:]:
+            h = ((h ^ h >> 15) * 2246822519 + ord(c) * 3266489917) % 2**32
+        return h >> 18
+
+    texts = ["Ça va bien?", "the Straße of ñandú", "x", "a\u4e2d\U0001f600b"]
+    for text in texts:
+        low = text.lower()
+        grams = [low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)]
+        logits = [sum(model.table[bucket(g), k] for g in grams) / len(grams) + model.bias[k] for k in range(len(model.langs))]
+        e = [math.exp((x - max(logits)) / model.temperature) for x in logits]
+        lang, score, rejected = model.predict(text)
+        assert lang == model.langs[logits.index(max(logits))] and abs(score - max(e) / sum(e)) < 1e-9 and rejected == (score < model.threshold)
+
+
+def test_field_equals_enumeration():
+    """The best segmentation of short stretches by trying every set of segments that don't overlap."""
+    from itertools import combinations
+
+    weights = pii.train(300, 2)
+    for text, _ in pii.generated_lines(150, 99):
+        found = sorted(set(pii.segments(text, 0, len(text))))
+        if not 0 < len(found) <= 11:
+            continue
+        own = {s: float(weights[pii.features(text, *s)].sum()) for s in found}
+        best = 0.0
+        for n in range(1, 4):
+            for chosen in combinations(found, n):
+                if all(a[1] <= b[0] for a, b in zip(chosen, chosen[1:], strict=False)):
+                    after = sum(float(weights[pii.after_entity(b[2])]) for a, b in zip(chosen, chosen[1:], strict=False) if a[1] == b[0])
+                    best = max(best, sum(own[s] for s in chosen) + after)
+        got = [(a, b, k) for a, k, b in pii.best_segments(text, 0, len(text), weights)]
+        after = sum(float(weights[pii.after_entity(b[2])]) for a, b in zip(got, got[1:], strict=False) if a[1] == b[0])
+        assert len(got) > 3 or abs(sum(own[s] for s in got) + after - best) < 1e-9
+
+
+@pytest.mark.parametrize("text, values", [("password = correcthorsebatterystaple", 1), ("api_key: quietrivermeadowstone and more", 1), ("the password: required for all", 0), ("token = optional", 0), ("client_secret=your_password_here", 0)])
+def test_secrets_of_small_letters(text, values):
+    assert len(secrets.secrets_of(text, secrets.train())[1]) == values
+
+
+def test_no_false_spans_in_plain_prose(sf_dir):
+    weights = pii.train()
+    assert pii.find("n th, the haly th at thhablewh. Es and so on, meet at noon. De", weights)[1] == []
+    assert [s[1] for s in pii.find("write to jane dot doe at mail dot example dot org today", weights)[1]] == [0]
