@@ -44,8 +44,6 @@ SECOND = 1 << 17
 NEIGHBOURS, PAD = (-2, -1, 1, 2), 0
 #: Tokens that are worked on at once in scoring and in a training step, distinct words that a partition counts before it hands them on, characters split at once, bytes of a worker's cache.
 BLOCK, STEP, COUNTED, CHUNK, CACHE = 1 << 14, 1 << 13, 1 << 18, 1 << 20, 1 << 26
-#: What a document hands on for the join.
-REST = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("base", pa.float64()), ("spelled", pa.float64())]))
 #: Step size of the adaptive gradient; rounds, each over its own part of the documents, after which the copies are averaged.
 RATE, ROUNDS = 0.08, 3
 
@@ -234,8 +232,8 @@ def train_copy(network: Network, docs: Iterator[np.ndarray]) -> tuple[np.ndarray
 class Codes(dict):
     """Codes of words, by one look-up a word: known words, the next most frequent ones, and a code for each bucket of all others.
 
-    ids gives a code's id for the network, shares the log-share within its bucket (the third level): 0 for known words, and nan for
-    the words that have to be joined.
+    ids gives a code's id for the network, shares the log-share within its bucket (the third level): 0 for known words, and for the
+    words that have to be joined minus the log of the bucket's count, to which the join adds the log of the word's own.
     """
 
     def __init__(self, known: list[str], second: dict[str, int], totals: np.ndarray) -> None:
@@ -244,7 +242,7 @@ class Codes(dict):
         buckets = np.fromiter(map(bucket, second), np.int32, len(second))
         shares = np.log(np.fromiter(second.values(), np.float64, len(second))) - self.logs[buckets - VOCABULARY + BUCKETS]
         self.ids = np.concatenate([np.arange(len(known) + 1), buckets, np.arange(VOCABULARY - BUCKETS, VOCABULARY)]).astype(np.int32)
-        self.shares = np.concatenate([np.zeros(len(known) + 1), shares, np.full(BUCKETS, np.nan)])
+        self.shares = np.concatenate([np.zeros(len(known) + 1), shares, -self.logs])
 
     def __missing__(self, word: str) -> int:
         found = self.first + bucket(word) - VOCABULARY + BUCKETS
@@ -260,14 +258,10 @@ class Codes(dict):
             words = piece.split()
             codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
             ids.append(self.ids[codes])
-            total += float(np.nansum(self.shares[codes]))
-            rest.update(words[i] for i in np.flatnonzero(codes >= self.first).tolist())
+            total += float(self.shares[codes].sum())
+            rest.update([words[i] for i in np.flatnonzero(codes >= self.first).tolist()])
         return np.concatenate(ids), total, rest
 
-    def unseen(self, word: str) -> tuple[float, float]:
-        """Minus the log of the bucket's count, to which a known word adds the log of its own; and what an unseen word adds: its bytes and their end."""
-        return -self.logs[bucket(word) - VOCABULARY + BUCKETS], -(len(word.encode("utf-8", "surrogatepass")) + 1) * math.log(257)
-
 
 @dataclass
 class Model:
@@ -349,16 +343,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
             found = list(model.score(of(t) for t in batch.column(1).to_pylist()))
             n, sums = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found]) + np.array([x[0] for x in spelled])
-            rest = pa.array([[{"word": w, "times": k, "base": (u := codes.unseen(w))[0], "spelled": u[1]} for w, k in x[1].items()] for x in spelled], REST)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums, pa.float64()), rest], ["doc_id", "n_words", "known", "rest"])
+            rest = [x[1] for x in spelled]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rest])]), pa.int32())
+            rare = pa.StructArray.from_arrays([pa.array([w for x in rest for w in x], pa.string()), pa.array([k for x in rest for k in x.values()], pa.int64())], ["word", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(ends, rare)], ["doc_id", "n_words", "known", "rest"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, n_words long, known double, rest array<struct<word string, times long, base double, spelled double>>")
+    rows = rows.mapInArrow(run, "doc_id long, n_words long, known double, rest array<struct<word string, times long>>")
     if model.counts is None:
         raise ValueError("the model has no counts of words")
     rows = cut_lineage(rows).withColumn("row", F.monotonically_increasing_id())
     # one row for each rare word and document; a word's rows need no texts
     words = rows.select("row", F.explode("rest").alias("x")).select("row", "x.*").join(model.counts, "word", "left")
-    added = words.groupBy("row").agg(F.sum(F.col("times") * (F.col("base") + F.coalesce(F.log("n"), F.col("spelled")))).alias("added"))
+    unseen = -(F.octet_length("word") + 1) * math.log(257)  # the word's bytes and their end
+    added = words.groupBy("row").agg(F.sum(F.col("times") * F.coalesce(F.log("n"), unseen)).alias("added"))
     log_prob = F.col("known") + F.coalesce("added", F.lit(0.0))
     return rows.drop("rest").join(added, "row", "left").select("doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))
