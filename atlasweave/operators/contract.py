@@ -27,8 +27,10 @@ def term_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """term, change and severity for terms(term, kind, domain array, range array, inverse, label, definition).
 
     A removed term, another kind, or a domain or range that loses a member breaks users; a new term, a widened
-    domain or range, or another inverse adds; another label or definition is cosmetic.
+    domain or range, or another inverse adds; another label or definition is cosmetic.  If both have a column parents (array):
+    other superclasses of a class break, other superproperties of a property add.
     """
+    parents = "parents" in old.columns and "parents" in new.columns
     both = _both(old, new, ["term"])
     out = (lambda change, severity, condition: F.when(condition, F.struct(F.lit(change).alias("change"), F.lit(severity).alias("severity"))))
     there = F.col("old").isNotNull() & F.col("new").isNotNull()
@@ -41,6 +43,9 @@ def term_changes(old: DataFrame, new: DataFrame) -> DataFrame:
         out("inverse", ADDITIVE, there & _differs("inverse")),
         *[out(n, COSMETIC, there & _differs(n)) for n in ("label", "definition")],
     ]
+    if parents:
+        other = there & ~F.array_sort(F.coalesce("old.parents", F.array().cast("array<string>"))).eqNullSafe(F.array_sort(F.coalesce("new.parents", F.array().cast("array<string>"))))
+        found += [out("superclass", BREAKING, other & (F.col("new.kind") == "class")), out("subproperty", ADDITIVE, other & ~F.col("new.kind").eqNullSafe("class"))]
     return both.select("term", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c")).select("term", "c.*")
 
 

@@ -68,6 +68,23 @@ def test_requirements(spark):
     assert found == {"id": ("string", True, None, None), "kind": ("any", False, "a,b", None), "parts": ("array", True, None, None), "parts[]": ("object", True, None, None), "parts[].n": ("integer", True, None, None), "why": ("any", True, None, "kind=a")}
     facts = spark.createDataFrame([("one", "id"), ("one", "parts.x.n"), ("two", "kind")], "scope string, fact string")
     assert {tuple(r) for r in requirements.missing(facts, requirements.requirements(spark, SCHEMA)).collect()} == {("two", "id"), ("two", "parts")}
+    facts = spark.createDataFrame([("one", None), ("two", "id"), ("two", "id"), ("two", "parts")], "scope string, fact string")
+    assert {tuple(r) for r in requirements.missing(facts, requirements.requirements(spark, SCHEMA)).collect()} == {("one", "id"), ("one", "parts")}
+    assert requirements.missing(facts, requirements.requirements(spark, {"properties": {"a": {}}})).count() == 0
+
+
+def test_references_of_a_schema():
+    tree = {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "children": {"type": "array", "items": {"$ref": "#/$defs/tree"}}}}
+    schema = {"required": ["top"], "properties": {"top": {"$ref": "#/$defs/tree", "type": "map"}}, "$defs": {"tree": tree}}
+    assert [(r[0], r[1], r[2]) for r in requirements.flatten(schema)] == [("top", "map", True), ("top.name", "string", True), ("top.children", "array", False), ("top.children[]", "object", False)]
+
+
+def test_other_parents(spark):
+    schema = "term string, kind string, domain array<string>, range array<string>, inverse string, label string, definition string, parents array<string>"
+    row = lambda term, kind, parents: (term, kind, None, None, None, "l", "d", parents)
+    old = spark.createDataFrame([row("a", "class", ["x", "y"]), row("b", "class", ["x"]), row("p", "object", None)], schema)
+    new = spark.createDataFrame([row("a", "class", ["y", "x"]), row("b", "class", None), row("p", "object", ["q"])], schema)
+    assert {tuple(r) for r in contract.term_changes(old, new).collect()} == {("b", "superclass", "breaking"), ("p", "subproperty", "additive")}
 
 
 def test_folders_become_facts(spark, tmp_path):

@@ -151,6 +151,18 @@ def test_projection_keeps_childless_parents(spark, graph):
     assert [(r.id, [x.id for x in r.reads]) for r in found] == [("a", ["c"]), ("e", [])]
 
 
+def test_projection_filters_sorts_and_takes_the_first(graph):
+    follow = projection.Follow
+    reads = lambda **more: [[(x.id, x.format) for x in r.reads] for r in projection.project(graph, "OcrStep", (follow("reads", "reads", attrs=("format",), **more),)).collect()]
+    assert reads() == [[("c", "json"), ("d", None)]]
+    assert reads(sort=("format",)) == [[("d", None), ("c", "json")]]
+    assert reads(where=(("format", "=", "json"),)) == [[("c", "json")]]
+    assert reads(where=(("format", "!=", "json"),)) == [[("d", None)]]
+    assert reads(where=(("format", "=", "none"),)) == [[]]
+    found = projection.project(graph, "Step", (follow("reads", "reads", first=True), follow("none", "none", optional=True)), attrs=("kind",)).orderBy("id").collect()
+    assert [(r.id, r.kind, r.reads and r.reads.id) for r in found] == [("a", "x", "c"), ("e", None, None)] and "none" not in found[0]
+
+
 def test_prefixes_mentions_and_ranges(spark):
     names = spark.createDataFrame([("a.b.c",), ("a.bb",), ("q",)], "name string")
     known = spark.createDataFrame([("a",), ("a.b",), ("a.bb.c",)], "prefix string")
