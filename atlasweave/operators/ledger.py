@@ -2,7 +2,9 @@
 
 changes(scope, revision, at, effective, fact, kind, value): kind is baseline, added, changed or removed; at is when a
 revision was known, effective (default: at) from when it holds.  Replay applies revisions in the order of their numbers,
-not of their effective dates.  Everything is a partial aggregation or a window by (scope, fact), so no scope's whole history meets in one task.
+not of their effective dates.  Replay and diff are partial aggregations
+and windows by (scope, fact), so no scope's whole history meets in one task; integrity orders a scope's revisions (one row each)
+and lifecycle its log entries in one task.
 """
 
 from __future__ import annotations
