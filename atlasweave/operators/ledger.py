@@ -48,10 +48,10 @@ def apply_diff(before: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(changes.where("kind <> 'removed'").select("scope", "fact", F.col("new").alias("value")))
 
 
-def next_revision(changes: DataFrame, current: DataFrame, by: str, why: str | None, at: str) -> DataFrame:
+def next_revision(changes: DataFrame, current: DataFrame, by: str, why: str | None, at: str, effective: str | None = None) -> DataFrame:
     """Rows to append so that replay gives the current facts: a baseline for a new scope, else the diff.
 
-    Refuses (ValueError) an anonymous author, and a changed or removed fact without a reason.
+    It holds from effective (default: at).  Refuses (ValueError) an anonymous author, and a changed or removed fact without a reason.
     """
     if not by or by.startswith("<"):
         raise ValueError("name the person who makes the revision")
@@ -61,11 +61,23 @@ def next_revision(changes: DataFrame, current: DataFrame, by: str, why: str | No
     numbers = changes.groupBy("scope").agg(F.max("revision").alias("last"))
     rows = pending.join(numbers, "scope", "left")
     return rows.select(
-        "scope", (F.coalesce("last", F.lit(0)) + 1).alias("revision"), F.lit(at).cast("timestamp").alias("at"), F.lit(at).cast("timestamp").alias("effective"), F.lit(by).alias("by"), F.lit(why).alias("why"),
+        "scope", (F.coalesce("last", F.lit(0)) + 1).alias("revision"), F.lit(at).cast("timestamp").alias("at"), F.lit(effective or at).cast("timestamp").alias("effective"), F.lit(by).alias("by"), F.lit(why).alias("why"),
         "fact", F.when(F.col("last").isNull(), "baseline").otherwise(F.col("kind")).alias("kind"), F.col("old").alias("previous"), F.col("new").alias("value"),
     )
 
 
+def accept(changes: DataFrame, current: DataFrame, findings: DataFrame, by: str, why: str | None, at: str, effective: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows to append for the scopes that current has and no finding stands against, and the refused scopes with their number of findings.
+
+    findings(scope, severity) are those of validation and of the shapes; errors and violations refuse a scope, others don't.  Scopes that
+    current doesn't have are left as they are, and a scope without changes adds nothing.
+    """
+    asked = current.select("scope").distinct()
+    refused = findings.where(F.lower("severity").isin("error", "violation")).groupBy("scope").agg(F.count("*").alias("findings")).join(asked, "scope", "left_semi")
+    good = asked.join(refused, "scope", "left_anti")
+    return next_revision(changes.join(good, "scope", "left_semi"), current.join(good, "scope", "left_semi"), by, why, at, effective), refused
+
+
 def last_set(changes: DataFrame) -> DataFrame:
     """scope, fact, value and since: from when the current value has held (a baseline that repeats the value sets nothing anew)."""
     order = Window.partitionBy("scope", "fact").orderBy("revision")
@@ -103,6 +115,12 @@ def lifecycle(log: DataFrame, stages: list[str]) -> DataFrame:
     return rows.withColumn("problem", problem).where("problem IS NOT NULL").select("scope", "seq", "status", "problem")
 
 
+def unfrozen(log: DataFrame, releases: DataFrame, stage: str = "in_production") -> DataFrame:
+    """Scopes whose log ends at a stage that needs a frozen release, without one among releases(scope, frozen)."""
+    last = current_status(log).where(F.col("status") == stage)
+    return last.join(releases.where("frozen"), "scope", "left_anti").select("scope", "seq", "status", F.lit("needs a frozen release").alias("problem"))
+
+
 def current_status(log: DataFrame) -> DataFrame:
     """The last entry of each scope's log."""
     return log.groupBy("scope").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))

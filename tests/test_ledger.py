@@ -74,6 +74,19 @@ def test_lifecycle_rules(spark):
     df = spark.createDataFrame(log, "scope string, seq int, at timestamp, status string")
     assert {(r.scope, r.problem) for r in ledger.lifecycle(df, stages).collect()} == {("a", "skips a status"), ("b", "first status"), ("c", "time goes back"), ("e", "unknown status")}
     assert {r.scope: r.status for r in ledger.current_status(df).collect()}["d"] == "inception"
+    releases = spark.createDataFrame([("a", False), ("a", None), ("c", True), ("z", True)], "scope string, frozen boolean")
+    assert [(r.scope, r.seq, r.status) for r in ledger.unfrozen(df, releases, "checked").collect()] == [("a", 2, "checked")]
+    assert ledger.unfrozen(df, releases, "saved").where("scope = 'c'").count() == 0
+
+
+def test_only_scopes_without_violations_are_accepted(spark):
+    log = spark.createDataFrame([(s, 1, DAY(1), None, "a", "baseline", None, "1") for s in ("good", "bad", "absent")], CHANGES)
+    now = spark.createDataFrame([("good", "a", "2"), ("bad", "a", "2"), ("new", "a", "1")], "scope string, fact string, value string")
+    findings = spark.createDataFrame([("bad", "Violation"), ("bad", "error"), ("good", "Warning"), ("new", None), ("other", "error")], "scope string, severity string")
+    rows, refused = ledger.accept(log, now, findings, "someone", "because", "2024-02-02", "2024-03-01")
+    assert {(r.scope, r.revision, r.fact, r.kind, r.previous, r.value) for r in rows.collect()} == {("good", 2, "a", "changed", "1", "2"), ("new", 1, "a", "baseline", None, "1")}
+    assert {str(r.effective)[:10] for r in rows.collect()} == {"2024-03-01"}
+    assert [tuple(r) for r in refused.collect()] == [("bad", 2)]
 
 
 def test_last_set(spark):
