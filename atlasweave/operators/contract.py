@@ -49,6 +49,24 @@ def term_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("term", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c")).select("term", "c.*")
 
 
+def notes_changed(old: DataFrame, new: DataFrame, key: str = "term") -> DataFrame:
+    """key, change and severity (always cosmetic) of what is in both versions, for tables (key, rationale, alternatives, validated_by, validated_on).
+
+    A rationale counts as recorded where there was none, else as changed; other validators or dates count as validated, or
+    as withdrawn if nobody stands there any more.
+    """
+    both = _both(old, new, [key]).where("old IS NOT NULL AND new IS NOT NULL")
+    why = F.when(_differs("rationale") | _differs("alternatives"), F.when(F.col("old.rationale") != "", "rationale changed").otherwise("rationale recorded"))
+    seen = F.when(_differs("validated_by") | _differs("validated_on"), F.when(F.col("new.validated_by") != "", "validated").otherwise("validation withdrawn"))
+    return both.select(key, F.explode(F.array_compact(F.array(why, seen))).alias("change"), F.lit(COSMETIC).alias("severity"))
+
+
+def by_severity(changes: DataFrame, *then: str) -> DataFrame:
+    """Changes in order: breaking, additive, cosmetic, then any other severity, then by the named columns."""
+    rank = F.array_position(F.array(*map(F.lit, (BREAKING, ADDITIVE, COSMETIC))), F.col("severity"))
+    return changes.orderBy(F.when(rank > 0, rank).asc_nulls_last(), *then)
+
+
 def shape_changes(old: DataFrame, new: DataFrame, new_classes: DataFrame | None = None) -> DataFrame:
     """shape, change and severity for shapes(shape, target, constraint, argument, level, message).
 

@@ -60,6 +60,16 @@ def test_unconfirmed(spark):
     assert {tuple(r) for r in found.collect()} == {("b", "no date"), ("c", "no person"), ("d", "not a date"), ("e", "not a date")}
 
 
+def test_notes_and_the_order_of_changes(spark):
+    schema = "term string, rationale string, alternatives string, validated_by string, validated_on string"
+    old = [("a", None, None, None, None), ("b", "r", "x", "p", "2024-01-01"), ("c", "r", None, "p", "2024-01-01"), ("d", None, None, None, None), ("gone", "r", None, None, None)]
+    new = [("a", "r", None, None, None), ("b", "r", "y", None, None), ("c", "r", None, "p", "2024-02-01"), ("d", None, None, None, None), ("new", "r", None, None, None)]
+    found = contract.notes_changed(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
+    assert {tuple(r) for r in found.collect()} == {("a", "rationale recorded", "cosmetic"), ("b", "rationale changed", "cosmetic"), ("b", "validation withdrawn", "cosmetic"), ("c", "validated", "cosmetic")}
+    changes = [("x", "cosmetic"), ("z", "breaking"), ("y", "odd"), ("a", "breaking"), ("b", "additive")]
+    assert [r.term for r in contract.by_severity(spark.createDataFrame(changes, "term string, severity string"), "term").collect()] == ["a", "z", "b", "x", "y"]
+
+
 SCHEMA = {"type": "object", "required": ["id", "parts"], "properties": {"id": {"type": "string", "pattern": "^x"}, "kind": {"enum": ["a", "b"]}, "parts": {"type": "array", "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}}}}}, "if": {"properties": {"kind": {"const": "a"}}}, "then": {"required": ["why"]}}
 
 
