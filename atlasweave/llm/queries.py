@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_folder, table
 
 
 def vocabulary(name: str) -> str:
@@ -81,6 +82,45 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), train())
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dual_tree import cluster, members
+
+    return members(cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64, scale=1024))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .id_files import read_documents, write_ids
+
+    folder = f"{shared_folder(spark)}/ids-{uuid4().hex}"
+    write_ids(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=2)
+    return read_documents(spark, folder)
+
+
+def _lloyd_sql(k: int, rounds: int, seed: int, dims: int) -> str:
+    """Lloyd's rounds of op11 one after the other, on rows (vector, place, component)."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM kept)",
+        f"first AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) <= {k})",
+        "c0 AS MATERIALIZED (SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS p FROM first)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"d{i} AS (SELECT r, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM x JOIN c{i} USING (p) GROUP BY ALL)")
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        steps.append(f"m{i} AS (SELECT c, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS y FROM x JOIN a{i} USING (r) GROUP BY ALL)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, p, coalesce(m.y, o.y) AS y FROM c{i} o LEFT JOIN m{i} m USING (c, p))")
+    return f"""WITH {", ".join(steps)}, named AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY ALL)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN named USING (c)"""
+
+
 def _windows_sql(side: str, rows: str) -> str:
     """Common table expressions for the windows of one side of op2; rows is a query for key and text."""
     from .decontamination import UNITS, WINDOW
@@ -119,7 +159,7 @@ def _windows_sql(side: str, rows: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op8_pii, op9_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_top_k, op4_language_id, op5_token_counts, op6_packing, op7_sharding, op8_pii, op9_simhash, op10_secrets, op11_centroid_clustering, op12_ranked_search, op13_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -167,4 +207,19 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
             )
             SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+        "op11_centroid_clustering": _lloyd_sql(k=8, rounds=10, seed=3, dims=64),
+        "op12_ranked_search": r"""
+            WITH words AS (
+                SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL
+            ), docs AS (SELECT d, doc_id, t, len(t) AS n FROM words WHERE len(t) > 0
+            ), size AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+            ), tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(t) AS term FROM docs) GROUP BY ALL
+            ), weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term, docs
+            ), items AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+            ), asked AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items
+            ), scored AS (
+                SELECT i, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+                FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN docs USING (d), size GROUP BY ALL
+            ), ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+            SELECT * FROM ranked WHERE rank <= 50""",
     }
