@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_SIMPLE, byte_letters, numbered, sized
-from .token_counts import CACHE_BYTES, CACHED, WHITE, load, pre_token_pattern
+from .token_counts import CACHED, WHITE, load, pre_token_pattern
 
 #: Ids of a block, ids after which a segment ends with its document, and the share of a block's ids that its width takes.
 BLOCK, SEGMENT, PERCENT = 1 << 10, 1 << 17, 90
+#: Bytes of a worker's cache of chunks; that of words has half of it, that of chunks with other than simple characters a quarter.
+CACHE_BYTES = 3 << 25
 #: A block's head: least id, number of ids, number of exceptions, width in bits.
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("outliers", "<u2"), ("width", "u1")])
 SCHEMA = "part int, segment int, first long, n_ids long, starts array<int>, blocks binary, doc_ids array<long>, doc_tokens array<long>"
@@ -100,39 +102,58 @@ def decode(starts: list[int], blocks: bytes) -> np.ndarray:
     return np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
 
 
-class _Ids(dict):
-    """Ids (as bytes) of a chunk without white space, kept in a cache of bounded bytes.
+class _Kept(dict):
+    """What a function gives for a string, remembered within a number of bytes, beyond which it starts anew."""
+
+    def __init__(self, make: Callable[[str], bytes], room: int) -> None:
+        super().__init__()
+        self.make, self.size, self.room = make, room, room
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) <= CACHED:
+            self.room -= len(key) + len(found) + 150
+            if self.room < 0:
+                self.clear()
+                self.room = self.size
+            self[key] = found
+        return found
+
+
+class _Ids:
+    """Ids (as bytes) of texts by caches of words and of chunks between white space.
 
     A vocabulary that drops white space gives the ids of a text's chunks one after the other.  Chunks of simple characters, in small letters,
-    are split here and encoded by the library's model; all others by the library as they stand.
+    are split into words here, which the library's model encodes; all others are encoded by the library as they stand.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.tokenizer = load(path)
-        self.model, self.letters, self.split, self.room = self.tokenizer.model.tokenize, byte_letters(), pre_token_pattern().findall, CACHE_BYTES
-        special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.odd = re.compile("|".join([NOT_SIMPLE, *map(re.escape, special)])).search
+        self.model, letters, split = self.tokenizer.model.tokenize, byte_letters(), pre_token_pattern().findall
+        self.strange, self.special = re.compile(NOT_SIMPLE).search, sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+        def word(text: str) -> bytes:
+            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(letters)  # visible ASCII stands for itself
+            return array("I", [t.id for t in self.model(spelled)]).tobytes()
+
+        def chunk(text: str) -> bytes:
+            parts = split(text)
+            return words[text] if len(parts) == 1 else b"".join(map(words.__getitem__, parts))
+
+        words = _Kept(word, CACHE_BYTES // 2)
+        self.simple = _Kept(chunk, CACHE_BYTES)
+        self.any = _Kept(lambda text: self.library(text) if self.odd(text) else self.simple[text.lower()], CACHE_BYTES // 4)
+
+    def odd(self, text: str) -> bool:
+        return bool(self.strange(text)) or any(s in text for s in self.special)
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if self.odd(chunk):
-            found = self.library(chunk)
-        else:
-            found = array("I", [t.id for part in self.split(chunk.lower()) for t in self.model(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        if len(chunk) <= CACHED:
-            self.room -= 2 * len(chunk) + len(found) + 150
-            if self.room < 0:
-                self.clear()
-                self.room = CACHE_BYTES
-            self[chunk] = found
-        return found
-
     def document(self, text: str) -> bytes:
-        chunks = filter(None, WHITE.split(text)) if self.odd(text) else text.lower().split()
-        return b"".join(map(self.__getitem__, chunks))
+        if self.odd(text):
+            return b"".join(map(self.any.__getitem__, filter(None, WHITE.split(text))))
+        return b"".join(map(self.simple.__getitem__, text.lower().split()))
 
 
 def ids_of(path: str) -> _Ids:
