@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +52,23 @@ def term_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("term", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c")).select("term", "c.*")
 
 
+#: What is noted about a term: the name of the note, the column that says whether there is one, and all columns that are watched.
+NOTES = (("reasoning", "rationale", ("rationale", "alternatives")), ("confirmation", "validated_by", ("validated_by", "validated_on")))
+
+
 def notes_changed(old: DataFrame, new: DataFrame, key: str = "term") -> DataFrame:
     """key, change and severity (always cosmetic) of what is in both versions, for tables (key, rationale, alternatives, validated_by, validated_on).
 
-    A rationale counts as recorded where there was none, else as changed; other validators or dates count as validated, or
-    as withdrawn if nobody stands there any more.
+    A note (its reasoning, its confirmation) is added, withdrawn or revised.
     """
+    holds = lambda side, column: F.length(F.coalesce(F.col(f"{side}.{column}"), F.lit(""))) > 0
+    found = []
+    for name, lead, watched in NOTES:
+        moved = reduce(or_, map(_differs, watched))
+        verb = F.when(~holds("new", lead) & holds("old", lead), "withdrawn").when(holds("old", lead), "revised").otherwise("added")
+        found.append(F.when(moved, F.concat(F.lit(f"{name} "), verb)))
     both = _both(old, new, [key]).where("old IS NOT NULL AND new IS NOT NULL")
-    why = F.when(_differs("rationale") | _differs("alternatives"), F.when(F.col("old.rationale") != "", "rationale changed").otherwise("rationale recorded"))
-    seen = F.when(_differs("validated_by") | _differs("validated_on"), F.when(F.col("new.validated_by") != "", "validated").otherwise("validation withdrawn"))
-    return both.select(key, F.explode(F.array_compact(F.array(why, seen))).alias("change"), F.lit(COSMETIC).alias("severity"))
+    return both.select(key, F.explode(F.array_compact(F.array(*found))).alias("change"), F.lit(COSMETIC).alias("severity"))
 
 
 def by_severity(changes: DataFrame, *then: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +90,10 @@ def _on_shared(left: DataFrame | None, right: DataFrame, how: str) -> DataFrame:
     shared = [c for c in right.columns if c in left.columns]
     if shared:
         return left.join(right, shared, how)
-    # an optional group with no common variable goes with every solution; it must be small
-    return left.join(right, F.lit(True), how)
+    # an optional group with no common variable goes with every solution, so it may have one solution at most
+    if len(right.take(2)) > 1:
+        raise ValueError(f"an optional group of several solutions shares no variable with what is bound: {', '.join(right.columns)}")
+    return left.join(F.broadcast(right), F.lit(True), how)
 
 
 def _edges(graph: Graph, c: Edge | NotEdge) -> DataFrame:
@@ -116,23 +119,41 @@ def variables(c) -> set[str]:
     return set()
 
 
+def _bound_by(c) -> set[str]:
+    """The variables that every solution of a clause binds: of a union those of all its branches."""
+    if isinstance(c, Either):
+        return {c.tag} | set.intersection(*(set().union(*map(_bound_by, b)) for b in c.branches.values()))
+    return set() if isinstance(c, Maybe) else variables(c)
+
+
+def _joins(c, bound: set[str]) -> bool:
+    """Whether a clause, and each branch of a union, shares a bound variable (or nothing is bound yet)."""
+    if isinstance(c, Either):
+        return not bound or all(bound & set().union(*map(variables, b)) for b in c.branches.values())
+    return not bound or bool(bound & variables(c))
+
+
 def _in_order(clauses: Sequence, bound: set[str]) -> list:
     """The clauses so that each required one shares a variable with those before it.
 
     An absent edge and a condition come right after the required clauses of their stretch (up to an optional group), as they
-    only test what is bound.  Required clauses without a common variable would pair all their solutions: that is an error.
+    only test what is bound.  Required clauses without a common variable would pair all their solutions: that is an error, and so is a required
+    clause on a variable that only some branches of a union bind.
     """
-    out, bound, clauses = [], set(bound), list(clauses)
+    out, bound, partial, clauses = [], set(bound), set(), list(clauses)
     while clauses:
         end = next((i for i, c in enumerate(clauses) if isinstance(c, Maybe)), len(clauses))
         stretch, tests = [c for c in clauses[:end] if not isinstance(c, (NotEdge, Where))], [c for c in clauses[:end] if isinstance(c, (NotEdge, Where))]
         while stretch:
-            found = next((c for c in stretch if not bound or bound & variables(c)), None)
+            found = next((c for c in stretch if _joins(c, bound)), None)
             if found is None:
                 raise ValueError(f"no variable connects {stretch[0]!r} with the clauses before it")
+            if unsure := (partial - bound) & variables(found):
+                raise ValueError(f"only some branches of a union bind {', '.join(sorted(unsure))}, on which {found!r} would join")
             stretch.remove(found)
             out.append(found)
-            bound |= variables(found)
+            bound |= _bound_by(found)
+            partial |= variables(found)
         for c in tests:
             if not bound or isinstance(c, NotEdge) and not bound & variables(c):
                 raise ValueError(f"nothing binds the variables of {c!r}")
@@ -178,12 +199,13 @@ def match(graph: Graph, clauses: Sequence, dedup: bool = False, subclasses: dict
             else:
                 rows = _on_shared(rows, match(graph, c.clauses, dedup, subclasses), "left")
         elif isinstance(c, Either):
-            outer = rows is not None and any(map(_needs_outer, c.branches.values()))
-            parts = [match(graph, b, dedup or outer, subclasses, rows.distinct() if outer else None).withColumn(c.tag, F.lit(name)) for name, b in c.branches.items()]
-            union = parts[0]
-            for p in parts[1:]:
-                union = union.unionByName(p, allowMissingColumns=True)
-            rows = _within(rows, union, "inner") if outer else _on_shared(rows, union, "inner")
+            parts = []
+            for name, branch in c.branches.items():  # each branch joins on the variables that it binds itself
+                outer = rows is not None and _needs_outer(branch)
+                found = match(graph, branch, dedup or outer, subclasses, rows.distinct() if outer else None)
+                found = _within(rows, found, "inner") if outer else _on_shared(rows, found, "inner")
+                parts.append(found.withColumn(c.tag, F.lit(name)))
+            rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         elif isinstance(c, Where):
             rows = rows.where(c.condition)
         else:

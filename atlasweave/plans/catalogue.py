@@ -516,13 +516,68 @@ def export_dangling(spark, sf_dir):
 
 # -- change control ---------------------------------------------------------------------------------------------------
 
+TERM_SQL = """
+    {name} AS (
+        SELECT p_brand || '/' || p_name AS term, CASE WHEN min(p_size) <= 12 THEN 'data' ELSE 'object' END AS kind, list_sort(list_distinct(list(p_type))) AS domain, list_sort(list_distinct(list('size ' || p_size // 10))) AS range,
+            CASE WHEN count(*) > 3 THEN min(p_type) END AS inverse, max(p_type) AS label, CAST(max(p_size) AS VARCHAR) AS definition FROM part WHERE {which} GROUP BY p_brand, p_name
+    )"""
+CHANGE_SQL = f"""
+    {TERM_SQL.format(name="old", which="p_size <= 40")}, {TERM_SQL.format(name="new", which="p_size > 10")},
+    b AS (SELECT coalesce(o.term, n.term) AS term, o, n FROM old o FULL JOIN new n ON o.term = n.term),
+    changes AS (
+        SELECT term, 'removed' AS change, 'breaking' AS severity FROM b WHERE n.term IS NULL
+        UNION ALL SELECT term, 'added', 'additive' FROM b WHERE o.term IS NULL
+        UNION ALL SELECT term, 'kind', 'breaking' FROM b WHERE o.kind <> n.kind
+        {" ".join(f"UNION ALL SELECT term, '{x} narrowed', 'breaking' FROM b WHERE n.term IS NOT NULL AND o.term IS NOT NULL AND NOT list_has_all(n.{x}, o.{x}) UNION ALL SELECT term, '{x} widened', 'additive' FROM b WHERE n.term IS NOT NULL AND o.term IS NOT NULL AND list_has_all(n.{x}, o.{x}) AND len(n.{x}) > len(o.{x})" for x in ("domain", "range"))}
+        {" ".join(f"UNION ALL SELECT term, '{x}', '{severity}' FROM b WHERE n.term IS NOT NULL AND o.term IS NOT NULL AND n.{x} IS DISTINCT FROM o.{x}" for x, severity in (("inverse", "additive"), ("label", "cosmetic"), ("definition", "cosmetic")))}
+    )"""
+
+
+def part_terms(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """A vocabulary of parts' names by brand: types as domains, sizes as ranges; two editions of it hold smaller and larger parts."""
+    parts = _table(spark, sf_dir, "part").where(which)
+    sizes = F.concat(F.lit("size "), F.floor(F.col("p_size") / 10).cast("string"))
+    return parts.groupBy(F.concat("p_brand", F.lit("/"), "p_name").alias("term")).agg(
+        F.when(F.min("p_size") <= 12, "data").otherwise("object").alias("kind"), F.array_sort(F.collect_set("p_type")).alias("domain"), F.array_sort(F.collect_set(sizes)).alias("range"),
+        F.when(F.count("*") > 3, F.min("p_type")).alias("inverse"), F.max("p_type").alias("label"), F.max("p_size").cast("string").alias("definition"),
+    )
+
+
+def _term_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.term_changes(part_terms(spark, sf_dir, "p_size <= 40"), part_terms(spark, sf_dir, "p_size > 10"))
+
+
+@query(f"WITH {CHANGE_SQL} SELECT * FROM changes")
+def contract_diff(spark, sf_dir):
+    """All changes between the two editions of the vocabulary of parts."""
+    return _term_changes(spark, sf_dir)
+
+
+@query(f"""WITH {CHANGE_SQL}, v AS (SELECT p_brand AS vocabulary, count(DISTINCT p_type) - 4 AS a, min(p_size) % 3 AS b, max(p_size) % 2 AS c FROM part GROUP BY ALL),
+    w AS (SELECT split_part(term, '/', 1) AS vocabulary, min(CASE severity WHEN 'breaking' THEN 0 WHEN 'additive' THEN 1 ELSE 2 END) AS rank FROM changes GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN rank IS NULL THEN 3 ELSE least(rank + CAST(a = 0 AS INTEGER), 2) END AS place FROM v LEFT JOIN w USING (vocabulary))
+    SELECT vocabulary, a || '.' || b || '.' || c AS old, (a + c) || '.' || (b + 1) || '.0' AS new, CASE rank WHEN 0 THEN 'breaking' WHEN 1 THEN 'additive' WHEN 2 THEN 'cosmetic' ELSE 'none' END AS worst,
+        CASE place WHEN 0 THEN (a + 1) || '.0.0' WHEN 1 THEN a || '.' || (b + 1) || '.0' WHEN 2 THEN a || '.' || b || '.' || (c + 1) ELSE a || '.' || b || '.' || c END AS required, CASE place WHEN 0 THEN a + c >= a + 1 ELSE true END AS ok FROM p""")
+def semver_gate(spark, sf_dir):
+    """Each brand's vocabulary, whose version numbers come from its parts, against its worst change."""
+    changes = _term_changes(spark, sf_dir).select(F.substring_index("term", "/", 1).alias("vocabulary"), "severity")
+    parts = _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("vocabulary")).agg((F.countDistinct("p_type") - 4).alias("a"), (F.min("p_size") % 3).alias("b"), (F.max("p_size") % 2).alias("c"))
+    dotted = lambda *steps: F.concat_ws(".", *[s.cast("string") for s in steps])
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return contract.version_gate(changes, parts.select("vocabulary", dotted(a, b, c).alias("old"), dotted(a + c, b + 1, F.lit(0)).alias("new")))
+
+
+@query(f"WITH {CHANGE_SQL} SELECT term, change, count(p_partkey) AS n FROM changes LEFT JOIN part ON p_brand || '/' || p_name = term WHERE severity = 'breaking' GROUP BY ALL")
+def impact_parts(spark, sf_dir):
+    """How many parts each breaking change affects."""
+    return contract.impact(_term_changes(spark, sf_dir), _table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), "p_name").alias("term")))
+
+
 TERMS = "term string, kind string, domain array<string>, range array<string>, inverse string, label string, definition string"
 OLD_TERMS = [
-    ("inNation", "object", ["Customer"], ["Nation"], None, "in nation", "where it is"),
     ("placedBy", "object", ["Order"], ["Customer", "Supplier"], None, "placed by", "who ordered"),
     ("segment", "data", ["Customer"], ["string"], None, "segment", "market segment"),
     ("brand", "data", ["Part"], ["string"], None, "brand", "brand of a part"),
-    ("hasPart", "object", ["Order"], ["Part"], None, "has part", "what is ordered"),
 ]
 NEW_TERMS = [
     ("inNation", "object", ["Customer", "Supplier"], ["Nation"], None, "in nation", "where it is"),
@@ -531,36 +586,18 @@ NEW_TERMS = [
     ("hasPart", "object", ["Order"], ["Part"], None, "has part", "what an order holds"),
     ("suppliedBy", "object", ["Part"], ["Supplier"], None, "supplied by", "who supplies"),
 ]
-CHANGED = [
-    ("inNation", "domain widened", "additive"), ("placedBy", "range narrowed", "breaking"), ("placedBy", "inverse", "additive"), ("segment", "kind", "breaking"), ("segment", "label", "cosmetic"),
-    ("brand", "removed", "breaking"), ("hasPart", "definition", "cosmetic"), ("suppliedBy", "added", "additive"),
-]
+BREAKING = [("placedBy", "range narrowed"), ("segment", "kind"), ("brand", "removed")]
 
 
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
 
 
-def _term_changes(spark: SparkSession) -> DataFrame:
-    return contract.term_changes(spark.createDataFrame(OLD_TERMS, TERMS), spark.createDataFrame(NEW_TERMS, TERMS))
-
-
-@query(f"SELECT * FROM (VALUES {_values(CHANGED)}) t(term, change, severity)")
-def contract_diff(spark, sf_dir):
-    return _term_changes(spark)
-
-
-@query("SELECT * FROM (VALUES ('data', '0.3.1', '0.4.0', 'breaking', '0.4.0', true), ('flow', '1.2.3', '1.2.4', 'additive', '1.3.0', false), ('report', '2.0.0', '3.0.0', 'breaking', '3.0.0', true), ('same', '1.0.0', '1.0.0', 'none', '1.0.0', true), ('words', '1.0.9', '1.0.10', 'cosmetic', '1.0.10', true)) t(vocabulary, old, new, worst, required, ok)")
-def semver_gate(spark, sf_dir):
-    changes = spark.createDataFrame([("data", "breaking"), ("data", "cosmetic"), ("flow", "additive"), ("report", "additive"), ("report", "breaking"), ("words", "cosmetic")], "vocabulary string, severity string")
-    versions = spark.createDataFrame([("data", "0.3.1", "0.4.0"), ("flow", "1.2.3", "1.2.4"), ("report", "2.0.0", "3.0.0"), ("same", "1.0.0", "1.0.0"), ("words", "1.0.9", "1.0.10")], "vocabulary string, old string, new string")
-    return contract.version_gate(changes, versions)
-
-
-@query(f"WITH {EDGES}, {LITERALS}, u AS (SELECT rel AS term FROM edges UNION ALL SELECT pred FROM literals) SELECT term, change, count(u.term) AS n FROM (VALUES {_values([c for c in CHANGED if c[2] == 'breaking'])}) t(term, change, severity) LEFT JOIN u USING (term) GROUP BY ALL")
+@query(f"WITH {EDGES}, {LITERALS}, u AS (SELECT rel AS term FROM edges UNION ALL SELECT pred FROM literals) SELECT term, change, count(u.term) AS n FROM (VALUES {_values(BREAKING)}) t(term, change) LEFT JOIN u USING (term) GROUP BY ALL")
 def impact_counts(spark, sf_dir):
     g = lift(spark, sf_dir)
-    return contract.impact(_term_changes(spark), g.edges.select(F.col("rel").alias("term")).unionByName(g.literals.select(F.col("pred").alias("term"))))
+    changes = contract.term_changes(spark.createDataFrame(OLD_TERMS, TERMS), spark.createDataFrame(NEW_TERMS, TERMS))
+    return contract.impact(changes, g.edges.select(F.col("rel").alias("term")).unionByName(g.literals.select(F.col("pred").alias("term"))))
 
 
 @query("SELECT p_brand AS \"group\", count(*) AS total, count(*) FILTER (p_size > 20) AS reasoned, count(*) FILTER (p_type <> 'SMALL') AS validated, round(count(*) FILTER (p_size > 20) / count(*), 4) AS share FROM part GROUP BY ALL")

@@ -38,15 +38,19 @@ def _literals(file: str, prefix: str, subject: str, names: dict[str, str]) -> li
     return [Rule("literal", file, rf"{prefix}{path}", subject, pred) for path, pred in names.items()]
 
 
+def _entries(file: str, path: str, whole: str, rel: str, entry: str, type_: str) -> list[Rule]:
+    """Nodes for the named entries of a list, and their edges from the whole."""
+    return [Rule("node", file, path, entry, type_), Rule("edge", file, path, whole, rel, entry)]
+
+
 #: The terms of the report vocabulary that a path stands for.
 RULES: tuple[Rule, ...] = (
     Rule("node", "report", r"report\.title", "report/{r}", "ReportType"),
     *_literals("report", r"report\.", "report/{r}", {"id": "reportId", "version": "version", "kind": "kind", "purpose": "purpose", "owner": "owner", "cadence": "cadence", "audience": "audience", "locales": "locale", "layout": "layout", "title": "label"}),
-    Rule("node", "report", r"report\.parameters\.([^.]+)\.name", "report/{r}/parameter/{1}", "Parameter"),
-    Rule("edge", "report", r"report\.parameters\.([^.]+)\.name", "report/{r}", "hasParameter", "report/{r}/parameter/{1}"),
-    *_literals("report", r"report\.parameters\.([^.]+)\.", "report/{r}/parameter/{1}", {"name": "label", "meaning": "definition"}),
-    Rule("node", "report", r"sections\.([^.]+)\.id", "report/{r}/section/{1}", "Section"),
-    Rule("edge", "report", r"sections\.([^.]+)\.id", "report/{r}", "hasSection", "report/{r}/section/{1}"),
+    *_entries("report", r"report\.parameters", "report/{r}", "hasParameter", "report/{r}/parameter/{v}", "Parameter"),
+    Rule("literal", "report", r"report\.parameters", "report/{r}/parameter/{v}", "label"),
+    *_literals("report", r"report\.parameters\.([^.]+)\.", "report/{r}/parameter/{1}", {"meaning": "definition"}),
+    *_entries("report", "sections", "report/{r}", "hasSection", "report/{r}/section/{v}", "Section"),
     *_literals("report", r"sections\.([^.]+)\.", "report/{r}/section/{1}", {"purpose": "purpose", "present_when": "presentWhen"}),
     Rule("edge", "report", r"sections\.([^.]+)\.component", "report/{r}/section/{1}", "renderedBy", "component/{v}"),
     Rule("node", "report", r"sections\.[^.]+\.component", "component/{v}", "Component"),
@@ -89,10 +93,9 @@ RULES: tuple[Rule, ...] = (
     Rule("edge", "provenance", r"lifecycle\.(\d+)\.status", "report/{r}", "hasStatusChange", "report/{r}/status/{1}"),
     Rule("literal", "provenance", r"lifecycle\.(\d+)\.status", "report/{r}/status/{1}", "order", "{1}"),
     *_literals("provenance", r"lifecycle\.(\d+)\.", "report/{r}/status/{1}", {"status": "lifecycleStatus", "by": "changedBy", "at": "at", "note": "note"}),
-    Rule("node", "provenance", r"source_reports\.([^.]+)\.id", "report/{r}/source/{1}", "SourceDocument"),
-    Rule("edge", "provenance", r"source_reports\.([^.]+)\.id", "report/{r}", "derivedFrom", "report/{r}/source/{1}"),
+    *_entries("provenance", "source_reports", "report/{r}", "derivedFrom", "report/{r}/source/{v}", "SourceDocument"),
     *_literals("provenance", r"source_reports\.([^.]+)\.", "report/{r}/source/{1}", {"repo_url": "repoUrl", "sha256": "sha256", "role": "role", "reference_kind": "referenceKind", "received": "receivedOn", "page_kinds": "pageKind", "notes": "note"}),
-    Rule("node", "provenance", r"runs\.([^.]+)\.id", "report/{r}/run/{1}", "Run"),
+    Rule("node", "provenance", "runs", "report/{r}/run/{v}", "Run"),
     Rule("edge", "provenance", r"runs\.([^.]+)\.inputs", "report/{r}/run/{1}", "usedSource", "report/{r}/source/{v}"),
     *_literals("provenance", r"runs\.([^.]+)\.", "report/{r}/run/{1}", {"flow": "flow", "flow_version": "flowVersion", "engine_version": "engineVersion", "started": "startedAt", "result": "result"}),
     Rule("node", "provenance", r"runs\.([^.]+)\.decisions\.(\d+)\.gate", "report/{r}/run/{1}/approval/{2}", "Approval"),

@@ -65,7 +65,7 @@ def test_notes_and_the_order_of_changes(spark):
     old = [("a", None, None, None, None), ("b", "r", "x", "p", "2024-01-01"), ("c", "r", None, "p", "2024-01-01"), ("d", None, None, None, None), ("gone", "r", None, None, None)]
     new = [("a", "r", None, None, None), ("b", "r", "y", None, None), ("c", "r", None, "p", "2024-02-01"), ("d", None, None, None, None), ("new", "r", None, None, None)]
     found = contract.notes_changed(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema))
-    assert {tuple(r) for r in found.collect()} == {("a", "rationale recorded", "cosmetic"), ("b", "rationale changed", "cosmetic"), ("b", "validation withdrawn", "cosmetic"), ("c", "validated", "cosmetic")}
+    assert {tuple(r) for r in found.collect()} == {("a", "reasoning added", "cosmetic"), ("b", "reasoning revised", "cosmetic"), ("b", "confirmation withdrawn", "cosmetic"), ("c", "confirmation revised", "cosmetic")}
     changes = [("x", "cosmetic"), ("z", "breaking"), ("y", "odd"), ("a", "breaking"), ("b", "additive")]
     assert [r.term for r in contract.by_severity(spark.createDataFrame(changes, "term string, severity string"), "term").collect()] == ["a", "z", "b", "x", "y"]
 
@@ -102,10 +102,25 @@ def test_folders_become_facts(spark, tmp_path):
         (tmp_path / scope).mkdir()
         (tmp_path / scope / "doc.json").write_text(json.dumps(text) if text else "{broken")
     found = documents.read_facts(spark, str(tmp_path))
-    assert {(r.fact, r.value) for r in found.where("scope = 'one'").collect()} == {("id", '"a"'), ("items.order", '["p", "q"]'), ("items.p.id", '"p"'), ("items.p.v", "1"), ("items.q.id", '"q"'), ("items.q.v", "[1, 2]"), ("none", "{}")}
+    assert {(r.fact, r.value) for r in found.where("scope = 'one'").collect()} == {("id", '"a"'), ("items", '["p", "q"]'), ("items.p.v", "1"), ("items.q.v", "[1, 2]"), ("none", "{}")}
     assert found.where("scope = 'two'").first().error
 
 
+def test_entries_are_named_without_clashes():
+    document = {"sections": [{"id": "order", "x": 1}, {"id": "a", "x": 2.0}], "twice": [{"name": "n", "v": 1}, {"name": "n", "v": 2}], "bare": [{"v": True}], "mixed": [1, {"a": 2}], "only": [{"id": "k"}], "none": []}
+    assert dict(documents.facts_of(document)) == {
+        "sections": '["order", "a"]', "sections.order.x": "1", "sections.a.x": "2.0", "twice.0.name": '"n"', "twice.0.v": "1", "twice.1.name": '"n"', "twice.1.v": "2",
+        "bare.0.v": "true", "mixed": '[1, {"a": 2}]', "only": '["k"]', "only.k": "{}", "none": "[]",
+    }
+
+
+def test_facts_of_a_ledger(spark):
+    facts = spark.createDataFrame([("s", "report.yaml", "a.b", "2.0", None), ("s", "report.yaml", "c", '"t\\"x"', None), ("s", "bad.json", None, None, "broken")], "scope string, file string, fact string, value string, error string")
+    found = documents.ledger_facts(facts)
+    assert {(r.fact, r.value) for r in found.collect()} == {("report.yaml → a.b", "2"), ("report.yaml → c", '"t\\"x"')}
+    assert {r.t for r in found.select(documents.value_text(F.col("value")).alias("t")).collect()} == {"2", 't"x'}
+
+
 def test_guessed_types(spark):
     rows = [("n", "1"), ("n", "-2.5"), ("p", "12.5 %"), ("d", "2024-01-02"), ("d", "01/02/2024"), ("b", "true"), ("c", "$1,200.50"), ("t", "1"), ("t", "x"), ("z", None)]
     assert {r.field: r.type for r in documents.skeleton(spark.createDataFrame(rows, "field string, value string")).collect()} == {"n": "number", "p": "percent", "d": "date", "b": "boolean", "c": "currency", "t": "text"}

@@ -38,3 +38,30 @@ def test_groups_see_what_is_bound_outside(small):
 def test_unconnected_clauses_are_errors(small, clauses):
     with pytest.raises(ValueError):
         match(small, clauses)
+
+
+def test_union_branches_join_on_their_own_variables(spark):
+    graph = Graph(
+        spark.createDataFrame([("a", "N", "a"), ("b", "N", "b"), ("c", "M", "c")], "id string, type string, label string"),
+        spark.createDataFrame([("a", "r", "c"), ("b", "s", "c"), ("b", "t", "b")], "src string, rel string, dst string"),
+        spark.createDataFrame([], "subj string, pred string, value string"),
+    )
+    # the second branch shares nothing with v, so it would pair all of M with all of N
+    with pytest.raises(ValueError, match="no variable connects"):
+        match(graph, [Node("v", "N"), Either("t", {"x": (Edge("v", "r", "w"),), "y": (Node("w", "M"),)})])
+    # whichever is bound first, each branch joins on what it binds
+    both = match(graph, [Edge("v", "r|s", "w"), Either("t", {"x": (Edge("v", "t", "u"),), "y": (Node("w", "M"),)})])
+    assert {(r.v, r.w, r.t, r.u) for r in both.collect()} == {("b", "c", "x", "b"), ("a", "c", "y", None), ("b", "c", "y", None)}
+    with pytest.raises(ValueError, match="only some branches"):
+        match(graph, [Edge("v", "r|s", "w"), Either("t", {"x": (Edge("v", "t", "u"),), "y": (Node("w", "M"),)}), Edge("u", "t", "v")])
+
+
+def test_an_unconnected_optional_group_has_one_solution_at_most(spark):
+    graph = Graph(
+        spark.createDataFrame([("a", "N", "a"), ("b", "N", "b"), ("c", "M", "c"), ("d", "L", "d"), ("e", "L", "e")], "id string, type string, label string"),
+        spark.createDataFrame([], "src string, rel string, dst string"),
+        spark.createDataFrame([], "subj string, pred string, value string"),
+    )
+    assert {(r.v, r.w) for r in match(graph, [Node("v", "N"), Maybe((Node("w", "M"),))]).collect()} == {("a", "c"), ("b", "c")}
+    with pytest.raises(ValueError, match="several solutions"):
+        match(graph, [Node("v", "N"), Maybe((Node("w", "L"),))])
