@@ -11,8 +11,9 @@ from ..functions.lineage import cut
 from ..functions.text import after, digest, joined, normalised
 from ..operators import atlas, contract, ledger, lookup, projection, questions, rules, shapes, walk
 from ..operators.patterns import Edge, Either, Label, Maybe, Node, NotEdge, Value, Where, match
-from ..sources import documents, export
+from ..sources import adjacency, documents, export, postings
 from ..sources.lift import Graph, lift
+from . import stores
 from .graph_sql import EDGES, LEDGER, LITERALS, NODES, replayed, within
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,12 +347,13 @@ def neighbors_out(spark, sf_dir):
 
 @query(within("supplier/1", 2, "both"))
 def neighbors_both_d2(spark, sf_dir):
-    return walk.hops(lift(spark, sf_dir), _start(spark, "supplier/1"), 2, "both")
+    """From the edges stored by node; the others read the tables."""
+    return adjacency.hops(stores.graph_links(spark, sf_dir), _start(spark, "supplier/1"), 2, "both")
 
 
 @query(within("customer/1", 3, "both"))
 def neighbors_both_d3(spark, sf_dir):
-    return walk.hops(lift(spark, sf_dir), _start(spark, "customer/1"), 3, "both")
+    return adjacency.hops(stores.graph_links(spark, sf_dir), _start(spark, "customer/1"), 3, "both")
 
 
 @query(within("nation/1", 3, "in", "inNation"))
@@ -367,7 +369,15 @@ def neighbors_capped(spark, sf_dir):
 @query(f"""WITH {NODES}, {EDGES}, {LITERALS}, l AS (SELECT src AS id, 'out' AS kind, rel AS name, dst AS other FROM edges WHERE src = 'part/1' UNION ALL SELECT dst, 'in', rel, src FROM edges WHERE dst = 'part/1')
     SELECT l.id, kind, name, other, label AS other_label, type AS other_type FROM l LEFT JOIN nodes n ON n.id = other UNION ALL SELECT subj, 'value', pred, value, NULL, NULL FROM literals WHERE subj = 'part/1'""")
 def entity_card(spark, sf_dir):
-    return walk.entity_card(lift(spark, sf_dir), _start(spark, "part/1"))
+    return adjacency.entity_card(stores.graph_links(spark, sf_dir), ["part/1"])
+
+
+@query(f"""WITH {NODES}, {EDGES} SELECT node AS id, side AS kind, count(*) AS n, count(type) AS known FROM (SELECT src AS node, 'out' AS side, dst AS other FROM edges UNION ALL SELECT dst, 'in', src FROM edges)
+    LEFT JOIN nodes ON id = other GROUP BY ALL""")
+def stored_degrees(spark, sf_dir):
+    """How many edges every node has at each side, and how many of their other ends are nodes."""
+    links = stores.graph_links(spark, sf_dir)
+    return links.version.read(spark, "links").groupBy(F.col("node").alias("id"), F.col("side").alias("kind")).agg(F.count("*").alias("n"), F.count("other_type").alias("known"))
 
 
 def _names(g: Graph) -> DataFrame:
@@ -389,6 +399,16 @@ def resolve_prefix(spark, sf_dir):
     return lookup.resolve(_names(lift(spark, sf_dir)), "wid")
 
 
+@query(RESOLVE_SQL.format(nodes=NODES, q="blue bolt", n=20))
+def indexed_resolve(spark, sf_dir):
+    return postings.resolve(stores.graph_names(spark, sf_dir), "Blue_bolt", limit=20)
+
+
+@query(RESOLVE_SQL.format(nodes=NODES, q="wid", n=10).replace("FROM nodes)", "FROM nodes WHERE type = 'Part')"))
+def indexed_resolve_prefix(spark, sf_dir):
+    return postings.resolve(stores.graph_names(spark, sf_dir), "wid", types=["Part"])
+
+
 @query(f"""WITH {NODES}, names AS (SELECT id, type, label AS name FROM nodes UNION ALL SELECT id, type, CASE type WHEN 'Customer' THEN 'buyer ' ELSE 'vendor ' END || label FROM nodes WHERE type IN ('Customer', 'Supplier')),
     s AS (SELECT id, type, name, CASE WHEN regexp_matches(lower(name), '\\bvendor') THEN 1 ELSE 0 END AS score FROM names) SELECT id, type, name, score, greatest(count(*) OVER () - 10, 0) AS more FROM s WHERE score > 0 ORDER BY id LIMIT 10""")
 def resolve_lexicon(spark, sf_dir):
@@ -423,6 +443,38 @@ def search_pages(spark, sf_dir):
     return lookup.search(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"), F.col("html").alias("text")), "example com", limit=20)
 
 
+WORDS_SQL = """(SELECT 'document/' || doc_id AS id, 'document' AS type, lang AS scope, source AS name, text FROM documents
+    UNION ALL SELECT 'page/' || page_id, 'page', CAST(page_id AS VARCHAR), url, html FROM pages)"""
+
+
+def _indexed_sql(words: list[str], limit: int, where: str = "true") -> str:
+    found = _search_sql(f"(SELECT * FROM {WORDS_SQL} WHERE {where})", "id", "name", "text", words, limit)
+    return f"SELECT id, split_part(id, '/', 1) AS type, score, snippet FROM ({found})"
+
+
+@query(_indexed_sql(["the", "and"], 50))
+def indexed_search(spark, sf_dir):
+    """Words of documents and pages, from the postings."""
+    return postings.search(stores.document_words(spark, sf_dir), "The and", limit=50)
+
+
+@query(_indexed_sql(["example", "com"], 20, "type = 'page'"))
+def indexed_search_of_type(spark, sf_dir):
+    return postings.search(stores.document_words(spark, sf_dir), "example com", types=["page"])
+
+
+@query(_indexed_sql(["de", "la"], 30, "type = 'document' AND scope = 'fr'"))
+def indexed_search_of_scope(spark, sf_dir):
+    return postings.search(stores.document_words(spark, sf_dir), "de la", limit=30, types=["document"], scope="fr")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT 'document/' || doc_id AS id, 'document' AS type, unnest(regexp_extract_all(lower(coalesce(source, '') || ' ' || coalesce(text, '')), '[\p{L}\p{Nd}_]+')) AS word FROM documents
+    UNION SELECT DISTINCT 'page/' || page_id, 'page', unnest(regexp_extract_all(lower(coalesce(url, '') || ' ' || coalesce(html, '')), '[\p{L}\p{Nd}_]+')) FROM pages) SELECT substring(word, 1, 64) AS word, type, count(DISTINCT id) AS n FROM w GROUP BY ALL""")
+def indexed_words(spark, sf_dir):
+    """How many documents and pages hold each word."""
+    return stores.document_words(spark, sf_dir).read("words").groupBy("word", "type").agg(F.count("*").alias("n"))
+
+
 # -- rules ------------------------------------------------------------------------------------------------------------
 
 SUPPLIES = rules.Derive("supplies-region", "suppliesRegion", lambda g: match(g, [Edge("src", "inNation", "n"), Node("src", "Supplier"), Edge("n", "inRegion", "dst")]))
