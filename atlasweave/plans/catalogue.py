@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.text import after, digest, joined, normalised
-from ..operators import atlas, contract, ledger, lookup, projection, questions, rules, shapes, walk
+from ..operators import atlas, contract, ledger, lookup, projection, questions, recursion, rules, shapes, walk
 from ..operators.patterns import Edge, Either, Label, Maybe, Node, NotEdge, Value, Where, match
 from ..sources import adjacency, documents, export, postings
 from ..sources.lift import Graph, lift
@@ -497,11 +497,28 @@ def closure_within(spark, sf_dir):
     UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation UNION SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier UNION SELECT 'supplier/' || s_suppkey, 'region/' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
     SELECT split_part(dst, '/', 1) AS kind, count(*) AS n FROM d GROUP BY ALL""")
 def derive_fixpoint(spark, sf_dir):
-    g = lift(spark, sf_dir)
-    base = rules.Derive("within", "within", lambda g: match(g, [Edge("src", "placedBy|inNation|inRegion", "dst")]))
-    step = rules.Derive("within-within", "within", lambda g: match(g, [Edge("src", "within", "mid"), Edge("mid", "within", "dst")]))
-    found = rules.fixpoint(g.with_edges(g.edges_of(["placedBy", "inNation", "inRegion"])), [base, step]).edges
-    return found.where("rel = 'within'").groupBy(F.substring_index("dst", "/", 1).alias("kind")).agg(F.count("*").alias("n"))
+    base = recursion.Rule("within", "within", (Edge("src", "placedBy|inNation|inRegion", "dst"),))
+    step = recursion.Rule("within-within", "within", (Edge("src", "within", "mid"), Edge("mid", "within", "dst")))
+    found = recursion.evaluate(lift(spark, sf_dir), [base, step]).edges_of("within")
+    return found.groupBy(F.substring_index("dst", "/", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+MARKET = [
+    recursion.Rule("wanted-in-nation", "wantedIn", (Edge("o", "hasPart", "src"), Edge("o", "placedBy", "c"), Edge("c", "inNation", "dst"))),
+    recursion.Rule("wanted-above", "wantedIn", (Edge("src", "wantedIn", "place"), Edge("place", "inRegion", "dst"))),
+    recursion.Rule("offered-in-nation", "offeredIn", (Edge("src", "suppliedBy", "s"), Edge("s", "inNation", "dst"))),
+    recursion.Rule("offered-above", "offeredIn", (Edge("src", "offeredIn", "place"), Edge("place", "inRegion", "dst"))),
+    recursion.Rule("unwanted", "unwantedIn", (Edge("src", "offeredIn", "dst"), NotEdge("src", "wantedIn", "dst"))),
+]
+
+
+@query("""WITH RECURSIVE up AS (SELECT 'nation/' || n_nationkey AS place, 'region/' || n_regionkey AS above FROM nation),
+    wanted AS (SELECT DISTINCT 'part/' || l_partkey AS part, 'nation/' || c_nationkey AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey UNION SELECT part, above FROM wanted JOIN up USING (place)),
+    offered AS (SELECT DISTINCT 'part/' || l_partkey AS part, 'nation/' || s_nationkey AS place FROM lineitem JOIN supplier ON s_suppkey = l_suppkey UNION SELECT part, above FROM offered JOIN up USING (place))
+    SELECT part AS src, 'unwantedIn' AS rel, place AS dst FROM offered WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.part = offered.part AND w.place = offered.place)""")
+def derive_unwanted(spark, sf_dir):
+    """Two recursive relations and one that negates one of them."""
+    return recursion.evaluate(lift(spark, sf_dir), MARKET).edges_of("unwantedIn")
 
 
 POLICIES = [
