@@ -72,7 +72,7 @@ class Layers(Graph):
     """A graph with further edges: the layers of each derived relation, and one relation's new edges under another name."""
 
     def __init__(self, base: Graph, layers: dict[str, list[DataFrame]], new: dict[str, DataFrame] | None = None) -> None:
-        super().__init__(parts=base.parts, spark=base.spark)
+        super().__init__(parts={k: v for k, v in base.parts.items() if k != "statements"}, spark=base.spark)
         self._whole = base._whole
         self.base, self.layers, self.new = base, layers, new or {}
 

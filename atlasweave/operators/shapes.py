@@ -1,7 +1,9 @@
-"""Constraint checking: shapes say what the nodes of a class must look like; each constraint is one plan.
+"""Constraint checking: shapes say what the nodes of a class must look like.
 
-Counts come from a left join on the class's nodes, so a missing value is found like a surplus one.  A constraint's
-severity defaults to Violation, even in a shape of warnings.
+All constraints of a class are one aggregation: what is said about its nodes is read once, doubles are dropped, and for each node every constraint
+keeps a small state (counts and flags), which partial aggregation adds up wherever the rows are, so that a hub's values don't
+meet in one task.  A node without any value has its states, too, so a missing value is found like a surplus one.  States become
+findings at the end.  A constraint's severity defaults to Violation, even in a shape of warnings.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from ..sources.lift import Graph
 FINDING = ["severity", "type", "focus", "path", "message"]
 
 
+def _at(path: str) -> Column:
+    return F.col("name") == path
+
+
 @dataclass(frozen=True)
 class Count:
     """Between least and most distinct values (or edge targets) of a path."""
@@ -28,27 +34,37 @@ class Count:
     most: int | None = None
     severity: str = "Violation"
 
-    def check(self, graph: Graph, targets: DataFrame) -> DataFrame:
-        n = values(graph, self.path).join(targets, "focus", "left_semi").groupBy("focus").agg(F.countDistinct("value").alias("n"))
-        every = targets.join(n, "focus", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        few = every.where(F.col("n") < self.least).select("focus", F.lit(f"fewer than {self.least} values").alias("message"))
-        if self.most is None:
-            return few
-        return few.unionByName(every.where(F.col("n") > self.most).select("focus", F.lit(f"more than {self.most} values").alias("message")))
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return (self.path,)
+
+    def states(self) -> list[Column]:
+        return [F.count_if(_at(self.path))]
+
+    def findings(self, n: Column) -> list[tuple[Column, str]]:
+        """How often each message stands against a node with these states."""
+        few = [((n < self.least).cast("int"), f"fewer than {self.least} values")] if self.least else []
+        return few if self.most is None else [*few, ((n > self.most).cast("int"), f"more than {self.most} values")]
 
 
 @dataclass(frozen=True)
 class Each:
-    """Every value of a path meets a condition, a function of the value's column; unknown counts as unmet."""
+    """Every value of a path meets a condition, a function of the value's column; unknown counts as unmet.  Each unmet value is a finding."""
 
     path: str
     condition: Callable[[Column], Column]
     says: str
     severity: str = "Violation"
 
-    def check(self, graph: Graph, targets: DataFrame) -> DataFrame:
-        bad = values(graph, self.path).where(~F.coalesce(self.condition(F.col("value")), F.lit(False)))
-        return bad.join(targets, "focus", "left_semi").select("focus", F.lit(self.says).alias("message"))
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return (self.path,)
+
+    def states(self) -> list[Column]:
+        return [F.count_if(_at(self.path) & ~F.coalesce(self.condition(F.col("value")), F.lit(False)))]
+
+    def findings(self, n: Column) -> list[tuple[Column, str]]:
+        return [(n.cast("int"), self.says)]
 
 
 def one_of(path: str, options: list[str], severity: str = "Violation") -> Each:
@@ -81,10 +97,15 @@ class HasValue:
     wanted: bool = True
     severity: str = "Violation"
 
-    def check(self, graph: Graph, targets: DataFrame) -> DataFrame:
-        holds = values(graph, self.path).where(F.col("value") == self.value).select("focus").distinct()
-        bad = targets.join(holds, "focus", "left_anti" if self.wanted else "left_semi")
-        return bad.select("focus", F.lit(f"{'lacks' if self.wanted else 'has'} {self.value}").alias("message"))
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return (self.path,)
+
+    def states(self) -> list[Column]:
+        return [F.count_if(_at(self.path) & (F.col("value") == self.value))]
+
+    def findings(self, n: Column) -> list[tuple[Column, str]]:
+        return [((n == 0 if self.wanted else n > 0).cast("int"), f"{'lacks' if self.wanted else 'has'} {self.value}")]
 
 
 @dataclass(frozen=True)
@@ -95,22 +116,35 @@ class ExactlyOne:
     severity: str = "Violation"
     path: str = ""
 
-    def check(self, graph: Graph, targets: DataFrame) -> DataFrame:
-        held = reduce(DataFrame.unionByName, [values(graph, p).select("focus", F.lit(p).alias("p")) for p in self.paths])
-        n = targets.join(held, "focus", "left").groupBy("focus").agg(F.countDistinct("p").alias("n"))
-        return n.where("n <> 1").select("focus", F.lit(f"not exactly one of {', '.join(self.paths)}").alias("message"))
+    def states(self) -> list[Column]:
+        return [F.count_if(_at(p)) for p in self.paths]
+
+    def findings(self, *held: Column) -> list[tuple[Column, str]]:
+        n = sum(((h > 0).cast("int") for h in held), F.lit(0))
+        return [((n != 1).cast("int"), f"not exactly one of {', '.join(self.paths)}")]
 
 
 @dataclass(frozen=True)
 class Query:
-    """violating maps a graph to rows (focus, message)."""
+    """violating maps a graph to rows (focus, message); it is a plan of its own.
+
+    The message may be a template: {column} stands for that column of a row, for each name in `bound`.
+    """
 
     path: str
     violating: Callable[[Graph], DataFrame]
     severity: str = "Violation"
+    message: str | None = None
+    bound: tuple[str, ...] = ()
 
     def check(self, graph: Graph, targets: DataFrame) -> DataFrame:
-        return self.violating(graph).select("focus", "message").join(targets, "focus", "left_semi")
+        rows = self.violating(graph)
+        if self.message is not None:
+            text = F.lit(self.message)
+            for name in self.bound:
+                text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+            rows = rows.withColumn("message", text)
+        return rows.select("focus", "message").join(targets, "focus", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -119,19 +153,36 @@ class Shape:
     constraints: tuple
 
 
-def values(graph: Graph, path: str) -> DataFrame:
-    """focus and value of a property or relation."""
-    own = graph.literals_of([path]).select(F.col("subj").alias("focus"), "value")
-    return own.unionByName(graph.edges_of([path]).select(F.col("src").alias("focus"), F.col("dst").alias("value")))
+def _checked(graph: Graph, type_: str, constraints: list) -> DataFrame:
+    """Findings of the constraints of a class that states decide."""
+    names = sorted({p for c in constraints for p in c.paths})
+    states, found = [], []
+    for c in constraints:
+        own = c.states()
+        columns = [F.col(f"s{len(states) + k}") for k in range(len(own))]
+        states += [s.alias(f"s{len(states) + k}") for k, s in enumerate(own)]
+        for times, message in c.findings(*columns):
+            finding = F.struct(F.lit(c.severity).alias("severity"), F.lit(c.path or ", ".join(c.paths)).alias("path"), F.lit(message).alias("message"))
+            found.append(F.array_repeat(finding, times))
+    said = graph.statements_of(type_, names).distinct()
+    nodes = said.groupBy("focus").agg(F.count_if(F.col("name").isNull()).alias("is"), *states).where(F.col("is") > 0)
+    return nodes.select("focus", F.explode(F.flatten(F.array(*found))).alias("f")).select("f.severity", F.lit(type_).alias("type"), "focus", "f.path", "f.message")
 
 
 def check(graph: Graph, shapes: list[Shape]) -> DataFrame:
-    """severity, type, focus, path and message of every finding."""
-    parts = []
+    """severity, type, focus, path and message of every finding: one aggregation for each class, whatever the number of its shapes and constraints."""
+    parts, by_class = [], {}
     for s in shapes:
-        targets = graph.nodes_of([s.type]).select(F.col("id").alias("focus"))
-        for c in s.constraints:
-            parts.append(c.check(graph, targets).select(F.lit(c.severity).alias("severity"), F.lit(s.type).alias("type"), "focus", F.lit(c.path or ", ".join(getattr(c, "paths", ()))).alias("path"), "message"))
+        by_class.setdefault(s.type, []).extend(s.constraints)
+    for type_, constraints in by_class.items():
+        if plain := [c for c in constraints if not isinstance(c, Query) and (not isinstance(c, Count) or c.least or c.most is not None)]:
+            parts.append(_checked(graph, type_, plain))
+        for c in constraints:
+            if isinstance(c, Query):
+                targets = graph.nodes_of([type_]).select(F.col("id").alias("focus"))
+                parts.append(c.check(graph, targets).select(F.lit(c.severity).alias("severity"), F.lit(type_).alias("type"), "focus", F.lit(c.path).alias("path"), "message"))
+    if not parts:
+        return graph.spark.createDataFrame([], ", ".join(f"{c} string" for c in FINDING))
     return reduce(DataFrame.unionByName, parts)
 
 

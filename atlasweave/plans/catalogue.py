@@ -225,7 +225,7 @@ def shape_conforms(spark, sf_dir):
 def shape_xone(spark, sf_dir):
     g = lift(spark, sf_dir)
     pending = g.literals.where("pred <> 'status' OR value = 'P'").withColumn("pred", F.when(F.col("pred") == "status", "pending").otherwise(F.col("pred")))
-    return shapes.ExactlyOne(("hasPart", "pending")).check(Graph(g.nodes, g.edges, pending), match(g, [Node("focus", "Order")])).select("focus")
+    return shapes.check(Graph(g.nodes, g.edges, pending), [shapes.Shape("Order", (shapes.ExactlyOne(("hasPart", "pending")),))]).select("focus")
 
 
 @query("""WITH n AS (SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber AS k FROM lineitem) SELECT k AS line, count(*) AS n FROM n GROUP BY ALL HAVING count(*) > 1""")

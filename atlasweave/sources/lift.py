@@ -42,10 +42,10 @@ SCHEMAS = {"nodes": NODES, "edges": EDGES, "literals": LITERALS}
 class Graph:
     """The tables nodes, edges and literals, whole or as parts by type, relation or property.
 
-    A part is a function without arguments that gives a DataFrame, so a pattern opens and scans only what it names.
+    A part is a function that gives a DataFrame, so a pattern opens and scans only what it names.
     """
 
-    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, literals: DataFrame | None = None, parts: dict[str, dict[str, Callable[[], DataFrame]]] | None = None, spark: SparkSession | None = None) -> None:
+    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, literals: DataFrame | None = None, parts: dict[str, dict[str, Callable[..., DataFrame]]] | None = None, spark: SparkSession | None = None) -> None:
         self._whole = {"nodes": nodes, "edges": edges, "literals": literals}
         self.parts, self.spark = parts or {}, spark or next(t for t in self._whole.values() if t is not None).sparkSession
 
@@ -86,9 +86,21 @@ class Graph:
     def literals_of(self, preds: list[str]) -> DataFrame:
         return self._of("literals", "pred", preds)
 
+    def statements_of(self, type_: str, names: list[str]) -> DataFrame:
+        """focus, name and value about the nodes of a class: a row without a name for each node, and one for each value and edge of the names.
+
+        Rows about other nodes may be among them.  What a lifted table says about its rows comes from one scan of it.
+        """
+        if make := self.parts.get("statements", {}).get(type_):
+            return make(names)
+        nothing = F.lit(None).cast("string")
+        nodes = self.nodes_of([type_]).select(F.col("id").alias("focus"), nothing.alias("name"), nothing.alias("value"))
+        literals = self.literals_of(names).select(F.col("subj").alias("focus"), F.col("pred").alias("name"), "value")
+        return nodes.unionByName(literals).unionByName(self.edges_of(names).select(F.col("src").alias("focus"), F.col("rel").alias("name"), F.col("dst").alias("value")))
+
     def with_edges(self, edges: DataFrame) -> Graph:
         """The same nodes and literals with other edges."""
-        return Graph(self._whole["nodes"], edges, self._whole["literals"], {k: v for k, v in self.parts.items() if k != "edges"}, self.spark)
+        return Graph(self._whole["nodes"], edges, self._whole["literals"], {k: v for k, v in self.parts.items() if k not in ("edges", "statements")}, self.spark)
 
 
 def node_id(prefix: str, key: str | Column) -> Column:
@@ -133,6 +145,19 @@ def lift(spark: SparkSession, sf_dir: str, spec: tuple[Lift | Link, ...] = WAREH
         column = s.literals[pred]
         return table(s.table).where(F.col(column).isNotNull()).select(node_id(s.type.lower(), s.key).alias("subj"), F.lit(pred).alias("pred"), F.col(column).cast("string").alias("value"))
 
+    def statements(type_: str, names: list[str]) -> DataFrame:
+        said = []
+        for s in spec:
+            if isinstance(s, Link):
+                if s.source[0] == type_.lower() and s.rel in names:
+                    said.append(linked(s).select(F.col("src").alias("focus"), F.col("rel").alias("name"), F.col("dst").alias("value")))
+            elif s.type == type_:
+                pair = lambda name, value: F.struct(F.lit(name).cast("string").alias("name"), value.cast("string").alias("value"))
+                pairs = [pair(None, F.lit(None)), *[pair(n, F.col(c)) for n, c in s.literals.items() if n in names], *[pair(n, node_id(*e)) for n, e in s.edges.items() if n in names]]
+                rows = table(s.table).select(node_id(s.type.lower(), s.key).alias("focus"), F.explode(F.array(*pairs)).alias("x")).select("focus", "x.name", "x.value")
+                said.append(rows.where("name IS NULL OR value IS NOT NULL"))
+        return reduce(DataFrame.unionByName, said)
+
     for s in spec:
         if isinstance(s, Link):
             found["edges"].setdefault(s.rel, []).append(partial(linked, s))
@@ -143,4 +168,5 @@ def lift(spark: SparkSession, sf_dir: str, spec: tuple[Lift | Link, ...] = WAREH
         for pred in s.literals:
             found["literals"].setdefault(pred, []).append(partial(literals, s, pred))
     union = lambda makers: reduce(DataFrame.unionByName, [make() for make in makers])
-    return Graph(parts={name: {k: partial(union, v) for k, v in parts.items()} for name, parts in found.items()}, spark=spark)
+    parts = {name: {k: partial(union, v) for k, v in parts.items()} for name, parts in found.items()}
+    return Graph(parts=parts | {"statements": {t: partial(statements, t) for t in found["nodes"]}}, spark=spark)

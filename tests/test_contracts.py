@@ -106,6 +106,25 @@ def test_folders_become_facts(spark, tmp_path):
     assert found.where("scope = 'two'").first().error
 
 
+def test_a_class_is_checked_in_one_aggregation(spark, sf_dir):
+    from atlasweave.plans import catalogue
+    from atlasweave.sources.lift import lift
+
+    plan = shapes.check(lift(spark, sf_dir), catalogue.SHAPES)._jdf.queryExecution().optimizedPlan().toString()
+    for table, columns in (("orders", "o_orderpriority"), ("part", "p_brand"), ("customer", "c_mktsegment"), ("lineitem", "l_partkey")):
+        assert sum("Relation" in line and columns in line for line in plan.splitlines()) == 1, table
+    assert plan.count("Join") == 0
+
+
+def test_several_values_and_messages_of_queries(spark):
+    graph = Graph(spark.createDataFrame([("a", "F", "a"), ("b", "F", "b")], NODES), spark.createDataFrame([], EDGES), spark.createDataFrame([("a", "size", "99"), ("a", "size", "98"), ("a", "size", "98"), ("a", "size", "3"), ("z", "size", "77")], LITERALS))
+    bad = shapes.check(graph, [shapes.Shape("F", (shapes.between("size", 1, 20), shapes.Count("size", 0))), shapes.Shape("F", (shapes.Count("size", most=2),))]).collect()
+    assert sorted((r.focus, r.message) for r in bad) == [("a", "more than 2 values"), ("a", "not within 1..20"), ("a", "not within 1..20")]
+    wide = shapes.Query("size", lambda g: g.literals.where("value > 98").select(F.col("subj").alias("focus"), "value"), message="{focus} is {value} wide", bound=("focus", "value"))
+    assert [tuple(r) for r in shapes.check(graph, [shapes.Shape("F", (wide,))]).collect()] == [("Violation", "F", "a", "size", "a is 99 wide")]
+    assert shapes.check(graph, [shapes.Shape("F", ())]).collect() == []
+
+
 def test_entries_are_named_without_clashes():
     document = {"sections": [{"id": "order", "x": 1}, {"id": "a", "x": 2.0}], "twice": [{"name": "n", "v": 1}, {"name": "n", "v": 2}], "bare": [{"v": True}], "mixed": [1, {"a": 2}], "only": [{"id": "k"}], "none": []}
     assert dict(documents.facts_of(document)) == {
