@@ -8,7 +8,7 @@ proportion to what the last one found.  Each round's new edges are written once
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -77,16 +77,21 @@ class Layers(Graph):
         self.base, self.layers, self.new = base, layers, new or {}
 
     def edges_of(self, rels: list[str]) -> DataFrame:
-        found = [self.base.edges_of([r for r in rels if r not in self.new])] if any(r not in self.new for r in rels) else []
-        for r in rels:
-            found += [self.new[r]] if r in self.new else self.layers.get(r, [])
-        return reduce(DataFrame.unionByName, found)
+        found = [x for r in rels for x in ([self.new[r]] if r in self.new else self.layers.get(r, []))]
+        base = held(self.base, plain) if (plain := [r for r in rels if r not in self.new]) else None
+        return reduce(DataFrame.unionByName, found + [base] * (base is not None)) if found or base is not None else self.base._empty("edges")
 
     @property
     def edges(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [x for layer in self.layers.values() for x in layer], self.base.edges)
 
 
+def held(graph: Graph, rels: list[str]) -> DataFrame | None:
+    """The edges of the relations that a graph has of itself; None if it has none of them as parts."""
+    parts = graph.parts.get("edges")
+    return graph.edges_of(rels) if parts is None or any(r in parts for r in rels) else None
+
+
 def variants(rule: Rule, grown: set[str]) -> list[tuple[tuple, str]]:
     """For each clause on a relation that grew: the body with that clause on the new edges alone, and the relation."""
     found = []
@@ -119,36 +124,30 @@ def evaluate(graph: Graph, rules: Sequence[Rule], most: int = 256, subclasses: d
     def solved(body: tuple, rule: Rule, on: Graph) -> DataFrame:
         return match(on, body, subclasses=subclasses).select(F.col(rule.src).alias("src"), F.lit(rule.rel).alias("rel"), F.col(rule.dst).alias("dst"))
 
-    def add(parts: list[DataFrame], known: Callable[[list[str]], DataFrame], rels: list[str]) -> dict[str, DataFrame]:
-        """What is new in parts becomes a layer of its relation."""
+    def add(parts: list[DataFrame], rels: list[str]) -> dict[str, DataFrame]:
+        """What is new in parts becomes a layer of its relation; the edges that are known are compared once, where they are if what was found is little."""
         key = ["src", "rel", "dst"]
-        found = cut(reduce(DataFrame.unionByName, parts).distinct())
-        n = found.count()
-        if n <= BROADCAST_ROWS:  # known edges stay where they are
-            held = known(rels).join(F.broadcast(found), key, "left_semi").distinct()
-            new = found.join(held, key, "left_anti")
-        else:
-            new = found.join(known(rels), key, "left_anti")
-        new = cut(new)
+        found = reduce(DataFrame.unionByName, parts).distinct()
+        known = [x.select(*key) for x in (held(graph, rels), *(x for r in rels for x in layers.get(r, []))) if x is not None]
+        new = cut(found.join(reduce(DataFrame.unionByName, known), key, "left_anti") if known else found)
         counts = {r.rel: r.n for r in new.groupBy("rel").agg(F.count("*").alias("n")).collect()}  # a row for each relation
         rounds.extend(sorted(counts.items()))
         grown = {}
         for rel, n in counts.items():
-            layer = new.where(F.col("rel") == rel)
+            layer = new.where(F.col("rel") == rel) if len(counts) > 1 else new
             layers.setdefault(rel, []).append(layer)
             grown[f"new {rel}"] = F.broadcast(layer) if n <= BROADCAST_ROWS else layer
         return grown
 
     for stratum in strata(rules):
         rels = sorted({r.rel for r in stratum})
-        known = lambda names: Layers(graph, layers).edges_of(names).select("src", "rel", "dst")
-        new = add([solved(r.body, r, Layers(graph, layers)) for r in stratum], known, rels)
+        new = add([solved(r.body, r, Layers(graph, layers)) for r in stratum], rels)
         for _ in range(most):
             grown = {name.removeprefix("new ") for name in new}
             parts = [solved(body, r, Layers(graph, layers, new)) for r in stratum for body, _ in variants(r, grown)]
             if not parts:
                 break
-            new = add(parts, known, rels)
+            new = add(parts, rels)
         else:
             raise RuntimeError(f"no end of {', '.join(rels)} after {most} rounds")
     return Derived(Layers(graph, layers), rounds)

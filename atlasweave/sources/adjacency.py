@@ -15,8 +15,8 @@ from ..functions.lineage import cut
 from . import versions
 from .lift import Graph
 
-#: Folders, and nodes that are looked up by their ids at a time; more are joined.
-BUCKETS, FEW = 32, 1 << 12
+#: Folders; nodes that a scan is filtered by; nodes that are sent to all executors at most (more are joined by a shuffle).
+BUCKETS, FEW, SENT = 32, 1 << 6, 1 << 18
 
 
 def bucket_of(node: Column) -> Column:
@@ -45,7 +45,12 @@ class Adjacency:
     def met(self, frontier: DataFrame, direction: str, rel: str | None) -> DataFrame:
         """The links of the nodes of frontier(node): by their ids if they are few, else by a join."""
         first = [r.node for r in frontier.limit(FEW + 1).collect()]
-        links = self.version.read(self.spark, "links").drop("bucket").join(frontier, "node") if len(first) > FEW else self.of("links", first)
+        if len(first) <= FEW:
+            links = self.of("links", first)
+        else:
+            buckets = [r.bucket for r in frontier.select(bucket_of(F.col("node")).alias("bucket")).distinct().collect()]  # BUCKETS rows at most
+            links = self.version.read(self.spark, "links").where(F.col("bucket").isin(buckets)).drop("bucket")
+            links = links.join(F.broadcast(frontier) if frontier.count() <= SENT else frontier, "node")
         if direction != "both":
             links = links.where(F.col("side") == direction)
         return links.where(F.col("rel") == rel) if rel else links

@@ -21,17 +21,18 @@ from ..functions.text import normalised, word_prefix
 from . import versions
 from .lift import Graph
 
-#: Letters of a key that are stored; folders for keys that begin with other than small Latin letters and digits; folders of texts.
-KEY, OTHERS, BUCKETS = 64, 64, 64
-#: Hits whose texts are looked up by their ids; more are joined.
-FEW = 1 << 12
+#: Letters of a key that are stored; first letters that name a folder (more of them for larger tables); folders for keys that begin
+#: with other than small Latin letters and digits; folders of texts.
+KEY, LETTERS, OTHERS, BUCKETS = 64, 1, 16, 32
+#: Hits that the scan of texts is filtered by.
+FEW = 1 << 6
 ENTRY = ["id", "type", "scope", "name", "text"]
 
 
-def folder_of(key: Column) -> Column:
-    """The folder of a key: its first two letters, or a number for keys that begin otherwise."""
-    first = F.substring(key, 1, 2)
-    return F.when(first.rlike("^[a-z0-9]{1,2}$"), first).otherwise(F.concat(F.lit("~"), F.pmod(F.xxhash64(F.substring(key, 1, 1)), F.lit(OTHERS)).cast("string")))
+def folder_of(key: Column, letters: int) -> Column:
+    """The folder of a key: its first letters, or a number for keys that begin otherwise."""
+    first = F.substring(key, 1, letters)
+    return F.when(first.rlike(f"^[a-z0-9]{{1,{letters}}}$"), first).otherwise(F.concat(F.lit("~"), F.pmod(F.xxhash64(F.substring(key, 1, 1)), F.lit(OTHERS)).cast("string")))
 
 
 def _bucket(id_: Column) -> Column:
@@ -60,7 +61,7 @@ def entries(graph: Graph, name_preds: list[str] | None = None, text_preds: list[
     return rows.select("id", "type", F.when(scope != "", scope).alias("scope"), "name", "text")
 
 
-def tables(found: DataFrame) -> dict[str, versions.Table]:
+def tables(found: DataFrame, letters: int = LETTERS) -> dict[str, versions.Table]:
     """The tables to publish for entries(id, type, scope, name, text)."""
     head = lambda c: F.substring(c, 1, KEY)
     named = found.where("name IS NOT NULL").select("id", "type", "scope", "name", normalised(F.col("name")).alias("plain"))
@@ -68,12 +69,13 @@ def tables(found: DataFrame) -> dict[str, versions.Table]:
     ids = F.array(F.struct(F.lit("id").alias("how"), head(F.lower("id")).alias("key")), F.struct(F.lit("id").alias("how"), head(F.lower(F.substring_index("id", "/", -1))).alias("key")))
     whole = F.array(F.struct(F.lit("name").alias("how"), head(F.col("plain")).alias("key")))
     keys = named.select("id", "type", "scope", "name", F.explode(F.array_distinct(F.concat(ids, whole, from_words))).alias("k")).select("id", "type", "scope", "name", "k.how", "k.key")
-    keys = keys.where("key <> ''").distinct().withColumn("folder", folder_of(F.col("key")))
+    keys = keys.where("key <> ''").distinct().withColumn("folder", folder_of(F.col("key"), letters))
 
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"\b(?=([\p{{L}}\p{{Nd}}_]{{1,{KEY}}}))"), F.lit(1))
-    both = F.concat(F.transform(words("name"), lambda w: F.struct(w.alias("word"), F.lit(True).alias("in_name"))), F.transform(words("text"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("in_name"))))
-    spread = found.select("id", "type", "scope", F.explode(F.array_distinct(both)).alias("w")).select("id", "type", "scope", "w.word", "w.in_name")
-    held = spread.groupBy("word", "id", "type", "scope").agg(F.max("in_name").alias("in_name")).withColumn("folder", folder_of(F.col("word")))
+    def words(column: str, in_name: bool) -> DataFrame:
+        every = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{Nd}\p{Mn}_]+"), F.lit(0)), head))
+        return found.where(F.col(column).isNotNull()).select("id", "type", "scope", F.explode(every).alias("word"), F.lit(in_name).alias("in_name"))
+
+    held = words("name", True).unionByName(words("text", False)).groupBy("word", "id", "type", "scope").agg(F.max("in_name").alias("in_name")).withColumn("folder", folder_of(F.col("word"), letters))
     return {
         "names": versions.Table(keys, ("folder",), ("key", "id", "name")),
         "words": versions.Table(held, ("folder",), ("word", "id")),
@@ -86,6 +88,10 @@ class Index:
     spark: SparkSession
     version: versions.Version
 
+    @property
+    def letters(self) -> int:
+        return int(self.version.meta["letters"])
+
     def read(self, name: str, types: list[str] | None = None, scope: str | None = None) -> DataFrame:
         rows = self.version.read(self.spark, name)
         if types:
@@ -94,15 +100,20 @@ class Index:
 
     def keys(self, want: str, id_: str, types: list[str] | None = None, scope: str | None = None) -> DataFrame:
         """Postings of names whose key begins with `want`, or whose id key is `id_`: rows of few folders."""
-        first = folder_of(F.lit(want)) if len(want) > 1 else None
-        near = F.col("folder") == first if first is not None else F.startswith(F.col("folder"), F.lit(want)) | (F.col("folder") == folder_of(F.lit(want + " ")))
-        mine = F.col("folder") == folder_of(F.lit(id_))
+        near = F.col("folder") == folder_of(F.lit(want), self.letters)
+        if len(want) < self.letters:  # longer keys are in folders of longer names, or among the others
+            near = near | F.startswith(F.col("folder"), F.lit(want)) | (F.col("folder") == folder_of(F.lit(want + " "), self.letters))
+        mine = F.col("folder") == folder_of(F.lit(id_), self.letters)
         rows = self.read("names", types, scope).where(near | mine)
         return rows.where((F.col("how") == "name") & F.startswith("key", F.lit(want[:KEY])) | (F.col("how") == "id") & (F.col("key") == id_[:KEY]))
 
     def postings(self, words: list[str], types: list[str] | None = None, scope: str | None = None) -> DataFrame:
         """Postings of all words that begin with one of the given ones."""
-        rows = self.read("words", types, scope).where(F.col("folder").isin([folder_of(F.lit(w)) for w in words]))
+        near = [folder_of(F.lit(w), self.letters) for w in words] + [folder_of(F.lit(w + " "), self.letters) for w in words if len(w) < self.letters]
+        own = F.col("folder").isin(near)
+        for w in words:
+            own = own | F.startswith(F.col("folder"), F.lit(w)) if len(w) < self.letters else own
+        rows = self.read("words", types, scope).where(own)
         begins = [F.startswith("word", F.lit(w[:KEY])) for w in words]
         hit = begins[0]
         for b in begins[1:]:
@@ -110,8 +121,8 @@ class Index:
         return rows.where(hit)
 
 
-def publish(spark: SparkSession, folder: str, found: DataFrame, base: versions.Version | None = None) -> Index:
-    return Index(spark, versions.publish(spark, folder, tables(cut(found)), base))
+def publish(spark: SparkSession, folder: str, found: DataFrame, base: versions.Version | None = None, letters: int = LETTERS) -> Index:
+    return Index(spark, versions.publish(spark, folder, tables(cut(found), letters), base, {"letters": str(letters)}))
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
@@ -154,10 +165,10 @@ def search(index: Index, query: str, limit: int = 20, width: int = 160, types: l
     found = index.postings(words, types, scope).groupBy("id", "type").agg(*best)
     total = sum((F.col(f"w{words.index(w)}") for w in counts if len(w) <= KEY), F.lit(0))
     hits = cut(found.where(" AND ".join(f"w{k} IS NOT NULL" for k in range(len(words)))).select("id", "type", total.alias("words")))
-    texts = index.read("texts")
-    if hits.count() <= FEW:
-        ids = [r.id for r in hits.select("id").collect()]
-        texts = texts.where(F.col("bucket").isin([_bucket(F.lit(i)) for i in ids]) & F.col("id").isin(ids)) if ids else texts.limit(0)
+    buckets = [r.bucket for r in hits.select(_bucket(F.col("id")).alias("bucket")).distinct().collect()]  # BUCKETS rows at most
+    texts = index.read("texts").where(F.col("bucket").isin(buckets))
+    few = [r.id for r in hits.select("id").limit(FEW + 1).collect()]
+    texts = texts.where(F.col("id").isin(few)) if len(few) <= FEW else texts
     phrase, low = " ".join(query.lower().split()), F.lower(F.coalesce("text", F.lit("")))
     at = F.when(F.instr(low, phrase) > 0, F.instr(low, phrase)).otherwise(F.greatest(F.instr(low, words[0]), F.lit(1)))
     shown = F.substring(F.coalesce("text", F.lit("")), F.greatest(at - 40, F.lit(1)), F.lit(width))

@@ -102,7 +102,7 @@ def named(spark, tmp_path_factory):
     values = [("report/r1/meaning/1", "definition", "What all holdings are worth, the net value"), ("report/r1", "purpose", "A profile of one fund")]
     graph = Graph(spark.createDataFrame(PEOPLE, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame(values, LITERALS))
     found = postings.entries(graph, text_preds=["definition", "purpose"])
-    return found, postings.publish(spark, str(tmp_path_factory.mktemp("index")), found)
+    return found, postings.publish(spark, str(tmp_path_factory.mktemp("index")), found, letters=2)
 
 
 @pytest.mark.parametrize("asked", ["nav", "NAV", "net asset value", "net", "bolt", "#13", "été", "x", "日本", "value", "fund pro", "a" * 90, "a" * 70, "report/r1", "__net", "13", "tail", "nothing"])
@@ -131,6 +131,10 @@ def test_search_equals_a_scan_and_reads_few_files(spark, sf_dir, tmp_path):
     plain = docs.select("id", "name", "text")
     for query in ("The and", "der", "la de que", "unfindable", "2024", "the the"):
         same(postings.search(index, query, 30).select("id", "score", "snippet"), lookup.search(plain, query, 30))
+    wide = postings.publish(spark, str(tmp_path / "wide"), docs, letters=3)
+    for query in ("The and", "de que", "un la"):
+        same(postings.search(wide, query, 30), postings.search(index, query, 30))
+    assert files_read(wide.postings(["the"])) == 1
     every = len(set(index.read("words").select(F.input_file_name()).distinct().collect()))
     assert files_read(index.postings(["the"])) <= 4 < every
 
