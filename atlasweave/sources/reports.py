@@ -154,16 +154,31 @@ def _texts(facts: DataFrame) -> DataFrame:
     listed = F.from_json("value", "array<string>")
     scalar = F.when(F.startswith("value", F.lit('"')), F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]")).otherwise(F.col("value"))
     values = F.when(F.startswith("value", F.lit("[")), listed).when(F.startswith("value", F.lit("{")) | (F.col("value") == "null"), F.array().cast("array<string>")).otherwise(F.array(scalar))
-    return facts.select("report", "source", "file", "fact", F.explode(values).alias("text"))
+    return facts.select("scope", "report", "source", "file", "fact", F.explode(values).alias("text"))
 
 
-def lift_facts(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> Graph:
-    """The graph of facts(scope, file, fact, value): each file's facts once, all rules in one pass over them."""
+def statements(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """scope, kind, subject, name and object that facts(scope, file, fact, value) state, each once a scope.
+
+    Rules are keyed by their file and the first step of their path, so a fact meets only the few that can be about it.
+    """
     named = lambda fact: F.max(F.when(F.col("fact") == fact, F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]")))
     names = facts.groupBy("scope").agg(named("report.id").alias("report"), named("source.name").alias("source")).where("report IS NOT NULL")
     texts = _texts(facts.where("fact IS NOT NULL").join(names, "scope").withColumn("file", F.regexp_extract("file", r"^([^.]+)", 1)))
-    made = [F.when((F.col("file") == r.file) & F.col("fact").rlike(f"^{r.path}$"), F.struct(F.lit(r.kind).alias("kind"), filled(r.subject, r.path).alias("subject"), F.lit(r.name).alias("name"), filled(r.object, r.path).alias("object"))) for r in rules]
-    rows = cut(texts.select(F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x")).select("x.*").distinct())
+    groups: dict[tuple[str, str], list[Column]] = {}
+    for r in rules:
+        made = F.struct(F.lit(r.kind).alias("kind"), filled(r.subject, r.path).alias("subject"), F.lit(r.name).alias("name"), filled(r.object, r.path).alias("object"))
+        groups.setdefault((r.file, re.match(r"\w*", r.path)[0]), []).append(F.when(F.col("fact").rlike(f"^{r.path}$"), made))
+    step, found = F.split("fact", r"\.")[0], None
+    for (file, first), made in groups.items():
+        mine = (F.col("file") == file) & (step == first)
+        found = F.when(mine, F.array(*made)) if found is None else found.when(mine, F.array(*made))
+    return texts.select("scope", F.explode(F.array_compact(found)).alias("x")).select("scope", "x.*").distinct()
+
+
+def graph_of(stated: DataFrame) -> Graph:
+    """The graph that statements(kind, subject, name, object) of several scopes make."""
+    rows = stated.select("kind", "subject", "name", "object").distinct()
     labels = rows.where("kind = 'literal' AND name = 'label'").groupBy(F.col("subject").alias("id")).agg(F.min("object").alias("own"))
     nodes = rows.where("kind = 'node'").groupBy(F.col("subject").alias("id"), F.col("name").alias("type")).agg(F.min("object").alias("object"))
     nodes = nodes.join(labels, "id", "left").select("id", "type", F.coalesce("own", "object").alias("label"))
@@ -172,17 +187,23 @@ def lift_facts(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> Graph:
     return Graph(nodes, edges, literals)
 
 
-def read_reports(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:
-    """The graph of all report folders, and skipped(scope, file, error): what could not be read, and second reports of one id.
+def lift_facts(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> Graph:
+    """The graph of facts(scope, file, fact, value)."""
+    return graph_of(cut(statements(facts, rules)))
 
-    Of two folders with one report id the first in order of names counts.
-    """
-    facts = cut(read_facts(spark, folder))
+
+def left_out(facts: DataFrame) -> DataFrame:
+    """scope, file and error of what can't be read, and of second reports of one id: of two folders the first in order of names counts."""
     ids = facts.where("fact = 'report.id'").select("scope", "value")
     first = ids.groupBy("value").agg(F.min("scope").alias("first"))
     second = ids.join(first, "value").where("scope <> first").select("scope", F.lit("report.yaml").alias("file"), F.lit("report id is taken").alias("error"))
-    broken = facts.where("error IS NOT NULL").select("scope", "file", "error")
-    skipped = cut(broken.unionByName(second).distinct())
+    return facts.where("error IS NOT NULL").select("scope", "file", "error").unionByName(second).distinct()
+
+
+def read_reports(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:
+    """The graph of all report folders, and skipped(scope, file, error)."""
+    facts = cut(read_facts(spark, folder))
+    skipped = cut(left_out(facts))
     return lift_facts(facts.join(skipped.select("scope").distinct(), "scope", "left_anti")), skipped
 
 
