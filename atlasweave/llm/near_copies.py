@@ -8,7 +8,7 @@ calculation (more above 0.8); pairs that also lie within RADIUS of all 256 bits
 
 Candidates only propose: inside each group that they connect, shingle sets are compared exactly, breadth first, until
 no unreached text is similar to a reached one, so a group has links that connect all its similar pairs and no others.
-A large group is cut into blocks, and each pair of blocks is a task.
+A large group is cut into blocks: what few texts of the group connect isn't compared again, the rest is compared with every block.
 
 Defined results: null counts as empty; an empty text has no shingle and is only a copy of empty texts; case (A-Z) and
 white space make no difference; an empty table gives no rows.
@@ -33,6 +33,8 @@ SHINGLE, SIMILAR = 5, 800
 WORDS, PARTS, RADIUS, WORD_RADIUS, PART_RADIUS = 4, 16, 60, 22, 1
 #: Texts of a candidate group that one task holds of each block, and their bytes; groups up to SMALL texts share tasks.
 BLOCK, BYTES, SMALL = 2048, 1 << 25, 64
+#: Texts of a large group that every block of it is compared with first.
+MODELS = 4
 COLUMNS = [f"w{k}" for k in range(WORDS)]
 
 
@@ -206,28 +208,65 @@ def similar_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def compare(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of similar texts within each candidate group of a task."""
+    a, b = [], []
+    for _, group in frame.groupby("root", sort=False):
+        body = group["body"].to_numpy()
+        x, y = similar_links([shingles(words_of(t)) for t in group["text"]])
+        a += body[x].tolist()
+        b += body[y].tolist()
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+LINK = "a long, b long"
+
+
 def verified(members: DataFrame) -> DataFrame:
-    """Links (a, b) of similar bodies; members has root (the candidate group), body and text."""
+    """Links (a, b) of similar bodies; members has root (the candidate group), body and text.
+
+    Groups of one block are compared at once.  In a larger one each block is first compared within itself and with MODELS texts of the group, which
+    connects nearly all of it; then only the texts outside of the group's largest connected part are compared with the others, so a text is
+    sent once and again for each block of those, not for each block of the group.
+    """
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    groups = cut_lineage(members.groupBy("root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BYTES)).cast("int")))
-    total = groups.agg(F.sum("n"), F.sum("bytes")).first()
+    cut = lambda n, nbytes: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(nbytes) / BYTES)).cast("int")
+    held = cut_lineage(members.groupBy("root").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).withColumn("blocks", cut("n", "bytes")))
+    total = held.agg(F.sum("n"), F.sum("bytes"), F.max("blocks")).first()
     tasks = 1 + (total[1] or 0) // BYTES
-    small = (F.col("blocks") == 1) & F.col("few")
-    rows = join_sized(members, groups.select("root", "blocks", (F.col("n") <= SMALL).alias("few"), "n"), "root", total[0] or 0).withColumn("mine", F.pmod(F.xxhash64("body"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("task", F.when(small, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")))
-    rows = rows.select("task", small.alias("small"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "root", "body", "text")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, group in frame.groupby("root", sort=False):
-            body = group["body"].to_numpy()
-            x, y = similar_links([shingles(words_of(t)) for t in group["text"]])
-            a += body[x].tolist()
-            b += body[y].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return cut_lineage(rows.groupBy("task", "small", "i", "j").applyInPandas(compare, "a long, b long"))
+    rows = join_sized(members, held.select("root", "blocks", (F.col("n") <= SMALL).alias("few"), "n"), "root", total[0] or 0)
+    task = F.when(F.col("few"), F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root"))
+    links = cut_lineage(rows.where("blocks = 1").select(task.alias("task"), "few", "root", "body", "text").groupBy("task", "few").applyInPandas(compare, LINK))
+    return links if (total[2] or 1) == 1 else links.union(_large(cut_lineage(rows.where("blocks > 1").drop("few", "n"))))
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """Links within groups of several blocks; rows has root, body, text and blocks."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("body"), F.col("blocks")).cast("int"))
+    by_hash = F.min(F.struct(F.xxhash64("body", F.lit(1)), "body"))
+    models = sized(rows.groupBy("root", F.pmod(F.xxhash64("body", F.lit(2)), F.lit(MODELS))).agg(by_hash.alias("m")).select("root", "m.body"))
+    spread = rows.join(models, ["root", "body"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    key = ["root", "block"]
+    first = rows.select(*key, "body", "text").union(spread.select("root", F.col("other").alias("block"), "body", "text"))
+    links = cut_lineage(first.groupBy(*key).applyInPandas(compare, LINK).distinct())
+    # what stands outside of the largest connected part of its group
+    part = simhash.components(links).toDF("body", "part")
+    placed = cut_lineage(rows.select("root", "body", "block", "blocks", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(part, "body", "left").withColumn("part", F.coalesce("part", "body")))
+    parts = placed.groupBy("root", "part").agg(F.count("*").alias("n"))
+    main = parts.groupBy("root").agg(F.max(F.struct("n", "part")).alias("x")).select("root", F.col("x.part").alias("main"))
+    outside = cut_lineage(placed.join(sized(main), "root").where("part <> main").select("root", "body", "bytes", "block", "blocks"))
+    some = cut_lineage(outside.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).select("root", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BYTES)).cast("int").alias("cuts")))
+    if some.isEmpty():
+        return links
+    # blocks of those outside, numbered from 0, meet each other and, by negative numbers, every block of the main part
+    mine = rows.join(sized(some), "root").join(sized(outside.select("root", "body", F.lit(True).alias("out"))), ["root", "body"], "left")
+    own = F.pmod(F.xxhash64("body", F.lit(3)), F.col("cuts")).cast("int")
+    out = mine.where("out").withColumn("own", own)
+    among = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("root", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "body", "text")
+    against = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", (-1 - F.col("k")).alias("i"), F.col("own").alias("j"), "body", "text")
+    rest = mine.where("out IS NULL").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("root", (-1 - F.col("block")).alias("i"), F.col("k").alias("j"), "body", "text")
+    second = among.union(against).union(rest).groupBy("root", "i", "j").applyInPandas(compare, LINK)
+    return links.union(cut_lineage(second.distinct()))
 
 
 def groups(docs: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

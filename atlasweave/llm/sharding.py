@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, fresh
 
 #: Bits of each dimension; DIMENSIONS * BITS must stay below 64.
 BITS = 8
@@ -115,8 +115,8 @@ def placements(docs: DataFrame, place: Column, n_shards: int = 24, id_col: str =
     numbers = sorted(sizes)
     n = sum(sizes.values())
     before = dict(zip(numbers, accumulate([0, *(sizes[p] for p in numbers)]), strict=False))
-    first = F.create_map(*[x for p in numbers for x in (F.lit(p), F.lit(before[p]))])[part] if numbers else F.lit(0)
-    rank = (first + within).cast("long")
+    starts = [before.get(p, 0) for p in range(max(numbers, default=0) + 1)]  # an array indexed by the partition's number
+    rank = (F.array(*[F.lit(x).cast("long") for x in starts])[part.cast("int")] + within).cast("long")
     shard = F.expr(f"rank * {n_shards} div {max(n, 1)}")
     return (
         placed.withColumn("rank", rank)
@@ -129,9 +129,11 @@ def placements(docs: DataFrame, place: Column, n_shards: int = 24, id_col: str =
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, **columns: str) -> None:
     """Write every row of docs once, one folder a shard, in the curve's order within it.
 
-    Rows are numbered and kept in the shared folder first, so that a row's number is the same in both passes.
+    Rows are numbered and kept in the shared folder first, so that a row's number is the same in both passes.  The columns shard and slot are
+    added, with underscores before their names where docs has such columns itself.
     """
-    rows = cut_lineage(docs.withColumn("__place", F.monotonically_increasing_id()))
-    placed = placements(rows, F.col("__place"), n_shards, **columns).select("place", "shard", "slot")
-    joined = rows.join(placed, F.col("__place") == F.col("place")).select(*[rows[c] for c in docs.columns], placed["shard"], placed["slot"])
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    place, shard, slot = fresh(docs, "place", "shard", "slot")
+    rows = cut_lineage(docs.withColumn(place, F.monotonically_increasing_id()))
+    placed = placements(rows, F.col(place), n_shards, **columns).select(F.col("place").alias(place), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    joined = rows.join(placed, place).drop(place)
+    joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -9,11 +9,13 @@ no language and goes at the first stage, and is empty for the others.
 from __future__ import annotations
 
 import uuid
+from hashlib import sha1
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, near_copies, packing, secrets
+from ..sources.versions import fingerprint
+from . import decontamination, langid, near_copies, packing, secrets, simhash
 from .common import cut_lineage, fresh, numbered, own, shared_folder, table, without
 from .queries import vocabulary
 
@@ -72,12 +74,21 @@ STAGES = [
 ]
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the input files' places, times and lengths and of the stages' parameters."""
+    files = fingerprint(spark, [f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet"]).select(F.concat_ws("|", "path", "changed", "length").alias("f")).collect()  # a row for each file
+    fixed = [(m.__name__, k, repr(v)) for m in (langid, near_copies, simhash, decontamination, secrets, packing) for k, v in sorted(vars(m).items()) if k.isupper() and isinstance(v, (int, float, str, tuple))]
+    return sha1(repr((sorted(r.f for r in files), fixed, [name for name, _ in STAGES])).encode()).hexdigest()
+
+
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Every stage over documents; each stage's rows are written as Parquet and read again.
 
-    With a folder of its own a run that was broken off goes on after the last stage that it finished.
+    With a folder of its own a run that was broken off goes on after the last stage that it finished.  What was finished for other
+    files or other parameters stands in another subfolder and isn't used.
     """
-    docs, folder = table(spark, sf_dir, "documents"), folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{folder}/{_inputs(spark, sf_dir)}" if folder else f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         if not _finished(spark, f"{folder}/{name}"):
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")

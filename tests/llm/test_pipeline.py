@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from atlasweave.llm import stages
@@ -138,10 +139,64 @@ def test_a_run_goes_on_after_the_last_finished_stage(spark, tmp_path):
     spark.createDataFrame(planted("x y z"), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     first = stages.run(spark, str(tmp_path), str(tmp_path / "run")).count()
-    made = (tmp_path / "run" / "simhash_dedup" / "_SUCCESS").stat().st_mtime_ns
-    (tmp_path / "run" / "packing" / "_SUCCESS").unlink()
+    (own,) = (tmp_path / "run").iterdir()
+    made = (own / "simhash_dedup" / "_SUCCESS").stat().st_mtime_ns
+    (own / "packing" / "_SUCCESS").unlink()
     assert stages.run(spark, str(tmp_path), str(tmp_path / "run")).count() == first
-    assert (tmp_path / "run" / "simhash_dedup" / "_SUCCESS").stat().st_mtime_ns == made
+    assert (own / "simhash_dedup" / "_SUCCESS").stat().st_mtime_ns == made
+    # other documents under the same name: nothing of the old run is used
+    spark.createDataFrame(planted("x y z")[:3], SCHEMA).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    again = stages.run(spark, str(tmp_path), str(tmp_path / "run"))
+    assert {r.doc_id for r in again.collect()} <= {r[0] for r in planted("x y z")[:3]} and len(list((tmp_path / "run").iterdir())) == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_are_linked_as_by_brute_force(spark, monkeypatch, seed):
+    """Groups of many blocks with several kinds of texts in them, and texts that bridge two kinds."""
+    from atlasweave.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = random.Random(seed)
+    rows = []
+    for root in range(3):
+        bases = [[f"r{root}k{k}w{i}" for i in range(60)] for k in range(3)]
+        bases[1] = bases[0][:52] + bases[1][52:]  # like the first, but not enough by itself
+        for n in range(70):
+            words = list(bases[0 if n < 55 else 1 + n % 2])
+            words[rng.randrange(60)] = f"x{n}" if n % 4 else words[0]
+            rows.append((root, " ".join(words)))
+        rows.append((root, " ".join(bases[0][:56] + bases[1][56:])))
+    rows.append((9, "a group of one text"))
+    members = spark.createDataFrame([(r, i, t) for i, (r, t) in enumerate(rows)], "root long, body long, text string").repartition(4)
+    found = [(r.a, r.b) for r in near_copies.verified(members).collect()]
+    sets = [set(near_copies.shingles(near_copies.words_of(t)).tolist()) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in near}
+
+    def classes(pairs):
+        label = list(range(len(rows)))
+
+        def top(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        for i, j in pairs:
+            label[max(top(i), top(j))] = min(top(i), top(j))
+        return [top(i) for i in range(len(rows))]
+
+    assert classes(found) == classes(near) and len(set(classes(near))) > 4
+
+
+def test_shards_are_written_with_clashing_columns(spark, tmp_path):
+    from atlasweave.llm.sharding import write_shards
+
+    names = ["shard", "slot", "place", "__place", "size", "hilbert"]
+    docs = spark.createDataFrame([(i, f"text {i % 7}", "en", "s", *[f"{c}{i}" for c in names]) for i in range(50)], "doc_id long, text string, lang string, source string" + "".join(f", {c} string" for c in names)).repartition(3)
+    write_shards(docs, str(tmp_path / "out"), n_shards=5)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, found.select(docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    assert {r["_shard"]: r["count"] for r in found.groupBy("_shard").count().collect()} == {k: 10 for k in range(5)} and {r["_slot"] for r in found.collect()} == set(range(10))
 
 
 def test_numbered_rows_keep_their_names(spark, tmp_path):
