@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.text import after, digest, joined, normalised
-from ..operators import atlas, contract, ledger, lookup, projection, questions, recursion, rules, shapes, walk
+from ..operators import atlas, contract, ledger, lookup, projection, questions, recursion, rules, shapes, validation, walk
 from ..operators.patterns import Edge, Either, Label, Maybe, Node, NotEdge, Value, Where, match
 from ..sources import adjacency, documents, export, postings
 from ..sources.lift import Graph, lift
@@ -234,6 +234,57 @@ def shape_unique_lines(spark, sf_dir):
     return lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
 
 
+ORDER_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "status": {"enum": ["O", "F"]}, "priority": {"type": "string", "pattern": "^[1-4]-"}, "price": {"type": "number", "maximum": 250000}, "buyer": {"$ref": "#/$defs/buyer"}, "note": {"type": "string", "minLength": 12},
+    },
+    "required": ["status", "note"], "additionalProperties": False,
+    "if": {"properties": {"status": {"const": "F"}}}, "then": {"required": ["price"]},
+    "$defs": {"buyer": {"type": "object", "properties": {"id": {"type": "integer"}}, "required": ["id", "name"]}},
+}
+
+
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents: a note stands for high priorities only, a price for cheap ones, and a flag that no schema knows for late ones."""
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fact = lambda path, value: F.struct(F.lit(path).alias("fact"), value.alias("value"))
+    orders = _table(spark, sf_dir, "orders")
+    found = F.array(
+        fact("status", text(F.col("o_orderstatus"))), fact("priority", text(F.col("o_orderpriority"))), fact("buyer.id", F.col("o_custkey").cast("string")), fact("price", F.when(F.col("o_totalprice") < 400000, F.floor("o_totalprice").cast("string"))),
+        fact("note", F.when(F.col("o_orderpriority") < "3", F.concat(F.lit('"about '), F.col("o_orderkey").cast("string"), F.lit('"')))), fact("late", F.when(F.year("o_orderdate") >= 1998, F.lit("true"))),
+    )
+    rows = orders.select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("scope"), F.lit("order.json").alias("file"), F.explode(found).alias("x"))
+    return rows.select("scope", "file", "x.*").where("value IS NOT NULL")
+
+
+@query("""WITH o AS (SELECT 'order/' || o_orderkey AS scope, o_orderstatus AS status, o_orderpriority AS priority, floor(o_totalprice) AS price, o_totalprice < 400000 AS priced, o_orderpriority < '3' AS noted, year(o_orderdate) >= 1998 AS late, length('about ' || o_orderkey) AS n FROM orders),
+    f AS (SELECT scope, 'status' AS path, 'is not one of the options' AS message FROM o WHERE status NOT IN ('O', 'F') UNION ALL SELECT scope, 'priority', 'doesn''t match ^[1-4]-' FROM o WHERE priority >= '5'
+    UNION ALL SELECT scope, 'price', 'is above the range' FROM o WHERE priced AND price > 250000 UNION ALL SELECT scope, 'note', 'is missing' FROM o WHERE NOT noted UNION ALL SELECT scope, 'note', 'is shorter than 12' FROM o WHERE noted AND n < 12
+    UNION ALL SELECT scope, 'late', 'late isn''t declared' FROM o WHERE late UNION ALL SELECT scope, 'price', 'is missing with this status' FROM o WHERE status = 'F' AND NOT priced UNION ALL SELECT scope, 'buyer.name', 'is missing' FROM o)
+    SELECT scope, 'error' AS severity, 'order.json' AS file, path, message FROM f""")
+def schema_validation(spark, sf_dir):
+    """Every order against a schema with types, options, ranges, a reference, a condition and undeclared keys."""
+    return validation.validate(order_facts(spark, sf_dir), {"order": ORDER_SCHEMA})
+
+
+LINE_CLAIMS = (
+    validation.Claim("line", "defines", "lines", r"lines\.([^.]+)", "{1}"),
+    validation.Claim("line", "uses", "orders", r"orders\.([^.]+)", "{1}", "the order has no line", "warn"),
+    validation.Claim("rich", "defines", "buyers", r"buyers\.([^.]+)", "{1}", values=("rich",)),
+    validation.Claim("rich", "uses", "orders", r"orders\.([^.]+)", "{v}", "an order of a buyer who isn't rich"),
+)
+
+
+@query("""WITH s AS (SELECT 'orders.json' AS file, 'warn' AS severity, 'orders.' || o_orderkey AS path, 'the order has no line: ' || o_orderkey AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT 'orders.json', 'error', min('orders.' || o_orderkey), 'an order of a buyer who isn''t rich: ' || o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey) SELECT 'all' AS scope, severity, file, path, message FROM s""")
+def reference_checks(spark, sf_dir):
+    """Orders without lines, and buyers by their means: two roles of keys in one aggregation."""
+    fact = lambda table, file, key, value: _table(spark, sf_dir, table).select(F.lit("all").alias("scope"), F.lit(f"{file}.json").alias("file"), F.concat(F.lit(f"{file}."), F.col(key).cast("string")).alias("fact"), value.alias("value"))
+    rows = fact("orders", "orders", "o_orderkey", F.col("o_custkey").cast("string")).unionByName(fact("lineitem", "lines", "l_orderkey", F.lit("1")))
+    return validation.unmet(rows.unionByName(fact("customer", "buyers", "c_custkey", F.when(F.col("c_acctbal") > 0, F.lit('"rich"')).otherwise(F.lit('"poor"')))), LINE_CLAIMS)
+
+
 # -- time -------------------------------------------------------------------------------------------------------------
 
 

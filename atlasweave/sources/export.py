@@ -33,8 +33,8 @@ class ExportRefused(ValueError):
 
 
 def export(graph: Graph, path: str, meta: dict[str, str], findings: DataFrame | None = None) -> None:
-    """Write nodes, edges and meta as Parquet; refuses if a finding has severity Violation or an edge dangles."""
-    blocking = [] if findings is None else findings.where("severity = 'Violation'").take(1)
+    """Write nodes, edges and meta as Parquet; refuses if a finding is a Violation or an error, or an edge dangles."""
+    blocking = [] if findings is None else findings.where("severity IN ('Violation', 'error')").take(1)
     if blocking or dangling(graph).take(1):
         raise ExportRefused("fix the violations that the shape report and dangling() list, then export again")
     spark = graph.nodes.sparkSession

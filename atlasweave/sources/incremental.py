@@ -7,6 +7,7 @@ nothing has changed nothing is read or written.  Which folders are left out is d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from .lift import Graph
 
 #: Changed files that are opened by their names; more are read with their whole catalogue and picked.
 NAMED = 1 << 12
+Findings = Callable[[DataFrame], DataFrame] | None
 FACTS = "scope string, file string, fact string, value string, error string"
 
 
@@ -54,22 +56,22 @@ def moved_scopes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select(F.coalesce("is", "was").alias("scope")).distinct()
 
 
-def opened(spark: SparkSession, version: versions.Version, parsed: int) -> Catalogue:
+def opened(spark: SparkSession, version: versions.Version, parsed: int, findings: Findings = None) -> Catalogue:
     """The catalogue of a version; statements of folders that are left out don't count."""
-    skipped = cut(reports.left_out(version.read(spark, "facts")))
+    skipped = cut(reports.left_out(version.read(spark, "facts"), findings))
     stated = version.read(spark, "statements").join(skipped.select("scope").distinct(), "scope", "left_anti")
     return Catalogue(reports.graph_of(stated), skipped, version, parsed)
 
 
-def refresh(spark: SparkSession, folder: str, store: str) -> Catalogue:
-    """The catalogue as its files are now; Conflict if another refresh was faster."""
+def refresh(spark: SparkSession, folder: str, store: str, findings: Findings = None) -> Catalogue:
+    """The catalogue as its files are now, without the folders that findings of facts forbid; Conflict if another refresh was faster."""
     base, now = versions.current(spark, store), cut(listed(spark, folder))
     if base is None:
         gone, files = None, now
     else:
         gone = cut(moved_scopes(base.read(spark, "manifest"), now))
         if gone.isEmpty():
-            return opened(spark, base, 0)
+            return opened(spark, base, 0, findings)
         files = now.join(F.broadcast(gone), "scope", "left_semi")
     parsed = files.count()
     if base is not None and parsed <= NAMED:
@@ -86,4 +88,4 @@ def refresh(spark: SparkSession, folder: str, store: str) -> Catalogue:
     stated = cut(stated)
     digest = digest_of(stated.select("kind", "subject", "name", "object").distinct())
     tables = {"manifest": versions.Table(now), "facts": versions.Table(facts), "statements": versions.Table(stated)}
-    return opened(spark, versions.publish(spark, store, tables, base, {"digest": digest}), parsed)
+    return opened(spark, versions.publish(spark, store, tables, base, {"digest": digest}), parsed, findings)

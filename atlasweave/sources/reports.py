@@ -8,6 +8,7 @@ each element.  Nodes that several rules or reports name are one node.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -192,18 +193,24 @@ def lift_facts(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> Graph:
     return graph_of(cut(statements(facts, rules)))
 
 
-def left_out(facts: DataFrame) -> DataFrame:
-    """scope, file and error of what can't be read, and of second reports of one id: of two folders the first in order of names counts."""
+def left_out(facts: DataFrame, findings: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """scope, file and error of what can't be read, of second reports of one id (of two folders the first in order of names counts), and of invalid ones.
+
+    findings maps facts to findings(scope, severity, file, path, message); errors leave their scope out, warnings don't.
+    """
     ids = facts.where("fact = 'report.id'").select("scope", "value")
     first = ids.groupBy("value").agg(F.min("scope").alias("first"))
     second = ids.join(first, "value").where("scope <> first").select("scope", F.lit("report.yaml").alias("file"), F.lit("report id is taken").alias("error"))
-    return facts.where("error IS NOT NULL").select("scope", "file", "error").unionByName(second).distinct()
+    found = facts.where("error IS NOT NULL").select("scope", "file", "error").unionByName(second)
+    if findings is not None:
+        found = found.unionByName(findings(facts).where("severity = 'error'").select("scope", "file", F.concat_ws(" ", F.nullif("path", F.lit("")), "message").alias("error")))
+    return found.distinct()
 
 
-def read_reports(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:
-    """The graph of all report folders, and skipped(scope, file, error)."""
+def read_reports(spark: SparkSession, folder: str, findings: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Graph, DataFrame]:
+    """The graph of all report folders, and skipped(scope, file, error); see left_out()."""
     facts = cut(read_facts(spark, folder))
-    skipped = cut(left_out(facts))
+    skipped = cut(left_out(facts, findings))
     return lift_facts(facts.join(skipped.select("scope").distinct(), "scope", "left_anti")), skipped
 
 
