@@ -87,9 +87,11 @@ def marks(docs: DataFrame, names: list[str], id_col: str, text_col: str) -> Data
         import xxhash
 
         for batch in batches:
-            words = [words_of(t) for t in batch.column(3).to_pylist()]
-            body = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in words], np.uint64).view(np.int64)
-            fp = np.array([fingerprint(shingles(w)) for w in words], np.uint64).reshape(-1, WORDS).view(np.int64)
+            body, fp = np.zeros(len(batch), np.uint64), np.zeros((len(batch), WORDS), np.uint64)
+            for k, text in enumerate(batch.column(3)):  # one text's words at a time
+                words = words_of(text.as_py())
+                body[k], fp[k] = xxhash.xxh64_intdigest(b" ".join(words), 7), fingerprint(shingles(words))
+            body, fp = body.view(np.int64), fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(body), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS))], ["file", "row", "doc_id", "body", *COLUMNS])
 
     rows = docs.select(*(own(docs, c).alias(a) for c, a in zip(names, ("file", "row"), strict=True)), own(docs, id_col).cast("long").alias("doc_id"), own(docs, text_col).alias("text"))
