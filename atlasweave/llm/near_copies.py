@@ -33,6 +33,8 @@ SHINGLE, SIMILAR = 5, 800
 WORDS, PARTS, RADIUS, WORD_RADIUS, PART_RADIUS = 4, 16, 60, 22, 1
 #: Texts of a candidate group that one task holds of each block, and their bytes; groups up to SMALL texts share tasks.
 BLOCK, BYTES, SMALL = 2048, 1 << 25, 64
+#: Links whose components one task finds (16 bytes each); more are joined in rounds.
+LINKS = 1 << 20
 #: Texts of a large group that every block of it is compared with first.
 MODELS = 4
 COLUMNS = [f"w{k}" for k in range(WORDS)]
@@ -210,6 +212,39 @@ def similar_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links that isn't the least of its component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y, before = label[u], label[v], label.copy()
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            moved = label != np.arange(len(nodes))
+            return nodes[moved], nodes[label[moved]]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and root for every node of links(a, b) that isn't its component's least: by one task if they are LINKS at most, else by rounds."""
+    links = cut_lineage(links.select("a", "b").where("a <> b").distinct())
+    if links.count() > LINKS:
+        return simhash.components(links)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [f.to_numpy(np.int64) for f in frames]
+        if every:
+            pairs = np.concatenate(every)
+            node, root = local_components(pairs[:, 0], pairs[:, 1])
+            yield pd.DataFrame({"node": node, "root": root})
+
+    return cut_lineage(links.coalesce(1).mapInPandas(run, "node long, root long"))
+
+
 def compare(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of similar texts within each candidate group of a task."""
     a, b = [], []
@@ -252,7 +287,7 @@ def _large(rows: DataFrame) -> DataFrame:
     first = rows.select(*key, "body", "text").union(spread.select("root", F.col("other").alias("block"), "body", "text"))
     links = cut_lineage(first.groupBy(*key).applyInPandas(compare, LINK).distinct())
     # what stands outside of the largest connected part of its group
-    part = simhash.components(links).toDF("body", "part")
+    part = components(links).toDF("body", "part")
     placed = cut_lineage(rows.select("root", "body", "block", "blocks", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(part, "body", "left").withColumn("part", F.coalesce("part", "body")))
     parts = placed.groupBy("root", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy("root").agg(F.max(F.struct("n", "part")).alias("x")).select("root", F.col("x.part").alias("main"))
@@ -278,11 +313,11 @@ def groups(docs: DataFrame, names: list[str], id_col: str = "doc_id", text_col:
     """
     marked = cut_lineage(marks(docs, names, id_col, text_col))
     distinct = cut_lineage(marked.groupBy("body", *COLUMNS).agg(F.min(F.struct("file", "row")).alias("at"), F.count("*").alias("n")))
-    proposed = simhash.components(candidates(distinct.select("body", *COLUMNS)))
+    proposed = components(candidates(distinct.select("body", *COLUMNS)))
     proposed = cut_lineage(proposed.union(proposed.select(F.col("root").alias("node"), "root")).distinct())
     wanted = distinct.select("body", "at.*").join(proposed.withColumnRenamed("node", "body"), "body")
     texts = docs.select(*(own(docs, c).alias(a) for c, a in zip(names, ("file", "row"), strict=True)), own(docs, text_col).alias("text"))
     members = cut_lineage(texts.join(sized(wanted), ["file", "row"]).select("root", "body", "text"))
-    tree = simhash.components(verified(members)).toDF("body", "root")
+    tree = components(verified(members)).toDF("body", "root")
     class_of = cut_lineage(distinct.select("body", "n").join(tree, "body", "left").select("body", F.coalesce("root", "body").alias("group"), "n"))
     return join_sized(marked.select("file", "row", "doc_id", "body"), class_of, "body", marked.count()).select("file", "row", "doc_id", "group")

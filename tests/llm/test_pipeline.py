@@ -188,6 +188,23 @@ def test_large_groups_are_linked_as_by_brute_force(spark, monkeypatch, seed):
     assert classes(found) == classes(near) and len(set(classes(near))) > 4
 
 
+def test_components_in_one_task_or_in_rounds(spark, monkeypatch):
+    from atlasweave.llm import near_copies
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    one = {tuple(r) for r in near_copies.components(links).collect()}
+    monkeypatch.setattr(near_copies, "LINKS", 10)
+    assert {tuple(r) for r in near_copies.components(links).collect()} == one
+    root = {n: n for p in pairs for n in p}
+    for _ in range(300):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert one == {(n, r) for n, r in root.items() if n != r}
+    assert near_copies.components(links.limit(0)).collect() == []
+
+
 def test_shards_are_written_with_clashing_columns(spark, tmp_path):
     from atlasweave.llm.sharding import write_shards
 
