@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import NOT_SIMPLE, byte_letters, char_class
 from .token_counts import load
 
-#: Entries of a worker's cache of pre-token ids; it starts anew beyond that.
-CACHE_SIZE = 1 << 20
+#: Bytes of a worker's cache of chunks' ids (it starts anew beyond that), and characters of a chunk that is kept in it at most.
+CACHE_BYTES, CACHED = 3 << 25, 256
 #: Sequences of one partition stay below this number.
 IDS_PER_PARTITION = 1 << 33
 
@@ -87,14 +87,18 @@ class _Ids(dict):
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        letter, number = char_class("L"), char_class("N")
+        letter, number, self.room = char_class("L"), char_class("N"), CACHE_BYTES
         self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
         self.split = re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^\t\n\r {letter}{number}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        self[chunk] = ids = self.encode(chunk if chunk[:1] == "\n" else " " + chunk)
+        ids = self.encode(chunk if chunk[:1] == "\n" else " " + chunk)
+        if len(chunk) <= CACHED:
+            self.room -= 2 * len(chunk) + len(ids) + 100
+            if self.room < 0:
+                self.clear()
+                self.room = CACHE_BYTES
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
