@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [known.predict(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [known.predict(text.as_py()) for text in batch.column(batch.num_columns - 1)]
             extra = [pa.array([f[k] for f in found], field.type) for k, field in enumerate(new)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], schema=pa.schema([*(f.with_name(c) for f, c in zip(batch.schema, kept, strict=False)), *new]))
 

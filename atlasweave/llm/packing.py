@@ -138,7 +138,8 @@ def pack(
 
         for batch in batches:
             whole: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = held.as_py()  # one text at a time
                 if not text:
                     blob = end
                 elif odd(text):

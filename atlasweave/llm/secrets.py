@@ -285,7 +285,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cleaned = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            cleaned = pa.array([clean(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], cleaned, *batch.columns[at + 1 :]], schema=pa.schema([f.with_name(c) for f, c in zip(batch.schema, names, strict=True)]))
 
     return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, docs.schema)  # a name may hold a point
