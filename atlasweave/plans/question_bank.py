@@ -363,11 +363,23 @@ FLOW_BRIEFS = [
 ]
 
 
+#: The properties whose values a question's parameter may be, beside the ids of nodes.
+NAMES = ("reportId", "fieldId", "columnName", "label")
+
+
 def ask(graph: Graph, question: str, param: str | None = None) -> dict[str, DataFrame]:
-    """The answer and gap rows of a question, for one parameter value or for all; an unknown name is an error that lists the known ones."""
+    """The answer and gap rows of a question, for one parameter value or for all.
+
+    An unknown question is an error that lists the known ones; a parameter value that is neither a node's id nor a name in the graph is one too, as
+    its empty answer would look complete.
+    """
     known = {q.id: q for q in (*REPORT_QUESTIONS, *FLOW_QUESTIONS)}
     if question not in known:
         raise KeyError(f"no question {question}; there are {', '.join(known)}")
+    if param is not None and param != "all":
+        named = graph.literals_of(list(NAMES)).where(F.col("value") == param)
+        if graph.nodes.where(F.col("id") == param).isEmpty() and named.isEmpty():
+            raise KeyError(f"{question}: nothing in the graph is named {param}")
     chosen = lambda rows: rows if rows is None or param is None else rows.where(F.col("param") == param)
     q = known[question]
     return {"answer": chosen(q.answer(graph)), "gaps": chosen(q.gaps(graph) if q.gaps else None)}

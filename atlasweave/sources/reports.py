@@ -22,7 +22,7 @@ from .lift import Graph
 
 @dataclass(frozen=True)
 class Rule:
-    """Facts of a file whose path matches give (subject, name, object): a node's type and label, an edge or a literal."""
+    """Facts of a file whose path (and value, if a pattern for it is given) match give (subject, name, object): a node's type and label, an edge or a literal."""
 
     kind: str
     file: str
@@ -30,6 +30,7 @@ class Rule:
     subject: str
     name: str
     object: str = "{v}"
+    value: str | None = None
 
 
 FIELD, RELEASE, REVISION = "report/{r}/field/{1}", "report/{r}/release/current", "report/{r}/revision/{1}"
@@ -150,26 +151,24 @@ def filled(template: str, path: str) -> Column:
     return F.concat(*parts)
 
 
-def _texts(facts: DataFrame) -> DataFrame:
-    """One row for each scalar of a fact's value, as text; nulls and empty containers give none."""
+def texts_of(facts: DataFrame) -> DataFrame:
+    """One row for each scalar of a fact's value, with it as text; nulls and empty containers give none."""
     listed = F.from_json("value", "array<string>")
     scalar = F.when(F.startswith("value", F.lit('"')), F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]")).otherwise(F.col("value"))
     values = F.when(F.startswith("value", F.lit("[")), listed).when(F.startswith("value", F.lit("{")) | (F.col("value") == "null"), F.array().cast("array<string>")).otherwise(F.array(scalar))
-    return facts.select("scope", "report", "source", "file", "fact", F.explode(values).alias("text"))
+    return facts.select("*", F.explode(values).alias("text"))
 
 
-def statements(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """scope, kind, subject, name and object that facts(scope, file, fact, value) state, each once a scope.
+def applied(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """scope, kind, subject, name and object that texts(scope, report, source, file, fact, text) state by rules, each once a scope; file is without its ending.
 
     Rules are keyed by their file and the first step of their path, so a fact meets only the few that can be about it.
     """
-    named = lambda fact: F.max(F.when(F.col("fact") == fact, F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]")))
-    names = facts.groupBy("scope").agg(named("report.id").alias("report"), named("source.name").alias("source")).where("report IS NOT NULL")
-    texts = _texts(facts.where("fact IS NOT NULL").join(names, "scope").withColumn("file", F.regexp_extract("file", r"^([^.]+)", 1)))
     groups: dict[tuple[str, str], list[Column]] = {}
     for r in rules:
         made = F.struct(F.lit(r.kind).alias("kind"), filled(r.subject, r.path).alias("subject"), F.lit(r.name).alias("name"), filled(r.object, r.path).alias("object"))
-        groups.setdefault((r.file, re.match(r"\w*", r.path)[0]), []).append(F.when(F.col("fact").rlike(f"^{r.path}$"), made))
+        fits = F.col("fact").rlike(f"^{r.path}$")
+        groups.setdefault((r.file, re.match(r"\w*", r.path)[0]), []).append(F.when(fits if r.value is None else fits & F.col("text").rlike(f"^(?s:{r.value})$"), made))
     step, found = F.split("fact", r"\.")[0], None
     for (file, first), made in groups.items():
         mine = (F.col("file") == file) & (step == first)
@@ -177,6 +176,13 @@ def statements(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return texts.select("scope", F.explode(F.array_compact(found)).alias("x")).select("scope", "x.*").distinct()
 
 
+def statements(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """scope, kind, subject, name and object that facts(scope, file, fact, value) of reports state, each once a scope."""
+    named = lambda fact: F.max(F.when(F.col("fact") == fact, F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]")))
+    names = facts.groupBy("scope").agg(named("report.id").alias("report"), named("source.name").alias("source")).where("report IS NOT NULL")
+    return applied(texts_of(facts.where("fact IS NOT NULL").join(names, "scope").withColumn("file", F.regexp_extract("file", r"^([^.]+)", 1))), rules)
+
+
 def graph_of(stated: DataFrame) -> Graph:
     """The graph that statements(kind, subject, name, object) of several scopes make."""
     rows = stated.select("kind", "subject", "name", "object").distinct()
