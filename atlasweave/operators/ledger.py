@@ -2,16 +2,17 @@
 
 changes(scope, revision, at, effective, fact, kind, value): kind is baseline, added, changed or removed; at is when a
 revision was known, effective (default: at) from when it holds.  Replay applies revisions in the order of their numbers,
-not of their effective dates.  Replay and diff are partial aggregations
-and windows by (scope, fact), so no scope's whole history meets in one task; integrity orders a scope's revisions (one row each)
-and lifecycle its log entries in one task.
+not of their effective dates.  Replay and diff are partial aggregations; integrity, lifecycle and last_set look at the rows before in
+blocks (running.in_order), so no scope's or fact's whole history meets in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import in_order
+
 
 def _visible(changes: DataFrame, as_of: Column | str | None, known_on: Column | str | None) -> DataFrame:
     rows = changes
@@ -80,8 +81,8 @@ def accept(changes: DataFrame, current: DataFrame, findings: DataFrame, by: str,
 
 def last_set(changes: DataFrame) -> DataFrame:
     """scope, fact, value and since: from when the current value has held (a baseline that repeats the value sets nothing anew)."""
-    order = Window.partitionBy("scope", "fact").orderBy("revision")
-    moved = changes.withColumn("same", (F.col("kind") == "baseline") & F.lag("value").over(order).eqNullSafe(F.col("value")) & F.lag("kind").over(order).isNotNull())
+    rows = in_order(changes, ["scope", "fact"], ["revision"], before={"was": "value", "had": "kind"})
+    moved = rows.withColumn("same", (F.col("kind") == "baseline") & F.col("was").eqNullSafe(F.col("value")) & F.col("had").isNotNull())
     return moved.where("NOT same").groupBy("scope", "fact").agg(F.max_by("value", "revision").alias("value"), F.max_by("kind", "revision").alias("kind"), F.max_by("at", "revision").alias("since")).where("kind <> 'removed'").drop("kind")
 
 
@@ -92,12 +93,10 @@ def integrity(changes: DataFrame) -> DataFrame:
     value that is held (the column `previous`).
     """
     revisions = changes.groupBy("scope", "revision").agg(F.min("at").alias("at"), F.max(F.col("kind") == "baseline").alias("baseline"))
-    order = Window.partitionBy("scope").orderBy("revision")
-    numbered = revisions.withColumn("place", F.row_number().over(order)).withColumn("latest", F.max("at").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = in_order(revisions, ["scope"], ["revision"], place="place", highest={"latest": "at"})
     about = lambda problem, condition: numbered.where(condition).select("scope", "revision", F.lit(None).cast("string").alias("fact"), F.lit(problem).alias("problem"))
-    held = Window.partitionBy("scope", "fact").orderBy("revision")
-    before = changes.withColumn("held", F.when(F.lag("kind").over(held) != "removed", F.lag("value").over(held)))
-    wrong = before.where("kind <> 'baseline' AND NOT (previous <=> held)").select("scope", "revision", "fact", F.lit("doesn't start from the held value").alias("problem"))
+    before = in_order(changes.select("scope", "fact", "revision", "kind", "previous", "value"), ["scope", "fact"], ["revision"], before={"was": "kind", "had": "value"})
+    wrong = before.withColumn("held", F.when(F.col("was") != "removed", F.col("had"))).where("kind <> 'baseline' AND NOT (previous <=> held)").select("scope", "revision", "fact", F.lit("doesn't start from the held value").alias("problem"))
     return about("number", "revision <> place").unionByName(about("time goes back", "at < latest")).unionByName(about("late baseline", "baseline AND place > 1")).unionByName(wrong)
 
 
@@ -107,8 +106,7 @@ def lifecycle(log: DataFrame, stages: list[str]) -> DataFrame:
     A log begins with the first stage, moves forward by one stage at a time (back by any), and its times don't go back.
     """
     rank = F.array_position(F.array(*map(F.lit, stages)), F.col("status")).cast("int")
-    order = Window.partitionBy("scope").orderBy("seq")
-    rows = log.withColumn("rank", rank).withColumn("before", F.lag("rank").over(order)).withColumn("earlier", F.max("at").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = in_order(log.withColumn("rank", rank), ["scope"], ["seq"], before={"before": "rank"}, highest={"earlier": "at"})
     problem = (
         F.when(F.col("rank") == 0, "unknown status").when(F.col("before").isNull() & (F.col("rank") != 1), "first status").when(F.col("rank") > F.col("before") + 1, "skips a status").when(F.col("at") < F.col("earlier"), "time goes back")
     )

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.text import after, digest, joined, normalised
 from ..operators import atlas, contract, ledger, lookup, projection, questions, recursion, rules, shapes, validation, walk
 from ..operators.patterns import Edge, Either, Label, Maybe, Node, NotEdge, Value, Where, match
+from ..operators.running import in_order
 from ..sources import adjacency, documents, export, postings
 from ..sources.lift import Graph, lift
 from . import stores
@@ -131,8 +132,8 @@ def registry_sample(spark, sf_dir):
 @query("""SELECT event_id, user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 THEN 'yes' END AS latest FROM events""")
 def latest_flag_events(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
-    return events.select("event_id", "user_id", F.when(last, "yes").alias("latest"))
+    last = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("last")).select("user_id", "last.event_id", F.lit("yes").alias("latest"))
+    return events.join(last, ["user_id", "event_id"], "left").select("event_id", "user_id", "latest")
 
 
 # -- questions and briefs ---------------------------------------------------------------------------------------------
@@ -289,9 +290,7 @@ def reference_checks(spark, sf_dir):
 
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events")
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = events.withColumn("revision", number.cast("long"))
+    rows = in_order(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], place="revision")
     kind = F.when(F.col("event_type") == "error", "removed").when(F.col("revision") == 1, "baseline").otherwise("changed")
     return rows.select(
         F.col("user_id").cast("string").alias("scope"), "revision", F.col("ts").alias("at"), (F.col("ts") + F.make_dt_interval(F.col("event_id").cast("int") % 5)).alias("effective"),
@@ -344,8 +343,8 @@ STAGES = ["view", "click", "signup", "purchase"]
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("scope"), number.alias("seq"), F.col("ts").alias("at"), F.col("event_type").alias("status"))
+    rows = in_order(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], place="seq")
+    return rows.select(F.col("user_id").cast("string").alias("scope"), "seq", F.col("ts").alias("at"), F.col("event_type").alias("status"))
 
 
 @query(f"""WITH {LOG_SQL}, r AS (SELECT *, coalesce(list_position(['view', 'click', 'signup', 'purchase'], status), 0) AS rank FROM log), b AS (SELECT *, lag(rank) OVER (PARTITION BY scope ORDER BY seq) AS before FROM r),
