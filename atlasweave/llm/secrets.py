@@ -1,10 +1,11 @@
 """Secret scanning: regular expressions propose candidates, a random forest removes false positives.
 
-Candidates of a whole text are runs of 16 or more key characters with a digit or inner change of case, and
-values of 8 or more characters that are assigned to a name, whole and in their parts between ?, &, @, = and : (as in URLs); a value
-that is assigned to the name of a secret may be of small letters only.
+Candidates of a whole text are runs of 16 or more key characters with a digit or inner change of case;
+values of 8 or more characters that are assigned to a name, whole and in their parts between ?, &, @, = and : (as in URLs); values of 6 or more
+that are assigned to the name of a secret, which may be of small letters only; passwords of 4 or more before a URL's host;
+and web tokens of three parts, which are one candidate.  Shorter values are none.
 The forest judges each by its length, its
-character classes and transitions, how much of it dictionary words cover, whether it stands in a path, and the
+character classes and transitions, how much of it dictionary words cover, whether it stands in a path or before a host, and the
 words beside it.  It is trained in numpy from labelled findings: a DataFrame of the user's (at most
 MAX_FINDINGS of them, a bounded sample of labelled rows) or, by default, findings that a seeded generator
 labels by construction.  The forest is a bounded table, so its broadcast is too; scanning is one map over
@@ -35,7 +36,9 @@ MAX_FINDINGS, TREES, DEPTH = 8000, 31, 9
 REDACTED = "<SECRET>"
 
 KEY_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-ASSIGNED = re.compile(r"[A-Za-z0-9_)\]}][\"']?[ ]{0,2}[:=]=?[ ]{0,2}[\"'`]?([^\s\"'`<>(){}\[\],;]{8,})")
+ASSIGNED = re.compile(r"[A-Za-z0-9_)\]}][\"']?[ ]{0,2}[:=]=?[ ]{0,2}[\"'`]?([^\s\"'`<>(){}\[\],;]{6,})")
+LOGIN = re.compile(r"://[^\s/:@\"'<>]*:([^\s/@\"'<>]{4,})@")
+WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]{8,}){2}(?![A-Za-z0-9_-])")
 PART = re.compile(r"[^?&@=:]{8,}={0,2}")
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
 
@@ -55,14 +58,14 @@ DICTIONARY = (
 #: Words of generated pass phrases.
 PHRASE = "apple basket candle desert engine flower garden hammer island jacket kettle ladder marble needle orange pepper rabbit silver tunnel window yellow zebra quick brown horse river stone cloud tiger lemon".split()
 #: Neighbouring words that speak for a secret, and those that speak against.
-SECRET_WORDS = re.compile(r"token|secret|passw|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[ _]key|client[_-]?key|signing|aws_|ssh-|webhook", re.I)
+SECRET_WORDS = re.compile(r"token|secret|passw|passwd|passphrase|pass(?=[\"']?[ ]{0,2}[:=])|pwd|api[ _-]?key|access[_-]?key|auth|bearer|credential|private[ _]key|client[_-]?key|signing|aws_|ssh-|webhook", re.I)
 BENIGN_WORDS = re.compile(r"commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|revision|isbn|build|version|integrity|trace|request[_-]?id|example|sample|placeholder|your[_-]|image|data:|href|src=|font|cache|order|invoice|phone|card|parcel|serial", re.I)
 WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) >= 3), key=lambda w: (-len(w), w))))
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 
 FEATURES = (
     "length log_length digits lower upper symbols hex_only digits_only distinct entropy class_changes bigram_rarity longest_letters "
-    "coverage uuid in_path slashes dots assigned quoted secret_before secret_after benign_before benign_after known_prefix placeholder"
+    "coverage uuid in_path slashes dots assigned quoted secret_before secret_after benign_before benign_after known_prefix placeholder login"
 ).split()
 KNOWN_PREFIX = re.compile(r"AKIA[0-9A-Z]{12}|gh[pousr]_|sk[-_](?:live|test|proj)?|xox[abprs]-|AIza|eyJ|glpat-|npm_|SG\.")
 
@@ -85,13 +88,21 @@ def kind(c: str) -> int:
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of a whole text, in order; they may overlap: assigned values, their parts, and runs."""
+    """Spans of a whole text, in order; they may overlap: assigned values, their parts, runs, logins and web tokens."""
     if not text:
         return []
     values = [m.span(1) for m in ASSIGNED.finditer(text)]
-    found = {*values, *(m.span() for v in values for m in PART.finditer(text, *v)), *(m.span() for m in KEY_RUN.finditer(text))}
     named = {v for v in values if SECRET_WORDS.search(text, max(0, v[0] - 28), v[0])}
-    return sorted((s for s in found if s in named or MIXED.search(text, *s)), key=lambda s: (s[0], -s[1]))
+    named |= {m.span(1) for m in LOGIN.finditer(text)}
+    values = [v for v in values if v[1] - v[0] >= 8]
+    found = {*values, *(m.span() for v in values for m in PART.finditer(text, *v)), *(m.span() for m in KEY_RUN.finditer(text))}
+    found = {s for s in found if MIXED.search(text, *s)} | named
+    tokens = [m.span() for m in WEB_TOKEN.finditer(text)]
+    if tokens:
+        ends = [b for _, b in tokens]
+        inside = lambda s: (at := bisect(ends, s[0])) < len(tokens) and tokens[at][0] <= s[0] and s[1] <= tokens[at][1]
+        found = {s for s in found if not inside(s)} | {*tokens}
+    return sorted(found, key=lambda s: (s[0], -s[1]))
 
 
 def features(text: str, start: int, end: int) -> list[float]:
@@ -112,10 +123,11 @@ def features(text: str, start: int, end: int) -> list[float]:
         float(before[-1:] in "\"'`" and before != ""), float(SECRET_WORDS.search(before) is not None), float(SECRET_WORDS.search(after) is not None),
         float(BENIGN_WORDS.search(before) is not None), float(BENIGN_WORDS.search(after) is not None), float(KNOWN_PREFIX.match(value) is not None),
         float(re.search(r"(.)\1{5}|x{4}|example|changeme|placeholder|1234567|your", low) is not None),
+        float(after[:1] == "@" and re.search(r"://[^\s/:@]*:$", before) is not None),
     ]
 
 
-def generated_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def generated_findings(n: int = 7000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of findings in generated lines: real-looking secrets, and what scanners take for some."""
     rng = np.random.default_rng(seed)
     alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "b62": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "b64": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/", "up": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "num": "0123456789"}
@@ -139,7 +151,15 @@ def generated_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nd
             lambda: "AKIA" + draw("up", 16), lambda: "ghp_" + draw("b62", 36), lambda: "sk-" + draw("b62", 40), lambda: "xoxb-" + draw("num", 11) + "-" + draw("b62", 24),
         )()
 
+    def chosen() -> str:
+        """A password as people choose them: a word, some letters as digits, a number or sign behind, or short and drawn."""
+        word = "".join(pick(*syllables) for _ in range(int(rng.integers(2, 4)))) if rng.random() < 0.5 else pick(*PHRASE)
+        word = "".join(dict(zip("aeiost", "431057", strict=True)).get(c, c) if rng.random() < 0.3 else c for c in word)
+        word = word.capitalize() if rng.random() < 0.5 else word
+        return pick(word + draw("num", int(rng.integers(1, 5))) + pick("", "!", "#", "!!", "?"), word + pick("!", "&", "_", ".", "-") + draw("num", int(rng.integers(1, 4))), word + pick(*PHRASE).capitalize() + draw("num", int(rng.integers(1, 3))), draw("b62", int(rng.integers(7, 14))) + pick("", "!", "$"))
+
     secret_names = ("token", "api_key", "apikey", "secret", "password", "access_key", "auth_token", "client_secret", "PASSWORD", "TOKEN", "API_KEY", "aws_secret_access_key")
+    login_names = ("password", "passwd", "pwd", "pass", "db_pass", "DB_PASSWORD", "user_password", "admin_pass", "passphrase", "root_pwd")
     benign_names = ("commit", "sha256", "md5", "checksum", "digest", "etag", "uuid", "build", "revision", "request_id", "integrity", "trace_id", "version", "image")
 
     def positive() -> tuple[str, str]:
@@ -150,6 +170,12 @@ def generated_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nd
             (f"{pick(*secret_names)} {pick('is', 'was', '')} ".replace("  ", " "), v),
             (f"{pick(*secret_names)}{pick(' = ', '=')}{pick(chr(34), '')}", name(1) + draw("b62", int(rng.integers(4, 10))) + pick("", "!", "#7")),
             (f"{pick(*secret_names)}{pick(' = ', '=', ': ')}{pick(chr(34), '')}", pick("", "", "-").join(pick(*PHRASE) for _ in range(int(rng.integers(3, 6))))),
+            (f"{pick(*login_names)}{pick(' = ', '=', ': ', ':')}{pick(chr(34), chr(39), '', '')}", chosen()),
+            (f"{pick(*login_names, *secret_names)}{pick(' = ', '=', ': ', ':')}{pick(chr(34), chr(39), '', '')}", chosen()),
+            (f"{pick('postgres', 'mysql', 'https', 'redis', 'ftp', 'amqp')}://{pick(*PHRASE, 'root', 'admin', '')}:", pick(chosen(), chosen(), draw("b62", 20)) + "@"),
+            (f"{pick('api key', 'API key', 'secret key', 'token', 'auth key', 'key')}{pick(' ', ': ', ' is ')}", draw(pick("hex", "b62", "up"), int(rng.integers(16, 33)))),
+            (f"{pick('key', 'KEY1', 'key2', 'secret_key')}{pick(' = ', '=', ': ')}", value()),
+            (f"{pick('Bearer ', 'token=', 'jwt: ', prose(1) + ' ')}", "eyJ" + draw("b62", 17) + ".eyJ" + draw("b62", int(rng.integers(30, 80))) + "." + draw("b62", 43)),
             (f"{prose(2)} ", pick("AKIA" + draw("up", 16), "ghp_" + draw("b62", 36), "sk-" + draw("b62", 40), draw("b62", 40))),
         )
 
@@ -165,6 +191,11 @@ def generated_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nd
             (prose(1) + " ", name(4) + draw("num", 1)),
             (prose(1) + " ", pick(draw("hex", 40), draw("hex", 64))),
             ("data:image/png;base64,", draw("b64", 120)),
+            (f"{pick(*login_names, *secret_names)}{pick(' = ', '=', ': ')}{pick(chr(34), '')}", pick("string", "boolean", "hidden", "getpass", "required", "missing", "invalid", "expired", "optional", "nothing", "forgotten", "incorrect", "os.environ", "prompt()", "undefined", "reset", "rotated", "protected") + pick("", "", ".", "!")),
+            (f"{pick('The', 'Your', 'A')} {pick('password', 'token', 'pass', 'secret')}{pick(' is', ':', ' was')} ", pick("".join(pick(*syllables) for _ in range(3)), name(2).lower(), pick(*PHRASE))),
+            (f"{pick('time', 'port', 'size', 'date', 'ratio', 'range', 'room', 'model', 'level')}{pick(' = ', '=', ': ')}{pick(chr(34), '')}", pick(f"20{draw('num', 2)}-{draw('num', 2)}-{draw('num', 2)}", f"{draw('num', 2)}:{draw('num', 2)}:{draw('num', 2)}", draw("num", 9), name(1) + draw("num", 2), chosen())),
+            (f"{prose(1)} {pick('https', 'http')}://{name(1).lower()}.{pick('org', 'net')}:", draw("num", 4) + pick("/" + name(1), "")),
+            (f"{pick('sha1', 'commit key', 'cache key', 'primary key', 'key')}{pick(': ', ' = ', ' ')}", pick(name(3), name(2) + draw("num", 2), name(2).lower() + "_id")),
             (prose(1) + " ", "".join(pick(*syllables) for _ in range(7)).capitalize() + "Is" + draw("num", 1)),
         )
 
@@ -172,9 +203,11 @@ def generated_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nd
     for i in range(n):
         label = i % 2
         before, v = positive() if label else negative()
+        behind = "@" + name(1).lower() if v.endswith("@") else ""
+        v = v.rstrip("@")
         head = f"{prose(int(rng.integers(0, 6)))} {before}"
         quote = before[-1:] if before[-1:] in "\"'" else ""
-        rows.append(features(f"{head}{v}{quote} {prose(int(rng.integers(0, 5)))}", len(head), len(head) + len(v)))
+        rows.append(features(f"{head}{v}{behind}{quote} {prose(int(rng.integers(0, 5)))}", len(head), len(head) + len(v)))
         labels.append(label)
     return np.array(rows), np.array(labels)
 
