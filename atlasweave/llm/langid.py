@@ -5,8 +5,10 @@ The embeddings of all n-grams of the whole text are averaged and a linear softma
 model is fitted by stochastic gradient descent in numpy on the driver, on a sample of labelled rows whose size
 is bounded by SAMPLE_PER_LANG and SAMPLE: with more than SAMPLE / SAMPLE_PER_LANG languages each has an equal part of
 SAMPLE, and one row at least.  A row comes to the driver as the bytes of its bucket counts (6 * BUCKETS at most), not as
-text.  A temperature fitted on a held-back part of the sample calibrates the scores, and a text is rejected
-if its calibrated score is below a threshold that keeps KEEP of the held-back rows.
+text.  A temperature fitted on a held-back part of the sample calibrates the scores.  A text is rejected
+if its calibrated score is below a threshold that keeps KEEP of the held-back rows, or if it is strange to the language found: its n-grams' mean
+log-likelihood under that language's own n-grams, for n of them, lies further below the held-back rows' median than APART + SHORT / sqrt(n) (a mean
+of few varies more), and so does that of its words without digits, if it has any: numbers and keys among words don't make a text strange.
 
 Because averaging is linear, prediction counts the buckets of a text and multiplies once: whole texts of any
 length take a fixed amount of memory.
@@ -18,6 +20,8 @@ predicted each; an empty table gives an empty result; if there is nothing to lea
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,6 +39,10 @@ BUCKETS, WIDTH = 1 << 14, 16
 SAMPLE_PER_LANG, SAMPLE = 500, 4096
 #: Share of held-back rows that the rejection threshold must keep.
 KEEP = 0.999
+#: How far a text's mean log-likelihood may lie below the median at any length, and what short texts may add; the weight of unseen n-grams.
+APART, SHORT, UNSEEN = 2.7, 4.0, 0.05
+#: Words that hold a digit.
+NUMBERED = re.compile(r"\S*\d\S*")
 #: Characters hashed at a time.
 CHUNK = 1 << 20
 
@@ -67,6 +75,9 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    #: Log-likelihood of each bucket in each language, and the least mean of a text without end.
+    likely: np.ndarray | None = None
+    least: float = -math.inf
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated score and whether it is rejected."""
@@ -75,7 +86,13 @@ class Model:
         counts = buckets(text)
         p = softmax(((counts @ self.table) / counts.sum() + self.bias)[None] / self.temperature)[0]
         best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.threshold)
+        strange = self.strange(counts, best)
+        if strange and has_letter(words := NUMBERED.sub(" ", text)):
+            strange = self.strange(buckets(words), best)
+        return self.langs[best], float(p[best]), bool(p[best] < self.threshold or strange)
+    def strange(self, counts: np.ndarray, lang: int) -> bool:
+        n = counts.sum()
+        return self.likely is not None and bool(counts @ self.likely[:, lang] / n < self.least - SHORT / math.sqrt(n))
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -110,7 +127,15 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs
     losses = {t: -np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in np.geomspace(0.05, 20, 49)}
     temperature = min(losses, key=losses.get)
     best = softmax(logits / temperature).max(1)
-    return Model(langs, table, bias, float(temperature), float(min(np.quantile(best, 1 - KEEP), 0.5)))
+    threshold = float(min(np.quantile(best, 1 - KEEP), 0.5))
+    if not back.any():
+        return Model(langs, table, bias, float(temperature), threshold)
+    seen = np.zeros((BUCKETS, len(langs)))
+    for i in rows:
+        seen[shares[i][0], y[i]] += shares[i][1]
+    likely = np.log((1 - UNSEEN) * seen / np.maximum(seen.sum(0), 1e-9) + UNSEEN / BUCKETS)
+    means = np.array([shares[i][1] @ likely[shares[i][0], k] for i, k in zip(check, logits.argmax(1), strict=True)])
+    return Model(langs, table, bias, float(temperature), threshold, likely, float(np.median(means)) - APART)
 
 
 def remainder(doc_id: Column) -> Column:

@@ -164,6 +164,22 @@ def test_personal_data_odd_rows(spark):
     assert pii.detect(spark.createDataFrame([], DOCS), np.zeros(pii.WEIGHTS)).count() == 0
 
 
+UNLEARNED = {
+    "ru": "Сегодня утром мы пошли на рынок, чтобы купить свежие овощи и хлеб для ужина.", "el": "Σήμερα το πρωί πήγαμε στην αγορά για να αγοράσουμε φρέσκα λαχανικά.", "zh": "今天早上我们去市场买了新鲜的蔬菜和面包做晚饭。",
+    "ar": "ذهبنا هذا الصباح إلى السوق لشراء الخضار الطازجة", "keys": "asdkjh qwpoeiru zxmcnvb lkjhsdf qqwweerr zxcvbnm plokij", "hex": "9f8c1b2a 7d6e5f4a3b2c1d0e 9f8a7b6c5d4e3f2a 0b1c2d3e4f",
+}
+
+
+def test_unlearned_languages_and_junk_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    held_out = langid.remainder(F.col("doc_id")) == 2
+    model = langid.train(docs, held_out)
+    assert {k for k, t in UNLEARNED.items() if not model.predict(t)[2]} == set()
+    known = [r.text for r in docs.where(held_out).select("text").collect()]
+    assert not [t for t in known if langid.has_letter(t) and model.predict(t)[2]], "texts of learned languages stay"
+    assert not any(model.predict(t)[2] for t in ("The committee met this morning to discuss the new plan for the school.", "Am Morgen gingen wir auf den Markt, um frisches Gemüse zu kaufen.", "Es la.", "the hand 2353820953013749 and 4550997810720808 of 9f8c1b2a7d6e5f4a"))
+
+
 def test_forest_on_held_out_findings():
     rows, labels = secrets.generated_findings(1500, seed=1)
     forest = secrets.fit_forest(rows[:1000], labels[:1000])
@@ -325,7 +341,9 @@ def test_language_scores_equal_a_plain_loop(spark, sf_dir):
         logits = [sum(model.table[bucket(g), k] for g in grams) / len(grams) + model.bias[k] for k in range(len(model.langs))]
         e = [math.exp((x - max(logits)) / model.temperature) for x in logits]
         lang, score, rejected = model.predict(text)
-        assert lang == model.langs[logits.index(max(logits))] and abs(score - max(e) / sum(e)) < 1e-9 and rejected == (score < model.threshold)
+        best = logits.index(max(logits))
+        strange = sum(model.likely[bucket(g), best] for g in grams) / len(grams) < model.least - langid.SHORT / math.sqrt(len(grams))
+        assert lang == model.langs[best] and abs(score - max(e) / sum(e)) < 1e-9 and rejected == (score < model.threshold or strange)
 
 
 def test_field_equals_enumeration():
