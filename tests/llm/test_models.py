@@ -216,7 +216,7 @@ def test_secrets_behind_digits_brackets_and_in_urls(text, key):
     assert any(a <= start and start + len(key) <= b for a, b in secrets.secrets_of(text, FOREST())[1])
 
 
-#: Forms that the generator doesn't make, the secret between << and >>.
+#: Lines that the generator doesn't make, the secret between << and >>; training was widened for the first five, so they count apart.
 HELD_OUT = [
     "password=<<hunter2>>", "db_pass: <<s3cr3tP4ss!>>", "pass=<<Tr0ub4dor&3>>", "postgres://bob:<<s3cretPassw0rd99>>@host", "api key <<7f3a9c2b1d5e8f60>>", 'export DB_PASSWORD="<<Winter2019!>>"', "mysql --password=<<Blue-Whale_77>> -h db", '{"user": "ann", "password": "<<Gr33nTea!>>"}',
     "smtp.auth.pwd: '<<mailer#2021>>'", "spring.datasource.password = <<Kx9$mPq2>>", "mongodb+srv://app:<<fJ2kq9ZbTr>>@cluster0.abcd.mongodb.net/test", "redis://:<<p4Ssw0rDlong>>@cache:6379/0", "ftp://deploy:<<Up-Load42>>@files.corp.net/in", "PGPASSWORD=<<elephant99>> psql",
@@ -233,7 +233,10 @@ CLEAN = [
 def test_secrets_in_forms_that_training_does_not_make():
     hit = [f for f in HELD_OUT if any(a <= f.index("<<") and f.index(">>") - 2 <= b for a, b in secrets.secrets_of(f.replace("<<", "").replace(">>", ""), FOREST())[1])]
     false = [f for f in CLEAN if secrets.secrets_of(f, FOREST())[1]]
-    assert len(hit) >= 0.9 * len(HELD_OUT), [f for f in HELD_OUT if f not in hit]
+    assert hit[:5] == HELD_OUT[:5]
+    unseen = [f for f in hit if f not in HELD_OUT[:5]]
+    print(len(unseen), "of", len(HELD_OUT) - 5, "found,", len(false), "of", len(CLEAN), "clean lines")
+    assert len(unseen) >= 0.9 * (len(HELD_OUT) - 5), [f for f in HELD_OUT if f not in hit]
     assert len(hit) >= 0.9 * (len(hit) + len(false)), false
 
 
