@@ -21,6 +21,10 @@ def char_class(kind: str) -> str:
     )
 
 
+#: Simple characters that are neither letters nor numbers nor white space.
+MARKS = "".join(chr(c) for c in SIMPLE_RANGE if c > 0x20 and not 0x7F <= c <= 0xA0 and unicodedata.category(chr(c))[0] not in "LN")
+
+
 def byte_letters() -> dict[int, str]:
     """For str.translate: the letter that stands for each byte in byte-level vocabularies.
 
@@ -57,6 +61,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of the rows that a map over whole texts gets at once (Spark's own bound is 64 MB); a longer text is a batch of its own.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to maps in batches of about BATCH_BYTES, unless its bound is smaller already.
+
+    A batch is held by Spark and by its Python worker, on the way there and back, so a task with few large batches needs many times their bytes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of df (in any case) has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -3,7 +3,8 @@
 All but the last return the columns of docs, whatever further columns there are: names that a stage needs for itself are
 chosen so that they clash with none.  An empty docs gives no rows at every stage.  Rows are told apart by their place in
 docs' files, so null and repeated ids and equal rows lose nothing.  A text of any length is taken whole; a null text has
-no language and goes at the first stage, and is empty for the others.
+no language and goes at the first stage, and is empty for the others.  Texts go to the maps in small batches, for which the session's
+bound of bytes in a batch is lowered.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.versions import fingerprint
 from . import decontamination, langid, near_copies, packing, secrets, simhash
-from .common import cut_lineage, fresh, numbered, own, shared_folder, table, without
+from .common import cut_lineage, fresh, numbered, own, shared_folder, small_batches, table, without
 from .queries import vocabulary
 
 
@@ -25,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without a letter have no language and go.
     """
+    small_batches(spark)
     held_out = F.coalesce(langid.remainder(own(docs, "doc_id")) == 2, F.lit(False))
     names = fresh(docs, "lang_pred", "score", "rejected")
     found = langid.identify(docs, langid.train(docs, held_out), names=names)
@@ -37,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without a doc_id come after all others, and of rows with one doc_id the first in the files comes first.  Rows that share
     a doc_id but are no copies of each other all stay.
     """
+    small_batches(spark)
     rows, names = numbered(docs)
     found = cut_lineage(near_copies.groups(rows, names))
     kept = found.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "file", "row")).alias("x")).select("x.file", "x.row")
@@ -53,6 +56,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts replaced; n_chars follows the text."""
+    small_batches(spark)
     clean = secrets.redact(docs, secrets.train())
     if "n_chars" in docs.columns:
         n_chars = F.when(F.contains("text", F.lit(secrets.REDACTED)), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -62,6 +66,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences: one row for each piece, with its token ids' place."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 

@@ -226,3 +226,27 @@ def test_numbered_rows_keep_their_names(spark, tmp_path):
         assert rows.select(*names).distinct().count() == df.count()
         one, two = ({r[:] for r in rows.select("id", "row", *names).collect()} for _ in range(2))
         assert one == two
+
+
+def test_stages_hand_texts_to_maps_in_small_batches(spark):
+    import pyarrow as pa
+    from atlasweave.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text", "'en' AS lang", "'s' AS source", "5000L AS n_chars").coalesce(1)
+
+    def largest():
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])}) for b in batches), "n long")
+        return sizes.agg(F.max("n")).first()[0]
+
+    try:
+        for stage in (stages.language_id, stages.secret_scan, stages.packed):
+            spark.conf.set(key, "64m")
+            assert largest() > 14_000_000
+            stage(spark, docs, "")
+            assert largest() < common.BATCH_BYTES + 10_000
+        spark.conf.set(key, "1m")
+        common.small_batches(spark)
+        assert largest() < (1 << 20) + 10_000
+    finally:
+        spark.conf.unset(key)
