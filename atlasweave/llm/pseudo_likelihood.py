@@ -14,6 +14,8 @@ trains its own copy of the network on its documents of the round, in numpy, by a
 Spark averages the copies row by row, weighted by how often a partition saw the row; the next round goes on from there.  So every
 document is learned from once, what is gathered grows with their number, and only the averaged network (fixed size) reaches the driver.
 
+Texts are read twice: for the counts, and to write their ids to the shared folder, from where all rounds and the scoring read them.
+
 Memory: tokens are processed in blocks of BLOCK, and long texts are split at white space into chunks, whole.
 
 Defined results: a null or empty text has no words, sum 0 and mean null; a null doc_id is kept; repeated rows
@@ -23,17 +25,19 @@ are learned from and scored each; words tied in count rank by their letters; oth
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, shared_folder
 
 #: Classes and places in a class (their product is the vocabulary), buckets for rare words, and the network's width.
 CLASSES, PLACES, BUCKETS, WIDTH = 64, 64, 512, 16
@@ -282,8 +286,8 @@ class Model:
             yield from zip(lengths, sums.tolist(), strict=True)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """The averaged network of all partitions."""
+def first_model(docs: DataFrame, text_col: str = "text") -> Model:
+    """The vocabulary, by counts of all words, with an untrained network."""
     texts = docs.select(F.col(text_col).alias("text"))
     counts = cut_lineage(texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     # a histogram of the counts bounds what can be among the top, so no partition sends its own top rows to the driver
@@ -305,57 +309,94 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         shares[bucket(r.word)] -= r.n
     totals = shares[VOCABULARY - BUCKETS :] - 1
     network = Network.first(np.maximum(shares, 1) / np.maximum(shares, 1).sum())
+    return Model(known, network, {r.word: r.n for r in second}, totals, counts)
+
+
+ENCODED = "row long, doc_id long, round int, ids binary, shares double, rest array<struct<word string, times long>>"
+
+
+def encode(docs: DataFrame, model: Model, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text's ids (16 bits each), summed log-shares and words to join, written once to the shared folder; training and scoring read them there."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.second, model.totals))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, context = Codes(*shared.value), TaskContext.get()
+        row = (context.partitionId() if context else 0) << 33
+        for batch in batches:
+            found = [codes.of(text.as_py()) for text in batch.column(2)]  # one text at a time
+            rest = [f[2] for f in found]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rest])]), pa.int32())
+            rare = pa.StructArray.from_arrays([pa.array([w for x in rest for w in x], pa.string()), pa.array([k for x in rest for k in x.values()], pa.int64())], ["word", "times"])
+            ids, shares = pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()), pa.array([f[1] for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(batch))), batch.column(0), batch.column(1), ids, shares, pa.ListArray.from_arrays(ends, rare)], ["row", "doc_id", "round", "ids", "shares", "rest"])
+            row += len(batch)
+
+    own_id = F.col(id_col) if id_col else F.lit(None)
+    rows = docs.select(own_id.cast("long").alias("doc_id"), F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)).cast("int").alias("round"), F.col(text_col).alias("text"))
+    folder = f"{shared_folder(docs.sparkSession)}/words-{uuid.uuid4().hex}"
+    rows.mapInArrow(run, ENCODED).write.parquet(folder)
+    return docs.sparkSession.read.schema(ENCODED).parquet(folder)
+
+
+def ids_in(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(ids.as_py(), "<u2").astype(np.int32) for ids in column)
+
+
+def fit(encoded: DataFrame, network: Network) -> Network:
+    """The averaged network of all partitions."""
     fields = [f"w{k}" for k in range(WIDTH + 1)]
     for part in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((known, network))
+        shared = encoded.sparkSession.sparkContext.broadcast(network)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, start = shared.value
-            ids = Ids(words)
-            rows, seen = train_copy(start, (ids.of(t) for batch in batches for t in batch.column(0).to_pylist()))
+            rows, seen = train_copy(shared.value, (ids for batch in batches for ids in ids_in(batch.column(0))))
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), *(pa.array(rows[at, k].astype(np.float64)) for k in range(WIDTH + 1))], ["row", "seen", *fields])
 
-        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == part)
-        copies = own.mapInArrow(run, "row long, seen double, " + ", ".join(f"{f} double" for f in fields))
+        copies = encoded.where(F.col("round") == part).select("ids").mapInArrow(run, "row long, seen double, " + ", ".join(f"{f} double" for f in fields))
         averaged = copies.groupBy("row").agg(*[(F.sum(F.col(f) * F.col("seen")) / F.sum("seen")).alias(f) for f in fields]).collect()  # a network's rows at most
         rows = network.rows.copy()  # what no partition saw keeps its weights
         for r in averaged:
             rows[r.row] = r[1:]
         network = Network(rows)
-    return Model(known, network, {r.word: r.n for r in second}, totals, counts)
+    return network
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_prob (sum) and mean_log_prob of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.known, model.network, model.second, model.totals))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, network, second, totals = shared.value
-        codes, model = Codes(known, second, totals), Model(known, network)
-        for batch in batches:
-            spelled: list[tuple[float, Counter[str]]] = []
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """The vocabulary and the averaged network of docs."""
+    model = first_model(docs, text_col)
+    return replace(model, network=fit(encode(docs, model, None, text_col), model.network))
 
-            def of(text: str | None, spelled: list = spelled) -> np.ndarray:
-                ids, *shares = codes.of(text)
-                spelled.append(shares)
-                return ids
 
-            found = list(model.score(of(t) for t in batch.column(1).to_pylist()))
-            n, sums = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found]) + np.array([x[0] for x in spelled])
-            rest = [x[1] for x in spelled]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rest])]), pa.int32())
-            rare = pa.StructArray.from_arrays([pa.array([w for x in rest for w in x], pa.string()), pa.array([k for x in rest for k in x.values()], pa.int64())], ["word", "times"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(ends, rare)], ["doc_id", "n_words", "known", "rest"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(run, "doc_id long, n_words long, known double, rest array<struct<word string, times long>>")
+def scores(encoded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, log_prob (sum) and mean_log_prob of every encoded row."""
     if model.counts is None:
         raise ValueError("the model has no counts of words")
-    rows = cut_lineage(rows).withColumn("row", F.monotonically_increasing_id())
+    shared = encoded.sparkSession.sparkContext.broadcast(model.network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model([], shared.value)
+        for batch in batches:
+            found = list(own.score(ids_in(batch.column(3))))
+            n, sums = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.float64) + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sums)], ["row", "doc_id", "n_words", "known"])
+
+    rows = encoded.select("row", "doc_id", "shares", "ids").mapInArrow(run, "row long, doc_id long, n_words long, known double")
     # one row for each rare word and document; a word's rows need no texts
-    words = rows.select("row", F.explode("rest").alias("x")).select("row", "x.*").join(model.counts, "word", "left")
+    words = encoded.select("row", F.explode("rest").alias("x")).select("row", "x.*").join(model.counts, "word", "left")
     unseen = -(F.octet_length("word") + 1) * math.log(257)  # the word's bytes and their end
     added = words.groupBy("row").agg(F.sum(F.col("times") * F.coalesce(F.log("n"), unseen)).alias("added"))
     log_prob = F.col("known") + F.coalesce("added", F.lit(0.0))
-    return rows.drop("rest").join(added, "row", "left").select("doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))
+    return rows.join(added, "row", "left").select("doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, log_prob (sum) and mean_log_prob of every row."""
+    return scores(encode(docs, model, id_col, text_col), model)
+
+
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of the texts that the model learns from: they are read for the counts and for their ids, which then serve training and scoring."""
+    model = first_model(docs, text_col)
+    encoded = encode(docs, model, id_col, text_col)
+    return scores(encoded, replace(model, network=fit(encoded, model.network)))

@@ -30,10 +30,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pseudo_likelihood import score, train
+    from .pseudo_likelihood import train_and_score
 
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    return train_and_score(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,26 @@ def test_scores_equal_a_plain_loop(spark):
         assert abs(r.log_prob - score(text)) < 1e-3 * max(1, abs(r.log_prob))
 
 
+def test_texts_are_read_twice_and_score_as_in_two_steps(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [None, "", *(" ".join(rng.choice("the of and stone river zebra quokka".split()) for _ in range(rng.randrange(1, 30))) for _ in range(60))]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = {r.doc_id: r for r in pseudo_likelihood.train_and_score(docs.mapInArrow(seen, docs.schema)).collect()}
+    assert read.value == 2 * len(texts)
+    model = pseudo_likelihood.train(docs)
+    for r in pseudo_likelihood.score(docs, model).collect():
+        assert (found[r.doc_id].n_words, found[r.doc_id].mean_log_prob is None) == (r.n_words, r.mean_log_prob is None)
+        assert abs(found[r.doc_id].log_prob - r.log_prob) < 1e-6 * max(1, abs(r.log_prob))
+
+
 def test_language_scores_equal_a_plain_loop(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs, F.lit(False))
