@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SIMPLE, byte_letters, numbered, sized
+from .common import MARKS, NOT_SIMPLE, byte_letters, numbered, sized
 from .token_counts import CACHED, WHITE, load, pre_token_pattern
 
 #: Ids of a block, ids after which a segment ends with its document, and the share of a block's ids that its width takes.
 BLOCK, SEGMENT, PERCENT = 1 << 10, 1 << 17, 90
-#: Bytes of a worker's cache of chunks; that of words has half of it, that of chunks with other than simple characters a quarter.
+#: Bytes of a worker's caches: that of chunks and their words has half more, that of chunks with other than simple characters a quarter.
 CACHE_BYTES = 3 << 25
 #: A block's head: least id, number of ids, number of exceptions, width in bits.
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("outliers", "<u2"), ("width", "u1")])
@@ -41,6 +42,7 @@ ARROW = pa.schema(
 )
 
 _cache: dict[str, _Ids] = {}
+id_of = attrgetter("id")
 
 
 def bits(values: np.ndarray) -> np.ndarray:
@@ -121,7 +123,7 @@ class _Kept(dict):
 
 
 class _Ids:
-    """Ids (as bytes) of texts by caches of words and of chunks between white space.
+    """Ids (as bytes) of texts by a cache of words and of chunks between white space, which are words with marks for the most part.
 
     A vocabulary that drops white space gives the ids of a text's chunks one after the other.  Chunks of simple characters, in small letters,
     are split into words here, which the library's model encodes; all others are encoded by the library as they stand.
@@ -132,16 +134,18 @@ class _Ids:
         self.model, letters, split = self.tokenizer.model.tokenize, byte_letters(), pre_token_pattern().findall
         self.strange, self.special = re.compile(NOT_SIMPLE).search, sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
-        def word(text: str) -> bytes:
-            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(letters)  # visible ASCII stands for itself
-            return array("I", [t.id for t in self.model(spelled)]).tobytes()
-
         def chunk(text: str) -> bytes:
-            parts = split(text)
-            return words[text] if len(parts) == 1 else b"".join(map(words.__getitem__, parts))
+            if not text.isalpha():
+                core = text.rstrip(MARKS)
+                if core.isalpha():  # a word with marks behind it, which are one part
+                    return simple[core] + simple[text[len(core) :]]
+                parts = split(text)
+                if len(parts) > 1:
+                    return b"".join(map(simple.__getitem__, parts))
+            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(letters)  # visible ASCII stands for itself
+            return array("I", map(id_of, self.model(spelled))).tobytes()
 
-        words = _Kept(word, CACHE_BYTES // 2)
-        self.simple = _Kept(chunk, CACHE_BYTES)
+        self.simple = simple = _Kept(chunk, CACHE_BYTES + CACHE_BYTES // 2)
         self.any = _Kept(lambda text: self.library(text) if self.odd(text) else self.simple[text.lower()], CACHE_BYTES // 4)
 
     def odd(self, text: str) -> bool:

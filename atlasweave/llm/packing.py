@@ -24,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SIMPLE, byte_letters, char_class
+from .common import MARKS, NOT_SIMPLE, byte_letters, char_class
 from .token_counts import load
 
-#: Bytes of a worker's cache of chunks' ids (it starts anew beyond that), and characters of a chunk that is kept in it at most.
+#: Bytes of a task's cache of chunks' ids (it starts anew beyond that), and characters of a chunk that is kept in it at most.
 CACHE_BYTES, CACHED = 3 << 25, 256
+#: Kinds of marks behind words that are remembered beside them.
+FEW = 1 << 12
 #: Sequences of one partition stay below this number.
 IDS_PER_PARTITION = 1 << 33
 
-_cache: dict[str, _Ids] = {}
-
 
 class CapacityTree:
     """A segment tree over 0..capacity: how many open windows have each amount of room left."""
@@ -87,12 +87,18 @@ class _Ids(dict):
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        letter, number, self.room = char_class("L"), char_class("N"), CACHE_BYTES
+        letter, number, self.room, self.marks = char_class("L"), char_class("N"), CACHE_BYTES, {}
         self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
         self.split = re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^\t\n\r {letter}{number}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+").findall
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk if chunk[:1] == "\n" else " " + chunk)
+        core = chunk if chunk.isalpha() else chunk.rstrip(MARKS)
+        if not core.isalpha():
+            ids = self.encode(chunk if chunk[:1] == "\n" else " " + chunk)
+        elif core is chunk:
+            ids = self.word(" " + chunk)
+        else:  # a word with marks behind it, which are a part of their own
+            ids = self[core] + self.behind(chunk[len(core) :])
         if len(chunk) <= CACHED:
             self.room -= 2 * len(chunk) + len(ids) + 100
             if self.room < 0:
@@ -101,10 +107,22 @@ class _Ids(dict):
             self[chunk] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        tokens = [t.id for part in self.split(text) for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+    def behind(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self.word(marks)
+            if len(self.marks) < FEW and len(marks) <= CACHED:
+                self.marks[marks] = ids
+        return ids
+
+    def word(self, part: str) -> bytes:
+        """Ids of a part that the splitter leaves whole."""
+        tokens = [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(tokens)}I", *tokens)
 
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.word, self.split(text)))
+
     def document(self, text: str) -> bytes:
         """Ids of a simple text.  Where white space stands singly, the text splits at its spaces and line feeds."""
         if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\t" in text or "\r" in text:
@@ -123,7 +141,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
-        ids_of = _cache[tokenizer_path] if tokenizer_path in _cache else _cache.setdefault(tokenizer_path, _Ids(tokenizer))
+        ids_of = _Ids(tokenizer)  # most chunks are rare, so a later task would find few of its own here, and the worker may go on to other work
         odd = re.compile("|".join([NOT_SIMPLE, *map(re.escape, special)])).search
         end, context = np.array([end_id], "<u4").tobytes(), TaskContext.get()
         first, full = (context.partitionId() if context else 0) * IDS_PER_PARTITION, 0

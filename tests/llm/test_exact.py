@@ -383,3 +383,32 @@ def test_common_windows_do_not_pair_all(spark):
     items = [(i, f"{intro} {' '.join(f'w{i}x{k}' for k in range(30))}") for i in range(30)]
     docs = [(100 + i, f"{intro} {' '.join(f'v{i}x{k}' for k in range(30))}") for i in range(30)] + [(7, items[7][1])]
     assert [(r.doc_id, r.item_ids) for r in contaminated(spark, docs, items).where("contaminated").collect()] == [(7, "7")]
+
+
+def test_words_with_marks_share_the_ids_of_their_words(monkeypatch):
+    import random
+    import re
+
+    from atlasweave.llm import common, id_files, packing
+    from atlasweave.llm.queries import vocabulary
+    from atlasweave.llm.token_counts import load
+
+    path, other = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
+    ids, pieces = id_files._Ids(path), packing._Ids(load(other))
+    assert ids.document("stone, stone.") == ids.library("stone, stone.") and "stone" in ids.simple
+    split = []
+    monkeypatch.setattr(pieces, "split", lambda text, whole=pieces.split: split.append(text) or whole(text))
+    assert pieces.document("a stone, stone.") == struct_of(other, "a stone, stone.") and split == ["a"]  # the first chunk alone
+    rng, simple = random.Random(4), [chr(c) for c in range(0x20, 0x100) if not 0x7F <= c <= 0xA0]
+    for _ in range(3000):
+        text = "".join(rng.choice(simple + [" "] * 30 + ["\n", "'"] * 6 + list("abcdefstre") * 6) for _ in range(rng.randrange(1, 40)))
+        assert not re.search(common.NOT_SIMPLE, text)
+        assert ids.document(text) == ids.library(text) and pieces.document(text) == struct_of(other, text)
+
+
+def struct_of(path, text):
+    from array import array
+
+    from atlasweave.llm.token_counts import load
+
+    return array("I", load(path).encode(text, add_special_tokens=False).ids).tobytes()
