@@ -62,7 +62,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of the rows that a map over whole texts gets at once (Spark's own bound is 64 MB); a longer text is a batch of its own.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -153,7 +153,8 @@ def train(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return fit([], [])
     share = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     each = max(1, min(SAMPLE_PER_LANG, SAMPLE // len(sizes)))
-    rates = docs.sparkSession.createDataFrame([(r.lang, each / r.n) for r in sizes], "lang string, rate double")
+    # as an Arrow table it needs no further Python workers on the executors
+    rates = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([r.lang for r in sizes], pa.string()), "rate": pa.array([each / r.n for r in sizes], pa.float64())}))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
