@@ -71,37 +71,31 @@ def windows(rows: DataFrame, text: Column, form: int, short: Sequence[int] = (),
     """form, at, w (the window's hash) and window (its marked lines) of every window, beside rows' columns.
 
     short lists the lengths of short items, whose windows are runs of so many plain tokens.  With bits only windows whose bit is set
-    are given.  The tokens of a whole text stay in its row; arrays are exploded with the outer form, as for the others Spark pushes a
+    are given.  The tokens of a whole text stay in its row; its places are exploded, so that windows are hashed and tested in generated
+    code (functions of arrays' elements are interpreted), with the outer form, as for the others Spark pushes a
     filter on the array's size below the projections, with the whole expression in it.
     """
     columns = rows.columns
     rows = rows.withColumn("lines", lines_of(text, form == NAMED)).withColumn("tokens", F.split(marked(F.col("lines")), "\n"))
     rows = rows.withColumn("codes", F.transform("tokens", lambda t: F.xxhash64(F.when(t < "a", F.substring(t, 1, 1)).otherwise(t))))
-    starts = lambda n: F.when((F.size("tokens") >= n) & (F.col("lines") != ""), F.sequence(F.lit(0), F.size("tokens") - n))
-
-    def here(w: Column) -> Column:
-        if bits is None:
-            return F.lit(True)
-        word = F.get(bits, F.shiftrightunsigned(w, 64 - log_bits + 6).cast("int"))
-        return F.getbit(word, w.bitwiseAND(63).cast("int")) == 1
-
-    def hashes(form: int, tokens: str, n: int) -> Column:
-        return F.transform(starts(n), lambda i: F.xxhash64(F.lit(form), *(F.get(tokens, i + k) for k in range(n))))
-
-    def whole(name: str, form: int, n: int) -> Column:
-        found = F.coalesce(name, F.array().cast("array<struct<w:bigint,at:int>>"))
-        return F.transform(found, lambda x: F.struct(F.lit(form).alias("form"), x.at.alias("at"), x.w.alias("w"), F.slice("tokens", x.at + 1, F.lit(n)).alias("window")))
-
     kinds = [(form, "codes", WINDOW), *((SHORT, "plain", n) for n in short)]
+    least = min(n for _, _, n in kinds)
     if short:
         rows = rows.withColumn("plain", F.split("lines", "\n"))
-    names = [f"hits{k}" for k in range(len(kinds))]
-    hashed = rows.withColumns({name: hashes(*kind) for name, kind in zip(names, kinds, strict=True)})
-    hits = {name: F.filter(F.transform(name, lambda w, i: F.when(here(w), F.struct(w.alias("w"), i.alias("at")))), lambda x: x.isNotNull()) for name in names}
-    hashed = hashed.select(*columns, "tokens", *(x.alias(name) for name, x in hits.items()))
-    every = F.concat(*(whole(name, f, n) for name, (f, _, n) in zip(names, kinds, strict=True)))
-    found = hashed.select(*columns, F.explode_outer(every).alias("x"))
-    return found.where(F.col("x").isNotNull()).select(*columns, "x.*")
+    starts = F.when((F.size("tokens") >= least) & (F.col("lines") != ""), F.sequence(F.lit(0), F.size("tokens") - least))
+    found = rows.select(*columns, *dict.fromkeys(["tokens", *(name for _, name, _ in kinds)]), F.explode_outer(starts).alias("at"))
+    hashes = [F.xxhash64(F.lit(f), *(F.get(name, F.col("at") + k) for k in range(n))) for f, name, n in kinds]
+    if not short:
+        found = found.where(F.col("at").isNotNull()).withColumns({"form": F.lit(form), "length": F.lit(WINDOW), "w": hashes[0]})
+    else:  # one row for each kind of window at a place; those that reach beyond the text have no hash
+        found = found.where(F.col("at").isNotNull()).withColumn("kind", F.explode(F.array(*map(F.lit, range(len(kinds))))))
+        of_kind = lambda values: F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in enumerate(values)))
+        found = found.withColumns({"form": of_kind([F.lit(f) for f, _, _ in kinds]), "length": of_kind([F.lit(n) for _, _, n in kinds])})
+        found = found.where(F.col("at") + F.col("length") <= F.size("tokens")).withColumn("w", of_kind(hashes))
+    if bits is not None:
+        word = F.get(bits, F.shiftrightunsigned("w", 64 - log_bits + 6).cast("int"))
+        found = found.where(F.getbit(word, F.col("w").bitwiseAND(63).cast("int")) == 1)
+    return found.select(*columns, "form", "at", "w", F.slice("tokens", F.col("at") + 1, F.col("length")).alias("window"))
 
 
 def exact(window: Column, form: Column) -> Column:

@@ -378,6 +378,20 @@ def test_long_runs_are_linear(spark):
     assert caught(spark, docs, [(1, ITEM), (2, "one two")]) == {4: "1"}
 
 
+def test_windows_are_hashed_in_generated_code_and_equal_a_plain_loop(spark):
+    texts = [ITEM, "one two", "", None, "12 kg Anna Bob sold", "x", " ".join(f"w{i % 7} {i}" for i in range(40))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row int, text string")
+    for form, short in ((decontamination.NAMED, ()), (decontamination.PLAIN, ()), (decontamination.PLAIN, (1, 3))):
+        found = decontamination.windows(rows, F.col("text"), form, short)
+        # only a token's own code may be a function of an array's elements; those are interpreted
+        assert found._jdf.queryExecution().executedPlan().toString().count("lambdafunction(") <= 1
+        lines = {r.row: r.x.split("\n") if r.x else [] for r in rows.select("row", decontamination.marked(decontamination.lines_of(F.col("text"), form == decontamination.NAMED)).alias("x")).collect()}
+        kinds = [(form, 5), *((decontamination.SHORT, n) for n in short)]
+        want = [(row, f, at, x[at : at + n]) for row, x in lines.items() for f, n in kinds for at in range(len(x) - n + 1)]
+        assert sorted((r.row, r.form, r.at, r.window) for r in found.collect()) == sorted(want)
+        assert found.where("w IS NULL").count() == 0
+
+
 def test_common_windows_do_not_pair_all(spark):
     intro = "please answer the following question with one single word only and give no reasons"
     items = [(i, f"{intro} {' '.join(f'w{i}x{k}' for k in range(30))}") for i in range(30)]
