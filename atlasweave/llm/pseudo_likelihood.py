@@ -46,8 +46,12 @@ VOCABULARY = CLASSES * PLACES
 SECOND = 1 << 17
 #: Positions of the neighbours; id 0 pads the ends of documents.
 NEIGHBOURS, PAD = (-2, -1, 1, 2), 0
-#: Tokens that are worked on at once in scoring and in a training step, distinct words that a partition counts before it hands them on, characters split at once, bytes of a worker's cache.
-BLOCK, STEP, COUNTED, CHUNK, CACHE = 1 << 14, 1 << 13, 1 << 18, 1 << 20, 1 << 26
+#: Tokens that are worked on at once in scoring, in a training step and in a softmax (whose table stays in the processor's cache), distinct words that a partition counts before it hands them on, characters split at once, bytes of a worker's cache.
+BLOCK, STEP, SLICE, COUNTED, CHUNK, CACHE = 1 << 16, 1 << 13, 1 << 11, 1 << 18, 1 << 20, 1 << 26
+#: Logits within this size need no maximum taken off before their exponential.
+NEAR = 60
+#: Classes of at most FEW tokens are worked on TOGETHER.
+FEW, TOGETHER = 128, 16
 #: Step size of the adaptive gradient; rounds, each over its own part of the documents, after which the copies are averaged.
 RATE, ROUNDS = 0.08, 3
 
@@ -150,32 +154,56 @@ class Network:
         np.tanh(z.take(at, 0) + rows[self.INNER, :d], out=h[:, :d])
         dh = np.zeros((len(at), d), np.float32)
 
-        def level(part: slice, first: int, size: int, goal: np.ndarray) -> np.ndarray:
-            """Log-probability of the goals under rows first..first+size, with their slopes if asked for."""
-            own, w = h[part], rows[first : first + size]
+        ones, starts = np.ones(PLACES, np.float32), np.arange(SLICE) * PLACES  # classes are as many as places
+        # h lies between -1 and 1, so a row's logits are within the sum of its weights' sizes
+        bounds = np.abs(rows[self.CLASS :]).sum(1).reshape(-1, PLACES).max(1)
+        far = dict(zip(range(self.CLASS, self.SIZE, PLACES), (bounds >= NEAR).tolist(), strict=True))
+
+        def level(part: slice, first: int, goal: np.ndarray) -> np.ndarray:
+            """Log-probability of the goals under the PLACES rows from first on, with their slopes if asked for."""
+            own, w = h[part], rows[first : first + PLACES]
             p = own @ w.T
-            p -= p.max()
-            each = np.arange(len(goal))
-            mine = p[each, goal]
-            np.exp(p, out=p)
-            total = p.sum(1)
-            if not total.min() > 1e-30:  # far apart logits need their own maxima
-                p = own @ w.T
+            if far[first]:  # far apart logits need their own maxima
                 p -= p.max(1, keepdims=True)
-                mine = p[each, goal]
-                np.exp(p, out=p)
-                total = p.sum(1)
+            at_goal = starts[: len(goal)] + goal
+            flat = p.reshape(-1)
+            mine = flat.take(at_goal)
+            np.exp(p, out=p)
+            total = p @ ones
             if slope is not None:
-                p[each, goal] -= total  # total times the slope of the logits
-                slope[first : first + size] += p.T @ (own / total[:, None])
-                dh[part] += (p @ w[:, :d]) / total[:, None]
+                flat[at_goal] -= total  # total times the slope of the logits
+                share = 1 / total[:, None]
+                slope[first : first + PLACES] += p.T @ (own * share)
+                dh[part] += (p @ w[:, :d]) * share
             return mine - np.log(total)
 
-        log_p = level(slice(None), self.CLASS, CLASSES, group) if len(at) else np.zeros(0, np.float32)
+        log_p = np.zeros(len(at), np.float32)
+        for start in range(0, len(at), SLICE):
+            own = slice(start, min(start + SLICE, len(at)))
+            log_p[own] = level(own, self.CLASS, group[own])
         cuts = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[c], cuts[c + 1])
-            log_p[own] += level(own, self.PLACE + c * PLACES, PLACES, place[own])
+        sizes = np.diff(cuts)
+        for c in np.flatnonzero((sizes > FEW) | (sizes > 0) & list(far.values())[1:]).tolist():
+            for start in range(cuts[c], cuts[c + 1], SLICE):
+                own = slice(start, min(start + SLICE, cuts[c + 1]))
+                log_p[own] += level(own, self.PLACE + c * PLACES, place[own])
+        few = np.flatnonzero((sizes > 0) & (sizes <= FEW) & ~np.array(list(far.values())[1:]))
+        few = few[np.argsort(sizes[few], kind="stable")]
+        for some in (few[k : k + TOGETHER] for k in range(0, len(few), TOGETHER)):  # classes of few tokens together, each as long as the longest
+            own = cuts[some][:, None] + np.arange(sizes[some].max())
+            real = own < cuts[some + 1][:, None]
+            own[~real] = 0
+            hs, w, goal = h[own], rows[self.PLACE :].reshape(CLASSES, PLACES, d + 1)[some], place[own]
+            p = hs @ w.transpose(0, 2, 1)
+            mine = np.take_along_axis(p, goal[..., None], 2)[..., 0]
+            np.exp(p, out=p)
+            total = p @ ones
+            if slope is not None:
+                np.put_along_axis(p, goal[..., None], (np.take_along_axis(p, goal[..., None], 2)[..., 0] - total)[..., None], 2)
+                share = (real / total).astype(np.float32)[..., None]
+                slope[self.PLACE :].reshape(CLASSES, PLACES, d + 1)[some] += p.transpose(0, 2, 1) @ (hs * share)
+                dh[own[real]] += ((p @ w[:, :, :d]) * share)[real]
+            log_p[own[real]] += (mine - np.log(total))[real]
         out = np.zeros(n, np.float32)
         out[at] = log_p
         if slope is not None:
@@ -191,8 +219,8 @@ class Network:
         return out
 
 
-def blocks(docs: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """Streams of about BLOCK tokens with pads between documents, and the lengths of the documents in them."""
+def blocks(docs: Iterator[np.ndarray], least: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Streams of `least` tokens or somewhat more with pads between documents, and the lengths of the documents in them."""
     held: list[np.ndarray] = []
     lengths: list[int] = []
     gap, size = np.full(max(NEIGHBOURS), PAD, np.int32), 0
@@ -200,7 +228,7 @@ def blocks(docs: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]
         held += [ids, gap]
         lengths.append(len(ids))
         size += len(ids) + len(gap)
-        if size >= BLOCK:
+        if size >= least:
             yield np.concatenate(held), lengths
             held, lengths, size = [], [], 0
     if held:
@@ -208,23 +236,25 @@ def blocks(docs: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]
 
 
 def windows(stream: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Parts of a stream of at most `size` tokens: first, last, and the part with its neighbours on both sides."""
+    """Equal parts of a stream, of about `size` tokens: first, last, and the part with its neighbours on both sides."""
     reach = max(NEIGHBOURS)
-    for at in range(0, len(stream), size):
-        yield at, min(at + size, len(stream)), stream[max(0, at - reach) : at + size + reach]
+    cuts = np.linspace(0, len(stream), max(1, round(len(stream) / size)) + 1).astype(int).tolist()
+    for at, end in zip(cuts, cuts[1:]):
+        yield at, end, stream[max(0, at - reach) : end + reach]
 
 
 def train_copy(network: Network, docs: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A copy of the network after one pass over a partition's documents, and how often each row was seen."""
     copy, seen = Network(network.rows.copy()), np.zeros(Network.SIZE)
-    squares = np.full(copy.rows.shape, 1e-4, np.float32)
-    for stream, _ in blocks(docs):
+    squares, slope, change = np.full(copy.rows.shape, 1e-4, np.float32), np.empty(copy.rows.shape, np.float32), np.empty(copy.rows.shape, np.float32)
+    for stream, _ in blocks(docs, 2 * STEP):
         for _, _, part in windows(stream, STEP):
-            slope = np.zeros(copy.rows.shape, np.float32)
+            slope[:] = 0
             copy.run(part, slope)
-            slope /= max(1, len(part)) ** 0.5
-            squares += slope * slope
-            copy.rows -= RATE * slope / np.sqrt(squares)
+            slope /= np.float32(max(1, len(part)) ** 0.5)
+            squares += np.multiply(slope, slope, out=change)
+            np.divide(slope, np.sqrt(squares, out=change), out=change)
+            copy.rows -= np.multiply(change, np.float32(RATE), out=change)
             tokens = np.bincount(part, minlength=VOCABULARY)
             tokens[PAD] = 0
             seen[:VOCABULARY] += tokens
@@ -279,7 +309,7 @@ class Model:
     def score(self, docs: Iterator[np.ndarray]) -> Iterator[tuple[int, float]]:
         """Number of words and summed log-probability of each document."""
         gap = max(NEIGHBOURS)
-        for stream, lengths in blocks(docs):
+        for stream, lengths in blocks(docs, BLOCK):
             log_p = np.concatenate([self.network.run(part)[at - max(0, at - gap) :][: end - at] for at, end, part in windows(stream, BLOCK)])
             ends = np.cumsum(np.array(lengths) + gap)
             sums = np.add.reduceat(log_p.astype(np.float64), np.concatenate([[0], ends[:-1]]))

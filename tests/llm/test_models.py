@@ -60,6 +60,27 @@ def test_distributions_are_exact():
     assert 0.99 < total <= 1.001  # the pad has the rest
 
 
+def test_streams_are_trained_in_equal_steps_and_tables_stay_small(monkeypatch):
+    parts = list(pseudo_likelihood.windows(np.arange(2 * pseudo_likelihood.STEP + 300), pseudo_likelihood.STEP))
+    assert [end - at for at, end, _ in parts] == [pseudo_likelihood.STEP + 150] * 2  # no step for the rest of 300 tokens alone
+    rng = np.random.default_rng(7)
+    net = pseudo_likelihood.Network.first(rng.dirichlet(np.ones(pseudo_likelihood.VOCABULARY)))
+    stream = rng.integers(0, pseudo_likelihood.VOCABULARY, 4000).astype(np.int32)
+    for scale in (1, 40):  # logits near 0, and so far apart that they need their own maxima
+        net.rows[pseudo_likelihood.Network.CLASS :, :-1] *= scale
+        found = []
+        for size, near, few in ((4096, 60, 0), (64, 60, 0), (64, 0, 0), (4096, 60, 70), (64, 60, 4096)):
+            monkeypatch.setattr(pseudo_likelihood, "SLICE", size)
+            monkeypatch.setattr(pseudo_likelihood, "NEAR", near)
+            monkeypatch.setattr(pseudo_likelihood, "FEW", few)
+            slope = np.zeros_like(net.rows)
+            found.append((net.run(stream, slope), slope))
+        for log_p, slope in found[1:]:
+            np.testing.assert_allclose(log_p, found[0][0], rtol=1e-3, atol=1e-3)
+            np.testing.assert_allclose(slope, found[0][1], rtol=1e-2, atol=1e-2)
+    assert np.isfinite(found[0][0]).all()
+
+
 def test_blocks_and_chunks_change_nothing(monkeypatch):
     known = ["the", "a", "b"]
     model = pseudo_likelihood.Model(known, pseudo_likelihood.Network.first(np.full(pseudo_likelihood.VOCABULARY, 1 / pseudo_likelihood.VOCABULARY)))
