@@ -84,12 +84,12 @@ class Where:
     condition: Column
 
 
-def _on_shared(left: DataFrame | None, right: DataFrame, how: str) -> DataFrame:
+def _on_shared(left: DataFrame | None, right: DataFrame, how: str, by: str | None = None) -> DataFrame:
     if left is None:
         return right
     shared = [c for c in right.columns if c in left.columns]
     if shared:
-        return left.join(right, shared, how)
+        return left.join(right.hint(by) if by else right, shared, how)
     # an optional group with no common variable goes with every solution, so it may have one solution at most
     if len(right.take(2)) > 1:
         raise ValueError(f"an optional group of several solutions shares no variable with what is bound: {', '.join(right.columns)}")
@@ -178,32 +178,36 @@ def _within(rows: DataFrame, inner: DataFrame, how: str) -> DataFrame:
     return rows.join(renamed, same, how).drop(*[f"__{c}" for c in rows.columns])
 
 
-def match(graph: Graph, clauses: Sequence, dedup: bool = False, subclasses: dict[str, list[str]] | None = None, bound: DataFrame | None = None) -> DataFrame:
-    """One row for each solution, one column for each variable; with bound, solutions that go on from its rows."""
+def match(graph: Graph, clauses: Sequence, dedup: bool = False, subclasses: dict[str, list[str]] | None = None, bound: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """One row for each solution, one column for each variable; with bound, solutions that go on from its rows.
+
+    by is Spark's hint for the joins on common variables: "merge" where all clauses have a row for nearly every node, as broadcasts are chosen by the size of
+    files, and a table of keys takes many times more of the driver's memory.
+    """
     rows: DataFrame | None = bound
     for c in _in_order(clauses, set(bound.columns) if bound is not None else set()):
         if isinstance(c, Node):
             types = sorted({t for name in c.type.split("|") for t in (name, *(subclasses or {}).get(name, ()))})
-            rows = _on_shared(rows, graph.nodes_of(types).select(F.col("id").alias(c.var)), "inner")
+            rows = _on_shared(rows, graph.nodes_of(types).select(F.col("id").alias(c.var)), "inner", by)
         elif isinstance(c, Edge):
-            rows = _on_shared(rows, _edges(graph, c), "inner")
+            rows = _on_shared(rows, _edges(graph, c), "inner", by)
         elif isinstance(c, NotEdge):
-            rows = _on_shared(rows, _edges(graph, c), "left_anti")
+            rows = _on_shared(rows, _edges(graph, c), "left_anti", by)
         elif isinstance(c, Value):
-            rows = _on_shared(rows, graph.literals_of([c.pred]).select(F.col("subj").alias(c.var), F.col("value").alias(c.as_)), "inner")
+            rows = _on_shared(rows, graph.literals_of([c.pred]).select(F.col("subj").alias(c.var), F.col("value").alias(c.as_)), "inner", by)
         elif isinstance(c, Label):
-            rows = _on_shared(rows, (graph.nodes_of(c.type.split("|")) if c.type else graph.nodes).select(F.col("id").alias(c.var), F.col("label").alias(c.as_)), "inner")
+            rows = _on_shared(rows, (graph.nodes_of(c.type.split("|")) if c.type else graph.nodes).select(F.col("id").alias(c.var), F.col("label").alias(c.as_)), "inner", by)
         elif isinstance(c, Maybe):
             if rows is not None and _needs_outer(c.clauses):
-                rows = _within(rows, match(graph, c.clauses, True, subclasses, rows.distinct()), "left")
+                rows = _within(rows, match(graph, c.clauses, True, subclasses, rows.distinct(), by), "left")
             else:
-                rows = _on_shared(rows, match(graph, c.clauses, dedup, subclasses), "left")
+                rows = _on_shared(rows, match(graph, c.clauses, dedup, subclasses, by=by), "left", by)
         elif isinstance(c, Either):
             parts = []
             for name, branch in c.branches.items():  # each branch joins on the variables that it binds itself
                 outer = rows is not None and _needs_outer(branch)
-                found = match(graph, branch, dedup or outer, subclasses, rows.distinct() if outer else None)
-                found = _within(rows, found, "inner") if outer else _on_shared(rows, found, "inner")
+                found = match(graph, branch, dedup or outer, subclasses, rows.distinct() if outer else None, by)
+                found = _within(rows, found, "inner") if outer else _on_shared(rows, found, "inner", by)
                 parts.append(found.withColumn(c.tag, F.lit(name)))
             rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         elif isinstance(c, Where):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.text import after, joined
 from ..operators.patterns import Edge, Either, Maybe, Node, NotEdge, Value, Where, match
 from ..operators.questions import Brief, Question
@@ -287,7 +288,7 @@ def fl11(g: Graph) -> DataFrame:
 
 
 def fl12(g: Graph) -> DataFrame:
-    return match(derive_tests(g), [Node("test", "TestObligation"), Edge("test", "forStep", "param"), *has("test", kind="obligationKind", description="description")])
+    return match(derive_tests(g), [Node("test", "TestObligation"), Edge("test", "forStep", "param"), *has("test", kind="obligationKind", description="description")], by="merge")
 
 
 def fl15(g: Graph) -> DataFrame:
@@ -311,21 +312,21 @@ IMPACT = Either(
 
 def derive_tests(g: Graph) -> Graph:
     """The graph with test obligations: pass and fail cases of checks, routes of transitions, and a property for each invariant and enforcing step."""
-    cases = match(g, [Edge("s", "hasCheck", "c"), *has("c", name="checkId")])
+    cases = match(g, [Edge("s", "hasCheck", "c"), *has("c", name="checkId")], by="merge")
     case = F.explode(F.array(*[F.struct(F.concat("c", F.lit(f"/test/{k}")).alias("id"), F.lit(f"{k}_case").alias("kind"), F.concat(F.lit(f"input that the check {verb}: "), "name").alias("text")) for k, verb in (("pass", "accepts"), ("fail", "refuses"))]))
     tests = cases.select("s", F.col("c").alias("subject"), case.alias("x")).select("x.*", "s", "subject")
-    routes = match(g, [Edge("t", "from", "s"), Edge("t", "onOutcome", "o"), *has("o", outcome="outcomeName"), *may("t", guard="guard", dynamic="toDynamic"), Maybe((Edge("t", "to", "next"), *has("next", to_id="stepId")))])
+    routes = match(g, [Edge("t", "from", "s"), Edge("t", "onOutcome", "o"), *has("o", outcome="outcomeName"), *may("t", guard="guard", dynamic="toDynamic"), Maybe((Edge("t", "to", "next"), *has("next", to_id="stepId")))], by="merge")
     text = F.concat(F.lit("on "), "outcome", F.when(F.col("guard").isNotNull(), F.concat(F.lit(" if "), "guard")).otherwise(F.lit("")), F.lit(" go to "), F.coalesce("to_id", "dynamic", F.lit("?")))
     tests = tests.unionByName(routes.select(F.concat("t", F.lit("/test/route")).alias("id"), F.lit("route").alias("kind"), text.alias("text"), "s", F.col("t").alias("subject")))
-    kept = match(g, [Edge("i", "enforcedBy", "c"), Edge("s", "hasCheck", "c"), *has("i", statement="statement"), *has("s", step_id="stepId")])
+    kept = match(g, [Edge("i", "enforcedBy", "c"), Edge("s", "hasCheck", "c"), *has("s", step_id="stepId")], by="merge")
+    kept = match(g, has("i", statement="statement"), bound=kept)  # few invariants with many checks each
     tests = tests.unionByName(kept.select(F.concat("i", F.lit("/test/"), "step_id").alias("id"), F.lit("property").alias("kind"), F.col("statement").alias("text"), "s", F.col("i").alias("subject"))).distinct()
-    nodes = tests.select("id", F.lit("TestObligation").alias("type"), F.col("id").alias("label")).distinct()
-    edge = F.explode(F.array(F.struct(F.lit("forStep").alias("rel"), F.col("s").alias("dst")), F.struct(F.lit("tests").alias("rel"), F.col("subject").alias("dst"))))
-    value = F.explode(F.array(F.struct(F.lit("obligationKind").alias("pred"), F.col("kind").alias("value")), F.struct(F.lit("description").alias("pred"), F.col("text").alias("value"))))
-    return Graph(
-        g.nodes.unionByName(nodes),
-        g.edges.unionByName(tests.select(F.col("id").alias("src"), edge.alias("e")).select("src", "e.rel", "e.dst").distinct()),
-        g.literals.unionByName(tests.select(F.col("id").alias("subj"), value.alias("e")).select("subj", "e.pred", "e.value").distinct()),
+    tests = written(tests, "tests")  # derived once for all parts that a question reads
+    part = lambda tag, name, *columns: tests.select(*columns, F.lit(name).alias(tag)).distinct()
+    return g.with_more(
+        nodes={"TestObligation": part("type", "TestObligation", "id", F.col("id").alias("label"))},
+        edges={name: part("rel", name, F.col("id").alias("src"), F.col(column).alias("dst")) for name, column in (("forStep", "s"), ("tests", "subject"))},
+        literals={name: part("pred", name, F.col("id").alias("subj"), F.col(column).alias("value")) for name, column in (("obligationKind", "kind"), ("description", "text"))},
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cache, partial, reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +43,11 @@ SCHEMAS = {"nodes": NODES, "edges": EDGES, "literals": LITERALS}
 class Graph:
     """The tables nodes, edges and literals, whole or as parts by type, relation or property.
 
-    A part is a function that gives a DataFrame, so a pattern opens and scans only what it names.
+    A part is a function that gives a DataFrame, so a pattern opens and scans only what it names.  `more` are rows that the tables or parts have besides.
     """
 
-    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, literals: DataFrame | None = None, parts: dict[str, dict[str, Callable[..., DataFrame]]] | None = None, spark: SparkSession | None = None) -> None:
-        self._whole = {"nodes": nodes, "edges": edges, "literals": literals}
+    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, literals: DataFrame | None = None, parts: dict[str, dict[str, Callable[..., DataFrame]]] | None = None, spark: SparkSession | None = None, more: dict[str, dict[str, list[DataFrame]]] | None = None) -> None:
+        self._whole, self.more = {"nodes": nodes, "edges": edges, "literals": literals}, more or {}
         self.parts, self.spark = parts or {}, spark or next(t for t in self._whole.values() if t is not None).sparkSession
 
     def _empty(self, table: str) -> DataFrame:
@@ -56,13 +57,12 @@ class Graph:
         if self._whole[table] is None:
             parts = [part() for part in self.parts.get(table, {}).values()]
             self._whole[table] = reduce(DataFrame.unionByName, parts) if parts else self._empty(table)
-        return self._whole[table]
+        return reduce(DataFrame.unionByName, chain(*self.more.get(table, {}).values()), self._whole[table])
 
     def _of(self, table: str, column: str, names: list[str]) -> DataFrame:
-        parts = self.parts.get(table)
-        if parts is None:
-            return self._table(table).where(F.col(column).isin(names))
-        found = [parts[n]() for n in names if n in parts]
+        parts, more = self.parts.get(table), self.more.get(table, {})
+        found = [self._whole[table].where(F.col(column).isin(names))] if parts is None and self._whole[table] is not None else [parts[n]() for n in names if n in (parts or {})]
+        found += [rows for n in names for rows in more.get(n, ())]
         return reduce(DataFrame.unionByName, found) if found else self._empty(table)
 
     @property
@@ -100,7 +100,12 @@ class Graph:
 
     def with_edges(self, edges: DataFrame) -> Graph:
         """The same nodes and literals with other edges."""
-        return Graph(self._whole["nodes"], edges, self._whole["literals"], {k: v for k, v in self.parts.items() if k not in ("edges", "statements")}, self.spark)
+        return Graph(self._whole["nodes"], edges, self._whole["literals"], {k: v for k, v in self.parts.items() if k not in ("edges", "statements")}, self.spark, {k: v for k, v in self.more.items() if k != "edges"})
+
+    def with_more(self, **rows: dict[str, DataFrame]) -> Graph:
+        """The graph with further nodes, edges and literals, by their type, relation or property; nothing else of it is opened for them."""
+        more = {t: {n: [*self.more.get(t, {}).get(n, ()), *([rows[t][n]] if n in rows.get(t, {}) else [])] for n in {**self.more.get(t, {}), **rows.get(t, {})}} for t in SCHEMAS}
+        return Graph(*(self._whole[t] for t in SCHEMAS), {k: v for k, v in self.parts.items() if k != "statements"}, self.spark, more)
 
 
 def node_id(prefix: str, key: str | Column) -> Column:

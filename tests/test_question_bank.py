@@ -145,3 +145,35 @@ def test_flow_gaps_and_readiness(spark, flow):
     found = statuses(asked, flow, spark.createDataFrame([("s1",), ("s2",)], "param string"))
     matrix = {r.param: r["write-tests"] for r in readiness_matrix(found, [b for b in bank.FLOW_BRIEFS if b.task == "write-tests"]).collect()}
     assert matrix == {"s1": "BLOCKED", "s2": "BLOCKED"}
+
+
+def test_derived_tests_open_only_what_is_asked_for(spark, flow, tmp_path):
+    """Test obligations are derived once, however many parts of them a question reads, and no table of keys goes through the driver."""
+    opened = []
+
+    def part(table, name):
+        def make():
+            opened.append(name)
+            return {"nodes": flow.nodes_of, "edges": flow.edges_of, "literals": flow.literals_of}[table]([name])
+
+        return make
+
+    names = {"nodes": ["HumanStep", "DeterministicStep"], "edges": ["hasCheck", "from", "onOutcome", "to", "enforcedBy", "writes", "reads"], "literals": ["checkId", "outcomeName", "guard", "toDynamic", "stepId", "statement", "path", "format"]}
+    graph = Graph(parts={t: {n: part(t, n) for n in ns} for t, ns in names.items()}, spark=spark)
+    found = bank.fl12(graph)
+    assert sorted(opened) == sorted(["hasCheck", "checkId", "from", "onOutcome", "outcomeName", "guard", "toDynamic", "to", "stepId", "enforcedBy", "hasCheck", "stepId", "statement"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bank.fl12(flow).collect())) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") >= 3 and "Broadcast" not in plan
+
+
+def test_a_graph_with_more_rows_answers_as_one_table(spark, flow):
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+    more = flow.with_more(nodes={"Test": spark.createDataFrame([("x", "Test", "x")], NODES)}, edges={"reads": spark.createDataFrame([("x", "reads", "a1")], EDGES)})
+    more = more.with_more(edges={"reads": spark.createDataFrame([("y", "reads", "a1")], EDGES)})
+    assert [r.id for r in more.nodes_of(["Test"]).collect()] == ["x"] and flow.nodes_of(["Test"]).isEmpty() and flow.edges_of(["reads"]).count() == 1
+    assert rows(more.edges_of(["reads", "writes"])) == rows(more.edges.where("rel IN ('reads', 'writes')")) and more.edges.count() == flow.edges.count() + 2
+    assert rows(more.nodes) == rows(more.nodes_of([r.type for r in more.nodes.select("type").distinct().collect()])) and rows(more.literals) == rows(flow.literals)
+    other = more.with_edges(spark.createDataFrame([("a", "b", "c")], EDGES))
+    assert rows(other.edges) == [("c", "b", "a")] and rows(other.nodes) == rows(more.nodes)
+    assert {r.value for r in more.statements_of("Test", ["reads"]).where("focus = 'x'").collect()} == {None, "a1"}
