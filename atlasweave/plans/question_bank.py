@@ -156,8 +156,9 @@ def cq14_gaps(g: Graph) -> DataFrame:
 
 
 def cq15(g: Graph) -> DataFrame:
-    mine = match(g, [*REPORT, Edge("f", "inReport", "r"), *has("f", fid="fieldId")]).select("param", "r", "fid")
-    theirs = match(g, [*has("o", other="reportId"), Edge("f", "inReport", "o"), *has("f", fid="fieldId")]).select("o", "other", "fid")
+    """Each id counts once in a report before reports are paired, however many fields have it there."""
+    mine = match(g, [*REPORT, Edge("f", "inReport", "r"), *has("f", fid="fieldId")]).select("param", "r", "fid").distinct()
+    theirs = mine.toDF("other", "o", "fid")
     return mine.join(theirs, "fid").where("o <> r").groupBy("param", "other").agg(F.countDistinct("fid").alias("shared"), joined(F.col("fid")).alias("fields"))
 
 

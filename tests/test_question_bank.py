@@ -177,3 +177,29 @@ def test_a_graph_with_more_rows_answers_as_one_table(spark, flow):
     other = more.with_edges(spark.createDataFrame([("a", "b", "c")], EDGES))
     assert rows(other.edges) == [("c", "b", "a")] and rows(other.nodes) == rows(more.nodes)
     assert {r.value for r in more.statements_of("Test", ["reads"]).where("focus = 'x'").collect()} == {None, "a1"}
+
+
+def joined_rows(df) -> int:
+    """The most rows that a join of df's plan gives."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind, children = p.getClass().getSimpleName(), p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif "Join" in kind:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_reports_are_paired_by_ids_not_by_fields(spark):
+    ids = spark.range(2000)
+    edges = ids.selectExpr("concat('f', id) AS src", "'inReport' AS rel", "concat('r', id % 4) AS dst")
+    values = ids.selectExpr("concat('f', id) AS subj", "'fieldId' AS pred", "concat('x', id % 5) AS value").unionByName(spark.createDataFrame([(f"r{k}", "reportId", f"R{min(k, 2)}") for k in range(4)], LITERALS))
+    found = bank.cq15(Graph(spark.createDataFrame([], NODES), edges, values))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"R{a}", f"R{b}", 5, "x0, x1, x2, x3, x4") for a in range(3) for b in range(3) if a != b or a == 2)
+    assert joined_rows(found) <= 2000
