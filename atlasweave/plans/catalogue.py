@@ -426,8 +426,7 @@ def entity_card(spark, sf_dir):
     LEFT JOIN nodes ON id = other GROUP BY ALL""")
 def stored_degrees(spark, sf_dir):
     """How many edges every node has at each side, and how many of their other ends are nodes."""
-    links = stores.graph_links(spark, sf_dir)
-    return links.version.read(spark, "links").groupBy(F.col("node").alias("id"), F.col("side").alias("kind")).agg(F.count("*").alias("n"), F.count("other_type").alias("known"))
+    return adjacency.degrees(stores.graph_links(spark, sf_dir))
 
 
 def _names(g: Graph) -> DataFrame:

@@ -73,6 +73,13 @@ class Graph:
     def edges(self) -> DataFrame:
         return self._table("edges")
 
+    @property
+    def edges_repeated(self) -> DataFrame:
+        """All edges, some more than once if that saves work: for readers that make them distinct themselves."""
+        if not (parts := self.parts.get("repeated")):
+            return self.edges
+        return reduce(DataFrame.unionByName, [*(part() for part in parts.values()), *chain(*self.more.get("edges", {}).values())])
+
     @property
     def literals(self) -> DataFrame:
         return self._table("literals")
@@ -100,7 +107,7 @@ class Graph:
 
     def with_edges(self, edges: DataFrame) -> Graph:
         """The same nodes and literals with other edges."""
-        return Graph(self._whole["nodes"], edges, self._whole["literals"], {k: v for k, v in self.parts.items() if k not in ("edges", "statements")}, self.spark, {k: v for k, v in self.more.items() if k != "edges"})
+        return Graph(self._whole["nodes"], edges, self._whole["literals"], {k: v for k, v in self.parts.items() if k not in ("edges", "repeated", "statements")}, self.spark, {k: v for k, v in self.more.items() if k != "edges"})
 
     def with_more(self, **rows: dict[str, DataFrame]) -> Graph:
         """The graph with further nodes, edges and literals, by their type, relation or property; nothing else of it is opened for them."""
@@ -131,12 +138,12 @@ def lift(spark: SparkSession, sf_dir: str, spec: tuple[Lift | Link, ...] = WAREH
     Every part is a projection of one table with only the columns that it needs.
     """
     table = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-    found: dict[str, dict[str, list[Callable[[], DataFrame]]]] = {name: {} for name in SCHEMAS}
+    found: dict[str, dict[str, list[Callable[[], DataFrame]]]] = {name: {} for name in (*SCHEMAS, "repeated")}
 
-    def linked(s: Link) -> DataFrame:
+    def linked(s: Link, repeated: bool = False) -> DataFrame:
         (a, b), (c, d) = s.source, s.target
-        pairs = table(s.table).select(b, d).where(F.col(b).isNotNull() & F.col(d).isNotNull()).distinct()
-        return pairs.select(node_id(a, b).alias("src"), F.lit(s.rel).alias("rel"), node_id(c, d).alias("dst"))
+        pairs = table(s.table).select(b, d).where(F.col(b).isNotNull() & F.col(d).isNotNull())
+        return (pairs if repeated else pairs.distinct()).select(node_id(a, b).alias("src"), F.lit(s.rel).alias("rel"), node_id(c, d).alias("dst"))
 
     def nodes(s: Lift) -> DataFrame:
         me = node_id(s.type.lower(), s.key)
@@ -166,10 +173,12 @@ def lift(spark: SparkSession, sf_dir: str, spec: tuple[Lift | Link, ...] = WAREH
     for s in spec:
         if isinstance(s, Link):
             found["edges"].setdefault(s.rel, []).append(partial(linked, s))
+            found["repeated"].setdefault(s.rel, []).append(partial(linked, s, True))
             continue
         found["nodes"].setdefault(s.type, []).append(partial(nodes, s))
         for rel in s.edges:
-            found["edges"].setdefault(rel, []).append(partial(edges, s, rel))
+            for table_ in ("edges", "repeated"):
+                found[table_].setdefault(rel, []).append(partial(edges, s, rel))
         for pred in s.literals:
             found["literals"].setdefault(pred, []).append(partial(literals, s, pred))
     union = lambda makers: reduce(DataFrame.unionByName, [make() for make in makers])

@@ -13,10 +13,13 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 from pyspark.sql.types import StructType
 
+from ..functions.lineage import shuffles_removed
+
 #: Seconds after which a pointer without content counts as left by a writer that died.
 ABANDONED = 60.0
 
@@ -27,18 +30,34 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Table:
-    """A table to publish: its rows, the columns that its folders are named by, and the order within files."""
+    """A table to publish: its rows, the columns that its folders are named by, and the order within files.
+
+    gathered is done to rows once the order has brought equal ones together, so that grouping by folders and order takes no shuffle of its own.
+    slices are conditions that deal out the rows, each in one slice; a slice is written before the next is read, so the disk holds one's shuffle at a time.
+    """
 
     rows: DataFrame
     folders: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
+    gathered: Callable[[DataFrame], DataFrame] | None = None
+    slices: tuple[Column, ...] = ()
 
     def write(self, path: str) -> None:
-        rows = self.rows
-        if self.order:  # ranges of the whole order, so a frequent folder or key is spread over several files
-            rows = rows.repartitionByRange(*self.folders, *self.order).sortWithinPartitions(*self.folders, *self.order)
-        writer: DataFrameWriter = rows.write
-        (writer.partitionBy(*self.folders) if self.folders else writer).parquet(path)
+        for rows in [self.rows.where(s) for s in self.slices] or [self.rows]:
+            if self.order:  # ranges of the whole order, so a frequent folder or key is spread over several files
+                rows = rows.repartitionByRange(*self.folders, *self.order)
+                rows = (self.gathered(rows) if self.gathered else rows).sortWithinPartitions(*self.folders, *self.order)
+            writer: DataFrameWriter = rows.write.mode("append" if self.slices else "errorifexists")
+            (writer.partitionBy(*self.folders) if self.folders else writer).parquet(path)
+
+    @property
+    def schema(self) -> StructType:
+        return (self.gathered(self.rows) if self.gathered else self.rows).schema
+
+
+def dealt(column: str, slices: int) -> tuple[Column, ...]:
+    """Conditions that deal out rows by a number of theirs."""
+    return tuple(F.pmod(F.col(column), F.lit(slices)) == k for k in range(slices)) if slices > 1 else ()
 
 
 @dataclass(frozen=True)
@@ -94,10 +113,11 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, Table], base: Ve
     check gets the version when its tables are written and may raise, so that it never becomes visible.
     """
     data = f"{folder}/versions/{uuid4().hex}"
-    for name, table in tables.items():
-        table.write(f"{data}/{name}")
+    with shuffles_removed(spark):
+        for name, table in tables.items():
+            table.write(f"{data}/{name}")
     number = base.number if base else 0
-    version = Version(number + 1, data, {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.rows.schema) for name, t in tables.items()}, meta or {})
+    version = Version(number + 1, data, {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema) for name, t in tables.items()}, meta or {})
     if check:
         check(version)
     known = _pointers(spark, folder)

@@ -176,3 +176,32 @@ def test_cards_open_their_own_folders(spark, stored):
     same(adjacency.entity_card(links, ["part/1", "customer/2"]), walk.entity_card(graph, spark.createDataFrame([("part/1",), ("customer/2",)], "id string")))
     every = links.version.read(spark, "links").select(F.input_file_name()).distinct().count()
     assert files_read(links.of("links", ["part/1"])) <= 2 < every
+
+
+def test_degrees_count_ends_that_are_no_node_or_several(spark, tmp_path):
+    nodes = [("a", "A", "x"), ("b", "B", "y"), ("b", "B", "z")]
+    edges = [("a", "r", "b"), ("a", "r", "b"), ("a", "r", "c"), ("c", "s", "a"), ("b", "s", "b"), ("d", "r", "c")]
+    graph = Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES), spark.createDataFrame([("a", "p", "1")], LITERALS))
+    stored = adjacency.publish(spark, str(tmp_path / "links"), graph)
+    ends = [(s, "out", d) for s, _, d in set(edges)] + [(d, "in", s) for s, _, d in set(edges)]
+    many = {n: [x for x, _, _ in nodes].count(n) for n in "abcd"}
+    want = {(n, k): (sum(max(1, many[o]) for a, b, o in ends if (a, b) == (n, k)), sum(many[o] for a, b, o in ends if (a, b) == (n, k))) for n, k, _ in ends}
+    assert {(r.id, r.kind): (r.n, r.known) for r in adjacency.degrees(stored).collect()} == want
+    same(adjacency.entity_card(stored, ["a", "b"]), walk.entity_card(Graph(graph.nodes, graph.edges.distinct(), graph.literals), spark.createDataFrame([("a",), ("b",)], "id string")))
+
+
+def test_slices_hold_every_row_once_and_leave_no_shuffles(spark, sf_dir, stored, tmp_path):
+    graph, whole = stored
+    sliced = adjacency.publish(spark, str(tmp_path / "links"), graph, slices=3)
+    for name in ("links", "nodes", "values"):
+        same(sliced.version.read(spark, name), whole.version.read(spark, name))
+    assert "other_label" not in sliced.version.read(spark, "links").columns
+    plan = adjacency.tables(graph, 3)["links"]
+    rows = plan.rows.where(plan.slices[1]).repartitionByRange(*plan.folders, *plan.order)
+    text = plan.gathered(rows)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == text.count("Exchange rangepartitioning") == 1
+    kept = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: sum(b.isShuffle() for b in (kept.getAllBlocks().apply(i) for i in range(kept.getAllBlocks().size())))
+    before = held()
+    adjacency.publish(spark, str(tmp_path / "again"), graph, slices=2)
+    assert held() <= before
