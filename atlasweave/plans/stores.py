@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import shared_folder, written
 from ..sources import adjacency, postings, versions
 from ..sources.lift import WAREHOUSE, lift
 
@@ -40,8 +40,8 @@ def graph_links(spark: SparkSession, sf_dir: str) -> adjacency.Adjacency:
 def graph_names(spark: SparkSession, sf_dir: str) -> postings.Index:
     """The names of the warehouse graph's nodes; a customer's nation is its scope."""
     names = sorted({s.table for s in WAREHOUSE})
-    found = lambda: postings.entries(lift(spark, sf_dir), meaning=None, scope_pattern=r"^(region|nation)/")
-    return postings.open_index(spark, _folder(spark, sf_dir, "names", names, lambda folder, _: postings.publish(spark, folder, found())))
+    found = lambda: written(postings.entries(lift(spark, sf_dir), meaning=None, scope_pattern=r"^(region|nation)/"), "entries")
+    return postings.open_index(spark, _folder(spark, sf_dir, "names", names, lambda folder, slices: postings.publish(spark, folder, found(), slices=slices)))
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> postings.Index:
@@ -52,4 +52,4 @@ def document_words(spark: SparkSession, sf_dir: str) -> postings.Index:
         entry = lambda rows, type_, key, scope, name, text: rows.select(F.concat(F.lit(f"{type_}/"), F.col(key).cast("string")).alias("id"), F.lit(type_).alias("type"), F.col(scope).cast("string").alias("scope"), F.col(name).alias("name"), F.col(text).alias("text"))
         return entry(read("documents"), "document", "doc_id", "lang", "source", "text").unionByName(entry(read("pages"), "page", "page_id", "page_id", "url", "html"))
 
-    return postings.open_index(spark, _folder(spark, sf_dir, "words", ["documents", "pages"], lambda folder, _: postings.publish(spark, folder, found())))
+    return postings.open_index(spark, _folder(spark, sf_dir, "words", ["documents", "pages"], lambda folder, slices: postings.publish(spark, folder, found(), slices=slices)))

@@ -29,7 +29,7 @@ def tables(graph: Graph, slices: int = 1) -> dict[str, versions.Table]:
     out, into = (graph.edges_repeated.select(F.col(a).alias("node"), F.lit(side).alias("side"), "rel", F.col(b).alias("other")) for a, b, side in (("src", "dst", "out"), ("dst", "src", "in")))
     nodes = graph.nodes.select(F.col("id").alias("node"), "label", "type")
     values = graph.literals.select(F.col("subj").alias("node"), "pred", "value")
-    table = lambda rows, *order, gathered=None: versions.Table(rows.select(bucket_of(F.col("node")).alias("bucket"), *rows.columns), ("bucket",), order, gathered, versions.dealt("bucket", slices))
+    table = lambda rows, *order, gathered=None: versions.Table(rows.select(bucket_of(F.col("node")).alias("bucket"), *rows.columns), ("bucket",), order, gathered, versions.dealt(F.col("bucket"), slices))
     return {"links": table(out.unionByName(into), "node", "side", "rel", "other", gathered=DataFrame.distinct), "nodes": table(nodes, "node", "type", "label"), "values": table(values, "node", "pred", "value")}
 
 

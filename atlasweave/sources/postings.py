@@ -11,7 +11,9 @@ Names are inherited: a node also has the names and texts of the nodes that stand
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,25 +63,30 @@ def entries(graph: Graph, name_preds: list[str] | None = None, text_preds: list[
     return rows.select("id", "type", F.when(scope != "", scope).alias("scope"), "name", "text")
 
 
-def tables(found: DataFrame, letters: int = LETTERS) -> dict[str, versions.Table]:
-    """The tables to publish for entries(id, type, scope, name, text)."""
+def tables(found: DataFrame, letters: int = LETTERS, slices: int = 1, staged: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> dict[str, versions.Table]:
+    """The tables to publish for entries(id, type, scope, name, text); the rows of some folders at a time with several slices.
+
+    staged may keep the words of all texts, which the ranges and every slice read, so that texts are split once.
+    """
     head = lambda c: F.substring(c, 1, KEY)
     named = found.where("name IS NOT NULL").select("id", "type", "scope", "name", normalised(F.col("name")).alias("plain"))
     from_words = F.transform(F.regexp_extract_all("plain", F.lit(rf"\b(?=(.{{1,{KEY}}}))"), F.lit(1)), lambda k: F.struct(F.lit("name").alias("how"), k.alias("key")))
     ids = F.array(F.struct(F.lit("id").alias("how"), head(F.lower("id")).alias("key")), F.struct(F.lit("id").alias("how"), head(F.lower(F.substring_index("id", "/", -1))).alias("key")))
     whole = F.array(F.struct(F.lit("name").alias("how"), head(F.col("plain")).alias("key")))
     keys = named.select("id", "type", "scope", "name", F.explode(F.array_distinct(F.concat(ids, whole, from_words))).alias("k")).select("id", "type", "scope", "name", "k.how", "k.key")
-    keys = keys.where("key <> ''").distinct().withColumn("folder", folder_of(F.col("key"), letters))
+    keys = keys.where("key <> ''").withColumn("folder", folder_of(F.col("key"), letters))
 
     def words(column: str, in_name: bool) -> DataFrame:
         every = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{Nd}\p{Mn}_]+"), F.lit(0)), head))
         return found.where(F.col(column).isNotNull()).select("id", "type", "scope", F.explode(every).alias("word"), F.lit(in_name).alias("in_name"))
 
-    held = words("name", True).unionByName(words("text", False)).groupBy("word", "id", "type", "scope").agg(F.max("in_name").alias("in_name")).withColumn("folder", folder_of(F.col("word"), letters))
+    held = staged(words("name", True).unionByName(words("text", False))).withColumn("folder", folder_of(F.col("word"), letters))
+    once = lambda rows: rows.groupBy("folder", "word", "id", "type", "scope").agg(F.max("in_name").alias("in_name"))
+    by_folder, bucket = versions.dealt(F.xxhash64("folder"), slices), _bucket(F.col("id"))
     return {
-        "names": versions.Table(keys, ("folder",), ("key", "id", "name")),
-        "words": versions.Table(held, ("folder",), ("word", "id")),
-        "texts": versions.Table(found.select(*ENTRY).withColumn("bucket", _bucket(F.col("id"))), ("bucket",), ("id", "name", "text")),
+        "names": versions.Table(keys, ("folder",), ("key", "id", "name"), DataFrame.distinct, by_folder),
+        "words": versions.Table(held, ("folder",), ("word", "id"), once, by_folder),
+        "texts": versions.Table(found.select(*ENTRY).withColumn("bucket", bucket), ("bucket",), ("id", "name", "text"), None, versions.dealt(bucket, slices)),
     }
 
 
@@ -121,8 +128,18 @@ class Index:
         return rows.where(hit)
 
 
-def publish(spark: SparkSession, folder: str, found: DataFrame, base: versions.Version | None = None, letters: int = LETTERS) -> Index:
-    return Index(spark, versions.publish(spark, folder, tables(cut(found), letters), base, {"letters": str(letters)}))
+def publish(spark: SparkSession, folder: str, found: DataFrame, base: versions.Version | None = None, letters: int = LETTERS, slices: int = 1) -> Index:
+    """Write an index of entries(id, type, scope, name, text), which are read several times, in each slice again, and so should cost little or be stored."""
+    place = f"{folder}/staged-{uuid4().hex}"
+
+    def staged(rows: DataFrame) -> DataFrame:
+        rows.write.parquet(place)
+        return spark.read.schema(rows.schema).parquet(place)
+
+    try:
+        return Index(spark, versions.publish(spark, folder, tables(found, letters, slices, staged), base, {"letters": str(letters)}))
+    finally:
+        versions.remove(spark, place)
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:

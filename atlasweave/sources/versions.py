@@ -55,9 +55,14 @@ class Table:
         return (self.gathered(self.rows) if self.gathered else self.rows).schema
 
 
-def dealt(column: str, slices: int) -> tuple[Column, ...]:
+def dealt(number: Column, slices: int) -> tuple[Column, ...]:
     """Conditions that deal out rows by a number of theirs."""
-    return tuple(F.pmod(F.col(column), F.lit(slices)) == k for k in range(slices)) if slices > 1 else ()
+    return tuple(F.pmod(number, F.lit(slices)) == k for k in range(slices)) if slices > 1 else ()
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    fs, path = _path(spark, place)
+    fs.delete(path, True)
 
 
 @dataclass(frozen=True)
@@ -144,8 +149,7 @@ def remove_old(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
     for n in complete[keep:]:
         old = current(spark, folder, n)
         for place in ([old.data] if old else []) + [f"{folder}/pointers/{n:09d}"]:
-            fs, path = _path(spark, place)
-            fs.delete(path, True)
+            remove(spark, place)
         gone.append(n)
     return gone
 

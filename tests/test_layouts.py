@@ -205,3 +205,17 @@ def test_slices_hold_every_row_once_and_leave_no_shuffles(spark, sf_dir, stored,
     before = held()
     adjacency.publish(spark, str(tmp_path / "again"), graph, slices=2)
     assert held() <= before
+
+
+def test_index_slices_hold_every_row_once_and_texts_are_split_once(spark, sf_dir, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("d/"), (F.col("doc_id") % 150).cast("string")).alias("id"), F.lit("document").alias("type"), F.col("lang").alias("scope"), F.col("source").alias("name"), "text")
+    whole = postings.publish(spark, str(tmp_path / "whole"), docs)
+    sliced = postings.publish(spark, str(tmp_path / "sliced"), docs, slices=3)
+    for name in ("names", "words", "texts"):
+        same(sliced.read(name), whole.read(name))
+    assert whole.read("words").groupBy("word", "id", "type", "scope").count().where("count > 1").isEmpty() and whole.read("texts").count() == docs.count()
+    assert not list((tmp_path / "sliced").glob("staged-*"))
+    for name in ("names", "words"):  # one shuffle each, and none of the texts before it
+        table = postings.tables(docs)[name]
+        plan = table.gathered(table.rows.repartitionByRange(*table.folders, *table.order))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Exchange rangepartitioning") == 1
