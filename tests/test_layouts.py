@@ -219,3 +219,10 @@ def test_index_slices_hold_every_row_once_and_texts_are_split_once(spark, sf_dir
         table = postings.tables(docs)[name]
         plan = table.gathered(table.rows.repartitionByRange(*table.folders, *table.order))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == plan.count("Exchange rangepartitioning") == 1
+
+
+def test_hops_over_slices_equal_scans(spark, sf_dir, tmp_path):
+    graph = lift(spark, sf_dir)
+    sliced = adjacency.publish(spark, str(tmp_path), graph, slices=2)
+    starts = spark.createDataFrame([("supplier/1",)], "id string")
+    same(adjacency.hops(sliced, starts, 2), walk.hops(graph, starts, 2))
